@@ -27,7 +27,7 @@ from .tokens import END_ID, word_ids
 
 MAGIC = b"RPAIR001"
 #: Ids of a shard file at most (one document at least).
-SHARD_IDS = 4 << 20
+SHARD_IDS = 2 << 20
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 4000, 16
 
 MANIFEST = "path string, partition int, shard int, n_docs long, n_ids long, n_symbols long, n_rules long, file_bytes long"
@@ -40,7 +40,7 @@ def grammar(ids: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
     rule and replaces non-overlapping places from the left.
     """
     seq, rules = ids.astype(np.uint32), []
-    bits = max(10, min(22, int(len(seq)).bit_length()))
+    bits = max(10, min(20, int(len(seq)).bit_length()))
     for _ in range(ROUNDS):
         if len(seq) < 2 * LEAST_COUNT:
             break

@@ -68,7 +68,7 @@ class WordIds:
             if got is None:
                 named = p if p.isascii() else "".join(self.names[b] for b in p.encode())
                 got = tuple(t.id for t in self.model.tokenize(named))
-                if len(self.pieces) >= self.most:
+                if len(self.pieces) >= self.most >> 2:
                     self.pieces.clear()
                 self.pieces[p] = got
             out.extend(got)
