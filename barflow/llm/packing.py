@@ -13,7 +13,7 @@ from .common import utf8_column
 from .tokens import word_ids
 
 #: Ids that are packed together at most; bounds a task's memory and leaves at most a few open windows each.
-GROUP_IDS = 16 << 20
+GROUP_IDS = 4 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -92,8 +92,8 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048) -> DataFrame:
             for i, j in _cuts(offs, GROUP_IDS):
                 if held and n + offs[j] - offs[i] > GROUP_IDS:
                     out, base = _packed(held, width, base)
-                    yield from out
                     held, n = [], 0
+                    yield from out
                 held.append((b.column(0).slice(i, j - i), ids[offs[i]:offs[j]], offs[i:j + 1] - offs[i]))
                 n += offs[j] - offs[i]
         if held:
@@ -110,7 +110,7 @@ def _cuts(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _packed(held: list, width: int, base: int) -> tuple[list[pa.RecordBatch], int]:
+def _packed(held: list, width: int, base: int) -> tuple[Iterator[pa.RecordBatch], int]:
     doc = pa.concat_arrays([h[0] for h in held]).cast(pa.int64())
     ids = np.concatenate([h[1] for h in held])
     tokens = np.concatenate([np.diff(h[2]) for h in held])
@@ -121,13 +121,14 @@ def _packed(held: list, width: int, base: int) -> tuple[list[pa.RecordBatch], in
     length = np.minimum(width, tokens[row] - start)
     window, offset, windows = best_fit_decreasing(length, width)
     at = first[row] + start
-    raw = ids.astype("<u4").tobytes()
-    out, step = [], 4096
-    for i in range(0, len(row), step):
-        k = slice(i, i + step)
-        out.append(pa.RecordBatch.from_arrays([
+    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+    step = 1024
+
+    def batch(k: slice) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
             doc.take(pa.array(row[k])), pa.array(start[k]), pa.array(length[k]),
             pa.array([raw[4 * a:4 * (a + n)] for a, n in zip(at[k].tolist(), length[k].tolist())], pa.binary()),
             pa.array(tokens[row[k]]), pa.array(base + window[k]), pa.array(offset[k])],
-            names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]))
-    return out, base + windows
+            names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    return (batch(slice(i, i + step)) for i in range(0, len(row), step)), base + windows
