@@ -34,6 +34,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark hand over at most ``rows`` rows to Python at once: long texts then need less memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def local_path(uri: str) -> str:
     """The path of a file: URI; other schemes are left to pyarrow's file systems."""
     return uri[len("file:"):].replace("//", "", 1) if uri.startswith("file://") else uri.removeprefix("file:")

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import utf8_column
+from .common import small_batches, utf8_column
 from .tokens import word_ids
 
 #: Ids that are packed together at most; bounds a task's memory and leaves at most a few open windows each.
-GROUP_IDS = 4 << 20
+GROUP_IDS = 8 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -99,6 +99,7 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048) -> DataFrame:
         if held:
             yield from _packed(held, width, base)[0]
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
 
 
@@ -122,7 +123,7 @@ def _packed(held: list, width: int, base: int) -> tuple[Iterator[pa.RecordBatch]
     window, offset, windows = best_fit_decreasing(length, width)
     at = first[row] + start
     raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
-    step = 1024
+    step = 512
 
     def batch(k: slice) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([

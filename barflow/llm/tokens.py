@@ -39,7 +39,7 @@ def _byte_names() -> dict[int, str]:
 class WordIds:
     """Ids of words by the tokenizer file at ``path``; at most ``most`` words are remembered."""
 
-    def __init__(self, path: str, most: int = 1 << 21):
+    def __init__(self, path: str, most: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -68,7 +68,7 @@ class WordIds:
             if got is None:
                 named = p if p.isascii() else "".join(self.names[b] for b in p.encode())
                 got = tuple(t.id for t in self.model.tokenize(named))
-                if len(self.pieces) >= self.most >> 2:
+                if len(self.pieces) >= self.most >> 1:
                     self.pieces.clear()
                 self.pieces[p] = got
             out.extend(got)
@@ -138,7 +138,7 @@ class WordIds:
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with the end id, and the n+1 offsets of the rows in them."""
         parts, lens = [], [np.zeros(0, np.int64)]
-        for i, j in steps(offs):
+        for i, j in steps(offs, 2 << 20):
             ids, n = self._step(raw[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
             parts.append(ids)
             lens.append(n)
