@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_uri, shared_dir, utf8_column
+from .common import open_uri, shared_dir, small_batches, utf8_column
 from .tokens import END_ID, word_ids
 
 MAGIC = b"RPAIR001"
@@ -90,9 +90,9 @@ def expansions(rules: np.ndarray, first_rule: int) -> list[np.ndarray]:
     return out
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
+def expand(seq: np.ndarray, rules: np.ndarray, first_rule: int, exp: list[np.ndarray] | None = None) -> np.ndarray:
     """The ids that symbols stand for."""
-    exp = expansions(rules, first_rule)
+    exp = expansions(rules, first_rule) if exp is None else exp
     size = np.array([len(x) for x in exp], np.int64)
     flat = np.concatenate([*exp, np.zeros(0, np.uint32)])
     at = np.cumsum(size) - size
@@ -150,12 +150,13 @@ class Shard:
         self.doc_ids, self.null = part("<i8", n_docs), part("u1", n_docs).astype(bool)
         self.starts, self.first_ids = part("<i8", n_docs + 1), part("<i8", n_docs + 1)
         self.symbols = part(f"<u{wide}", n_sym)
+        self.expansions = expansions(self.rules, self.first_rule)
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first_rule)
+        return expand(self.symbols, self.rules, self.first_rule, self.expansions)
 
     def doc(self, k: int) -> np.ndarray:
-        return expand(self.symbols[self.starts[k]:self.starts[k + 1]], self.rules, self.first_rule)
+        return expand(self.symbols[self.starts[k]:self.starts[k + 1]], self.rules, self.first_rule, self.expansions)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, vocabulary: int = 49408) -> DataFrame:
@@ -166,6 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     runs again writes files of new names, and only those in the manifest count.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or shared_dir(spark, "token-files")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +210,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """Documents of the files in order: doc_id, start (ids before it), n_tokens, ids (binary)."""
     # One row a file: the running sum over them is small beside the ids.
     before = Window.orderBy("partition", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    small_batches(manifest.sparkSession)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("path", "base")
     spark = manifest.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -217,13 +220,16 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with open_uri(path, "rb") as f:
                     s = Shard(f.read())
-                raw, first = s.all().astype("<u4").tobytes(), s.first_ids
-                for i in range(0, len(s.doc_ids), 4096):
-                    k = slice(i, min(i + 4096, len(s.doc_ids)))
+                first = s.first_ids
+                for i in range(0, len(s.doc_ids), 512):
+                    k = slice(i, min(i + 512, len(s.doc_ids)))
                     lo, hi = first[:-1][k], first[1:][k]
+                    # These documents' symbols alone are expanded.
+                    raw = expand(s.symbols[s.starts[k.start]:s.starts[k.stop]], s.rules, s.first_rule, s.expansions).astype("<u4").tobytes()
+                    zero = 4 * int(lo[0])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(s.doc_ids[k], mask=s.null[k]), pa.array(base + lo), pa.array(hi - lo),
-                        pa.array([raw[4 * x:4 * y] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())],
+                        pa.array([raw[4 * x - zero:4 * y - zero] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"])
 
     return files.repartition(n).mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
