@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import texts
 
@@ -117,12 +118,13 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Spans and redacted text of every document; one row out for each row in, no shuffle.
+def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Spans and redacted text of every document, and the columns named by ``keep``; one row out for each row in, no shuffle.
 
     Reads ``doc_id`` and ``text``; other columns are ignored. Null or empty text: no spans, empty
     redacted text. Null doc_ids and repeated rows are scanned like others.
     """
+    keep = keep or []
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,7 +135,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 n = [sum(x[2] == k for x in base) for k in KINDS[:3]]
                 rows.append((doc, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(s), redact(text, s)))
             cols = list(zip(*rows)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 3)],
-                                             names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 3)), *b.columns[2:]],
+                                             names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted", *[f"kept_{k}" for k in range(len(keep))]])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+    source = docs.select("doc_id", "text", *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
+    kept = "".join(f", kept_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
+    out = source.mapInArrow(task, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string" + kept)
+    return out.withColumnsRenamed({f"kept_{k}": c for k, c in enumerate(keep)})
