@@ -27,7 +27,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
 #: A name with its assignment sign, at a line's start or after a separator.
-NAME = re.compile(r"""(?:^|[\s,;{(\[&])(?:export\s+|const\s+|let\s+|var\s+|final\s+|static\s+)?["']?([A-Za-z_][A-Za-z0-9_.\-]{0,63})["']?[ \t]*(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*""", re.M)
+NAME = re.compile(r"""(?:^|[\s,;{(\[&])(?:export\s+|const\s+|let\s+|var\s+|final\s+|static\s+)?["']?([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*""", re.M)
 #: One term of a value: a quoted literal, a name, or a bare word.
 TERM = re.compile(r"""(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9+/_.=\-$@!%^*~]+))[ \t]*""")
 
@@ -90,7 +90,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
                 at += 1
         if not literals:
             continue
-        literals = literals[:64]
+        literals = list(dict.fromkeys(literals))
         known[m[1]] = literals
         if (weight := name_weight(m[1])) > 0:
             whole = "".join(text[a:b] for a, b in literals)
