@@ -26,6 +26,10 @@ _LOWER[65:91] += 32
 _LATIN = np.zeros(256, bool)
 _LATIN[:0xC0] = True
 _LATIN[[0xC2, 0xC3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[33:97] = _SIGN[123:127] = True
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
@@ -39,7 +43,7 @@ def _byte_names() -> dict[int, str]:
 class WordIds:
     """Ids of words by the tokenizer file at ``path``; at most ``most`` words are remembered."""
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -60,6 +64,8 @@ class WordIds:
     def word(self, raw: bytes) -> tuple[int, ...]:
         """Ids of one word."""
         w = raw.decode("utf-8")
+        if raw.isalpha() and raw.islower() and len(raw) <= 16:
+            return tuple(t.id for t in self.model.tokenize(w))
         if not _PLAIN.fullmatch(w) or "<|" in w or len(raw) > 4096:
             return tuple(self.tok.encode(w, add_special_tokens=False).ids)
         out: list[int] = []
@@ -68,7 +74,7 @@ class WordIds:
             if got is None:
                 named = p if p.isascii() else "".join(self.names[b] for b in p.encode())
                 got = tuple(t.id for t in self.model.tokenize(named))
-                if len(self.pieces) >= self.most >> 1:
+                if len(self.pieces) >= self.most >> 3:
                     self.pieces.clear()
                 self.pieces[p] = got
             out.extend(got)
@@ -147,7 +153,8 @@ class WordIds:
 
     def _step(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size, rows = len(raw), len(offs) - 1
-        if _LATIN[raw].all() and not self._special(raw):
+        plain = bool(_LATIN[raw].all()) and not self._special(raw)
+        if plain:
             raw = _LOWER[raw]
         ink = np.zeros(size + 1, bool)
         np.logical_not(_SPACE[raw], out=ink[:size])
@@ -155,6 +162,9 @@ class WordIds:
         edge = np.zeros(size + 1, bool)
         edge[offs] = True
         before = np.concatenate([[False], ink[:-1]])
+        if plain and size:
+            # The vocabulary's split always falls between a letter and a sign or digit: known words get fewer.
+            edge[1:size] |= _LETTER[raw[:-1]] & _SIGN[raw[1:]]
         start = np.flatnonzero(ink & (~before | edge))
         stop = np.flatnonzero(before & (~ink | edge))
         length = stop - start
