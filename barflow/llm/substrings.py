@@ -154,11 +154,50 @@ def _grouped(occ: DataFrame) -> DataFrame:
     return occ.repartition("akey", "salt").sortWithinPartitions("akey", "salt", "dig").mapInArrow(task, "akey long, rk long, start long, meta int, full boolean, opened boolean, heavy boolean")
 
 
-_CONTENT = "akey long, heavy boolean, rk long, start long, meta int, full boolean, bytes binary"
+#: Windows that a heavy anchor's stretch is dealt out by, before single ones.
+PART = 16
+
+
+def _by_content(parts: list[tuple[int, int, int, bool, bytes]]) -> pa.RecordBatch:
+    """Rows keyed by their own bytes. Of equal ones one goes on as repeated (full is 2); the others are done (bytes null)."""
+    first: dict[bytes, int] = {}
+    rows = []
+    for rk, start, m, full, text in parts:
+        if text in first:
+            k = first[text]
+            rows[k][3] = rows[k][3] or 2
+            if not full:
+                rows.append([(rk * 31 + start) & 0x7FFFFFFFFFFFFFFF, rk, start, 1, m, None])
+        else:
+            first[text] = len(rows)
+            rows.append([int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True), rk, start, int(full), m, text])
+    cols = list(zip(*rows)) if rows else [()] * 6
+    akey, rk, start, full, m, text = cols
+    return pa.RecordBatch.from_arrays([pa.array(akey, pa.int64()), pa.array([True] * len(akey), pa.bool_()), pa.array(rk, pa.int64()), pa.array(start, pa.int64()), pa.array(m, pa.int32()), pa.array(full, pa.int32()), pa.array(text, pa.binary())],
+                                      names=["akey", "heavy", "rk", "start", "meta", "full", "bytes"])
+
+
+def _matched(h: pa.Table) -> tuple[list, list]:
+    """Of rows keyed by their bytes: repeated runs (rk, start, windows), and rows met once, with their bytes."""
+    rk, start, m, full, text = (h[c].to_pylist() for c in ("rk", "start", "meta", "full", "bytes"))
+    count: dict[bytes, int] = {}
+    for x in text:
+        if x is not None:
+            count[x] = count.get(x, 0) + 1
+    done, alone = [], []
+    for a, s, k, f, x in zip(rk, start, m, full, text):
+        if x is None or f != 1 and (f == 2 or count[x] > 1):
+            done.append((a, s, k))
+        elif f != 2 and count[x] == 1:
+            alone.append((a, s, k, f == 1, x))
+    return done, alone
+
+
+_CONTENT = "akey long, heavy boolean, rk long, start long, meta int, full int, bytes binary"
 
 
 def _contents(docs: DataFrame, opened: DataFrame) -> DataFrame:
-    """Bytes of open stretches; of heavy anchors a row for each window, keyed by its own hash."""
+    """Bytes of open stretches; of heavy anchors parts of PART windows, keyed by their own bytes."""
     lists = opened.groupBy("rk").agg(F.collect_list(F.struct("akey", "heavy", "start", "meta", "full")).alias("x"))
     joined = docs.select("rk", "text").join(lists, "rk")
 
@@ -177,16 +216,15 @@ def _contents(docs: DataFrame, opened: DataFrame) -> DataFrame:
             whole = raw.tobytes()
             k = np.flatnonzero(~heavy)
             yield pa.RecordBatch.from_arrays([
-                pa.array(akey[k]), pa.array(heavy[k]), pa.array(rk[row[k]]), pa.array(start[k]), pa.array(meta[k]), pa.array(full[k]),
+                pa.array(akey[k]), pa.array(heavy[k]), pa.array(rk[row[k]]), pa.array(start[k]), pa.array(meta[k]), pa.array(full[k].astype(np.int32)),
                 pa.array([whole[a:a + m + LENGTH - 1] for a, m in zip(at[k].tolist(), n[k].tolist())], pa.binary())],
                 names=["akey", "heavy", "rk", "start", "meta", "full", "bytes"])
+            parts = []
             for k in np.flatnonzero(heavy).tolist():
-                m = int(n[k])
-                d = [hashlib.blake2b(whole[a:a + LENGTH], digest_size=16).digest() for a in range(int(at[k]), int(at[k]) + m)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.frombuffer(b"".join(y[:8] for y in d), np.int64)), pa.array(np.ones(m, bool)), pa.array(np.full(m, rk[row[k]])), pa.array(start[k] + np.arange(m)),
-                    pa.array(np.ones(m, np.int32)), pa.array(np.full(m, full[k])), pa.array([y[8:] for y in d], pa.binary())],
-                    names=["akey", "heavy", "rk", "start", "meta", "full", "bytes"])
+                for w in range(0, int(n[k]), PART):
+                    m = min(PART, int(n[k]) - w)
+                    parts.append((int(rk[row[k]]), int(start[k]) + w, m, bool(full[k]), whole[int(at[k]) + w:int(at[k]) + w + m + LENGTH - 1]))
+            yield _by_content(parts)
 
     return joined.mapInArrow(task, _CONTENT)
 
@@ -274,6 +312,7 @@ class SuffixSorter:
 def _open_runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of open stretches, runs of windows that are repeated in another stretch: rk, start, windows."""
     akey, rk, start, meta, full = (t[c].to_numpy() for c in ("akey", "rk", "start", "meta", "full"))
+    full = full > 0
     text, offs = utf8_column(t["bytes"])
     n, rel = (meta & 0xFFFF).astype(np.int64), (meta >> 16).astype(np.int64)
     of = np.repeat(np.arange(len(n)), n)
@@ -297,25 +336,36 @@ def _open_runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _resolved(contents: DataFrame) -> DataFrame:
-    """Runs of repeated windows (rk, start, n) among open stretches."""
+    """Runs of repeated windows (rk, start, n) among open stretches.
+
+    Parts of heavy anchors that are met once as a whole are looked at window by window in a second round.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "akey", 4096):
             heavy = t["heavy"].to_numpy()
-            out = [_open_runs(t.filter(pa.array(~heavy)))] if not heavy.all() else []
+            rows: list = []
+            if not heavy.all():
+                rows += [(*map(int, x), None, None) for x in zip(*_open_runs(t.filter(pa.array(~heavy))))]
             if heavy.any():
-                h = t.filter(pa.array(heavy))
-                word = np.frombuffer(b"".join(h["bytes"].to_pylist()), np.int64)
-                rk, start, full = (h[c].to_numpy() for c in ("rk", "start", "full"))
-                order = np.lexsort((word, h["akey"].to_numpy()))
-                k1, k2 = h["akey"].to_numpy()[order], word[order]
-                cls = np.cumsum(np.concatenate([[0], (np.diff(k1) != 0) | (np.diff(k2) != 0)]))
-                many = (np.bincount(cls) > 1)[cls] & ~full[order]
-                o = order[many]
-                out.append((rk[o], start[o], np.ones(len(o), np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rk", "start", "n"])
-
-    return contents.repartition("akey").sortWithinPartitions("akey").mapInArrow(task, "rk long, start long, n long")
+                done, alone = _matched(t.filter(pa.array(heavy)))
+                rows += [(*x, None, None) for x in done] + [x for x in alone if x[2] > 1]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["rk", "start", "n", "full", "bytes"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _by_content([(rk, start + w, 1, full, text[w:w + LENGTH]) for rk, start, n, full, text in zip(*(c.to_pylist() for c in b.columns)) for w in range(n)])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "akey", 4096):
+            cols = list(zip(*_matched(t)[0])) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rk", "start", "n"])
+
+    key = lambda df: df.repartition("akey").sortWithinPartitions("akey")
+    first = written(key(contents).mapInArrow(task, "rk long, start long, n long, full boolean, bytes binary"), "open-runs")
+    again = key(first.filter("bytes IS NOT NULL").mapInArrow(windows, _CONTENT)).mapInArrow(single, "rk long, start long, n long")
+    return first.filter("bytes IS NULL").select("rk", "start", "n").unionByName(again)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
