@@ -25,24 +25,36 @@ BANDS = 2 * PERMUTATIONS // BAND_VALUES
 SHARE = 75
 #: Pairs whose 128 signature bytes agree less than this have a similarity of 0.75 with odds under 1e-6.
 LEAST_ESTIMATE = 0.53
+#: Further permutations for documents of open buckets: 512 values, so the same odds allow a closer bound.
+MORE_PERMUTATIONS, LEAST_CLOSE_ESTIMATE = 256, 0.66
 #: Members of a bucket that one block of its inner comparison holds.
-BLOCK = 512
+BLOCK = 2048
 
 _rng = np.random.default_rng(20240131)
-_A = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
+_A = _rng.integers(0, 1 << 63, PERMUTATIONS + MORE_PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, PERMUTATIONS + MORE_PERMUTATIONS, np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, which: slice = slice(0, PERMUTATIONS)) -> np.ndarray:
     """Smallest and largest value of the set under each permutation, side by side."""
-    low, high = np.full(PERMUTATIONS, ~np.uint64(0)), np.zeros(PERMUTATIONS, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        v = shingles[at:at + 2048, None] * _A + _B
+    a, b = _A[which], _B[which]
+    low, high = np.full(len(a), ~np.uint64(0)), np.zeros(len(a), np.uint64)
+    for at in range(0, len(shingles), 1024):
+        v = shingles[at:at + 1024, None] * a + b
         np.minimum(low, v.min(0), out=low)
         np.maximum(high, v.max(0), out=high)
     return np.stack([low, high], 1).reshape(-1)
 
 
+def _top_bytes(values: np.ndarray) -> bytes:
+    return (values >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _estimate(same: np.ndarray) -> np.ndarray:
+    """Similarity from the share of equal signature bytes, less chance hits."""
+    return (same - 1 / 256) / (1 - 1 / 256)
+
+
 _FEATURES = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>"
 
 
@@ -63,7 +75,7 @@ def features(docs: DataFrame) -> DataFrame:
                     bands.append(np.zeros(0, np.int64))
                     continue
                 v = mix(signature(s))
-                sig.append((v >> np.uint64(56)).astype(np.uint8).tobytes())
+                sig.append(_top_bytes(v))
                 key = number
                 for column in v.reshape(BANDS, BAND_VALUES).T:
                     key = mix(key * np.uint64(0x5851F42D4C957F2D) + column)
@@ -92,8 +104,7 @@ def _likely(pairs: DataFrame, feats: DataFrame) -> DataFrame:
         for t in batches:
             if not t.num_rows:
                 continue
-            same = (_bytes_matrix(t.column(2)) == _bytes_matrix(t.column(3))).mean(1)
-            e = (same - 1 / 256) / (1 - 1 / 256)
+            e = _estimate((_bytes_matrix(t.column(2)) == _bytes_matrix(t.column(3))).mean(1))
             keep = e >= LEAST_ESTIMATE
             yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep)), t.column(1).filter(pa.array(keep)), pa.array(e[keep])], names=["a", "b", "estimate"])
 
@@ -119,15 +130,18 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def _shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Sorted shingle hashes of the documents in ``ids``; of rows that share a doc_id one."""
+    """Sorted shingle hashes and the longer signature of the documents in ``ids``; of rows that share a doc_id one."""
+    more = slice(PERMUTATIONS, PERMUTATIONS + MORE_PERMUTATIONS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets(*utf8_column(part.column(1)), WORDS)], pa.binary())], names=["doc_id", "s"])
+                found = list(sets(*utf8_column(part.column(1)), WORDS))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([_top_bytes(mix(signature(s, more))) for s in found], pa.binary())],
+                                                 names=["doc_id", "n", "s", "sig"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(task, "doc_id long, s binary").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(task, "doc_id long, n long, s binary, sig binary").dropDuplicates(["doc_id"])
 
 
 def _inner_pairs(rows: DataFrame) -> DataFrame:
@@ -153,8 +167,7 @@ def _inner_pairs(rows: DataFrame) -> DataFrame:
                     o = np.arange(x, z)
                     o = o[(comp[o] > comp[k]) & ((side[k] == 2) | (side[o] != side[k])) & (100 * np.minimum(n[o], n[k]) >= SHARE * np.maximum(n[o], n[k]))]
                     if len(o):
-                        e = (sig[o] == sig[k]).mean(1)
-                        o = o[(e - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE]
+                        o = o[_estimate((sig[o] == sig[k]).mean(1)) >= LEAST_CLOSE_ESTIMATE]
                         out_a += [ids[k]] * len(o)
                         out_b += ids[o].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -196,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Then buckets whose members still lie in different components, compared within themselves.
     open_rows = label(buckets.filter("m > 2").select("key", "m", "id"), "id").withColumnRenamed("c_id", "component")
     open_keys = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    inner = _inner_pairs(open_rows.join(open_keys, "key").join(slim.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig"), "id"))
+    inner = _inner_pairs(open_rows.join(open_keys, "key").join(shingles.select(F.col("doc_id").alias("id"), "n", "sig"), "id"))
     more = written(_confirmed(rest.unionByName(inner).distinct(), shingles), "links")
     # Components of components, and of copies with their first.
     merged = components(links.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
