@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, utf8_column
+from .common import small_batches, steps, utf8_column
 from .shingles import shingle_hashes, words
 
 #: Least words of a tile, and least share of an item's words under tiles.
@@ -160,6 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, covera
     read. The benchmark is carried to the executors in blocks of at most BLOCK_BYTES of text, one
     pass over the documents for each block, so its size is bounded whatever the benchmark's.
     """
+    small_batches(docs.sparkSession)
     bench = benchmark.select("item_id", "text").filter(F.length("text") > 0)
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-2 * total // BLOCK_BYTES) if total > BLOCK_BYTES else 1

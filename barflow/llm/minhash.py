@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, utf8_column, written
+from .common import runs, small_batches, utf8_column, written
 from .graph import components
 from .shingles import mix, sets
 
@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     node. Only ``doc_id`` and ``text`` are read. Documents with equal sets are one class from the
     start, so groups of copies are never compared among themselves.
     """
+    small_batches(docs.sparkSession)
     feats = written(features(docs), "minhash")
     some = feats.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, utf8_column
+from .common import small_batches, steps, utf8_column
 from .labelled import learnable, remainder
 
 #: Rows to learn from at most: labelled ones, and documents without a label.
@@ -177,6 +177,7 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD,
     repeated rows get the same score; with no positive label every score is 0.5. Only ``text``
     decides the score.
     """
+    small_batches(docs.sparkSession)
     net, _ = train(docs, labels, mod=mod, held=held, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # one small network
     keep = keep or []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches, texts
 
 #: Order of kinds at equal starts; ``lexed`` spans are the method's own.
 KINDS = ("assign", "access", "hex", "lexed")
@@ -125,6 +125,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     redacted text. Null doc_ids and repeated rows are scanned like others.
     """
     keep = keep or []
+    small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

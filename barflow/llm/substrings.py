@@ -24,7 +24,7 @@ from .shingles import mix, part_hashes, prefix_hashes
 LENGTH, GRAM = 200, 48
 _WINDOW = LENGTH - GRAM + 1
 #: Bytes of one text that are hashed at a time; longer texts are cut with an overlap.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: One document of SAMPLE tells which anchors are so common that their windows are dealt one by one.
 SAMPLE, LEAST_HEAVY = 64, 64
 
@@ -71,7 +71,7 @@ def _pieces(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.
     """Steps of whole rows, or overlapping parts of a row longer than CHUNK: bytes, offsets, first row, byte before."""
     for i, j in steps(offs, CHUNK):
         lo, hi = int(offs[i]), int(offs[j])
-        if hi - lo <= 2 * CHUNK:
+        if hi - lo <= CHUNK:
             yield raw[lo:hi], offs[i:j + 1] - lo, i, 0
         else:
             for a in range(0, hi - lo - LENGTH + 1, CHUNK):
