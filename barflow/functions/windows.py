@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 #: Rows of a block of the linear recurrence; the smallest decay to this power stays a normal double.
 BLOCK = 64
 
-_ALL = Window.partitionBy("symbol").orderBy("blk", "pos")
-_BLK = Window.partitionBy("symbol", "blk").orderBy("pos")
+
+def _all():
+    return Window.partitionBy("symbol").orderBy("blk", "pos")
+
+
+def _blk():
+    return Window.partitionBy("symbol", "blk").orderBy("pos")
 
 
 def col(c: str | Column) -> Column:
@@ -28,20 +33,20 @@ def indexed(bars: DataFrame) -> DataFrame:
 
 def lag(c: str | Column, n: int = 1) -> Column:
     """The value n rows before."""
-    return F.lag(col(c), n).over(_ALL)
+    return F.lag(col(c), n).over(_all())
 
 
 def lead(c: str | Column, n: int = 1) -> Column:
-    return F.lead(col(c), n).over(_ALL)
+    return F.lead(col(c), n).over(_all())
 
 
 def frame(n: int, shift: int = 0):
     """The n rows that end ``shift`` rows before the current one."""
-    return _ALL.rowsBetween(-n + 1 - shift, -shift)
+    return _all().rowsBetween(-n + 1 - shift, -shift)
 
 
 def cumulative():
-    return _ALL.rowsBetween(Window.unboundedPreceding, 0)
+    return _all().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def guarded(value: Column, c: str | Column, n: int, w) -> Column:
@@ -100,8 +105,8 @@ def linear(df: DataFrame, x: str, out: str, gain: float, start: int = 1) -> Data
         return df.withColumn(out, F.when(F.col("rn") >= start, F.col(x)))
     u = F.when(F.col("rn") == start, F.col(x)).when(F.col("rn") > start, F.lit(gain) * F.col(x)).otherwise(0.0)
     df = df.withColumn("_u", u * F.pow(F.lit(d), -F.col("pos")))
-    df = df.withColumn("_l", F.pow(F.lit(d), F.col("pos")) * F.sum("_u").over(_BLK.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_e", F.collect_list(F.when(F.col("pos") == BLOCK - 1, F.col("_l"))).over(_ALL.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("_l", F.pow(F.lit(d), F.col("pos")) * F.sum("_u").over(_blk().rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_e", F.collect_list(F.when(F.col("pos") == BLOCK - 1, F.col("_l"))).over(_all().rowsBetween(Window.unboundedPreceding, -1)))
     carry = F.aggregate("_e", F.lit(0.0), lambda c, e: c * F.lit(d**BLOCK) + e)
     return df.withColumn(out, F.when(F.col("rn") >= start, F.col("_l") + F.pow(F.lit(d), F.col("pos") + 1) * carry)).drop("_u", "_l", "_e")
 

@@ -103,7 +103,16 @@ def signals(bars: DataFrame, name: str, **params) -> DataFrame:
     return fn(Features(d), **(defaults | params))
 
 
-C, O, H, L = F.col("close"), F.col("open"), F.col("high"), F.col("low")
+def close() -> Column:
+    return F.col("close")
+
+
+def high() -> Column:
+    return F.col("high")
+
+
+def low() -> Column:
+    return F.col("low")
 
 
 @_strategy("rsi_oversold", n=2, entry=15, exit_mode="previous_high", exit_rsi=75)
@@ -118,7 +127,7 @@ def rsi_adx(f, n, entry, adx_n, adx_min, direction, exit_mode):
     if direction == "plus_di":
         e = e & (f.get("plus_di", adx_n) > f.get("minus_di", adx_n))
     elif direction == "sma200":
-        e = e & (C > f.get("sma", "close", 200))
+        e = e & (close() > f.get("sma", "close", 200))
     return f.done(e, w.fast_exit(exit_mode))
 
 
@@ -168,7 +177,7 @@ register_strategy("return_atr_expansion", _return_atr, down=0.01, fast=5, slow=1
 def _ema_stretch(f, n, mode, threshold, atr_n, exit_mode):
     e = f.get("ema", n)
     base = e if mode == "percent" else f.get("atr", atr_n)
-    return f.done((e - C) / F.when(F.abs(base) > 1e-12, base) > threshold, C > e if exit_mode == "ema" else w.fast_exit(exit_mode))
+    return f.done((e - close()) / F.when(F.abs(base) > 1e-12, base) > threshold, close() > e if exit_mode == "ema" else w.fast_exit(exit_mode))
 
 
 register_strategy("ema_stretch_percent", _ema_stretch, n=5, mode="percent", threshold=0.01, atr_n=5, exit_mode="previous_high")
@@ -178,28 +187,28 @@ register_strategy("ema_stretch_atr", _ema_stretch, n=5, mode="atr", threshold=0.
 @_strategy("ema_decline", n=5, threshold=0.005, exit_mode="previous_high")
 def ema_decline(f, n, threshold, exit_mode):
     e = f.name("ema", n)
-    return f.done(w.pct_change(e) <= -threshold, C > F.col(e) if exit_mode == "ema" else w.fast_exit(exit_mode))
+    return f.done(w.pct_change(e) <= -threshold, close() > F.col(e) if exit_mode == "ema" else w.fast_exit(exit_mode))
 
 
 @_strategy("close_below_n_day_low", n=5, exit_mode="previous_high")
 def close_below_low(f, n, exit_mode):
-    return f.done(C < f.get("min", "low", n, 1), w.fast_exit(exit_mode))
+    return f.done(close() < f.get("min", "low", n, 1), w.fast_exit(exit_mode))
 
 
 @_strategy("five_bar_contrarian", n=5, m=5)
 def five_bar_contrarian(f, n, m):
-    return f.done(L < f.get("min", "low", n, 1), H > f.get("max", "high", m, 1))
+    return f.done(low() < f.get("min", "low", n, 1), high() > f.get("max", "high", m, 1))
 
 
 @_strategy("seven_day_pullback", n=7, m=7, trend=200, atr_n=20, stop_atr=2.0)
 def seven_day_pullback(f, n, m, trend, atr_n, stop_atr):
-    return f.done((C < f.get("min", "low", n, 1)) & (C > f.get("sma", "close", trend)), C > f.get("max", "high", m, 1), stop=stop_atr * f.get("atr", atr_n))
+    return f.done((close() < f.get("min", "low", n, 1)) & (close() > f.get("sma", "close", trend)), close() > f.get("max", "high", m, 1), stop=stop_atr * f.get("atr", atr_n))
 
 
 @_strategy("williams_r", n=5, entry=-90, exit_at=-20, trend=200, atr_n=20, stop_atr=2.0)
 def williams(f, n, entry, exit_at, trend, atr_n, stop_atr):
     r = f.get("willr", n)
-    e = (r < entry) & (C > f.get("sma", "close", trend)) if trend else r < entry
+    e = (r < entry) & (close() > f.get("sma", "close", trend)) if trend else r < entry
     return f.done(e, r > exit_at, stop=stop_atr * f.get("atr", atr_n))
 
 
@@ -211,7 +220,7 @@ def williams_macd(f, n, entry, fast, slow, signal, look):
 
 @_strategy("n_bar_breakout", n=5, m=5)
 def breakout(f, n, m):
-    return f.done(H > f.get("max", "high", n, 1), L < f.get("min", "low", m, 1))
+    return f.done(high() > f.get("max", "high", n, 1), low() < f.get("min", "low", m, 1))
 
 
 @_strategy("ma_crossover", fast=50, slow=200)
@@ -230,7 +239,7 @@ def asymmetric(f, entry_fast, entry_slow, exit_fast, exit_slow):
 
 @_strategy("ma_channel", n=10, confirm=5)
 def ma_channel(f, n, confirm):
-    up, down = L > f.get("sma", "high", n), H < f.get("sma", "low", n)
+    up, down = low() > f.get("sma", "high", n), high() < f.get("sma", "low", n)
     f.df = f.df.withColumn("f_up", up.cast("int")).withColumn("f_down", down.cast("int"))
     return f.done(w.rolling_min("f_up", confirm) == 1, w.rolling_min("f_down", confirm) == 1)
 
@@ -238,13 +247,13 @@ def ma_channel(f, n, confirm):
 @_strategy("bollinger_breakout", n=100, entry=3.0, exit_at=1.0, atr_n=20, stop_atr=3.0)
 def bollinger_breakout(f, n, entry, exit_at, atr_n, stop_atr):
     m, s = f.get("sma", "close", n), f.get("sd", "close", n)
-    return f.done(C > m + entry * s, C < m - exit_at * s, stop=stop_atr * f.get("atr", atr_n))
+    return f.done(close() > m + entry * s, close() < m - exit_at * s, stop=stop_atr * f.get("atr", atr_n))
 
 
 @_strategy("percent_flipper", n=50, x=0.20)
 def flipper(f, n, x):
-    up = f.flag("f_up", C >= f.get("min", "low", n, 1) * (1 + x))
-    down = f.flag("f_down", C <= f.get("max", "high", n, 1) * (1 - x))
+    up = f.flag("f_up", close() >= f.get("min", "low", n, 1) * (1 + x))
+    down = f.flag("f_down", close() <= f.get("max", "high", n, 1) * (1 - x))
     edge = lambda c: F.col(c) & ~F.coalesce(w.lag(c), F.lit(False))
     return f.done(edge(up), edge(down))
 
@@ -257,14 +266,14 @@ def triple_screen(f, fast, slow, signal, ema_n):
 
     wk = w.macd(w.indexed(weekly(f.df.select("symbol", "ts", "open", "high", "low", "close", "volume")).withColumnRenamed("week", "ts")), fast, slow, signal)
     f.df = asof(f.df, wk.select("symbol", "ts", F.col("macd_hist").alias("f_week")), "symbol", "ts", "ts", ["f_week"]).drop("source_time")
-    bear = L - f.get("ema", ema_n)
+    bear = low() - f.get("ema", ema_n)
     f.df = f.df.withColumn("f_bear", bear)
-    return f.done((F.col("f_week") > 0) & (F.col("f_bear") < 0) & (F.col("f_bear") > w.lag("f_bear")) & (H > w.lag("high")), F.lit(False))
+    return f.done((F.col("f_week") > 0) & (F.col("f_bear") < 0) & (F.col("f_bear") > w.lag("f_bear")) & (high() > w.lag("high")), F.lit(False))
 
 
 @_strategy("market_structure_atr_pullback", n=63, atr_n=20)
 def structure(f, n, atr_n):
-    return f.done(C > f.get("max", "high", n, 1), w.fast_exit(), atr=f.get("atr", atr_n))
+    return f.done(close() > f.get("max", "high", n, 1), w.fast_exit(), atr=f.get("atr", atr_n))
 
 
 def _candle(f, pattern, atr_n, stop_atr, target_atr):
@@ -283,12 +292,12 @@ register_strategy("piercing_line", _candle, pattern="piercing", atr_n=20, stop_a
 @_strategy("spy_month_end", symbols=("SPY",), trend=200)
 def month_end(f, symbols, trend):
     last = F.trunc("ts", "MM") != F.trunc(w.lead("ts"), "MM")
-    return f.done(F.col("symbol").isin(*symbols) & last & (C > f.get("sma", "close", trend)), w.fast_exit())
+    return f.done(F.col("symbol").isin(*symbols) & last & (close() > f.get("sma", "close", trend)), w.fast_exit())
 
 
 @_strategy("tlt_thursday_dip", symbols=("TLT",), weekday=3, n=5)
 def weekday_dip(f, symbols, weekday, n):
-    return f.done(F.col("symbol").isin(*symbols) & (F.weekday("ts") == weekday) & (C < f.get("sma", "close", n)), w.fast_exit())
+    return f.done(F.col("symbol").isin(*symbols) & (F.weekday("ts") == weekday) & (close() < f.get("sma", "close", n)), w.fast_exit())
 
 
 @_strategy("rotational_momentum", momentum=60, trend=100, n=5)
@@ -298,7 +307,7 @@ def rotational(f, momentum, trend, n):
 
     end = f.flag("f_end", F.trunc("ts", "MM") != F.trunc(w.lead("ts"), "MM"))
     mom = f.name("roc", momentum)
-    ok = f.flag("f_ok", F.col(end) & (C > f.get("sma", "close", trend)) & (F.col(mom) > 0))
+    ok = f.flag("f_ok", F.col(end) & (close() > f.get("sma", "close", trend)) & (F.col(mom) > 0))
     rank = F.row_number().over(Window.partitionBy(F.trunc("ts", "MM"), F.col(ok)).orderBy(F.col(mom).desc_nulls_last(), "symbol"))
     return f.done(F.col(ok) & (rank <= n), F.col(end))
 
@@ -309,7 +318,7 @@ def _trend(f, n):
 
 def _reversion(f, x, entry, exit_at, trend):
     e = _trend(f, trend)
-    return f.done((x <= entry) & (C > e), (x >= exit_at) | (C < e))
+    return f.done((x <= entry) & (close() > e), (x >= exit_at) | (close() < e))
 
 
 @_template("rsi_trend_reversion", n=14, entry=30, exit_at=55, trend=100)
@@ -336,18 +345,18 @@ def t_mfi(f, n, entry, exit_at, trend):
 def t_macd(f, fast, slow, signal, adx_n, adx_min, trend):
     h, e = f.name("macd_hist", fast, slow, signal), _trend(f, trend)
     up, down = f.crossed(h, F.lit(0.0)), f.crossed(h, F.lit(0.0), False)
-    return f.done(up & (f.get("adx", adx_n) >= adx_min) & (f.get("plus_di", adx_n) > f.get("minus_di", adx_n)) & (C > e), down | (C < e))
+    return f.done(up & (f.get("adx", adx_n) >= adx_min) & (f.get("plus_di", adx_n) > f.get("minus_di", adx_n)) & (close() > e), down | (close() < e))
 
 
 @_template("roc_volume_momentum", n=12, x=0.02, vol_n=20, vol_min=1.2, trend=100)
 def t_roc(f, n, x, vol_n, vol_min, trend):
     e, r = _trend(f, trend), f.get("roc", n)
-    return f.done((r >= x) & (f.get("rvol", vol_n) >= vol_min) & (C > e), (r <= 0) | (C < e))
+    return f.done((r >= x) & (f.get("rvol", vol_n) >= vol_min) & (close() > e), (r <= 0) | (close() < e))
 
 
 @_template("bollinger_z_reversion", n=20, entry=-2.0, exit_at=0.0, trend=100)
 def t_z(f, n, entry, exit_at, trend):
-    return _reversion(f, (C - f.get("sma", "close", n)) / F.nullif(f.get("sd", "close", n), F.lit(0.0)), entry, exit_at, trend)
+    return _reversion(f, (close() - f.get("sma", "close", n)) / F.nullif(f.get("sd", "close", n), F.lit(0.0)), entry, exit_at, trend)
 
 
 @_template("squeeze_breakout", n=20, k=2.0, atr_k=1.5, look=20, vol_min=1.2, trend=50)
@@ -355,7 +364,7 @@ def t_squeeze(f, n, k, atr_k, look, vol_min, trend):
     e = _trend(f, trend)
     tight = k * f.get("sd", "close", n) < atr_k * f.get("atr", n)
     f.df = f.df.withColumn("f_tight", tight.cast("int"))
-    return f.done((w.rolling_max("f_tight", 5) == 1) & (C > f.get("max", "high", look, 1)) & (f.get("rvol", n) >= vol_min), C < e)
+    return f.done((w.rolling_max("f_tight", 5) == 1) & (close() > f.get("max", "high", look, 1)) & (f.get("rvol", n) >= vol_min), close() < e)
 
 
 @_template("adx_rsi_pullback", fast=20, slow=50, adx_n=14, adx_min=20, n=3, entry=30, exit_at=60)
@@ -372,19 +381,19 @@ def t_williams(f, n, entry, exit_at, trend):
 @_template("obv_breakout", look=20, n=20, vol_min=1.0, trend=50)
 def t_obv(f, look, n, vol_min, trend):
     e, v = _trend(f, trend), f.name("obv")
-    return f.done((C > f.get("max", "high", look, 1)) & (F.col(v) > f.get("ema_of", v, n, 1)) & (f.get("rvol", n) >= vol_min), C < e)
+    return f.done((close() > f.get("max", "high", look, 1)) & (F.col(v) > f.get("ema_of", v, n, 1)) & (f.get("rvol", n) >= vol_min), close() < e)
 
 
 @_template("rolling_vwap_reclaim", n=20, rsi_n=14, rsi_max=65, trend=100)
 def t_vwap(f, n, rsi_n, rsi_max, trend):
     e, v = _trend(f, trend), f.get("vwap", n)
     up, down = f.crossed("close", v), f.crossed("close", v, False)
-    return f.done(up & (C > e) & (f.get("rsi", rsi_n) <= rsi_max), down | (C < e))
+    return f.done(up & (close() > e) & (f.get("rsi", rsi_n) <= rsi_max), down | (close() < e))
 
 
 @_template("donchian_adx_breakout", n=20, m=10, adx_n=14, adx_min=20)
 def t_donchian(f, n, m, adx_n, adx_min):
-    return f.done((C > f.get("max", "high", n, 1)) & (f.get("adx", adx_n) >= adx_min) & (f.get("plus_di", adx_n) > f.get("minus_di", adx_n)), C < f.get("min", "low", m, 1))
+    return f.done((close() > f.get("max", "high", n, 1)) & (f.get("adx", adx_n) >= adx_min) & (f.get("plus_di", adx_n) > f.get("minus_di", adx_n)), close() < f.get("min", "low", m, 1))
 
 
 @_template("multi_signal_ensemble", fast=20, slow=50, rsi_n=14, adx_n=14, k=4, m=1)
