@@ -36,7 +36,7 @@ def rank_pct(df: DataFrame, value: str, by: str, out: str) -> DataFrame:
     v = Window.partitionBy(by).orderBy(value)
     ties = F.count("*").over(Window.partitionBy(by, value))
     n = F.count(value).over(Window.partitionBy(by))
-    some = df.filter(F.col(value).isNotNull()).withColumn(out, (F.rank().over(v) + (ties - 1) / 2.0) / n)
+    some = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).withColumn(out, (F.rank().over(v) + (ties - 1) / 2.0) / n)
     return some
 
 
