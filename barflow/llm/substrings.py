@@ -178,19 +178,22 @@ def _by_content(parts: list[tuple[int, int, int, bool, bytes]]) -> pa.RecordBatc
 
 
 def _matched(h: pa.Table) -> tuple[list, list]:
-    """Of rows keyed by their bytes: repeated runs (rk, start, windows), and rows met once, with their bytes."""
+    """Of rows keyed by their bytes: repeated runs (rk, start, windows), and one row of each text, with whether it is resolved."""
     rk, start, m, full, text = (h[c].to_pylist() for c in ("rk", "start", "meta", "full", "bytes"))
     count: dict[bytes, int] = {}
     for x in text:
         if x is not None:
             count[x] = count.get(x, 0) + 1
-    done, alone = [], []
+    done, left, sent = [], [], set()
     for a, s, k, f, x in zip(rk, start, m, full, text):
-        if x is None or f != 1 and (f == 2 or count[x] > 1):
+        known = f == 2 or x is not None and count[x] > 1
+        if x is None or known and f != 1:
             done.append((a, s, k))
-        elif f != 2 and count[x] == 1:
-            alone.append((a, s, k, f == 1, x))
-    return done, alone
+        # One of each text goes on: windows of parts cut elsewhere may be equal to its own.
+        if x is not None and x not in sent:
+            sent.add(x)
+            left.append((a, s, k, known or f == 1, x))
+    return done, left
 
 
 _CONTENT = "akey long, heavy boolean, rk long, start long, meta int, full int, bytes binary"
@@ -338,7 +341,7 @@ def _open_runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _resolved(contents: DataFrame) -> DataFrame:
     """Runs of repeated windows (rk, start, n) among open stretches.
 
-    Parts of heavy anchors that are met once as a whole are looked at window by window in a second round.
+    Each different part of a heavy anchor is looked at window by window in a second round.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +351,8 @@ def _resolved(contents: DataFrame) -> DataFrame:
             if not heavy.all():
                 rows += [(*map(int, x), None, None) for x in zip(*_open_runs(t.filter(pa.array(~heavy))))]
             if heavy.any():
-                done, alone = _matched(t.filter(pa.array(heavy)))
-                rows += [(*x, None, None) for x in done] + [x for x in alone if x[2] > 1]
+                done, left = _matched(t.filter(pa.array(heavy)))
+                rows += [(*x, None, None) for x in done] + left
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["rk", "start", "n", "full", "bytes"])
 
