@@ -161,3 +161,20 @@ def monthly_features(bars: DataFrame, momentum: int = 60, trend: int = 100) -> D
     ends = d.filter(F.trunc("ts", "MM") != F.trunc("nxt", "MM"))
     m = Window.partitionBy("symbol").orderBy("ts")
     return ends.select("symbol", "ts", "close", "mom", "trend", (F.lead("entry").over(m) / F.col("entry") - 1).alias("next_return"))
+
+
+def split_ratio(c: Column) -> Column:
+    """factor of a split: "new/old", "new:old" or a number; null if it is none or not positive."""
+    p = F.split(F.trim(c.cast("string")), "[/:]")
+    a, b = F.get(p, F.lit(0)).try_cast("double"), F.coalesce(F.get(p, F.lit(1)).try_cast("double"), F.when(F.size(p) == 1, 1.0))
+    return F.when((a > 0) & (b > 0), a / b)
+
+
+def last_session(sessions: DataFrame, now: Column) -> DataFrame:
+    """One row: the latest session that is over at ``now``."""
+    return sessions.filter(F.col("market_close") <= now).agg(F.max("session_date").alias("session_date"))
+
+
+def with_provenance(bars: DataFrame, provenance: DataFrame, default: str) -> DataFrame:
+    """Source of each bar, carried over from earlier provenance, else ``default``."""
+    return bars.join(provenance.select("symbol", "ts", F.col("source").alias("_s")), ["symbol", "ts"], "left").withColumn("source", F.coalesce("_s", F.lit(default))).drop("_s")

@@ -174,3 +174,20 @@ def attribute_moves(moves: DataFrame, events: DataFrame, days: int = 3) -> DataF
     j = moves.join(events, "symbol").filter((F.col("accepted_at") <= F.col("moved_at")) & (F.datediff("moved_at", "accepted_at") <= days))
     score = F.col("materiality") * F.exp(-F.datediff("moved_at", "accepted_at") / 3.0)
     return j.groupBy("symbol", "moved_at").agg(F.sort_array(F.collect_list(F.struct(score.alias("score"), "accession", "item")), asc=False).alias("c")).select("symbol", "moved_at", F.col("c")[0]["accession"].alias("accession"), F.col("c")[0]["item"].alias("item"), F.col("c")[0]["score"].alias("score"), F.size("c").cast("long").alias("candidates"))
+
+
+def notices_xml(filings: DataFrame) -> DataFrame:
+    """Planned sales of Form 144, repeated blocks once."""
+    x = lambda p: F.xpath("content", F.lit(p))
+    s = "//securitiesInformation"
+    d = filings.select("accession", "symbol", "accepted_at", F.explode(F.arrays_zip(x(f"{s}/noOfUnitsSold/text()").alias("shares"), x(f"{s}/aggregateMarketValue/text()").alias("value"), x(f"{s}/approxSaleDate/text()").alias("date"))).alias("t"))
+    return d.select("accession", "symbol", "accepted_at", safe_float(F.col("t.shares")).alias("shares"), safe_float(F.col("t.value")).alias("value_usd"), F.to_date(parsed_time(F.col("t.date"))).alias("effective_at")).dropDuplicates()
+
+
+def owners_xml(filings: DataFrame) -> DataFrame:
+    """Reporting persons of 13D and 13G with percent and shares by position; a single value serves all."""
+    x = lambda p: F.xpath("content", F.lit(p))
+    d = filings.select("accession", "symbol", "accepted_at", x("//reportingPersonName/text()").alias("name"), x("//reportingPersonCIK/text()").alias("cik"), x("//percentOfClass/text()").alias("percent"), x("//aggregateAmountOwned/text()").alias("shares"))
+    at = lambda c: F.get(c, F.when(F.size(c) == 1, 0).otherwise(F.col("k")))
+    d = d.select("*", F.posexplode("name").alias("k", "person_name"))
+    return d.select("accession", "symbol", "accepted_at", "k", "person_name", clean_cik(at(F.col("cik"))).alias("person_cik"), safe_float(at(F.col("percent"))).alias("percent_owned"), safe_float(at(F.col("shares"))).alias("shares"))

@@ -198,3 +198,23 @@ def rotation(monthly: DataFrame, n: int) -> DataFrame:
     """At each month end the n symbols of largest positive momentum over their trend."""
     rank = Window.partitionBy(F.trunc("ts", "MM")).orderBy(F.col("mom").desc_nulls_last(), "symbol")
     return monthly.filter(F.col("trend") & (F.col("mom") > 0)).withColumn("rank", F.row_number().over(rank).cast("long")).filter(F.col("rank") <= n)
+
+
+def setup_trades(bars: DataFrame, wait: int, stop_atr: float, target_atr: float, max_hold: int) -> DataFrame:
+    """A setup bar, confirmed within ``wait`` bars by a close over its high, then next-open entry with ATR stop and target.
+
+    ``bars`` is indexed and has setup, exit and atr. The latest setup before a bar counts.
+    """
+    before = Window.partitionBy("symbol").orderBy("blk", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    s = F.last(F.when(F.col("setup"), F.struct("rn", "high")), ignorenulls=True).over(before)
+    d = bars.withColumn("_s", s).withColumn("_ok", F.coalesce((F.col("rn") - F.col("_s.rn") <= wait) & (F.col("close") > F.col("_s.high")), F.lit(False)))
+    d = d.withColumn("entry", F.col("_ok") & ~F.coalesce(w.lag("_ok"), F.lit(False))).withColumn("stop", stop_atr * F.col("atr")).withColumn("target", target_atr * F.col("atr"))
+    return from_signals(d.drop("_s", "_ok"), max_hold, "stop", "target")
+
+
+def schedule(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """Flags on the bar before each execution; a bar that would carry an entry and an exit is marked."""
+    prev = bars.select("symbol", "ts", F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts")).alias("at"))
+    e = trades.select("symbol", F.col("entry_time").alias("ts"), F.lit("entry").alias("kind")).unionByName(trades.select("symbol", F.col("exit_time").alias("ts"), F.lit("exit").alias("kind")))
+    d = e.join(prev, ["symbol", "ts"]).filter("at IS NOT NULL")
+    return d.groupBy("symbol", "at").agg(F.sum((F.col("kind") == "entry").cast("long")).alias("entries"), F.sum((F.col("kind") == "exit").cast("long")).alias("exits")).withColumn("collision", (F.col("entries") > 0) & (F.col("exits") > 0))

@@ -116,3 +116,15 @@ def classified_against(df: DataFrame, base: str, score: str, by: list[str], marg
     b = df.filter(F.col("variant") == base).select(*by, F.col(score).alias("_b"))
     d = F.col(score) - F.col("_b")
     return df.filter(F.col("variant") != base).join(b, by).withColumn("verdict", F.when(d > margin, "IMPROVES").when(d < -margin, "HURTS").otherwise("NEUTRAL")).drop("_b")
+
+
+def registry_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Two registries as one, with how often each key stands in it."""
+    d = a.withColumn("origin", F.lit("a")).unionByName(b.withColumn("origin", F.lit("b")), allowMissingColumns=True)
+    return d.withColumn("copies", F.count("*").over(Window.partitionBy(key)))
+
+
+def audit_gates(folds: DataFrame, least: int = 3) -> DataFrame:
+    """Recorded fold results against buy-and-hold: folds, share that wins, worst drawdown, gate."""
+    g = folds.groupBy("key").agg(F.count("*").alias("folds"), F.avg((F.col("total_return") > F.col("buy_hold_return")).cast("double")).alias("beats"), F.min("max_drawdown").alias("worst_drawdown"), F.sum("trades").alias("trades"))
+    return g.withColumn("passed", (F.col("folds") >= least) & (F.col("beats") >= 0.5) & (F.col("worst_drawdown") > -0.5) & (F.col("trades") > 0))

@@ -148,3 +148,78 @@ def delta(spark, sf_dir):
 def once(spark, sf_dir):
     """X03."""
     return _streamed(spark, sf_dir, lambda t: stream.once(t, ["event_id"]), "once").agg(F.count("*").alias("n"))
+
+
+@query("f_split_ratio", "SELECT p_partkey, round(CASE WHEN p_size % 3 = 0 THEN p_size / 2.0 WHEN p_size % 3 = 1 THEN p_size END, 6) AS factor FROM part")
+def ratios(spark, sf_dir):
+    """sizes as ratio texts."""
+    from ..operators.bars import split_ratio
+
+    p_ = b.table(spark, sf_dir, "part")
+    s = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(s, F.lit("/2"))).when(F.col("p_size") % 3 == 1, s).otherwise("none")
+    return shown(p_.select("p_partkey", split_ratio(text).alias("factor")), ["p_partkey"], ["factor"])
+
+
+@query("j_last_session", "WITH " + b.SQL["sessions"] + " SELECT CAST(max(session_date) AS VARCHAR) AS session_date FROM sessions WHERE market_close <= 1705276800")
+def last_session(spark, sf_dir):
+    """J18 at 2024-01-15."""
+    from ..operators.bars import last_session as at
+
+    return shown(at(b.sessions(spark, sf_dir), F.lit("2024-01-15").cast("timestamp")), ["session_date"], [])
+
+
+@query("u_provenance", b.with_sql("providers") + ", " + "m AS (SELECT symbol, ts, arg_min(source, priority) AS source FROM pb GROUP BY 1, 2) SELECT source, count(*) AS bars FROM (SELECT coalesce(CASE WHEN source <> 'R' THEN source END, 'landed') AS source FROM m) GROUP BY 1")
+def provenance(spark, sf_dir):
+    """Bars that no A or N row stands behind are called landed."""
+    from ..operators import bars as ob
+
+    q = ob.provider_merge(b.provider_bars(spark, sf_dir))
+    return ob.with_provenance(q.drop("source"), q.filter("source <> 'R'"), "landed").groupBy("source").agg(F.count("*").alias("bars"))
+
+
+@query("s_screen", "SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, round(p_retailprice, 6) AS p_retailprice FROM part WHERE p_size >= 10 AND p_retailprice < 1500 ORDER BY p_retailprice DESC, p_partkey, p_size LIMIT 25")
+def screen(spark, sf_dir):
+    """A top-25 report."""
+    p_ = b.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
+    return shown(files.screened(p_, [("p_size", ">=", 10), ("p_retailprice", "<", 1500.0)], "p_retailprice", 25), ["p_partkey"], ["p_size", "p_retailprice"])
+
+
+@query("k_setup")
+def setups(spark, sf_dir):
+    """Low RSI as setup."""
+    from ..operators import trades as t
+
+    d = w.atr(w.rsi(w.indexed(b.daily_bars(spark, sf_dir)), "rsi", 2, rule="fifty"), "atr", 14)
+    d = d.withColumn("setup", F.coalesce(F.col("rsi") < 10, F.lit(False))).withColumn("exit", F.coalesce(F.col("rsi") > 70, F.lit(False)))
+    d = t.setup_trades(d, 5, 2.0, 3.0, 20)
+    return shown(d.withColumn("exit_time", F.col("exit_time").cast("string")), ["symbol", "entry_time"], ["exit_time", "entry_price", "exit_price", "gross_return", "duration_bars", "forced"])
+
+
+@query("k_schedule")
+def scheduled(spark, sf_dir):
+    """Flags of the breakout trades."""
+    from ..operators import signals as s
+    from ..operators import trades as t
+
+    d = b.daily_bars(spark, sf_dir)
+    return shown(t.schedule(t.from_signals(s.signals(d, "n_bar_breakout"), 20), d), ["symbol", "at"], ["entries", "exits", "collision"])
+
+
+@query("v_registry_union", "SELECT k, origin, CAST(count(*) OVER (PARTITION BY k) AS BIGINT) AS copies FROM (SELECT s_nationkey % 7 AS k, 'a' AS origin FROM supplier UNION ALL SELECT c_nationkey % 9, 'b' FROM customer)")
+def union(spark, sf_dir):
+    """V16."""
+    from ..operators.validation import registry_union
+
+    k = lambda t_, c, n: b.table(spark, sf_dir, t_).select((F.col(c) % n).alias("k"))
+    return registry_union(k("supplier", "s_nationkey", 7), k("customer", "c_nationkey", 9), "k")
+
+
+@query("v_audit_gates", b.with_sql("trades") + ", f AS (SELECT symbol AS key, year(exit_time) AS fold, product(1 + 0.01 * gross_return) - 1 AS r, sum(0.01 * gross_return) * 0.5 AS h, min(0.01 * gross_return) AS dd, count(*) AS n FROM trades GROUP BY 1, 2), g AS (SELECT key, count(*) AS folds, avg(CASE WHEN r > h THEN 1.0 ELSE 0 END) AS beats, min(dd) AS w, sum(n) AS t FROM f GROUP BY 1) SELECT key, folds, round(beats, 6) AS beats, CAST(folds >= 3 AND beats >= 0.5 AND w > -0.5 AND t > 0 AS BIGINT) AS passed FROM g")
+def gates(spark, sf_dir):
+    """V19, Q26."""
+    from ..operators.validation import audit_gates
+
+    t_ = b.trades(spark, sf_dir).withColumn("g", 0.01 * F.col("gross_return"))
+    f = t_.groupBy(F.col("symbol").alias("key"), F.year("exit_time").alias("fold")).agg((F.product(1 + F.col("g")) - 1).alias("total_return"), (F.sum("g") * 0.5).alias("buy_hold_return"), F.min("g").alias("max_drawdown"), F.count("*").alias("trades"))
+    return shown(audit_gates(f), ["key"], ["folds", "beats", "passed"])

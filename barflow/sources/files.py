@@ -93,3 +93,16 @@ def file_index(df: DataFrame) -> DataFrame:
     p = df.select(F.input_file_name().alias("path")).groupBy("path").agg(F.count("*").alias("rows"))
     part = lambda k: F.nullif(F.regexp_extract("path", rf"/{k}=([^/]+)/", 1), F.lit(""))
     return p.select("path", "rows", part("provider").alias("provider"), part("symbol").alias("symbol"), part("timeframe").alias("timeframe"))
+
+
+def screened(df: DataFrame, queries: list[tuple[str, str, float]], sort: str, most: int) -> DataFrame:
+    """Rows that pass (field, operator, value) tests, the ``most`` first by ``sort``: a top-k report."""
+    ops = {">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, "=": lambda c, v: c == v}
+    for f, op, v in queries:
+        df = df.filter(ops[op](F.col(f), F.lit(v)))
+    return df.orderBy(F.col(sort).desc(), *[c for c in df.columns if c != sort]).limit(most)
+
+
+def payload_bars(df: DataFrame) -> DataFrame:
+    """Landed bars with lower-case names of one word; the rest is canonicalisation."""
+    return df.withColumnsRenamed({c: c.lower().strip().replace(" ", "_") for c in df.columns})
