@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,6 +41,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(task):
+    """A task that gives freed memory back to the machine when it ends; workers live on between tasks."""
+
+    def tidied(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return tidied
+
+
 def local_path(uri: str) -> str:
     """The path of a file: URI; other schemes are left to pyarrow's file systems."""
     return uri[len("file:"):].replace("//", "", 1) if uri.startswith("file://") else uri.removeprefix("file:")

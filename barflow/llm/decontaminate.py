@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, steps, utf8_column
+from .common import small_batches, steps, tidy, utf8_column
 from .shingles import shingle_hashes, words
 
 #: Least words of a tile, and least share of an item's words under tiles.
@@ -149,7 +149,7 @@ def _block(docs: DataFrame, items: list, least: int, coverage: float) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64()] + [pa.int64()] * 3)],
                                              names=["doc_id", "item_id", "coverage", "n_tiles", "matched_words", "item_words"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(task), SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, small_batches, written
+from .common import runs, small_batches, tidy, written
 from .graph import components
 
 TABLES, PROBES, LEAST_COSINE = 6, 2, 0.93
@@ -77,7 +77,7 @@ def _dealt(reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(t.column(c).take(row) for c in (0, 1, 2, 3, 4)), *(pa.array(x.reshape(-1)) for x in (table, first, second))],
                                                  names=["id", "label", "v", "d", "mult", "t", "x1", "x2"])
 
-    return reps.select("id", "label", "v", "d", "mult").mapInArrow(task, "id long, label long, v binary, d long, mult long, t long, x1 long, x2 long")
+    return reps.select("id", "label", "v", "d", "mult").mapInArrow(tidy(task), "id long, label long, v binary, d long, mult long, t long, x1 long, x2 long")
 
 
 def _links_in(ids, mult, x, code, t, x1, x2, side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
                                              names=["id", "label", "v", "d", "mult"])
 
     reps = (v.filter("ok").join(classes, ["h1", "h2"]).filter("vec_id = id").dropDuplicates(["id", "h1", "h2"])
-            .select("id", "label", "e", "mult").mapInArrow(packed, "id long, label long, v binary, d long, mult long"))
+            .select("id", "label", "e", "mult").mapInArrow(tidy(packed), "id long, label long, v binary, d long, mult long"))
     reps = written(reps, "embedding-reps")
     dealt = _dealt(reps).withColumn("key", F.xxhash64("label", "d", "t", "x1", "x2"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
@@ -175,7 +175,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "links", "root"])
 
     found = written(rows.select("g", "id", "mult", "t", "x1", "x2", "d", "side", "v").repartition("g").sortWithinPartitions("g")
-                    .mapInArrow(compare, "id long, links long, root long"), "embedding-links")
+                    .mapInArrow(tidy(compare), "id long, links long, root long"), "embedding-links")
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = (classes.join(links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")

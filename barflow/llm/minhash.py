@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, small_batches, utf8_column, written
+from .common import runs, small_batches, tidy, utf8_column, written
 from .graph import components
 from .shingles import mix, sets
 
@@ -86,7 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
                 pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))],
                 names=["doc_id", "n_shingles", "h1", "h2", "sig", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, _FEATURES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(task), _FEATURES)
 
 
 def _bytes_matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -108,7 +108,7 @@ def _likely(pairs: DataFrame, feats: DataFrame) -> DataFrame:
             keep = e >= LEAST_ESTIMATE
             yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep)), t.column(1).filter(pa.array(keep)), pa.array(e[keep])], names=["a", "b", "estimate"])
 
-    return sized.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long, estimate double")
+    return sized.select("a", "b", "sa", "sb").mapInArrow(tidy(task), "a long, b long, estimate double")
 
 
 def _confirmed(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
                 keep[k] = 100 * inter >= SHARE * (len(both) - inter)
             yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep)), t.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    return full.mapInArrow(task, "a long, b long")
+    return full.mapInArrow(tidy(task), "a long, b long")
 
 
 def _shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def _shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([_top_bytes(mix(signature(s, more))) for s in found], pa.binary())],
                                                  names=["doc_id", "n", "s", "sig"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(task, "doc_id long, n long, s binary, sig binary").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(tidy(task), "doc_id long, n long, s binary, sig binary").dropDuplicates(["doc_id"])
 
 
 def _inner_pairs(rows: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _inner_pairs(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return (dealt.select("g", "id", "component", "n", "side", "sig").repartition("g").sortWithinPartitions("g")
-            .mapInArrow(task, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            .mapInArrow(tidy(task), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

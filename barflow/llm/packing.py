@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches, utf8_column
+from .common import small_batches, tidy, utf8_column
 from .tokens import word_ids
 
 #: Ids that are packed together at most; bounds a task's memory and leaves at most a few open windows each.
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048) -> DataFrame:
             yield from _packed(held, width, base)[0]
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(task), SCHEMA)
 
 
 def _cuts(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, steps, utf8_column
+from .common import small_batches, steps, tidy, utf8_column
 from .labelled import learnable, remainder
 
 #: Rows to learn from at most: labelled ones, and documents without a label.
@@ -37,7 +37,7 @@ _place: dict[bytes, int] = {}
 def _shape_place(shape: bytes) -> int:
     got = _place.get(shape)
     if got is None:
-        if len(_place) > 200_000:
+        if len(_place) > 20_000:
             _place.clear()
         got = _place[shape] = zlib.crc32(shape[:24]) % SHAPES
     return got
@@ -150,7 +150,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, n
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "label", "v"])
 
     got = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-           .mapInArrow(task, "doc_id long, label int, v binary").toArrow())
+           .mapInArrow(tidy(task), "doc_id long, label int, v binary").toArrow())
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float16).reshape(-1, SHAPES + DENSE)[order]
     return x, got["label"].to_numpy()[order], got["doc_id"].to_numpy()[order]
@@ -193,6 +193,6 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD,
             s = _sigmoid(net.forward(x)[1]).astype(np.float64) if net else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(s), *b.columns[2:]], names=["doc_id", "score", *[f"kept_{k}" for k in range(len(keep))]])
 
-    out = source.mapInArrow(task, schema)
+    out = source.mapInArrow(tidy(task), schema)
     return out.select("doc_id", F.coalesce(remainder("doc_id", mod) == held, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)])

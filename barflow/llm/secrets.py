@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import small_batches, texts, tidy
 
 #: Order of kinds at equal starts; ``lexed`` spans are the method's own.
 KINDS = ("assign", "access", "hex", "lexed")
@@ -141,5 +141,5 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     source = docs.select("doc_id", "text", *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
     kept = "".join(f", kept_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    out = source.mapInArrow(task, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string" + kept)
+    out = source.mapInArrow(tidy(task), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string" + kept)
     return out.withColumnsRenamed({f"kept_{k}": c for k, c in enumerate(keep)})

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, small_batches, steps, utf8_column, written
+from .common import runs, small_batches, steps, tidy, utf8_column, written
 from .shingles import mix, part_hashes, prefix_hashes
 
 LENGTH, GRAM = 200, 48
@@ -109,7 +109,7 @@ def _occurrences(docs: DataFrame, heavy: list[int]) -> DataFrame:
                     pa.array(start - po[row] + before), pa.array((n | (rel << 16)).astype(np.int32)), pa.array(state.astype(np.int32))],
                     names=["akey", "salt", "dig", "rk", "start", "meta", "state"])
 
-    return docs.select("rk", "text").mapInArrow(task, _OCC)
+    return docs.select("rk", "text").mapInArrow(tidy(task), _OCC)
 
 
 def _heavy(docs: DataFrame) -> list[int]:
@@ -125,7 +125,7 @@ def _heavy(docs: DataFrame) -> list[int]:
                 yield pa.RecordBatch.from_arrays([pa.array(stretches(part, po)[4].view(np.int64))], names=["akey"])
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = written(docs.filter(F.pmod(F.xxhash64("rk"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(task, "akey long").groupBy("akey").agg(F.count("*").alias("c")), "anchor-sample")
+    counts = written(docs.filter(F.pmod(F.xxhash64("rk"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(tidy(task), "akey long").groupBy("akey").agg(F.count("*").alias("c")), "anchor-sample")
     total = counts.agg(F.sum("c")).first()[0] or 0
     return [r["akey"] for r in counts.filter(F.col("c") >= max(LEAST_HEAVY, total / (16 * parts))).select("akey").limit(16 * parts).collect()]
 
@@ -151,7 +151,7 @@ def _grouped(occ: DataFrame) -> DataFrame:
             keep = np.flatnonzero(full | opened)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (akey, rk, start, meta, full, opened, salt > 0)], names=["akey", "rk", "start", "meta", "full", "opened", "heavy"])
 
-    return occ.repartition("akey", "salt").sortWithinPartitions("akey", "salt", "dig").mapInArrow(task, "akey long, rk long, start long, meta int, full boolean, opened boolean, heavy boolean")
+    return occ.repartition("akey", "salt").sortWithinPartitions("akey", "salt", "dig").mapInArrow(tidy(task), "akey long, rk long, start long, meta int, full boolean, opened boolean, heavy boolean")
 
 
 #: Windows that a heavy anchor's stretch is dealt out by, before single ones.
@@ -229,7 +229,7 @@ def _contents(docs: DataFrame, opened: DataFrame) -> DataFrame:
                     parts.append((int(rk[row[k]]), int(start[k]) + w, m, bool(full[k]), whole[int(at[k]) + w:int(at[k]) + w + m + LENGTH - 1]))
             yield _by_content(parts)
 
-    return joined.mapInArrow(task, _CONTENT)
+    return joined.mapInArrow(tidy(task), _CONTENT)
 
 
 class SuffixSorter:
@@ -366,8 +366,8 @@ def _resolved(contents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rk", "start", "n"])
 
     key = lambda df: df.repartition("akey").sortWithinPartitions("akey")
-    first = written(key(contents).mapInArrow(task, "rk long, start long, n long, full boolean, bytes binary"), "open-runs")
-    again = key(first.filter("bytes IS NOT NULL").mapInArrow(windows, _CONTENT)).mapInArrow(single, "rk long, start long, n long")
+    first = written(key(contents).mapInArrow(tidy(task), "rk long, start long, n long, full boolean, bytes binary"), "open-runs")
+    again = key(first.filter("bytes IS NOT NULL").mapInArrow(tidy(windows), _CONTENT)).mapInArrow(tidy(single), "rk long, start long, n long")
     return first.filter("bytes IS NULL").select("rk", "start", "n").unionByName(again)
 
 
@@ -411,4 +411,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return d.join(found, "rk", "left").select("doc_id", "text", "x").mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return d.join(found, "rk", "left").select("doc_id", "text", "x").mapInArrow(tidy(task), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_uri, shared_dir, small_batches, utf8_column
+from .common import open_uri, shared_dir, small_batches, tidy, utf8_column
 from .tokens import END_ID, word_ids
 
 MAGIC = b"RPAIR001"
@@ -200,7 +200,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             yield flush()
 
     manifest = (docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-                .sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(task, MANIFEST))
+                .sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(tidy(task), MANIFEST))
     path = f"{folder}/manifest"
     manifest.write.parquet(path)
     return spark.read.schema(manifest.schema).parquet(path)
@@ -232,4 +232,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         pa.array([raw[4 * x - zero:4 * y - zero] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"])
 
-    return files.repartition(n).mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(n).mapInArrow(tidy(task), "doc_id long, start long, n_tokens long, ids binary")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import texts, tidy, written
 from .labelled import learnable, remainder
 
 #: Labelled rows to learn from at most, terms at most, fewest toxic examples of a term and their least share.
@@ -117,7 +117,7 @@ def choose_terms(sample: DataFrame) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([bad[t] for t in k], pa.int64()), pa.array([good[t] for t in k], pa.int64())], names=["term", "bad", "good"])
 
     one = sample.groupBy(F.xxhash64("text").alias("h"), F.length("text")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    counts = (one.select("label", "text").mapInArrow(task, "term string, bad long, good long").groupBy("term")
+    counts = (one.select("label", "text").mapInArrow(tidy(task), "term string, bad long, good long").groupBy("term")
               .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     rows = (counts.filter((F.col("bad") >= LEAST_TOXIC) & (F.col("bad") + 0.1 >= PURITY * (F.col("bad") + F.col("good") + 1)))
             .orderBy(F.desc("bad"), "term").limit(MOST_TERMS).collect())
@@ -156,9 +156,9 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD,
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "df"])
 
-    vectors = written(docs.select("doc_id", "text").mapInArrow(count, "doc_id long, counts binary"), "toxicity-counts")
+    vectors = written(docs.select("doc_id", "text").mapInArrow(tidy(count), "doc_id long, counts binary"), "toxicity-counts")
     df = np.zeros(len(terms) + 1)
-    for r in vectors.select("counts").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in vectors.select("counts").mapInArrow(tidy(frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r["term"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     examples = vectors.join(F.broadcast(known), "doc_id").toArrow()  # at most labelled_rows
@@ -190,6 +190,6 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(votes, pa.list_(pa.int64()))],
                                              names=["doc_id", "score", "evidence_ids", "evidence_cosines", "evidence_labels"])
 
-    out = vectors.mapInArrow(vote, "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>, evidence_labels array<long>")
+    out = vectors.mapInArrow(tidy(vote), "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>, evidence_labels array<long>")
     return out.select("doc_id", F.coalesce(remainder("doc_id", mod) == held, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence_ids", "evidence_cosines", "evidence_labels")
