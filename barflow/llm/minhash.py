@@ -145,8 +145,9 @@ def _shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _inner_pairs(rows: DataFrame) -> DataFrame:
-    """Likely pairs of different components within buckets: rows are (key, m, id, component, n, sig).
+    """Likely pairs of different components within buckets: rows are (key, m, id, component, n, sig, bands).
 
+    A pair that shares several buckets is told by that of its first common band alone.
     A large bucket is cut into blocks of about BLOCK members, and each pair of blocks is a group of
     its own, so no task holds a whole bucket.
     """
@@ -158,8 +159,9 @@ def _inner_pairs(rows: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "g", 4096):
-            g, ids, comp, n, side = (t[c].to_numpy() for c in ("g", "id", "component", "n", "side"))
+            g, key, ids, comp, n, side = (t[c].to_numpy() for c in ("g", "key", "id", "component", "n", "side"))
             sig = _bytes_matrix(t["sig"])
+            bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(g), BANDS)
             cuts = [*np.flatnonzero(np.diff(g, prepend=g[0] - 1)).tolist(), len(g)]
             out_a, out_b = [], []
             for x, z in zip(cuts, cuts[1:]):
@@ -168,11 +170,12 @@ def _inner_pairs(rows: DataFrame) -> DataFrame:
                     o = o[(comp[o] > comp[k]) & ((side[k] == 2) | (side[o] != side[k])) & (100 * np.minimum(n[o], n[k]) >= SHARE * np.maximum(n[o], n[k]))]
                     if len(o):
                         o = o[_estimate((sig[o] == sig[k]).mean(1)) >= LEAST_CLOSE_ESTIMATE]
+                        o = o[bands[k][(bands[o] == bands[k]).argmax(1)] == key[k]]
                         out_a += [ids[k]] * len(o)
                         out_b += ids[o].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return (dealt.select("g", "id", "component", "n", "side", "sig").repartition("g").sortWithinPartitions("g")
+    return (dealt.select("g", "key", "id", "component", "n", "side", "sig", "bands").repartition("g").sortWithinPartitions("g")
             .mapInArrow(tidy(task), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
@@ -197,6 +200,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = buckets.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     slim = reps.select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"])
+    banded = reps.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"])
     likely = written(_likely(stars, slim), "likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(buckets.filter("m > 2").select(F.col("id").alias("doc_id"))).distinct()
     shingles = written(_shingle_table(docs, ids), "shingles")
@@ -210,7 +214,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Then buckets whose members still lie in different components, compared within themselves.
     open_rows = label(buckets.filter("m > 2").select("key", "m", "id"), "id").withColumnRenamed("c_id", "component")
     open_keys = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    inner = _inner_pairs(open_rows.join(open_keys, "key").join(shingles.select(F.col("doc_id").alias("id"), "n", "sig"), "id"))
+    inner = _inner_pairs(open_rows.join(open_keys, "key").join(shingles.select(F.col("doc_id").alias("id"), "n", "sig"), "id").join(banded, "id"))
     more = written(_confirmed(rest.unionByName(inner).distinct(), shingles), "links")
     # Components of components, and of copies with their first.
     merged = components(links.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
