@@ -171,7 +171,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     folder = folder or shared_dir(spark, "token-files")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, shard = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
+        table, part, shard = word_ids(tokenizer_path, 1 << 21), TaskContext.get().partitionId(), 0
         held: list = []
         n = 0
 

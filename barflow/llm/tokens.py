@@ -234,8 +234,8 @@ class WordIds:
 _KNOWN: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int = 1 << 19) -> WordIds:
     """The worker's own table for a tokenizer file; kept between tasks."""
-    if path not in _KNOWN:
-        _KNOWN[path] = WordIds(path)
+    if path not in _KNOWN or _KNOWN[path].most < most:
+        _KNOWN[path] = WordIds(path, most)
     return _KNOWN[path]
