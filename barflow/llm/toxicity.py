@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine (operator 3).
 
-Examples stand in an inverted index cut into blocks; a block keeps each term's largest weight, which
-bounds its cosines. Blocks are searched by falling bound until none can hold a nearer example, so
-the k nearest are exact. Their distance-weighted votes, shrunk to the base rate, give the score.
+All terms of the labelled examples are indexed. Examples stand in blocks; a block keeps each common
+term's largest weight, which bounds its cosines, and only blocks that may hold a nearer example are
+searched, so the k nearest are exact. Their distance-weighted votes, shrunk to the base rate, give
+the score. Terms that stand nearly alone in toxic examples weigh BOOST times their TF-IDF.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, tidy, written
+from .common import small_batches, texts, tidy, written
 from .labelled import learnable, remainder
 
-#: Labelled rows to learn from at most, terms at most, fewest toxic examples of a term and their least share.
-LABELLED_ROWS, MOST_TERMS, LEAST_TOXIC, PURITY = 20_000, 20_000, 5, 0.8
+#: Labelled rows to learn from at most; fewest toxic examples of a telling term, their least share, its boost.
+LABELLED_ROWS, LEAST_TOXIC, PURITY, BOOST = 20_000, 5, 0.8, 4.0
 NEIGHBOURS, BLOCK, PULL = 25, 64, 1.0
+#: Terms in most examples, whose weights stand in a full matrix; queries searched together; blocks searched first.
+COMMON, TOGETHER, FIRST = 1024, 256, 8
 MOD, HELD = 5, 0
 _WORD = re.compile(r"\w+")
 _PREFIXES = (5, 7)
@@ -33,158 +36,248 @@ def terms_of(word: str) -> list[str]:
 
 
 class TermCounter:
-    """Counts chosen terms in texts; each word's terms are looked up once and remembered."""
+    """Counts known terms in texts; each word's terms are looked up once and remembered."""
 
-    def __init__(self, terms: dict[str, int], most: int = 500_000):
-        self.terms, self.known, self.most = terms, {}, most
+    def __init__(self, terms: pa.Array, most: int = 200_000):
+        self.terms, self.most, self.places, self.known = terms, most, None, {}
 
-    def count(self, text: str) -> dict[int, int]:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"places": None, "known": {}}
+
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text's terms, rising, and their counts."""
+        if self.places is None:
+            self.places = {t: k for k, t in enumerate(self.terms.to_pylist())}
         out: dict[int, int] = {}
         for w, c in Counter(_WORD.findall(text.lower())).items():
             got = self.known.get(w)
             if got is None:
-                got = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
+                got = tuple(self.places[t] for t in terms_of(w) if t in self.places)
                 if len(self.known) >= self.most:
                     self.known.clear()
                 self.known[w] = got
             for t in got:
                 out[t] = out.get(t, 0) + c
-        return out
+        t, c = np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
+        order = np.argsort(t)
+        return t[order], c[order]
+
+
+def _packed(t: np.ndarray, c: np.ndarray) -> bytes:
+    """Steps between places, then counts."""
+    return np.concatenate([np.diff(t, prepend=np.int32(0)), c]).astype("<i4").tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, c = np.frombuffer(raw, "<i4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), c
 
 
 class BlockMaxIndex:
-    """Examples' unit vectors in blocks of BLOCK, with each term's largest weight in each block."""
+    """Examples' unit vectors in blocks of BLOCK, with each common term's largest weight in each block.
+
+    The search structures are made at the first search.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, n_terms: int):
         # Examples with the same leading term stand together: bounds get tighter.
         order = sorted(range(len(vectors)), key=lambda k: (int(vectors[k][0][np.argmax(vectors[k][1])]), int(ids[k])))
         self.labels, self.ids, self.n_terms = labels[order], ids[order], n_terms
-        self.blocks = []
-        bound: dict[int, list[tuple[int, float]]] = {}
-        for at in range(0, len(order), BLOCK):
-            part = [vectors[k] for k in order[at:at + BLOCK]]
-            t, w = np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
-            ptr = np.cumsum([0] + [len(x[0]) for x in part])[:-1]
-            self.blocks.append((at, t, w, ptr))
-            for term in np.unique(t):
-                bound.setdefault(int(term), []).append((len(self.blocks) - 1, float(w[t == term].max())))
-        self.bound = {t: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for t, v in bound.items()}
+        self.ptr = np.cumsum([0] + [len(vectors[k][0]) for k in order])
+        self.terms = np.concatenate([vectors[k][0] for k in order] or [np.zeros(0)]).astype(np.int32)
+        self.weights = np.concatenate([vectors[k][1] for k in order] or [np.zeros(0)])
+        self.opened = None
+
+    def _open(self) -> tuple:
+        """Places of common terms, their matrix, its largest weights by block; postings of the other terms."""
+        if self.opened is None:
+            n = -(-len(self.labels) // BLOCK) * BLOCK
+            held = np.bincount(self.terms, minlength=self.n_terms)
+            common = np.argsort(-held, kind="stable")[:COMMON]
+            place = np.full(self.n_terms, -1, np.int32)
+            place[common] = np.arange(len(common))
+            row = np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(self.ptr))
+            at = place[self.terms]
+            matrix = np.zeros((n, len(common)), np.float32)
+            matrix[row[at >= 0], at[at >= 0]] = self.weights[at >= 0]
+            rest = np.flatnonzero(at < 0)
+            rest = rest[np.argsort(self.terms[rest], kind="stable")]
+            held[common] = 0
+            start = np.concatenate([[0], np.cumsum(held)])
+            self.opened = (place, matrix, matrix.reshape(-1, BLOCK, len(common)).max(1), start, row[rest], self.weights[rest].astype(np.float32), np.zeros(self.n_terms))
+        return self.opened
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a cosine over 0; ties by place."""
-        best = np.zeros(len(self.blocks))
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            if t in self.bound:
-                b, m = self.bound[t]
-                best[b] += w * m
-        dense = np.zeros(self.n_terms)
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for each of the queries."""
+        if not len(self.labels):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        return [x for i in range(0, len(queries), TOGETHER) for x in self._search(queries[i:i + TOGETHER], k)]
+
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        place, matrix, largest, start, rows, weights, _ = self._open()
+        n, blocks = len(matrix), len(largest)
+        cos = np.zeros((len(queries), n), np.float32)
+        q = np.zeros((len(queries), matrix.shape[1]), np.float32)
+        for i, (t, w) in enumerate(queries):
+            at = place[t]
+            q[i, at[at >= 0]] = w[at >= 0]
+            t, w = t[at < 0], w[at < 0]
+            size = start[t + 1] - start[t]
+            post = np.repeat(start[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            cos[i] = np.bincount(rows[post], weights[post] * np.repeat(w, size), n)
+        # A block's bound: its largest sum over the other terms, and its largest weights of common ones.
+        by_block = cos.reshape(len(queries), blocks, BLOCK)
+        bound = by_block.max(2) + q @ largest.T
+        first = min(FIRST, blocks)
+        done = np.zeros(bound.shape, bool)
+        np.put_along_axis(done, np.argpartition(-bound, first - 1, 1)[:, :first], True, 1)
+        self._finish(by_block, q, matrix, done)
+        more = ~done & (bound >= self._kth(np.where(done[:, :, None], by_block, 0), k)[:, None] - 1e-5) & (bound > 0)
+        self._finish(by_block, q, matrix, more)
+        by_block[~(done | more)] = 0
+        least = np.maximum(self._kth(by_block, k) - 1e-5, 0)
+        return [self._exact(np.flatnonzero((cos[i] > 0) & (cos[i] >= least[i])), *queries[i], k) for i in range(len(queries))]
+
+    @staticmethod
+    def _finish(by_block: np.ndarray, q: np.ndarray, matrix: np.ndarray, which: np.ndarray) -> None:
+        for b in np.flatnonzero(which.any(0)):
+            i = np.flatnonzero(which[:, b])
+            by_block[i, b] += q[i] @ matrix[b * BLOCK:(b + 1) * BLOCK].T
+
+    @staticmethod
+    def _kth(by_block: np.ndarray, k: int) -> np.ndarray:
+        flat = by_block.reshape(len(by_block), -1)
+        return np.partition(flat, flat.shape[1] - k, 1)[:, flat.shape[1] - k] if flat.shape[1] >= k else np.zeros(len(flat), np.float32)
+
+    def _exact(self, where: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of the examples that may be among the nearest, in full precision."""
+        if not len(where):
+            return np.zeros(0, np.int64), np.zeros(0)
+        dense = self._open()[-1]
         dense[terms] = weights
-        where, cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-best, kind="stable"):
-            if best[b] <= 0 or len(cos) >= k and best[b] < cos[k - 1] - 1e-12:
-                break
-            at, t, w, ptr = self.blocks[b]
-            c = np.add.reduceat(dense[t] * w, ptr)
-            i = np.flatnonzero(c > 0)
-            where, cos = np.concatenate([where, at + i]), np.concatenate([cos, c[i]])
-            order = np.lexsort((where, -np.round(cos, 12)))[:k]
-            where, cos = where[order], cos[order]
-        return where, cos
-
-
-def _unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = np.array(sorted(counts), np.int64)
-    w = np.array([1 + np.log(counts[x]) for x in t.tolist()]) * idf[t] if len(t) else np.zeros(0)
+        size = self.ptr[where + 1] - self.ptr[where]
+        begin = np.cumsum(size) - size
+        at = np.repeat(self.ptr[where] - begin, size) + np.arange(size.sum())
+        cos = np.add.reduceat(dense[self.terms[at]] * self.weights[at], begin)
+        dense[terms] = 0
+        order = np.lexsort((where, -np.round(cos, 12)))[:k]
+        return where[order], cos[order]
+
+
+def _unit(t: np.ndarray, c: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(c)) * weight[t]
     size = np.sqrt((w * w).sum())
     return t, w / size if size else w
 
 
-def choose_terms(sample: DataFrame) -> list[str]:
-    """Terms that stand in toxic examples nearly alone: (toxic + 0.1) / (all + 1) >= PURITY.
+class Examples:
+    """Examples' counts as they are sent to the tasks, compressed; the index is made from them there."""
 
-    Equal texts count once. At most MOST_TERMS, those in most toxic examples first.
-    """
+    def __init__(self, counts: list[bytes], labels: np.ndarray, ids: np.ndarray, weight: np.ndarray):
+        self.sizes, self.labels, self.ids, self.weight = np.array([len(x) for x in counts], np.int64), labels, ids, weight
+        self.counts = pa.compress(b"".join(counts), "zstd", asbytes=True)
+        self.made = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
+
+    def index(self) -> BlockMaxIndex:
+        if self.made is None:
+            raw = memoryview(pa.decompress(self.counts, int(self.sizes.sum()), "zstd", asbytes=True))
+            ends = np.cumsum(self.sizes)
+            self.made = BlockMaxIndex([_unit(*_unpacked(raw[e - n:e]), self.weight) for e, n in zip(ends.tolist(), self.sizes.tolist())], self.labels, self.ids, max(1, len(self.weight)))
+        return self.made
+
+
+def known_terms(sample: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the examples, and whether they tell: (toxic + 0.1) / (all + 1) >= PURITY. Equal texts count once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = Counter(), Counter()
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), texts(b, "text")):
                 (bad if label else good).update({t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
-        # The terms of toxic examples alone matter, but other tasks may have those: all are told.
         keys = list(good.keys() | bad.keys())
         for i in range(0, len(keys), 50_000):
             k = keys[i:i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([bad[t] for t in k], pa.int64()), pa.array([good[t] for t in k], pa.int64())], names=["term", "bad", "good"])
 
     one = sample.groupBy(F.xxhash64("text").alias("h"), F.length("text")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    counts = (one.select("label", "text").mapInArrow(tidy(task), "term string, bad long, good long").groupBy("term")
-              .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
-    rows = (counts.filter((F.col("bad") >= LEAST_TOXIC) & (F.col("bad") + 0.1 >= PURITY * (F.col("bad") + F.col("good") + 1)))
-            .orderBy(F.desc("bad"), "term").limit(MOST_TERMS).collect())
-    return [r["term"] for r in rows]
+    got = (one.select("label", "text").mapInArrow(tidy(task), "term string, bad long, good long").groupBy("term")
+           .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("n", F.col("bad") + F.col("good")).toArrow())
+    # Frequent terms come first: steps between places stay small.
+    got = got.sort_by([("n", "descending"), ("term", "ascending")])
+    bad, n = got["bad"].to_numpy(), got["n"].to_numpy()
+    return got["term"].combine_chunks(), (bad >= LEAST_TOXIC) & (bad + 0.1 >= PURITY * (n + 1))
 
 
 def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, and evidence (nearest examples' ids, cosines, labels).
 
-    A document without any chosen term (an empty or null text too) gets the share of toxic ones
-    among such examples, and no evidence. A null doc_id is scored, never held out; repeated rows
-    get equal scores. Document frequencies cover all documents. At most ``labelled_rows`` examples.
+    Every document with a term of any example is searched; one without (an empty or null text too)
+    gets the share of toxic ones among such examples, and no evidence. A null doc_id is scored,
+    never held out; repeated rows get equal scores. Document frequencies cover all documents. At
+    most ``labelled_rows`` examples.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     known = learnable(labels, "toxic", mod, held, labelled_rows)
     sample = written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "toxicity-sample")
-    terms = choose_terms(sample)
-    chosen = sc.broadcast({t: k for k, t in enumerate(terms)})
+    terms, telling = known_terms(sample)
+    shared_counter = sc.broadcast(TermCounter(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(chosen.value)
+        counter = shared_counter.value
         for b in batches:
-            rows = []
-            for text in texts(b, "text"):
-                c = counter.count(text)
-                rows.append(np.array(sorted(c.items()), "<i4").tobytes())
+            rows = [_packed(*counter.count(text)) for text in texts(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "counts"])
 
+    n_terms = len(terms)
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(len(chosen.value) + 1, np.int64), 0
+        seen, n = np.zeros(n_terms + 1, np.int64), 0
         for b in batches:
             for raw in b.column(0).to_pylist():
-                seen[np.frombuffer(raw, "<i4")[::2]] += 1
+                seen[_unpacked(raw)[0]] += 1
             n += b.num_rows
         seen[-1] = n
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "df"])
 
-    vectors = written(docs.select("doc_id", "text").mapInArrow(tidy(count), "doc_id long, counts binary"), "toxicity-counts")
-    df = np.zeros(len(terms) + 1)
-    for r in vectors.select("counts").mapInArrow(tidy(frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r["term"]] = r["df"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    vectors = written(docs.select("doc_id", "text").mapInArrow(tidy(count), "doc_id long, counts binary"), "toxicity-counts", compression="zstd")
+    told = vectors.select("counts").mapInArrow(tidy(frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(n_terms + 1)
+    df[told["term"].to_numpy()] = told["df"].to_numpy()
+    weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.where(telling, BOOST, 1.0)
     examples = vectors.join(F.broadcast(known), "doc_id").toArrow()  # at most labelled_rows
     ids, y = examples["doc_id"].to_numpy(), examples["label"].to_numpy().astype(np.int64)
-    parsed = [dict(np.frombuffer(x, "<i4").reshape(-1, 2).tolist()) for x in examples["counts"].to_pylist()]
-    full = [k for k, c in enumerate(parsed) if c]
-    empty = np.array([not c for c in parsed], bool) if parsed else np.zeros(0, bool)
+    counts = examples["counts"].to_pylist()
+    del examples
+    empty = np.array([not c for c in counts], bool)
+    full = np.flatnonzero(~empty)
     blank = float((y[empty].sum() + 0.5) / (empty.sum() + 1))
     base = float((y.sum() + 0.5) / (len(y) + 1))
-    index = BlockMaxIndex([_unit(parsed[k], idf) for k in full], y[full], ids[full], max(1, len(terms)))
-    shared = sc.broadcast((index, idf))
+    shared = sc.broadcast(Examples([counts[k] for k in full], y[full], ids[full], weight))
+    del counts
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf = shared.value
+        index, weight = shared.value.index(), shared.value.weight
         memo: dict[bytes, tuple] = {}
         for b in batches:
             s, near, cosines, votes = [], [], [], []
-            for raw in b.column(1).to_pylist():
-                if raw not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    t, w = _unit(dict(np.frombuffer(raw, "<i4").reshape(-1, 2).tolist()), idf)
-                    at, cos = index.nearest(t, w, NEIGHBOURS) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
-                    weight = 1 / (1.05 - np.minimum(cos, 1))
-                    p = float((weight @ index.labels[at] + PULL * base) / (weight.sum() + PULL)) if len(at) else blank
-                    memo[raw] = (p, index.ids[at[:5]].tolist(), cos[:5].tolist(), index.labels[at[:5]].tolist())
+            raws = b.column(1).to_pylist()
+            if len(memo) > 10_000:
+                memo.clear()
+            new = [raw for raw in dict.fromkeys(raws) if raw not in memo]
+            for raw, (at, cos) in zip(new, index.nearest_of([_unit(*_unpacked(raw), weight) for raw in new], NEIGHBOURS)):
+                w = 1 / (1.05 - np.minimum(cos, 1))
+                p = float((w @ index.labels[at] + PULL * base) / (w.sum() + PULL)) if len(at) else blank
+                memo[raw] = (p, index.ids[at[:5]].tolist(), cos[:5].tolist(), index.labels[at[:5]].tolist())
+            for raw in raws:
                 for out, x in zip((s, near, cosines, votes), memo[raw]):
                     out.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(votes, pa.list_(pa.int64()))],

@@ -281,6 +281,27 @@ def test_nearest_examples_are_exact():
         np.testing.assert_allclose(cos, want[want > 0][:len(cos)])
 
 
+def test_every_text_is_searched_among_whole_examples(spark):
+    d, labels = docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    text = {r.doc_id: r.text or "" for r in d.collect()}
+    count = {k: Counter(t for w in re.findall(r"\w+", x.lower()) for t in toxicity.terms_of(w)) for k, x in text.items()}
+    known = {r.doc_id: r.label for r in toxicity.learnable(labels, "toxic", toxicity.MOD, toxicity.HELD, 20_000).collect() if r.doc_id in text}
+    df, vocabulary = Counter(t for c in count.values() for t in c), {t for k in known for t in count[k]}
+    one = {text[k]: (k, known[k]) for k in sorted(known)}
+    bad, every = Counter(t for k, y in one.values() if y for t in count[k]), Counter(t for k, _ in one.values() for t in count[k])
+    weight = {t: (np.log((1 + len(text)) / (1 + df[t])) + 1) * (toxicity.BOOST if bad[t] >= 5 and bad[t] + 0.1 >= 0.8 * (every[t] + 1) else 1) for t in vocabulary}
+    unit = {}
+    for k, c in count.items():
+        v = {t: (1 + np.log(n)) * weight[t] for t, n in c.items() if t in vocabulary}
+        unit[k] = {t: x / np.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+    got = toxicity.score(d, labels).collect()
+    assert len({r.score for r in got}) > 100
+    for r in got:
+        want = sorted((sum(x * unit[k].get(t, 0) for t, x in unit[r.doc_id].items()) for k in known), reverse=True)[:5]
+        np.testing.assert_allclose(r.evidence_cosines, [x for x in want if x > 0], atol=1e-9)
+        assert (len(r.evidence_ids) > 0) == bool(unit[r.doc_id])
+
+
 def test_warc_round_trip_and_pushdown(spark, tmp_path):
     html = "<p>" + "x" * 2000
     made = [(1, "u1", html), (2, "u2", html), (3, "u3", "<p>short"), (4, "u4", "<p>short"), (5, None, None), (None, "u6", html), (7, "u7", "é" * 900), (2, "u2", html)]
