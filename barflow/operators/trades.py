@@ -6,6 +6,9 @@ range joins; only the rule that trades do not overlap is a fold, over a group's
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,20 +140,31 @@ def ma_position(bars: DataFrame, fast: int, slow: int, bps: float = 3.0) -> Data
 def capacity_bounded(trades: DataFrame, keys: list[str], most: int) -> DataFrame:
     """By entry, then score, at most ``most`` open at once and one for each symbol; a slot frees at an exit not after the entry.
 
-    The state of the fold is the open set; one fold for each key.
+    A key's trades are sorted by Spark and pass one by one; only the open set is held.
     """
-    rows = F.array_sort(F.collect_list(F.struct("entry_time", (-F.col("score")).alias("o"), "symbol", "exit_time", "trade_id")))
-    kind = "array<struct<symbol:string,exit_time:timestamp>>"
-
-    def step(s, x):
-        still = F.filter(s["open"], lambda o: o["exit_time"] > x["entry_time"])
-        ok = (F.size(still) < most) & ~F.exists(still, lambda o: o["symbol"] == x["symbol"])
-        return F.struct(F.when(ok, F.concat(still, F.array(F.struct(x["symbol"].alias("symbol"), x["exit_time"].alias("exit_time"))))).otherwise(still).alias("open"), F.when(ok, F.concat(s["taken"], F.array(x["trade_id"]))).otherwise(s["taken"]).alias("taken"))
-
-    d = trades.groupBy(*keys).agg(rows.alias("c"))
-    start = F.struct(F.array().cast(kind).alias("open"), F.array().cast("array<long>").alias("taken"))
-    taken = d.select(*keys, F.explode(F.aggregate("c", start, step, lambda s: s["taken"])).alias("trade_id"))
-    return trades.join(taken, [*keys, "trade_id"], "left_semi")
+    order = ["entry_time", "_o", "symbol", "exit_time", "trade_id"]
+    names = [f"_k{i}" for i in range(len(keys))]
+    kinds = dict(trades.dtypes)
+    schema = ", ".join([*[f"{n} {kinds[k]}" for n, k in zip(names, keys)], "trade_id long"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
+            taken = []
+            for i, (*k, entry, _, symbol, exit_, _) in enumerate(zip(*columns)):
+                if k != key:
+                    key, held = k, {}
+                held = {s: e for s, e in held.items() if e is not None and e > entry} if entry is not None else {}
+                if len(held) < most and symbol not in held:
+                    held[symbol] = exit_
+                    taken.append(i)
+            t = b.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*t.columns[:len(keys)], t.columns[-1].cast(pa.int64())], names=[*names, "trade_id"])
+
+    d = trades.withColumn("_o", -F.col("score")).select(*[F.col(k).alias(n) for n, k in zip(names, keys)], *order)
+    taken = d.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(fold, schema)
+    return trades.join(taken.toDF(*keys, "trade_id"), [*keys, "trade_id"], "left_semi")
 
 
 def episodes(trades: DataFrame, keys: list[str]) -> DataFrame:
