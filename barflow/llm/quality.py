@@ -4,10 +4,13 @@ A small network is trained on documents labelled good (trusted positives) agains
 labels. The risk of the unlabelled set, less the positives' share of it, estimates the risk on bad
 documents; where that estimate falls below zero, its gradient is reversed, so the network cannot
 win by memorising positives. Labels of bad documents serve the estimate of the class prior alone.
+A start is fitted on the labelled rows, their labels hidden; then the risk is taken over all
+documents without labels, as sums over partitions, in a fixed number of passes.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -15,14 +18,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, steps, tidy, utf8_column
+from .common import small_batches, steps, tidy, utf8_column, written
 from .labelled import learnable, remainder
 
-#: Rows to learn from at most: labelled ones, and documents without a label.
-LABELLED_ROWS, UNLABELLED_ROWS = 20_000, 20_000
+#: Labelled rows to learn from at most; passes over all documents without a label.
+LABELLED_ROWS, PASSES = 20_000, 10
 SHAPES, DENSE, HIDDEN, EPOCHS, BATCH, RATE, DECAY = 512, 10, 24, 30, 512, 3e-3, 1e-5
 MOD, HELD = 3, 1
 
@@ -111,6 +115,79 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _slopes(negative: float, zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the risk by the outputs; reversed where the estimated risk of bad documents is below zero."""
+    if negative >= 0:
+        return prior * (_sigmoid(zp) - 1) - prior * _sigmoid(zp), _sigmoid(zu)
+    return prior * _sigmoid(zp), -_sigmoid(zu)
+
+
+def _adam(net: Network, m: list[np.ndarray], s: list[np.ndarray], t: int, gradient: list[np.ndarray]) -> None:
+    for k, w in enumerate(net.w):
+        g = gradient[k] + DECAY * w
+        m[k] = 0.9 * m[k] + 0.1 * g
+        s[k] = 0.999 * s[k] + 0.001 * g * g
+        w -= (RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+
+
+def risk_sums(vectors: DataFrame, net: Network) -> tuple[int, float, list[np.ndarray]]:
+    """Over all rows: their number, the sum of losses on "bad", and the sum of its gradients.
+
+    Sums are made by partition, then by groups of partitions, and the few groups' in the driver.
+    """
+    sc = vectors.sparkSession.sparkContext
+    shared = sc.broadcast(net)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, n, loss, total = shared.value, 0, 0.0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.float16).reshape(-1, SHAPES + DENSE).astype(np.float32)
+            h, z = net.forward(x)
+            g = [v.astype(np.float64) for v in net.gradient(x, h, _sigmoid(z))]
+            n, loss, total = n + len(x), loss + float(np.logaddexp(0, z.astype(np.float64)).sum()), g if total is None else [a + c for a, c in zip(total, g)]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pickle.dumps((n, loss, total))], pa.binary())], names=["part", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = -1, None
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part, total = k, _added(total, pickle.loads(raw))
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([pickle.dumps(total)], pa.binary())], names=["part", "sums"])
+
+    schema = "part long, sums binary"
+    rows = vectors.mapInArrow(tidy(task), schema).repartition(8, "part").sortWithinPartitions("part").mapInArrow(add, schema).collect()
+    shared.unpersist()
+    total = None
+    for r in sorted(rows, key=lambda r: r["part"]):
+        total = _added(total, pickle.loads(r["sums"]))
+    return total or (0, 0.0, [np.zeros(w.shape) for w in net.w])
+
+
+def _added(a: tuple | None, b: tuple) -> tuple:
+    return b if a is None else (a[0] + b[0], a[1] + b[1], [x + y for x, y in zip(a[2], b[2])])
+
+
+def refine(net: Network, positive: np.ndarray, vectors: DataFrame, prior: float, passes: int = PASSES) -> Network:
+    """Minimise the same risk over all rows of ``vectors`` as the unlabelled side, one step a pass."""
+    m = [np.zeros_like(w) for w in net.w]
+    s = [np.zeros_like(w) for w in net.w]
+    for t in range(1, passes + 1):
+        n, loss, total = risk_sums(vectors, net)
+        if not n:
+            return net
+        h, z = net.forward(positive)
+        negative = loss / n - prior * np.logaddexp(0, z).mean()
+        gp, _ = _slopes(negative, z, z[:0], prior)
+        side = 1.0 if negative >= 0 else -1.0
+        a = net.gradient(positive, h, (gp / len(positive)).astype(np.float32))
+        _adam(net, m, s, t, [x + (side * y / n).astype(np.float32) for x, y in zip(a, total)])
+    return net
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Network:
     """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)), logistic loss."""
     rng = np.random.default_rng(seed)
@@ -127,17 +204,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
             hu, zu = net.forward(u)
             # Loss on "bad" is softplus(z), on "good" softplus(-z).
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            if negative >= 0:
-                gp, gu = prior * (_sigmoid(zp) - 1) - prior * _sigmoid(zp), _sigmoid(zu)
-            else:
-                gp, gu = prior * _sigmoid(zp), -_sigmoid(zu)
+            gp, gu = _slopes(negative, zp, zu, prior)
             a, b = net.gradient(p, hp, (gp / BATCH).astype(np.float32)), net.gradient(u, hu, (gu / BATCH).astype(np.float32))
             t += 1
-            for k, w in enumerate(net.w):
-                g = a[k] + b[k] + DECAY * w
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.999 * s[k] + 0.001 * g * g
-                w -= (RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+            _adam(net, m, s, t, [x + y for x, y in zip(a, b)])
     return net
 
 
@@ -156,18 +226,27 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, n
     return x, got["label"].to_numpy()[order], got["doc_id"].to_numpy()[order]
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, mod: int = MOD, held: int = HELD) -> tuple[Network | None, float]:
+def unlabelled_vectors(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Vectors of all documents without a label, written once."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([v.astype(np.float16).tobytes() for v in features(*utf8_column(b.column(0)))], pa.binary())], names=["v"])
+
+    free = docs.select("doc_id", "text").join(labels.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti")
+    return written(free.select("text").mapInArrow(tidy(task), "v binary"), "quality-vectors", compression="zstd")
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, mod: int = MOD, held: int = HELD) -> tuple[Network | None, float]:
     """The network and the class prior; no network where there is no positive to learn from."""
     known = learnable(labels, "quality", mod, held, labelled_rows)
-    free = (docs.select("doc_id").filter("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled_rows))
-    x, y, _ = _sampled(docs, known.select("doc_id", "label").unionByName(free.withColumn("label", F.lit(-1))))
+    x, y, _ = _sampled(docs, known.select("doc_id", "label"))
     if not (y == 1).any():
         return None, 0.5
-    prior = float(((y == 1).sum() + 1) / ((y >= 0).sum() + 2))
-    # Without unlabelled documents, the labelled ones stand in, their labels unused.
-    unlabelled = x[y == -1] if (y == -1).any() else x[y >= 0]
-    return fit(x[y == 1].astype(np.float32), unlabelled.astype(np.float32), prior), prior
+    prior = float(((y == 1).sum() + 1) / (len(y) + 2))
+    positive = x[y == 1].astype(np.float32)
+    net = fit(positive, x.astype(np.float32), prior)
+    return refine(net, positive, unlabelled_vectors(docs, labels), prior), prior
 
 
 def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, keep: list[str] | None = None, **bounds: int) -> DataFrame:

@@ -281,6 +281,24 @@ def test_nearest_examples_are_exact():
         np.testing.assert_allclose(cos, want[want > 0][:len(cos)])
 
 
+def test_unlabelled_risk_covers_all_documents(spark):
+    d, labels = docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    named = {r.doc_id for r in labels.collect()}
+    free = [r.text or "" for r in d.collect() if r.doc_id not in named]
+    vectors = quality.unlabelled_vectors(d, labels)
+    x = np.array(list(quality.features(*common.utf8_column(pa.array(free, pa.string()))))).astype(np.float16).astype(np.float32)
+    net = quality.Network.fresh(x.shape[1], np.random.default_rng(0))
+    h, z = net.forward(x)
+    n, loss, total = quality.risk_sums(vectors.repartition(5), net)
+    assert n == len(free)
+    np.testing.assert_allclose(loss, np.logaddexp(0, z).sum(), rtol=1e-5)
+    for a, b in zip(total, net.gradient(x, h, quality._sigmoid(z))):
+        np.testing.assert_allclose(a, b, rtol=1e-3, atol=1e-3)
+    before = [w.copy() for w in net.w]
+    quality.refine(net, x[:5], vectors, 0.5, 1)
+    assert any((a != b).any() for a, b in zip(before, net.w))
+
+
 def test_every_text_is_searched_among_whole_examples(spark):
     d, labels = docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
     text = {r.doc_id: r.text or "" for r in d.collect()}
