@@ -202,8 +202,9 @@ def test_repeated_strings_are_brute_force(spark, monkeypatch):
         want.append((i, len(t), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(t) else 0, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
     d = spark.createDataFrame(made, "doc_id long, text string").withColumn("rk", F.lit("x"))
     key = lambda r: tuple("" if x is None else str(x) for x in r)
-    for heavy in (1 << 30, 1):  # few, then many anchors dealt out by their windows
-        monkeypatch.setattr(substrings, "LEAST_HEAVY", heavy)
+    for least, seen in ((1 << 30, 1 << 30), (2, 0)):  # no common grams, then many; a long memory, then none
+        monkeypatch.setattr(substrings, "LEAST_COMMON", least)
+        monkeypatch.setattr(substrings, "SEEN", seen)
         monkeypatch.setattr(substrings, "SAMPLE", 1)
         got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substrings.remove_repeats(d).collect()]
         assert sorted(got, key=key) == sorted(want, key=key)
@@ -216,10 +217,36 @@ def test_suffix_sort_orders_and_finds_equals():
     pos = np.sort(rng.choice(3400, 400, replace=False))
     s = substrings.SuffixSorter(text)
     raw = text.tobytes() + b"\0" * 200
-    order = s.sort(pos, np.zeros(len(pos), np.int64))
-    assert [raw[p:p + 200] for p in pos[order]] == sorted(raw[p:p + 200] for p in pos)
-    n = Counter(raw[p:p + 200] for p in pos)
-    assert s.repeated(pos, np.zeros(len(pos), np.int64)).tolist() == [n[raw[p:p + 200]] > 1 for p in pos]
+    for size in (np.full(len(pos), 200), rng.integers(200, 210, len(pos))):
+        one = np.zeros(len(pos), np.int64)
+        texts = [raw[p:p + n] for p, n in zip(pos, size)]
+        assert [texts[k] for k in s.sort(pos, one, size)] == sorted(texts)
+        names: dict = {}
+        for c, t in zip(s.equals(pos, one, size).tolist(), texts):
+            assert names.setdefault(t, c) == c
+        assert len(set(names.values())) == len(names)
+
+
+def test_common_grams_are_anchors_of_last_resort():
+    rng = np.random.default_rng(9)
+    raw = rng.integers(97, 123, 900).astype(np.uint8)
+    offs = np.array([0, 900])
+    p = shingles.prefix_hashes(raw)
+    g = substrings.gram_hashes(raw, p)
+    common = substrings.CommonGrams(g[300:640].view(np.int64).tolist())
+    row, start, n, rel, anchor, _ = substrings.stretches(raw, offs, common)
+    at = start + rel
+    assert n.sum() == 701 and (g[at] == anchor).all()
+    inside = (start >= 300) & (start + n - 1 + 152 < 640)  # windows of common grams alone
+    assert (((at < 300) | (at >= 640)) == ~inside).all()
+
+
+def test_many_equal_rows_are_one_set_of_places(spark):
+    rng = np.random.default_rng(11)
+    text = "".join(rng.choice(list("abcdefgh "), 3000))
+    d = spark.createDataFrame([(7, text)] * 500 + [(8, text[:1500] + "x"), (9, "y" + text[100:299])], "doc_id long, text string").repartition(8)
+    got = Counter((r.doc_id, r.n_removed) for r in substrings.remove_repeats(d).collect())
+    assert got == {(7, 3000): 500, (8, 1500): 1, (9, 0): 1}
 
 
 def test_leaks_are_found_in_any_order_and_clean_documents_are_left(spark, odd):
@@ -352,7 +379,7 @@ def test_long_texts_are_cut_with_overlap(monkeypatch):
     offs = np.array([0, 100, 100, 4000, 5000])
     starts = set()
     for part, po, first, before in substrings._pieces(raw, offs):
-        row, start, n, rel, key = substrings.stretches(part, po)
+        row, start, n, *_ = substrings.stretches(part, po)
         for r, s, m in zip(row, start, n):
             for k in range(m):
                 starts.add((first + r, int(s - po[r] + before + k)))
