@@ -3,9 +3,10 @@
 A small network is trained on documents labelled good (trusted positives) against documents without
 labels. The risk of the unlabelled set, less the positives' share of it, estimates the risk on bad
 documents; where that estimate falls below zero, its gradient is reversed, so the network cannot
-win by memorising positives. Labels of bad documents serve the estimate of the class prior alone.
-A start is fitted on the labelled rows, their labels hidden; then the risk is taken over all
-documents without labels, as sums over partitions, in a fixed number of passes.
+win by memorising positives. A start is fitted on the labelled rows, their labels hidden; the class
+prior is then estimated from how often unlabelled documents score as high as positives that were
+held back; then the risk is taken over all documents without labels, as sums over partitions, in a
+fixed number of passes. Each document's features are computed once and written.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .labelled import learnable, remainder
 
 #: Labelled rows to learn from at most; passes over all documents without a label.
 LABELLED_ROWS, PASSES = 20_000, 10
+#: Passes and step of a start without labelled negatives; steps of a score, and positives held back at least, for the prior.
+START_PASSES, START_RATE, BINS, LEAST_BACK = 40, 3e-2, 200, 30
 SHAPES, DENSE, HIDDEN, EPOCHS, BATCH, RATE, DECAY = 512, 10, 24, 30, 512, 3e-3, 1e-5
 MOD, HELD = 3, 1
 
@@ -43,7 +46,7 @@ def _shape_place(shape: bytes) -> int:
     if got is None:
         if len(_place) > 20_000:
             _place.clear()
-        got = _place[shape] = zlib.crc32(shape[:24]) % SHAPES
+        got = _place[shape] = zlib.crc32(shape) % SHAPES
     return got
 
 
@@ -51,6 +54,7 @@ def features(raw: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
     """A row's vector: shares of word shapes (hashed), then counts and shares over the whole text.
 
     A shape has A, a, 0 for runs of capitals, other letters and digits, and other signs as they are.
+    Counts and lengths enter as bounded values: past e**10 words, say, longer texts look alike.
     """
     for i, j in steps(offs):
         part = raw[offs[i]:offs[j]]
@@ -122,12 +126,12 @@ def _slopes(negative: float, zp: np.ndarray, zu: np.ndarray, prior: float) -> tu
     return prior * _sigmoid(zp), -_sigmoid(zu)
 
 
-def _adam(net: Network, m: list[np.ndarray], s: list[np.ndarray], t: int, gradient: list[np.ndarray]) -> None:
+def _adam(net: Network, m: list[np.ndarray], s: list[np.ndarray], t: int, gradient: list[np.ndarray], rate: float = RATE) -> None:
     for k, w in enumerate(net.w):
         g = gradient[k] + DECAY * w
         m[k] = 0.9 * m[k] + 0.1 * g
         s[k] = 0.999 * s[k] + 0.001 * g * g
-        w -= (RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        w -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
 
 def risk_sums(vectors: DataFrame, net: Network) -> tuple[int, float, list[np.ndarray]]:
@@ -143,7 +147,7 @@ def risk_sums(vectors: DataFrame, net: Network) -> tuple[int, float, list[np.nda
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.float16).reshape(-1, SHAPES + DENSE).astype(np.float32)
+            x = matrix(b.column(0).to_pylist())
             h, z = net.forward(x)
             g = [v.astype(np.float64) for v in net.gradient(x, h, _sigmoid(z))]
             n, loss, total = n + len(x), loss + float(np.logaddexp(0, z.astype(np.float64)).sum()), g if total is None else [a + c for a, c in zip(total, g)]
@@ -171,7 +175,7 @@ def _added(a: tuple | None, b: tuple) -> tuple:
     return b if a is None else (a[0] + b[0], a[1] + b[1], [x + y for x, y in zip(a[2], b[2])])
 
 
-def refine(net: Network, positive: np.ndarray, vectors: DataFrame, prior: float, passes: int = PASSES) -> Network:
+def refine(net: Network, positive: np.ndarray, vectors: DataFrame, prior: float, passes: int = PASSES, rate: float = RATE) -> Network:
     """Minimise the same risk over all rows of ``vectors`` as the unlabelled side, one step a pass."""
     m = [np.zeros_like(w) for w in net.w]
     s = [np.zeros_like(w) for w in net.w]
@@ -184,7 +188,7 @@ def refine(net: Network, positive: np.ndarray, vectors: DataFrame, prior: float,
         gp, _ = _slopes(negative, z, z[:0], prior)
         side = 1.0 if negative >= 0 else -1.0
         a = net.gradient(positive, h, (gp / len(positive)).astype(np.float32))
-        _adam(net, m, s, t, [x + (side * y / n).astype(np.float32) for x, y in zip(a, total)])
+        _adam(net, m, s, t, [x + (side * y / n).astype(np.float32) for x, y in zip(a, total)], rate)
     return net
 
 
@@ -211,42 +215,103 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return net
 
 
-def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors, labels (null: -1) of the sample's documents; the sample is bounded by parameters."""
+_ENTRY = np.dtype([("at", "<u2"), ("value", "<f2")])
+
+
+def packed(v: np.ndarray) -> bytes:
+    """A vector's places and values that are not zero."""
+    at = np.flatnonzero(v)
+    out = np.empty(len(at), _ENTRY)
+    out["at"], out["value"] = at, v[at]
+    return out.tobytes()
+
+
+def matrix(raws: list[bytes]) -> np.ndarray:
+    """The vectors of packed rows."""
+    flat = np.frombuffer(b"".join(raws), _ENTRY)
+    x = np.zeros((len(raws), SHAPES + DENSE), np.float32)
+    x[np.repeat(np.arange(len(raws)), [len(r) // _ENTRY.itemsize for r in raws]), flat["at"]] = flat["value"]
+    return x
+
+
+def vectors_of(docs: DataFrame) -> DataFrame:
+    """doc_id and packed vector of every document, written once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [v.tobytes() for v in (x.astype(np.float16) for x in features(*utf8_column(b.column(1))))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "label", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([packed(v) for v in features(*utf8_column(b.column(1)))], pa.binary())], names=["doc_id", "v"])
 
-    got = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-           .mapInArrow(tidy(task), "doc_id long, label int, v binary").toArrow())
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float16).reshape(-1, SHAPES + DENSE)[order]
-    return x, got["label"].to_numpy()[order], got["doc_id"].to_numpy()[order]
+    return written(docs.select("doc_id", "text").mapInArrow(tidy(task), "doc_id long, v binary"), "quality-vectors", compression="zstd")
 
 
-def unlabelled_vectors(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Vectors of all documents without a label, written once."""
+def unlabelled_vectors(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """Vectors of all documents without a label; the join is by shuffle at every size, as labels may be many."""
+    named = labels.select("doc_id").filter("doc_id IS NOT NULL").distinct().hint("merge")
+    return written(vectors.join(named, "doc_id", "left_anti").select("v"), "quality-unlabelled", compression="zstd")
+
+
+def score_counts(vectors: DataFrame, net: Network) -> np.ndarray:
+    """How many rows have each score, in BINS steps."""
+    shared = vectors.sparkSession.sparkContext.broadcast(net)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([v.astype(np.float16).tobytes() for v in features(*utf8_column(b.column(0)))], pa.binary())], names=["v"])
+            at, n = np.unique(_bins(net_score(shared.value, matrix(b.column(0).to_pylist()))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["bin", "n"])
+
+    out = np.zeros(BINS, np.int64)
+    for r in vectors.mapInArrow(tidy(task), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def net_score(net: Network, x: np.ndarray) -> np.ndarray:
+    return _sigmoid(net.forward(x)[1]).astype(np.float64)
 
-    free = docs.select("doc_id", "text").join(labels.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti")
-    return written(free.select("text").mapInArrow(tidy(task), "v binary"), "quality-vectors", compression="zstd")
 
+def _bins(s: np.ndarray) -> np.ndarray:
+    return np.minimum((s * BINS).astype(np.int64), BINS - 1)
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, mod: int = MOD, held: int = HELD) -> tuple[Network | None, float]:
-    """The network and the class prior; no network where there is no positive to learn from."""
+
+def class_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The positives' share among unlabelled rows, from counts of scores of both.
+
+    Above any score, unlabelled rows are at least the positives' share times the positives above it;
+    the least ratio of the two tails, with room for chance, bounds that share and is near it where
+    some scores are reached by positives alone.
+    """
+    u, p = (np.cumsum(x[::-1])[::-1] for x in (unlabelled, positive))
+    if not u[0] or not p[0]:
+        return 0.5
+    chance = np.sqrt(np.log(40) / (2 * p[0])) + np.sqrt(np.log(40) / (2 * u[0]))
+    tail_u, tail_p = u / u[0], p / p[0]
+    # The score whose bound, with chance added, is least; its plain ratio is the estimate.
+    k = int(np.argmin((tail_u + chance) / np.maximum(tail_p, 1e-9)))
+    return float(np.clip(tail_u[k] / tail_p[k], 0.01, 0.99))
+
+
+def train(vectors: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, mod: int = MOD, held: int = HELD) -> tuple[Network | None, float]:
+    """The network and the class prior; no network where there is no positive to learn from.
+
+    With positives alone among the labels, the start is fitted by passes over the unlabelled rows.
+    """
     known = learnable(labels, "quality", mod, held, labelled_rows)
-    x, y, _ = _sampled(docs, known.select("doc_id", "label"))
+    got = vectors.join(F.broadcast(known), "doc_id").select("doc_id", "label", "v").toArrow().sort_by("doc_id")  # at most labelled_rows
+    x, y = matrix(got["v"].to_pylist()), got["label"].to_numpy()
     if not (y == 1).any():
         return None, 0.5
-    prior = float(((y == 1).sum() + 1) / (len(y) + 2))
-    positive = x[y == 1].astype(np.float32)
-    net = fit(positive, x.astype(np.float32), prior)
-    return refine(net, positive, unlabelled_vectors(docs, labels), prior), prior
+    free = unlabelled_vectors(vectors, labels)
+    positive = x[y == 1]
+    back = np.arange(len(positive)) % 3 == 0 if len(positive) > 2 else np.zeros(len(positive), bool)
+    share = float(((y == 1).sum() + 1) / (len(y) + 2))
+    if (y == 0).any():
+        start = fit(positive[~back], x, share)
+    else:
+        share = 0.5
+        start = refine(Network.fresh(x.shape[1], np.random.default_rng(7)), positive[~back], free, share, START_PASSES, START_RATE)
+    counts = score_counts(free, start)
+    prior = class_prior(counts, np.bincount(_bins(net_score(start, positive[back])), minlength=BINS)) if back.sum() >= LEAST_BACK and counts.sum() else share
+    return refine(start, positive, free, prior), prior
 
 
 def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, keep: list[str] | None = None, **bounds: int) -> DataFrame:
@@ -257,21 +322,30 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD,
     decides the score.
     """
     small_batches(docs.sparkSession)
-    net, _ = train(docs, labels, mod=mod, held=held, **bounds)
+    vectors = vectors_of(docs)
+    net, _ = train(vectors, labels, mod=mod, held=held, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # one small network
-    keep = keep or []
-    source = docs.select("doc_id", "text", *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
-    schema = ", ".join(["doc_id long", "score double", *[f"kept_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)]])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+    def rated(x: np.ndarray) -> pa.Array:
+        return pa.array(net_score(shared.value, x) if shared.value else np.full(len(x), 0.5))
+
+    def by_vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.zeros((b.num_rows, SHAPES + DENSE), np.float32)
-            for k, v in enumerate(features(*utf8_column(b.column(1)))):
-                x[k] = v
-            s = _sigmoid(net.forward(x)[1]).astype(np.float64) if net else np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(s), *b.columns[2:]], names=["doc_id", "score", *[f"kept_{k}" for k in range(len(keep))]])
+            yield pa.RecordBatch.from_arrays([b.column(0), rated(matrix(b.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    out = source.mapInArrow(tidy(task), schema)
+    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # Rounded as the written vectors are, so that both ways give one score.
+            x = matrix([packed(v) for v in features(*utf8_column(b.column(1)))])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), rated(x), *b.columns[2:]], names=["doc_id", "score", *names])
+
+    if keep is None:
+        out = vectors.mapInArrow(tidy(by_vector), "doc_id long, score double")
+    else:
+        # Further columns and their texts are not joined back to the vectors: one more look at each text costs less.
+        names = [f"kept_{k}" for k in range(len(keep))]
+        schema = ", ".join(["doc_id long", "score double", *[f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep)]])
+        out = docs.select("doc_id", "text", *[F.col(c).alias(n) for n, c in zip(names, keep)]).mapInArrow(tidy(by_text), schema)
+        out = out.select("doc_id", "score", *[F.col(n).alias(c) for n, c in zip(names, keep)])
     return out.select("doc_id", F.coalesce(remainder("doc_id", mod) == held, F.lit(False)).alias("held_out"), "score",
-                      (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)])
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"), *(keep or []))

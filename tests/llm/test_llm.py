@@ -312,8 +312,9 @@ def test_unlabelled_risk_covers_all_documents(spark):
     d, labels = docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
     named = {r.doc_id for r in labels.collect()}
     free = [r.text or "" for r in d.collect() if r.doc_id not in named]
-    vectors = quality.unlabelled_vectors(d, labels)
+    vectors = quality.unlabelled_vectors(quality.vectors_of(d), labels)
     x = np.array(list(quality.features(*common.utf8_column(pa.array(free, pa.string()))))).astype(np.float16).astype(np.float32)
+    assert (quality.matrix([quality.packed(v) for v in x]) == x).all()
     net = quality.Network.fresh(x.shape[1], np.random.default_rng(0))
     h, z = net.forward(x)
     n, loss, total = quality.risk_sums(vectors.repartition(5), net)
@@ -326,6 +327,45 @@ def test_unlabelled_risk_covers_all_documents(spark):
     assert any((a != b).any() for a, b in zip(before, net.w))
 
 
+def test_gradient_is_that_of_the_risk():
+    rng = np.random.default_rng(0)
+    net = quality.Network.fresh(7, rng)
+    net.w = [w.astype(np.float64) for w in net.w]
+    p, u, prior = rng.normal(size=(20, 7)), rng.normal(size=(30, 7)), 0.4
+
+    def parts():
+        zp, zu = net.forward(p)[1], net.forward(u)[1]
+        return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+    for negative in (1.0, -1.0):  # the plain risk, then the reversed bad side alone
+        (hp, zp), (hu, zu) = net.forward(p), net.forward(u)
+        gp, gu = quality._slopes(negative, zp, zu, prior)
+        got = [a + b for a, b in zip(net.gradient(p, hp, gp / len(p)), net.gradient(u, hu, gu / len(u)))]
+        value = (lambda: sum(parts())) if negative > 0 else (lambda: -parts()[1])
+        for k, w in enumerate(net.w):
+            for at in list(np.ndindex(w.shape))[:12]:
+                keep = w[at]
+                w[at] = keep + 1e-6
+                up = value()
+                w[at] = keep - 1e-6
+                down = value()
+                w[at] = keep
+                np.testing.assert_allclose(got[k][at], (up - down) / 2e-6, atol=1e-5)
+
+
+def test_prior_of_a_known_mix(spark):
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.8):
+        u = np.concatenate([rng.beta(8, 2, int(20000 * share)), rng.beta(2, 6, int(20000 * (1 - share)))])
+        counts = [np.bincount(quality._bins(x), minlength=quality.BINS) for x in (u, rng.beta(8, 2, 2000))]
+        assert abs(quality.class_prior(*counts) - share) < 0.06
+    # Positives alone among the labels still tell the good from the bad.
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.score(d, labels.filter("quality = 1")).join(labels, "doc_id").select("predicted", F.col("quality").alias("y")).toPandas()
+    assert (got.predicted == got.y).mean() >= 0.9
+
+
 def test_every_text_is_searched_among_whole_examples(spark):
     d, labels = docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
     text = {r.doc_id: r.text or "" for r in d.collect()}
