@@ -8,12 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import small_batches, tidy, utf8_column
+from .common import small_batches, tidy, utf8_column, written
 from .tokens import word_ids
 
-#: Ids that are packed together at most; bounds a task's memory and leaves at most a few open windows each.
+#: Ids that are packed together at most; bounds a task's memory.
 GROUP_IDS = 8 << 20
+#: Pieces of windows less full than this are packed once more, over all partitions.
+CLOSED = 0.99
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -73,17 +76,22 @@ def best_fit_decreasing(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np
     return window, offset, windows
 
 
+_SCHEMA = SCHEMA + ", closed boolean"
+
+
 def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048) -> DataFrame:
     """Pieces of all documents, packed into windows of ``width`` ids.
 
     Takes ``doc_id`` and ``text``; other columns are not read. A document longer than ``width`` is
     cut into full windows and a rest. A null or empty text is its end id alone; a null doc_id stays
-    null; repeated rows are packed each for itself; no rows give no pieces. Each input partition is
-    packed by itself in groups of at most GROUP_IDS ids, without a shuffle. ``ids`` holds the
+    null; repeated rows are packed each for itself; ties in length keep their order; no rows give
+    no pieces. Each input partition is packed by itself in groups of at most GROUP_IDS ids; only the
+    pieces of windows that stay less than CLOSED full, a few for each group, are shuffled and packed
+    again together, so padding does not grow with the number of partitions. ``ids`` holds the
     piece's ids as little-endian 32-bit numbers. ``sequence_id`` is unique, not gapless.
     """
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_ids(tokenizer_path)
         base = TaskContext.get().partitionId() << 33
         held, n = [], 0
@@ -99,8 +107,27 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048) -> DataFrame:
         if held:
             yield from _packed(held, width, base)[0]
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = (1 << 62) + (TaskContext.get().partitionId() << 33)
+        held, n = [], 0
+        for b in batches:
+            for i, j in _cuts(np.concatenate([[0], np.cumsum(b.column(2).to_numpy())]), GROUP_IDS):
+                part = b.slice(i, j - i)
+                size = int(part.column(2).to_numpy().sum())
+                if held and n + size > GROUP_IDS:
+                    out, base = _repacked(held, width, base)
+                    held, n = [], 0
+                    yield from out
+                held.append(part)
+                n += size
+        if held:
+            yield from _repacked(held, width, base)[0]
+
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(tidy(task), SCHEMA)
+    pieces = written(docs.select("doc_id", "text").mapInArrow(tidy(first), _SCHEMA), "pieces", compression="zstd")
+    left = pieces.filter("NOT closed").drop("closed")
+    groups = max(1, -(-(left.agg(F.sum("length")).first()[0] or 0) // GROUP_IDS))
+    return pieces.filter("closed").drop("closed").unionByName(left.repartition(groups).mapInArrow(tidy(again), SCHEMA))
 
 
 def _cuts(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -121,6 +148,7 @@ def _packed(held: list, width: int, base: int) -> tuple[Iterator[pa.RecordBatch]
     start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * width
     length = np.minimum(width, tokens[row] - start)
     window, offset, windows = best_fit_decreasing(length, width)
+    closed = (np.bincount(window, weights=length, minlength=windows) >= CLOSED * width)[window]
     at = first[row] + start
     raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
     step = 512
@@ -129,7 +157,14 @@ def _packed(held: list, width: int, base: int) -> tuple[Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([
             doc.take(pa.array(row[k])), pa.array(start[k]), pa.array(length[k]),
             pa.array([raw[4 * a:4 * (a + n)] for a, n in zip(at[k].tolist(), length[k].tolist())], pa.binary()),
-            pa.array(tokens[row[k]]), pa.array(base + window[k]), pa.array(offset[k])],
-            names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            pa.array(tokens[row[k]]), pa.array(base + window[k]), pa.array(offset[k]), pa.array(closed[k])],
+            names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "closed"])
 
     return (batch(slice(i, i + step)) for i in range(0, len(row), step)), base + windows
+
+
+def _repacked(held: list[pa.RecordBatch], width: int, base: int) -> tuple[Iterator[pa.RecordBatch], int]:
+    t = pa.Table.from_batches(held)
+    window, offset, windows = best_fit_decreasing(t["length"].to_numpy(), width)
+    t = t.set_column(5, "sequence_id", pa.array(base + window)).set_column(6, "offset", pa.array(offset))
+    return iter(t.to_batches(max_chunksize=512)), base + windows

@@ -3,11 +3,13 @@
 The vocabulary in use drops white space and never joins over it, so a text's ids are those of its
 words in order. Words of up to 16 bytes are looked up as two 64-bit numbers in an open-addressing
 numpy table; a word seen for the first time goes to the library. Longer words and words with
-unusual characters are encoded by the library as they stand.
+unusual characters are encoded by the library as they stand. A tokenizer file with another way to
+normalise or split is used through the library alone.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -15,6 +17,8 @@ import numpy as np
 from .common import steps
 
 END_ID = 1
+#: Words that a worker remembers; its table then takes about 150 MB.
+MOST_WORDS = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Characters for which lower case, NFC and the split below need no table of Unicode.
@@ -40,10 +44,39 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The normaliser and the split (fixed values of such a file) that the word table stands for.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITS = [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+           {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def splits_at_blanks(config: dict) -> bool:
+    """Whether a tokenizer file normalises and splits as the word table does."""
+    model = config["model"]
+    return ((config.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and (config.get("pre_tokenizer") or {}).get("pretokenizers") == _SPLITS
+            and model.get("type") == "BPE" and model.get("dropout") is None and not config.get("truncation") and not config.get("padding")
+            and all(t["content"].startswith("<|") and t["special"] for t in config["added_tokens"]))
+
+
+class LibraryIds:
+    """Ids by the library alone, for any tokenizer file."""
+
+    def __init__(self, tok):
+        self.tok = tok
+
+    def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As WordIds.encode."""
+        parts = [np.zeros(0, np.uint32)]
+        for i, j in steps(offs):
+            text = [raw[a:b].tobytes().decode() for a, b in zip(offs[i:j].tolist(), offs[i + 1:j + 1].tolist())]
+            parts += [np.array([*e.ids, END_ID], np.uint32) for e in self.tok.encode_batch(text, add_special_tokens=False)]
+        return np.concatenate(parts), np.cumsum([0] + [len(x) for x in parts[1:]])
+
+
 class WordIds:
     """Ids of words by the tokenizer file at ``path``; at most ``most`` words are remembered."""
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -56,7 +89,7 @@ class WordIds:
     def _clear(self, slots: int) -> None:
         self.k1 = np.zeros(slots, np.uint64)
         self.k2 = np.zeros(slots, np.uint64)
-        self.at = np.full(slots, -1, np.int64)  # place in flat; -1: free
+        self.at = np.full(slots, -1, np.int32)  # place in flat; -1: free
         self.n_ids = np.zeros(slots, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = self.words = 0
@@ -127,7 +160,7 @@ class WordIds:
             k1, k2, at, n = self.k1[old], self.k2[old], self.at[old], self.n_ids[old]
             size = 2 * len(self.at)
             self.k1, self.k2 = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-            self.at, self.n_ids = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+            self.at, self.n_ids = np.full(size, -1, np.int32), np.zeros(size, np.int32)
             self._put(k1, k2, at, n)
         raw = np.stack([a, b], 1).astype("<u8").tobytes()
         ids = [self.word(raw[i:i + 16].rstrip(b"\0")) for i in range(0, len(raw), 16)]
@@ -231,11 +264,25 @@ class WordIds:
         return zeros[stop] > zeros[start]
 
 
-_KNOWN: dict[str, WordIds] = {}
+def first_free_id(path: str) -> int:
+    """The number after the file's largest id."""
+    from tokenizers import Tokenizer
+
+    return max(END_ID, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
 
 
-def word_ids(path: str, most: int = 1 << 19) -> WordIds:
+_KNOWN: dict[str, WordIds | LibraryIds] = {}
+
+
+def word_ids(path: str) -> WordIds | LibraryIds:
     """The worker's own table for a tokenizer file; kept between tasks."""
-    if path not in _KNOWN or _KNOWN[path].most < most:
-        _KNOWN[path] = WordIds(path, most)
+    if path not in _KNOWN:
+        with open(path, encoding="utf-8") as f:
+            known = splits_at_blanks(json.load(f))
+        if known:
+            _KNOWN[path] = WordIds(path)
+        else:
+            from tokenizers import Tokenizer
+
+            _KNOWN[path] = LibraryIds(Tokenizer.from_file(path))
     return _KNOWN[path]
