@@ -1,10 +1,11 @@
 """Token ids in files compressed by Re-Pair, with random access by document (operator 10).
 
-A file holds the documents of one shard in order. Frequent pairs of neighbouring symbols are
-replaced by new symbols, round by round; the file keeps each rule's two symbols and the number of
-ids it expands to. No rule spans a document's end, so a document's symbols are contiguous.
+A shard holds documents in order, a file the shards of one task, one after the other; the manifest
+says where each begins. Frequent pairs of neighbouring symbols are replaced by new symbols until
+none is left; a shard keeps each rule's two symbols and the number of ids it expands to. No rule
+spans a document's end, so a document's symbols are contiguous.
 
-Layout, all little-endian: ``RPAIR001``; eight 64-bit numbers (first rule's symbol, rules,
+Layout of a shard, all little-endian: ``RPAIR001``; eight 64-bit numbers (first rule's symbol, rules,
 documents, symbols, bytes a symbol, ids, 0, 0); rules as pairs of 32-bit symbols; expansion lengths
 (32-bit); doc ids (64-bit); a byte for each document, 1 where the doc id is null; the documents'
 first symbols and first ids (64-bit, one more than documents); the symbols.
@@ -23,61 +24,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import open_uri, shared_dir, small_batches, tidy, utf8_column
-from .tokens import END_ID, word_ids
+from .tokens import END_ID, first_free_id, word_ids
 
 MAGIC = b"RPAIR001"
-#: Ids of a shard file at most (one document at least).
+#: Ids of a shard at most (one document at least).
 SHARD_IDS = 2 << 20
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 4000, 16
+#: Pairs with fewer places get no rule: it would take more room than it saves.
+LEAST_COUNT = 16
 
-MANIFEST = "path string, partition int, shard int, n_docs long, n_ids long, n_symbols long, n_rules long, file_bytes long"
+MANIFEST = "path string, at long, bytes long, partition int, shard int, n_docs long, n_ids long, n_symbols long, n_rules long"
+
+
+def _frequent(pair: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose pair has LEAST_COUNT places or more, their pairs' ranks, and the pairs, most frequent first.
+
+    In a run of one symbol every second place counts, as overlapping ones cannot both be replaced.
+    """
+    bits = int(np.clip(int(len(pair)).bit_length() + 1, 10, 22))
+    bucket = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    # A pair is no more frequent than its bucket, so most rare ones go before any sort.
+    may = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= LEAST_COUNT)[bucket])
+    pair, at = pair[may], at[may]
+    twin = np.flatnonzero((pair >> np.uint64(32)) == (pair & np.uint64(0xFFFFFFFF)))
+    if len(twin):
+        k = np.arange(len(twin))
+        fresh = np.concatenate([[True], np.diff(at[twin]) > 1])
+        second = (k - np.maximum.accumulate(np.where(fresh, k, 0))) % 2 == 1
+        stay = np.ones(len(at), bool)
+        stay[twin[second]] = False
+        pair, at = pair[stay], at[stay]
+    pairs, of, count = np.unique(pair, return_inverse=True, return_counts=True)
+    order = np.lexsort((pairs, -count))
+    rank = np.empty(len(pairs), np.int64)
+    rank[order] = np.arange(len(pairs))
+    n = int((count >= LEAST_COUNT).sum())
+    rank = rank[of]
+    keep = rank < n
+    return at[keep], rank[keep], pairs[order[:n]]
 
 
 def grammar(ids: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols after Re-Pair and the rules' pairs. A pair counts where it has LEAST_COUNT places or more.
+    """Symbols after Re-Pair and the rules' pairs, until no pair has LEAST_COUNT places.
 
-    Each round counts all neighbouring pairs in hashed buckets, gives the fullest buckets' pairs a
-    rule and replaces non-overlapping places from the left.
+    A round counts all pairs that may be frequent and replaces, most frequent pair first, every
+    place that no better pair overlaps; a pair left with fewer than LEAST_COUNT places waits. The
+    best pair always gets all its places, so each round makes a rule. Only places beside new
+    symbols, and frequent ones that had to wait, are looked at again: other pairs only get rarer.
     """
     seq, rules = ids.astype(np.uint32), []
-    bits = max(10, min(20, int(len(seq)).bit_length()))
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST_COUNT:
+    at = np.arange(max(0, len(seq) - 1))
+    while True:
+        at = at[(seq[at] != END_ID) & (seq[at + 1] != END_ID)]
+        if len(at) < LEAST_COUNT:
             break
-        a, b = seq[:-1], seq[1:]
-        h = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
-        h[(a == END_ID) | (b == END_ID)] = 0
-        count = np.bincount(h, minlength=1 << bits)
-        count[0] = 0
-        least = max(LEAST_COUNT, int(np.partition(count, -RULES_A_ROUND)[-RULES_A_ROUND]) if len(count) > RULES_A_ROUND else 0)
-        full = count >= least
-        at = np.flatnonzero(full[h])
+        at, rank, pairs = _frequent(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], at)
         if not len(at):
             break
-        hat, pair = h[at], a[at].astype(np.uint64) << np.uint64(32) | b[at]
-        owner = np.zeros(1 << bits, np.uint64)
-        owner[hat[::-1]] = pair[::-1]  # the bucket's first pair
-        fits = owner[hat] == pair
-        at, hat = at[fits], hat[fits]
-        # Within a run of overlapping places every second one is taken.
-        k = np.arange(len(at))
-        fresh = np.concatenate([[True], np.diff(at) > 1])
-        taken = (k - np.maximum.accumulate(np.where(fresh, k, 0))) % 2 == 0
-        at, hat = at[taken], hat[taken]
-        used = np.bincount(hat, minlength=1 << bits)
-        good = np.flatnonzero(used >= LEAST_COUNT)[:RULES_A_ROUND]
-        if not len(good):
-            break
-        name = np.zeros(1 << bits, np.uint32)
-        name[good] = first_rule + len(rules) + np.arange(len(good))
-        keep = name[hat] > 0
-        at, hat = at[keep], hat[keep]
-        rules.extend(zip((owner[good] >> np.uint64(32)).tolist(), (owner[good] & np.uint64(0xFFFFFFFF)).tolist()))
+        best = np.full(len(seq) + 1, len(pairs), np.int32)
+        best[at] = rank
+        won = (best[at] < best[at - 1]) & (best[at] < best[at + 1])  # place -1 is the spare last one
+        used = np.bincount(rank[won], minlength=len(pairs)) >= LEAST_COUNT
+        won &= used[rank]
+        name = np.zeros(len(pairs), np.uint32)
+        name[used] = first_rule + len(rules) + np.arange(int(used.sum()))
+        rules.extend(zip((pairs[used] >> np.uint64(32)).tolist(), (pairs[used] & np.uint64(0xFFFFFFFF)).tolist()))
+        taken, waiting = at[won], at[~won]
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq = seq.copy()
-        seq[at] = name[hat]
+        stay[taken + 1] = False
+        seq[taken] = name[rank[won]]
+        new = np.cumsum(stay) - 1
         seq = seq[stay]
+        look = np.zeros(len(seq) + 1, bool)
+        look[new[taken]] = look[new[taken] - 1] = True
+        look[new[waiting[stay[waiting]]]] = True
+        at = np.flatnonzero(look[:max(0, len(seq) - 1)])
     return seq, np.array(rules, np.uint32).reshape(-1, 2)
 
 
@@ -109,8 +129,8 @@ def expand(seq: np.ndarray, rules: np.ndarray, first_rule: int, exp: list[np.nda
     return out
 
 
-def write_shard(uri: str, doc_ids: pa.Array, ids: np.ndarray, offs: np.ndarray, first_rule: int) -> tuple[int, int, int]:
-    """Write one file; returns symbols, rules and bytes."""
+def shard_bytes(doc_ids: pa.Array, ids: np.ndarray, offs: np.ndarray, first_rule: int) -> tuple[bytes, int, int]:
+    """A shard, and its numbers of symbols and rules."""
     seq, rules = grammar(ids, first_rule)
     lengths = np.array([len(x) for x in expansions(rules, first_rule)], "<u4")
     ends = np.flatnonzero(seq == END_ID) + 1
@@ -125,13 +145,11 @@ def write_shard(uri: str, doc_ids: pa.Array, ids: np.ndarray, offs: np.ndarray,
                      doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(),
                      doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(),
                      starts.tobytes(), offs.astype("<i8").tobytes(), body])
-    with open_uri(uri, "wb") as f:
-        f.write(blob)
-    return len(seq), len(rules), len(blob)
+    return blob, len(seq), len(rules)
 
 
 class Shard:
-    """A file read back; ``doc(k)`` decodes one document from its own symbols alone."""
+    """A shard read back; ``doc(k)`` decodes one document from its own symbols alone."""
 
     def __init__(self, blob: bytes):
         if blob[:8] != MAGIC:
@@ -159,8 +177,8 @@ class Shard:
         return expand(self.symbols[self.starts[k]:self.starts[k + 1]], self.rules, self.first_rule, self.expansions)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, vocabulary: int = 49408) -> DataFrame:
-    """Encode all documents, write them in ascending doc_id order as shard files, return the manifest.
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
+    """Encode all documents, write them in ascending doc_id order, return the manifest of shards.
 
     Documents are dealt by ranges of doc_id; nulls come first, repeated doc_ids stay side by side
     in no set order. A null or empty text is its end id alone. No rows give no files. A task that
@@ -169,35 +187,47 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or shared_dir(spark, "token-files")
+    vocabulary = first_free_id(tokenizer_path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, shard = word_ids(tokenizer_path, 1 << 21), TaskContext.get().partitionId(), 0
+        table, part = word_ids(tokenizer_path), TaskContext.get().partitionId()
+        uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rpair"
         held: list = []
-        n = 0
+        told: list[dict] = []
+        n = at = 0
+        file = None
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> None:
+            nonlocal file, at
             doc = pa.concat_arrays([h[0] for h in held]).cast(pa.int64())
-            lens = np.concatenate([np.diff(h[2]) for h in held])
-            offs = np.concatenate([[0], np.cumsum(lens)])
-            uri = f"{folder}/shard-{part:06d}-{shard:05d}-{uuid.uuid4().hex}.rpair"
-            sym, rules, size = write_shard(uri, doc, np.concatenate([h[1] for h in held]), offs, vocabulary)
-            return pa.RecordBatch.from_pylist([dict(path=uri, partition=part, shard=shard, n_docs=len(doc), n_ids=int(offs[-1]), n_symbols=sym, n_rules=rules, file_bytes=size)],
-                                              pa.schema([("path", pa.string()), ("partition", pa.int32()), ("shard", pa.int32())] + [(c, pa.int64()) for c in ("n_docs", "n_ids", "n_symbols", "n_rules", "file_bytes")]))
-
-        for b in batches:
-            ids, offs = table.encode(*utf8_column(b.column(1)))
-            i = 0
-            while i < b.num_rows:
-                j = max(i + (not held), int(np.searchsorted(offs, offs[i] + SHARD_IDS - n, "right")) - 1)
-                if j > i:
-                    held.append((b.column(0).slice(i, j - i), ids[offs[i]:offs[j]], offs[i:j + 1] - offs[i]))
-                    n += int(offs[j] - offs[i])
-                if j < b.num_rows:
-                    yield flush()
-                    held, n, shard = [], 0, shard + 1
-                i = j
-        if held:
-            yield flush()
+            offs = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[2]) for h in held]))])
+            blob, sym, rules = shard_bytes(doc, np.concatenate([h[1] for h in held]), offs, vocabulary)
+            file = file or open_uri(uri, "wb")
+            file.write(blob)
+            told.append(dict(path=uri, at=at, bytes=len(blob), partition=part, shard=len(told), n_docs=len(doc), n_ids=int(offs[-1]), n_symbols=sym, n_rules=rules))
+            at += len(blob)
+
+        try:
+            for b in batches:
+                ids, offs = table.encode(*utf8_column(b.column(1)))
+                i = 0
+                while i < b.num_rows:
+                    j = max(i + (not held), int(np.searchsorted(offs, offs[i] + SHARD_IDS - n, "right")) - 1)
+                    if j > i:
+                        held.append((b.column(0).slice(i, j - i), ids[offs[i]:offs[j]], offs[i:j + 1] - offs[i]))
+                        n += int(offs[j] - offs[i])
+                    if j < b.num_rows:
+                        flush()
+                        held, n = [], 0
+                    i = j
+            if held:
+                flush()
+        finally:
+            if file:
+                file.close()
+        # The manifest's rows come once the file is whole.
+        types = [("path", pa.string()), ("at", pa.int64()), ("bytes", pa.int64()), ("partition", pa.int32()), ("shard", pa.int32())] + [(c, pa.int64()) for c in ("n_docs", "n_ids", "n_symbols", "n_rules")]
+        yield pa.RecordBatch.from_pylist(told, pa.schema(types))
 
     manifest = (docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
                 .sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(tidy(task), MANIFEST))
@@ -208,18 +238,21 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Documents of the files in order: doc_id, start (ids before it), n_tokens, ids (binary)."""
-    # One row a file: the running sum over them is small beside the ids.
-    before = Window.orderBy("partition", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    small_batches(manifest.sparkSession)
-    files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("path", "base")
     spark = manifest.sparkSession
+    small_batches(spark)
+    # Ids before a shard: those of earlier partitions, one row for each writing task, and of earlier shards of its own.
+    before = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = manifest.groupBy("partition").agg(F.sum("n_ids").alias("n")).select("partition", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("zero"))
+    own = Window.partitionBy("partition").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.withColumn("own", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(tasks, "partition").select("path", "at", "bytes", (F.col("zero") + F.col("own")).alias("base"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for path, at, size, base in zip(*(c.to_pylist() for c in b.columns)):
                 with open_uri(path, "rb") as f:
-                    s = Shard(f.read())
+                    f.seek(at)
+                    s = Shard(f.read(size))
                 first = s.first_ids
                 for i in range(0, len(s.doc_ids), 512):
                     k = slice(i, min(i + 512, len(s.doc_ids)))
@@ -232,4 +265,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         pa.array([raw[4 * x - zero:4 * y - zero] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"])
 
-    return files.repartition(n).mapInArrow(tidy(task), "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartition(n).mapInArrow(tidy(task), "doc_id long, start long, n_tokens long, ids binary")

@@ -81,6 +81,44 @@ def test_best_fit_takes_the_tightest_window():
     assert max(np.bincount(window, weights=lens)) <= 10
 
 
+def test_best_fit_is_a_plain_scan():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        width = int(rng.integers(5, 70))
+        lens = rng.integers(1, width + 1, 80)
+        room, want = [], {}
+        for k in np.argsort(-lens, kind="stable"):
+            fits = [w for w in range(len(room)) if room[w] >= lens[k]]
+            w = min(fits, key=lambda w: room[w]) if fits else len(room)
+            if not fits:
+                room.append(width)
+            want[k] = room[w]  # the room the piece found
+            room[w] -= lens[k]
+        window, offset, n = packing.best_fit_decreasing(lens, width)
+        assert n == len(room) and all(width - offset[k] == r for k, r in want.items())
+
+
+def test_padding_does_not_grow_with_partitions(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack(d.repartition(211), queries.tokenizer_path()).agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+    assert got[0] <= 1.01 * -(-got[1] // 2048)
+
+
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    import json
+
+    config = json.load(open(queries.tokenizer_path()))
+    assert tokens.splits_at_blanks(config)
+    config["normalizer"] = {"type": "NFC"}
+    (tmp_path / "t.json").write_text(json.dumps(config))
+    from tokenizers import Tokenizer
+
+    texts = ["Ab  cD\n", "", "éÉ 12 x"]
+    ids, offs = tokens.word_ids(str(tmp_path / "t.json")).encode(*common.utf8_column(pa.array(texts)))
+    t = Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+
+
 def test_token_files_round_trip(spark, odd):
     for d in (odd, docs(spark)):
         man = token_files.write_token_files(d, queries.tokenizer_path())
@@ -91,12 +129,78 @@ def test_token_files_round_trip(spark, odd):
             assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (k, at, len(x), x.tobytes())
             at += len(x)
         assert len(back) == len(want)
-        with common.open_uri(man.first().path, "rb") as f:
-            s = token_files.Shard(f.read())
+        m = man.first()
+        with common.open_uri(m.path, "rb") as f:
+            f.seek(m.at)
+            s = token_files.Shard(f.read(m.bytes))
         assert all((s.doc(k) == s.all()[s.first_ids[k]:s.first_ids[k + 1]]).all() for k in range(len(s.doc_ids)))
     assert token_files.read_token_files(token_files.write_token_files(odd.limit(0), queries.tokenizer_path())).count() == 0
 
 
+def test_files_of_several_shards(spark):
+    d = docs(spark)
+    path = queries.tokenizer_path()
+    man = common.written(spark.createDataFrame(_one_task(d, path), token_files.MANIFEST), "manifest")
+    assert man.count() > 5 and man.select("path").distinct().count() == 1
+    back = {r.doc_id: (r.start, bytes(r.ids)) for r in token_files.read_token_files(man).collect()}
+    at = 0
+    for r, x in zip((o := d.orderBy("doc_id").collect()), library_ids([r.text for r in o])):
+        assert back[r.doc_id] == (at, x.tobytes())
+        at += len(x)
+
+
+def _one_task(d, path):
+    """Manifest rows of two writing tasks' worth of shards, written here."""
+    rows, base = [], common.shared_dir(d.sparkSession, "shards")
+    data = d.orderBy("doc_id").collect()
+    with common.open_uri(f"{base}/x.rpair", "wb") as f:
+        for k in range(0, len(data), 25):
+            part = data[k:k + 25]
+            ids = library_ids([r.text for r in part])
+            offs = np.cumsum([0] + [len(x) for x in ids])
+            blob, sym, rules = token_files.shard_bytes(pa.array([r.doc_id for r in part]), np.concatenate(ids), offs, 49408)
+            rows.append((f"{base}/x.rpair", f.tell(), len(blob), k // 100, k % 100, len(part), int(offs[-1]), sym, rules))
+            f.write(blob)
+    return rows
+
+
+def naive_repair(ids, first_rule, least):
+    """One rule at a time, for the pair with most non-overlapping places."""
+    seq, rules = list(ids), 0
+    while True:
+        count, last = Counter(), {}
+        for k, p in enumerate(zip(seq, seq[1:])):
+            if tokens.END_ID not in p and last.get(p) != k - 1:
+                count[p] += 1
+                last[p] = k
+        if not count or max(count.values()) < least:
+            return seq, rules
+        best = max(count, key=lambda p: (count[p], -p[0], -p[1]))
+        out, k = [], 0
+        while k < len(seq):
+            if tuple(seq[k:k + 2]) == best:
+                out.append(first_rule + rules)
+                k += 2
+            else:
+                out.append(seq[k])
+                k += 1
+        seq, rules = out, rules + 1
+
+
+def test_grammar_is_repair(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "LEAST_COUNT", 4)
+    rng = np.random.default_rng(2)
+    texts = np.concatenate(library_ids([r.text for r in docs(spark).limit(12).collect()]))
+    passage = rng.integers(2, 40, 60)
+    mixed = np.concatenate([np.concatenate([passage, rng.integers(2, 40, 20), [1]]) for _ in range(30)])
+    for ids in (texts[:4000], mixed, np.tile([3, 3, 3, 4], 200), np.full(500, 7)):
+        seq, rules = token_files.grammar(ids.astype(np.uint32), 50_000)
+        assert (token_files.expand(seq, rules, 50_000) == ids).all()
+        assert naive_repair(seq.tolist(), 90_000, 4)[1] == 0  # no frequent pair is left
+        want, n = naive_repair(ids.tolist(), 50_000, 4)
+        assert len(seq) + 3 * len(rules) <= 1.05 * (len(want) + 3 * n)
+
+
 def test_grammar_expands_to_its_input():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(2, 9, 5000), np.full(999, 5), np.tile([3, 3, 3, 4, 1], 300), np.zeros(0, int)):
