@@ -27,7 +27,7 @@ from .shingles import mix, part_hashes, prefix_hashes
 LENGTH, GRAM = 200, 48
 _WINDOW = LENGTH - GRAM + 1
 #: Bytes of one text that are hashed at a time; longer texts are cut with an overlap.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Longest stretch's bytes: all windows that can share an anchor.
 _LONGEST = LENGTH + _WINDOW - 1
 #: One document of SAMPLE tells which grams are common; seen less often than LEAST_COMMON there, none is.
@@ -221,7 +221,8 @@ _CONTENT = "akey long, rk long, rh int, start long, n int, rel int, known boolea
 def _contents(docs: DataFrame, opened: DataFrame) -> DataFrame:
     """Bytes of open stretches. A row's list of them is smaller than the row's text."""
     lists = opened.groupBy("rk", "rh").agg(F.collect_set(F.struct("akey", "start", "n", "rel", "full")).alias("x"))
-    joined = docs.select("rk", "rh", "text").join(lists, ["rk", "rh"])
+    # All columns of docs go along, as in the last join: one shuffle of the texts then serves both.
+    joined = docs.join(lists, ["rk", "rh"]).select("rk", "rh", "text", "x", "doc_id")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
