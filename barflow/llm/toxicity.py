@@ -2,8 +2,10 @@
 
 All terms of the labelled examples are indexed. Examples stand in blocks; a block keeps each common
 term's largest weight, which bounds its cosines, and only blocks that may hold a nearer example are
-searched, so the k nearest are exact. Their distance-weighted votes, shrunk to the base rate, give
-the score. Terms that stand nearly alone in toxic examples weigh BOOST times their TF-IDF.
+searched, so the k nearest are exact; an example is never its own neighbour. Their distance-weighted
+votes, shrunk to the base rate, give the score by a logistic curve fitted to the examples' own votes,
+each with itself left out. Terms that stand nearly alone in toxic examples weigh BOOST times their
+TF-IDF.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .common import small_batches, texts, tidy, written
 from .labelled import learnable, remainder
 
 #: Labelled rows to learn from at most; fewest toxic examples of a telling term, their least share, its boost.
-LABELLED_ROWS, LEAST_TOXIC, PURITY, BOOST = 20_000, 5, 0.8, 4.0
+LABELLED_ROWS, LEAST_TOXIC, PURITY, BOOST = 5_000, 5, 0.8, 4.0
 NEIGHBOURS, BLOCK, PULL = 25, 64, 1.0
 #: Terms in most examples, whose weights stand in a full matrix; queries searched together; blocks searched first.
 COMMON, TOGETHER, FIRST = 1024, 256, 8
@@ -174,6 +176,31 @@ def _unit(t: np.ndarray, c: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
     return t, w / size if size else w
 
 
+def vote(cos: np.ndarray, labels: np.ndarray, base: float) -> float:
+    """Share of toxic ones among neighbours, weighted by nearness and drawn to the base rate."""
+    w = 1 / (1.05 - np.minimum(cos, 1))
+    return float((w @ labels + PULL * base) / (w.sum() + PULL))
+
+
+def calibrated(p: float, curve: tuple[float, float]) -> float:
+    return float(1 / (1 + np.exp(-np.clip(curve[0] * np.log(p / (1 - p)) + curve[1], -30, 30))))
+
+
+def fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from a vote's log-odds to the label, by Newton's steps; labels are smoothed."""
+    if len(votes) < 20 or labels.min() == labels.max():
+        return 1.0, 0.0
+    x = np.stack([np.log(votes / (1 - votes)), np.ones(len(votes))], 1)
+    good, bad = labels.sum(), len(labels) - labels.sum()
+    want = np.where(labels > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    w = np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(h, x.T @ (p - want)), -2, 2)
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 class Examples:
     """Examples' counts as they are sent to the tasks, compressed; the index is made from them there."""
 
@@ -220,7 +247,8 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD,
 
     Every document with a term of any example is searched; one without (an empty or null text too)
     gets the share of toxic ones among such examples, and no evidence. A null doc_id is scored,
-    never held out; repeated rows get equal scores. Document frequencies cover all documents. At
+    never held out; repeated rows get equal scores; equal cosines go by the index's order. A very long
+    text is counted whole; no rows give no rows; with no labels every score is one half. Document frequencies cover all documents. At
     most ``labelled_rows`` examples.
     """
     small_batches(docs.sparkSession)
@@ -253,7 +281,7 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD,
     df = np.zeros(n_terms + 1)
     df[told["term"].to_numpy()] = told["df"].to_numpy()
     weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.where(telling, BOOST, 1.0)
-    examples = vectors.join(F.broadcast(known), "doc_id").toArrow()  # at most labelled_rows
+    examples = vectors.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("counts").alias("counts")).toArrow()  # at most labelled_rows
     ids, y = examples["doc_id"].to_numpy(), examples["label"].to_numpy().astype(np.int64)
     counts = examples["counts"].to_pylist()
     del examples
@@ -264,25 +292,34 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD,
     shared = sc.broadcast(Examples([counts[k] for k in full], y[full], ids[full], weight))
     del counts
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, weight = shared.value.index(), shared.value.weight
-        memo: dict[bytes, tuple] = {}
-        for b in batches:
-            s, near, cosines, votes = [], [], [], []
-            raws = b.column(1).to_pylist()
-            if len(memo) > 10_000:
-                memo.clear()
-            new = [raw for raw in dict.fromkeys(raws) if raw not in memo]
-            for raw, (at, cos) in zip(new, index.nearest_of([_unit(*_unpacked(raw), weight) for raw in new], NEIGHBOURS)):
-                w = 1 / (1.05 - np.minimum(cos, 1))
-                p = float((w @ index.labels[at] + PULL * base) / (w.sum() + PULL)) if len(at) else blank
-                memo[raw] = (p, index.ids[at[:5]].tolist(), cos[:5].tolist(), index.labels[at[:5]].tolist())
-            for raw in raws:
-                for out, x in zip((s, near, cosines, votes), memo[raw]):
-                    out.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(votes, pa.list_(pa.int64()))],
-                                             names=["doc_id", "score", "evidence_ids", "evidence_cosines", "evidence_labels"])
-
-    out = vectors.mapInArrow(tidy(vote), "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>, evidence_labels array<long>")
+    def voting(curve: tuple[float, float]):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, weight = shared.value.index(), shared.value.weight
+            memo: dict[bytes, tuple] = {}
+            for b in batches:
+                s, near, cosines, votes = [], [], [], []
+                own, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
+                if len(memo) > 10_000:
+                    memo.clear()
+                new = [raw for raw in dict.fromkeys(raws) if raw not in memo]
+                # One more than needed, as the document itself may be an example.
+                memo.update(zip(new, index.nearest_of([_unit(*_unpacked(raw), weight) for raw in new], NEIGHBOURS + 1)))
+                for doc, raw in zip(own, raws):
+                    at, cos = memo[raw]
+                    other = index.ids[at] != (-1 if doc is None else doc)
+                    at, cos = at[other][:NEIGHBOURS], cos[other][:NEIGHBOURS]
+                    s.append(calibrated(vote(cos, index.labels[at], base), curve) if len(at) else blank)
+                    near.append(index.ids[at[:5]].tolist())
+                    cosines.append(cos[:5].tolist())
+                    votes.append(index.labels[at[:5]].tolist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(votes, pa.list_(pa.int64()))],
+                                                 names=["doc_id", "score", "evidence_ids", "evidence_cosines", "evidence_labels"])
+
+        return tidy(task), "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>, evidence_labels array<long>"
+
+    own = vectors.filter("length(counts) > 0").join(F.broadcast(known.select("doc_id")), "doc_id").select("doc_id", "counts").mapInArrow(*voting((1.0, 0.0))).select("doc_id", "score").toArrow()
+    label = dict(zip(ids.tolist(), y.tolist()))
+    curve = fitted_curve(own["score"].to_numpy(), np.array([label[k] for k in own["doc_id"].to_pylist()], float))
+    out = vectors.mapInArrow(*voting(curve))
     return out.select("doc_id", F.coalesce(remainder("doc_id", mod) == held, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence_ids", "evidence_cosines", "evidence_labels")
