@@ -14,7 +14,7 @@ from .common import small_batches, tidy, utf8_column, written
 from .tokens import word_ids
 
 #: Ids that are packed together at most; bounds a task's memory.
-GROUP_IDS = 8 << 20
+GROUP_IDS = 2 << 20
 #: Pieces of windows less full than this are packed once more, over all partitions.
 CLOSED = 0.99
 

@@ -19,6 +19,8 @@ from .common import steps
 END_ID = 1
 #: Words that a worker remembers; its table then takes about 150 MB.
 MOST_WORDS = 1 << 21
+#: Parts of words with signs that it remembers besides.
+MOST_PIECES = 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Characters for which lower case, NFC and the split below need no table of Unicode.
@@ -107,7 +109,7 @@ class WordIds:
             if got is None:
                 named = p if p.isascii() else "".join(self.names[b] for b in p.encode())
                 got = tuple(t.id for t in self.model.tokenize(named))
-                if len(self.pieces) >= self.most >> 2:
+                if len(self.pieces) >= MOST_PIECES:
                     self.pieces.clear()
                 self.pieces[p] = got
             out.extend(got)
@@ -177,7 +179,7 @@ class WordIds:
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with the end id, and the n+1 offsets of the rows in them."""
         parts, lens = [], [np.zeros(0, np.int64)]
-        for i, j in steps(offs, 2 << 20):
+        for i, j in steps(offs):
             ids, n = self._step(raw[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
             parts.append(ids)
             lens.append(n)
