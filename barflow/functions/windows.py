@@ -6,19 +6,37 @@ shuffle and one sort serve all of them. Rows: W01-W23, W35, W42-W45, kernel R1.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of the linear recurrence; the smallest decay to this power stays a normal double.
-BLOCK = 64
+#: Rows of a block of the linear recurrence, and blocks of a superblock.
+BLOCK, SUPER = 64, 64
+#: What a carry's older parts may fall to before they are left out: below the last bit of a double.
+_NOTHING = 1e-18
 
 
 def _all():
-    return Window.partitionBy("symbol").orderBy("blk", "pos")
+    return Window.partitionBy("symbol").orderBy("sup", "blk", "pos")
 
 
 def _blk():
-    return Window.partitionBy("symbol", "blk").orderBy("pos")
+    return Window.partitionBy("symbol", "sup", "blk").orderBy("pos")
+
+
+def _sup():
+    return Window.partitionBy("symbol", "sup").orderBy("blk", "pos")
+
+
+def before():
+    """All earlier rows of the symbol."""
+    return _all().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def after():
+    """All later rows of the symbol."""
+    return _all().rowsBetween(1, Window.unboundedFollowing)
 
 
 def col(c: str | Column) -> Column:
@@ -26,9 +44,9 @@ def col(c: str | Column) -> Column:
 
 
 def indexed(bars: DataFrame) -> DataFrame:
-    """Add rn (1-based), blk and pos: rn = blk * BLOCK + pos + 1."""
+    """Add rn (1-based), blk, pos and sup: rn = blk * BLOCK + pos + 1, and SUPER blocks stand in a superblock."""
     rn = F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("long")
-    return bars.withColumn("rn", rn).withColumn("blk", F.floor((F.col("rn") - 1) / BLOCK).cast("long")).withColumn("pos", (F.col("rn") - 1) % BLOCK)
+    return bars.withColumn("rn", rn).withColumn("blk", F.floor((F.col("rn") - 1) / BLOCK).cast("long")).withColumn("pos", (F.col("rn") - 1) % BLOCK).withColumn("sup", F.floor(F.col("blk") / SUPER).cast("long"))
 
 
 def lag(c: str | Column, n: int = 1) -> Column:
@@ -97,18 +115,44 @@ def crossed_below(a: Column, b: Column, a_before: Column, b_before: Column) -> C
 def linear(df: DataFrame, x: str, out: str, gain: float, start: int = 1) -> DataFrame:
     """Kernel R1: y = (1 - gain) * y_before + gain * x, y at row ``start`` is x there; null before.
 
-    Within a block the recurrence is a scaled running sum; the ends of earlier blocks are folded
-    into the carry. ``x`` must not be null from row ``start`` on.
+    Within a block the recurrence is a scaled running sum. The ends of earlier blocks are carried on
+    by a scaled running sum within the superblock, and its last value by that of the superblocks
+    before; a fast decay needs the last few rows or blocks alone. All windows share one sort, and
+    the work is linear in the rows. ``x`` must not be null from row ``start`` on.
     """
     d = 1.0 - gain
-    if d == 0.0:
-        return df.withColumn(out, F.when(F.col("rn") >= start, F.col(x)))
     u = F.when(F.col("rn") == start, F.col(x)).when(F.col("rn") > start, F.lit(gain) * F.col(x)).otherwise(0.0)
-    df = df.withColumn("_u", u * F.pow(F.lit(d), -F.col("pos")))
-    df = df.withColumn("_l", F.pow(F.lit(d), F.col("pos")) * F.sum("_u").over(_blk().rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_e", F.collect_list(F.when(F.col("pos") == BLOCK - 1, F.col("_l"))).over(_all().rowsBetween(Window.unboundedPreceding, -1)))
-    carry = F.aggregate("_e", F.lit(0.0), lambda c, e: c * F.lit(d**BLOCK) + e)
-    return df.withColumn(out, F.when(F.col("rn") >= start, F.col("_l") + F.pow(F.lit(d), F.col("pos") + 1) * carry)).drop("_u", "_l", "_e")
+    if d < 1e-3:  # d ** -63 would overflow; five rows hold all there is
+        df = df.withColumn("_ru", u)
+        y = sum(F.coalesce(lag("_ru", k), F.lit(0.0)) * d**k for k in range(1, 6)) + F.col("_ru")
+        return df.withColumn(out, F.when(F.col("rn") >= start, y)).drop("_ru")
+    df = df.withColumn("_ru", u * F.pow(F.lit(d), -F.col("pos")))
+    df = df.withColumn("_rl", F.pow(F.lit(d), F.col("pos")) * F.sum("_ru").over(_blk().rowsBetween(Window.unboundedPreceding, 0)))
+    end, block = F.col("pos") == BLOCK - 1, d**BLOCK
+    if block < 1e-4:
+        df, carry = _ends(df, F.when(end, F.col("_rl")), end, block)
+    else:
+        place = F.col("blk") % SUPER
+        df = df.withColumn("_re", F.when(end, F.col("_rl") * F.pow(F.lit(block), -(place + 1))).otherwise(0.0))
+        df = df.withColumn("_rs", F.sum("_re").over(_sup().rowsBetween(Window.unboundedPreceding, 0)))
+        last = end & (place == SUPER - 1)
+        df, older = _ends(df, F.when(last, F.pow(F.lit(block), F.lit(SUPER)) * F.col("_rs")), last, block**SUPER)
+        carry = F.pow(F.lit(block), place) * (F.col("_rs") - F.col("_re") + older)
+    return df.withColumn(out, F.when(F.col("rn") >= start, F.col("_rl") + F.pow(F.lit(d), F.col("pos") + 1) * carry)).drop("_ru", "_rl", "_re", "_rs", *[c for c in df.columns if c.startswith("_rc")])
+
+
+def _ends(df: DataFrame, value: Column, at: Column, decay: float) -> tuple[DataFrame, Column]:
+    """The carry from values that stand at the ends of stretches: the newest, the one before times ``decay``, and so on."""
+    terms = 1 + max(0, math.ceil(math.log(_NOTHING) / math.log(decay))) if 0 < decay < 1 else 1
+    if terms > 32:  # a mean over very many rows: few superblocks stand against so slow a decay
+        df = df.withColumn("_rc", F.collect_list(value).over(before()))
+        return df, F.aggregate("_rc", F.lit(0.0), lambda c, e: c * F.lit(decay) + e)
+    df, carry = df.withColumn("_rc0", value), F.lit(0.0)
+    for k in range(terms):
+        # What stood before an end, kept at that end, is the second newest after it.
+        df = df.withColumn(f"_rc{k + 1}", F.last(F.col(f"_rc{k}") if k == 0 else F.when(at, F.col(f"_rc{k}")), ignorenulls=True).over(before()))
+        carry = carry + F.coalesce(F.col(f"_rc{k + 1}"), F.lit(0.0)) * decay**k
+    return df, carry
 
 
 def ema(df: DataFrame, x: str, out: str, span: int, start: int = 1, min_periods: int = 0) -> DataFrame:

@@ -1,11 +1,13 @@
-"""News, evidence and text scoring."""
+"""News, evidence and text scoring."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import one_by_one
 from .joins import jaccard
+from .validation import components
 
 
 def title_tokens(c: Column) -> Column:
@@ -56,45 +58,57 @@ def html_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t\r\f]+", " "), r" ?\n\s*", "\n"))
 
 
-def similar_titles(news: DataFrame, least: float = 0.72, hours: int = 36) -> DataFrame:
-    """N01 edges (later, earlier): titles whose token sets are similar and at most ``hours`` apart.
+def _titled(news: DataFrame, hours: int) -> DataFrame:
+    """Items with their title's tokens and node: items of equal tokens in one stretch of ``hours`` share a node."""
+    d = news.select("id", "published", F.array_sort(title_tokens(F.col("title"))).alias("t")).withColumn("b", F.floor(F.col("published") / (hours * 3600)))
+    return d.withColumn("node", F.when(F.size("t") > 0, F.concat_ws(" ", F.col("b").cast("string"), F.array_join("t", " "))))
+
+
+def similar_titles(titled: DataFrame, least: float) -> DataFrame:
+    """N01 edges between nodes (a, b) of one stretch or of neighbouring ones whose tokens are similar; b is not later.
 
     Titles meet on their rarest tokens alone: sets of n and m tokens with a similarity of t share
     one of the first n - ceil(t * n) + 1 in any common order, so no frequent token brings all its
-    titles together.
+    titles together. Equal titles of a stretch are one node, however many there are.
     """
-    d = news.select("id", "published", title_tokens(F.col("title")).alias("t")).filter(F.size("t") > 0)
-    one = d.select("id", F.explode("t").alias("w"))
+    d = titled.filter("node IS NOT NULL").select("node", "t", "b").distinct()
+    one = d.select("node", F.explode("t").alias("w"))
     df = one.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = one.join(df, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    ranked = one.join(df, "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
     n = F.size("o")
-    seeds = ranked.select("id", F.explode(F.slice("o", F.lit(1), n - F.ceil(F.lit(least) * n).cast("int") + 1)).alias("x")).select("id", "x.w").join(d, "id")
-    # Times meet in windows as long as the allowed gap, each with its neighbour.
-    step = hours * 3600
-    a = seeds.withColumn("b", F.floor(F.col("published") / step))
-    z = a.select("w", F.explode(F.array("b", F.col("b") + 1)).alias("b"), F.col("id").alias("id2"), F.col("published").alias("p2"), F.col("t").alias("t2"))
-    later = (F.col("published") > F.col("p2")) | ((F.col("published") == F.col("p2")) & (F.col("id") > F.col("id2")))
-    pairs = a.join(z, ["w", "b"]).filter(later & (F.col("published") - F.col("p2") <= step) & (jaccard(F.col("t"), F.col("t2")) >= least))
-    return pairs.select("id", "published", F.col("id2").alias("before"), F.col("p2").alias("before_published")).distinct()
+    a = ranked.select("node", F.explode(F.slice("o", F.lit(1), n - F.ceil(F.lit(least) * n).cast("int") + 1)).alias("x")).select("node", "x.w").join(d, "node")
+    z = a.select("w", F.col("b").alias("b2"), F.explode(F.array("b", F.col("b") + 1)).alias("b"), F.col("node").alias("node2"), F.col("t").alias("t2"))
+    once = (F.col("b2") < F.col("b")) | (F.col("node") > F.col("node2"))
+    return a.join(z, ["w", "b"]).filter(once & (jaccard(F.col("t"), F.col("t2")) >= least)).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
-def stories(news: DataFrame, least: float = 0.72, hours: int = 36, rounds: int = 200) -> DataFrame:
+def stories(news: DataFrame, least: float = 0.72, hours: int = 36) -> DataFrame:
     """Id and leader of each item: an item leads unless an earlier leader is similar; others join the newest similar leader.
 
-    Items without an undecided or leading earlier neighbour lead; items with a leading one join it;
-    rounds go on until all are decided, each written to the checkpoint folder.
+    Items that similar titles tie together, however long the chain, are sorted by time and pass one
+    by one; held are the leaders of the last ``hours`` alone. Titles without tokens lead themselves.
     """
-    edges = similar_titles(news, least, hours).select("id", "before", "before_published").checkpoint()
-    state = news.select("id", "published").withColumn("leads", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
-        known = edges.join(state.select(F.col("id").alias("before"), F.col("leads").alias("bl")), "before").groupBy("id").agg(
-            F.max(F.coalesce(F.col("bl"), F.lit(False)).cast("int")).alias("led"), F.max(F.col("bl").isNull().cast("int")).alias("open"))
-        state = (state.join(known, "id", "left").withColumn("leads", F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led") == 1, False).when(F.coalesce(F.col("open"), F.lit(0)) == 0, True))
-                 .select("id", "published", "leads").checkpoint())
-        if state.filter("leads IS NULL").isEmpty():
-            break
-    lead = edges.join(state.filter("leads").select(F.col("id").alias("before")), "before").groupBy("id").agg(F.max_by("before", F.struct("before_published", "before")).alias("leader"))
-    return state.join(lead, "id", "left").select("id", "published", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
+    d = _titled(news, hours)
+    edges = similar_titles(d, least).checkpoint()
+    comp = components(edges)
+    near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
+    d = d.join(comp.withColumnRenamed("component", "c"), "node", "left").join(near.withColumnRenamed("a", "node"), "node", "left")
+    d = d.withColumn("c", F.coalesce("c", "node", F.col("id").cast("string")))
+
+    def step(state: dict, row: dict) -> int:
+        at, who = row["published"], row["id"]
+        if row["node"] is None:
+            return who
+        leaders = state.setdefault("leaders", {})  # oldest first
+        while leaders and at - (oldest := next(iter(leaders.items())))[1][0] > hours * 3600:
+            del leaders[oldest[0]]
+        nodes = {row["node"], *(row["near"] or [])}
+        hit = next((k for k, (_, node) in reversed(leaders.items()) if node in nodes), None)
+        if hit is None:
+            leaders[who] = (at, row["node"])
+        return who if hit is None else hit
+
+    return one_by_one(d, ["c"], ["published", "id", "node", "near"], "leader long", step, ["id", "published"]).drop("c")
 
 
 def story_evidence(news: DataFrame, story: DataFrame, now: int) -> DataFrame:

@@ -1,34 +1,30 @@
 """Trades from signals (K01-K04, K06, K10-K13, K16-K18, kernel R2).
 
 A signal's exit does not depend on earlier trades, so candidates are built by windows and bounded
-range joins; only the rule that trades do not overlap is a fold, over a group's candidates.
+range joins; only rules that depend on what was taken before pass a group's sorted rows one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
+from ..functions.ordered import one_by_one
 
 _FIELDS = ["signal", "exit_rn", "entry_time", "exit_time", "entry_price", "exit_price", "gross_return", "score", "duration_bars", "forced"]
 
 
 def non_overlapping(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """R2: in order of signal, those whose signal is not before the last taken one's exit."""
-    rows = F.array_sort(F.collect_list(F.struct(*_FIELDS)))
-    none = F.lit(-1).cast("long")
-    # The state is the last exit; taken candidates' places gather as numbers only.
-    fold = F.aggregate(
-        F.col("c"), F.struct(none.alias("last"), F.array().cast("array<long>").alias("taken"), F.lit(0).cast("long").alias("i")),
-        lambda s, x: F.struct(F.when(x["signal"] >= s["last"], x["exit_rn"]).otherwise(s["last"]).alias("last"),
-                              F.when(x["signal"] >= s["last"], F.concat(s["taken"], F.array(s["i"]))).otherwise(s["taken"]).alias("taken"), (s["i"] + 1).alias("i")),
-        lambda s: s["taken"])
-    d = candidates.groupBy(*keys).agg(rows.alias("c")).withColumn("t", fold)
-    return d.select(*keys, F.explode("t").alias("i"), "c").select(*keys, F.element_at("c", (F.col("i") + 1).cast("int")).alias("x")).select(*keys, "x.*")
+
+    def step(state: dict, row: dict) -> int | None:
+        if row["signal"] < state.get("last", -1):
+            return None
+        state["last"] = row["exit_rn"]
+        return 1
+
+    return one_by_one(candidates, keys, _FIELDS, "_taken long", step, _FIELDS).drop("_taken")
 
 
 def from_signals(bars: DataFrame, max_hold: int, stop: str | None = None, target: str | None = None, score: str | None = None) -> DataFrame:
@@ -40,8 +36,7 @@ def from_signals(bars: DataFrame, max_hold: int, stop: str | None = None, target
     or at no price, are void and do not block later ones.
     """
     n = F.max("rn").over(Window.partitionBy("symbol"))
-    later = Window.partitionBy("symbol").orderBy("blk", "pos").rowsBetween(1, Window.unboundedFollowing)
-    d = bars.withColumn("_n", n).withColumn("_x", F.first(F.when(F.col("exit") & (F.col("rn") < F.col("_n")), F.col("rn")), ignorenulls=True).over(later))
+    d = bars.withColumn("_n", n).withColumn("_x", F.first(F.when(F.col("exit") & (F.col("rn") < F.col("_n")), F.col("rn")), ignorenulls=True).over(w.after()))
     d = d.withColumn("_next", w.lead("open"))
     c = d.filter(F.col("entry") & (F.col("rn") < F.col("_n")) & (F.col("_next") > 0))
     natural = F.coalesce(F.col("_x") + 1, F.col("_n"))
@@ -142,29 +137,19 @@ def capacity_bounded(trades: DataFrame, keys: list[str], most: int) -> DataFrame
 
     A key's trades are sorted by Spark and pass one by one; only the open set is held.
     """
-    order = ["entry_time", "_o", "symbol", "exit_time", "trade_id"]
-    names = [f"_k{i}" for i in range(len(keys))]
-    kinds = dict(trades.dtypes)
-    schema = ", ".join([*[f"{n} {kinds[k]}" for n, k in zip(names, keys)], "trade_id long"])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
-        for b in batches:
-            columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
-            taken = []
-            for i, (*k, entry, _, symbol, exit_, _) in enumerate(zip(*columns)):
-                if k != key:
-                    key, held = k, {}
-                held = {s: e for s, e in held.items() if e is not None and e > entry} if entry is not None else {}
-                if len(held) < most and symbol not in held:
-                    held[symbol] = exit_
-                    taken.append(i)
-            t = b.take(pa.array(taken, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*t.columns[:len(keys)], t.columns[-1].cast(pa.int64())], names=[*names, "trade_id"])
-
-    d = trades.withColumn("_o", -F.col("score")).select(*[F.col(k).alias(n) for n, k in zip(names, keys)], *order)
-    taken = d.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(fold, schema)
-    return trades.join(taken.toDF(*keys, "trade_id"), [*keys, "trade_id"], "left_semi")
+
+    def step(state: dict, row: dict) -> int | None:
+        entry, held = row["entry_time"], state.setdefault("held", {})
+        for symbol in [k for k, e in held.items() if entry is None or e is None or e <= entry]:
+            del held[symbol]
+        if len(held) >= most or row["symbol"] in held:
+            return None
+        held[row["symbol"]] = row["exit_time"]
+        return 1
+
+    d = trades.withColumn("_o", -F.col("score"))
+    taken = one_by_one(d, keys, ["entry_time", "_o", "symbol", "exit_time", "trade_id"], "_taken long", step, ["trade_id"])
+    return trades.join(taken.drop("_taken"), [*keys, "trade_id"], "left_semi")
 
 
 def episodes(trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,18 +160,17 @@ def episodes(trades: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys, "episode").agg(F.min("entry_time").alias("entry_time"), F.max("exit_time").alias("exit_time"), F.count("*").alias("trades"), (F.product(1.0 + F.col("gross_return")) - 1.0).alias("gross_return"))
 
 
-def lanes(trades: DataFrame, keys: list[str], most: int = 16) -> DataFrame:
-    """The first lane whose last exit lies before the entry; trades beyond ``most`` lanes get null."""
-    rows = F.array_sort(F.collect_list(F.struct("entry_time", "exit_time", "trade_id")))
-    start = F.struct(F.array_repeat(F.lit("1900-01-01").cast("timestamp"), most).alias("ends"), F.array().cast("array<struct<trade_id:long,lane:int>>").alias("out"))
+def lanes(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """The first lane whose last exit lies before the entry, or a new one. Only the lanes' last exits are held."""
 
-    def step(s, x):
-        free = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: F.element_at(s["ends"], k) < x["entry_time"])
-        lane = F.when(F.size(free) > 0, F.element_at(free, 1))
-        return F.struct(F.transform(s["ends"], lambda e, i: F.when(i + 1 == lane, x["exit_time"]).otherwise(e)).alias("ends"), F.concat(s["out"], F.array(F.struct(x["trade_id"].alias("trade_id"), lane.alias("lane")))).alias("out"))
+    def step(state: dict, row: dict) -> int:
+        ends = state.setdefault("ends", [])
+        lane = next((k for k, e in enumerate(ends) if e is not None and row["entry_time"] is not None and e < row["entry_time"]), len(ends))
+        ends[lane:lane + 1] = [row["exit_time"]]
+        return lane + 1
 
-    d = trades.groupBy(*keys).agg(rows.alias("c"))
-    return trades.join(d.select(*keys, F.explode(F.aggregate("c", start, step, lambda s: s["out"])).alias("x")).select(*keys, "x.*"), [*keys, "trade_id"])
+    dealt = one_by_one(trades, keys, ["entry_time", "exit_time", "trade_id"], "lane long", step, ["trade_id"])
+    return trades.join(dealt, [*keys, "trade_id"])
 
 
 def replay_audit(trades: DataFrame, key: str) -> DataFrame:
@@ -219,8 +203,7 @@ def setup_trades(bars: DataFrame, wait: int, stop_atr: float, target_atr: float,
 
     ``bars`` is indexed and has setup, exit and atr. The latest setup before a bar counts.
     """
-    before = Window.partitionBy("symbol").orderBy("blk", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    s = F.last(F.when(F.col("setup"), F.struct("rn", "high")), ignorenulls=True).over(before)
+    s = F.last(F.when(F.col("setup"), F.struct("rn", "high")), ignorenulls=True).over(w.before())
     d = bars.withColumn("_s", s).withColumn("_ok", F.coalesce((F.col("rn") - F.col("_s.rn") <= wait) & (F.col("close") > F.col("_s.high")), F.lit(False)))
     d = d.withColumn("entry", F.col("_ok") & ~F.coalesce(w.lag("_ok"), F.lit(False))).withColumn("stop", stop_atr * F.col("atr")).withColumn("target", target_atr * F.col("atr"))
     return from_signals(d.drop("_s", "_ok"), max_hold, "stop", "target")

@@ -48,17 +48,27 @@ def redundancy(trades: DataFrame, key: str, least_days: int = 10, jaccard: float
     return d.withColumn("redundant", (F.col("jaccard") >= jaccard) | F.coalesce((F.col("days") >= least_days) & (F.col("corr") >= corr), F.lit(False))).select("a", "b", "jaccard", "days", "corr", "redundant")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """Node and smallest node of its component; labels spread along edges, written each round."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    lab = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(lab.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        new = lab.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")).checkpoint()
-        lab = new.select("node", "component")
-        if new.filter("moved").isEmpty():
+def components(edges: DataFrame) -> DataFrame:
+    """Node and smallest node of its component, for every node of an edge between two.
+
+    Each round ties the larger neighbours of a node, then the others, to its smallest one; rounds go
+    on until one changes nothing, a few more than the logarithm of the longest chain. Edges with a
+    null end and loops count for nothing.
+    """
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a") != F.col("b")).alias("_two")).filter("_two").drop("_two").distinct().checkpoint()
+    seen = None
+    while True:
+        mark = tuple(now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.crc32(F.concat_ws("|", "a", "b").cast("binary")))).first())
+        if mark == seen or not mark[0]:
             break
-    return lab
+        seen = mark
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        tied = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        now = large.join(least, "a").select(F.explode(tied).alias("e")).select("e.a", "e.b").filter("a <> b").distinct().checkpoint()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def champions(hypotheses: DataFrame, comp: DataFrame, key: str, score: str) -> DataFrame:

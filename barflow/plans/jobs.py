@@ -39,7 +39,7 @@ def state_features(bars: DataFrame, prefix: str) -> DataFrame:
         f"{prefix}_ret1": F.col("_ret"), f"{prefix}_ret3": w.pct_change("close", 3), f"{prefix}_range": (F.col("high") - F.col("low")) / F.nullif(F.col("close"), F.lit(0.0)),
         f"{prefix}_vol": F.when(F.count("_ret").over(w.frame(20)) >= 5, F.stddev_samp("_ret").over(w.frame(20))), f"{prefix}_ema5": F.col("close") / F.col("_e5") - 1, f"{prefix}_ema20": F.col("close") / F.col("_e20") - 1,
         f"{prefix}_trend": F.col("_e5") / F.col("_e20") - 1, f"{prefix}_volume": F.log1p("volume") - F.avg(F.log1p("volume")).over(w.frame(20))})
-    return d.drop("_ret", "_e5", "_e20", "rn", "blk", "pos")
+    return d.drop("_ret", "_e5", "_e20", "rn", "blk", "pos", "sup")
 
 
 def causal_dataset(fine: DataFrame, coarse: DataFrame, sessions: DataFrame, minutes: int, context_minutes: int) -> DataFrame:

@@ -47,6 +47,15 @@ def test_linear_recurrence_is_ewm(spark, bars, frame, gain):
     np.testing.assert_allclose(got.y, want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("gain", [0.9995, 0.9, 0.5, 0.13, 0.04, 2 / 201, 0.001, 0.00005])
+def test_long_recurrences_carry_over_superblocks(spark, gain):
+    x = np.random.default_rng(4).normal(5, 1, 20_000)
+    d = spark.createDataFrame(pd.DataFrame({"symbol": "a", "ts": np.arange(len(x)), "x": x}))
+    got = w.linear(w.indexed(d), "x", "y", gain, 3).orderBy("ts").toPandas().y
+    assert got[:2].isna().all()
+    np.testing.assert_allclose(got[2:], pd.Series(x[2:]).ewm(alpha=gain, adjust=False).mean(), rtol=1e-9)
+
+
 @pytest.mark.parametrize("make", [lambda d: w.rsi(d, "y", 14), lambda d: w.atr(d, "y", 14), lambda d: w.adx(d, 5, "y"), lambda d: w.macd(d).withColumn("y", F.col("macd_hist")), lambda d: w.cci(d, 20, "y"), lambda d: w.mfi(d, 14, "y"), lambda d: d.withColumn("y", w.williams_r(5))])
 def test_a_prefix_gives_the_same_values(spark, frame, make):
     whole = make(w.indexed(spark.createDataFrame(frame))).select("symbol", "ts", "y").toPandas()
@@ -108,6 +117,34 @@ def test_stories_follow_the_sequential_rule(spark):
     assert got == want
 
 
+def test_a_long_row_of_stories_and_many_equal_titles(spark):
+    # Each title is like its two neighbours alone, so every second one leads; far-off equal ones start anew.
+    items = [(k, k * 3600, "p", f"w{k:03d} w{k + 1:03d} w{k + 2:03d} w{k + 3:03d}", "t") for k in range(500)]
+    items += [(1000 + k, 10**7 + k * 60, "p", "same title here again", "t") for k in range(5000)]
+    got = {r.id: r.leader for r in n.stories(spark.createDataFrame(items, "id long, published long, provider string, title string, summary string"), 0.6).collect()}
+    assert all(got[k] == k - k % 2 for k in range(500))
+    span = 36 * 60 + 1
+    assert all(got[1000 + k] == 1000 + k // span * span for k in range(5000))
+
+
+def test_a_chain_is_one_component(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(500)] + [(None, 3), (900, 900)], "a long, b long")
+    got = v.components(e).collect()
+    assert {r.component for r in got} == {0} and len(got) == 501
+
+
+def test_lanes_are_first_fit_without_a_bound(spark):
+    rng = random.Random(2)
+    rows = [("k", s := rng.randrange(200), s + rng.randrange(0, 90), i) for i in range(300)]
+    d = spark.createDataFrame(rows, "h string, entry_time long, exit_time long, trade_id long")
+    ends, want = [], {}
+    for _, a, z, i in sorted(rows, key=lambda r: (r[1], r[2], r[3])):
+        lane = next((k for k, e in enumerate(ends) if e < a), len(ends))
+        ends[lane:lane + 1] = [z]
+        want[i] = lane + 1
+    assert {r.trade_id: r.lane for r in t.lanes(d, ["h"]).collect()} == want and max(want.values()) > 16
+
+
 def test_components_and_matching(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 3)], "a long, b long")
     assert {(r.node, r.component) for r in v.components(e).collect()} == {(1, 1), (2, 1), (3, 1), (9, 1), (7, 7), (8, 7)}
