@@ -13,50 +13,26 @@ from ..operators import signals as s
 from ..operators import trades as t
 from . import bindings as b
 from .registry import query, shown
+from .signal_sql import signal_sql
 
 D, T = b.with_sql("daily"), b.with_sql("trades")
 _TRADE = ["exit_time", "entry_price", "exit_price", "gross_return", "duration_bars", "forced"]
 
 
-def _counted(name):
+def _signalled(name):
     def run(spark, sf_dir):
         kind = {"spy_month_end": {"symbols": ("1", "2", "3")}, "tlt_thursday_dip": {"symbols": ("1", "2", "3")}}.get(name, {})
         d = s.signals(b.daily_bars(spark, sf_dir), name, **kind)
-        return d.groupBy("symbol").agg(F.sum(F.col("entry").cast("long")).alias("entries"), F.sum(F.col("exit").cast("long")).alias("exits"))
+        return shown(d.filter(F.col("entry") | F.col("exit")).withColumn("ts", F.col("ts").cast("string")), ["symbol", "ts"], ["entry", "exit"])
 
-    run.__doc__ = f"K08/K09 {name}: entries and exits of each symbol over daily bars."
+    run.__doc__ = f"K08/K09 {name}: bars with an entry or an exit."
     return run
 
 
 _X = D + ", x AS (SELECT *, lag(close) OVER s AS pc, lag(high) OVER s AS ph, lag(low) OVER s AS pl, lag(open) OVER s AS po, lag(low, 2) OVER s AS l2, lag(close, 2) OVER s AS c2, min(low) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS lo5, max(high) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS hi5 FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY ts))"
-_COUNT = "SELECT symbol, CAST(count(*) FILTER ({e}) AS BIGINT) AS entries, CAST(count(*) FILTER ({x}) AS BIGINT) AS exits FROM {f} GROUP BY symbol"
 _MA = "avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS {n} PRECEDING)"
-
-
-def _cross(a, z, c, d):
-    ma = lambda n: f"CASE WHEN rn >= {n} THEN {_MA.format(n=n - 1)} END"
-    return D + f", x AS (SELECT symbol, ts, {ma(a)} - ({ma(z)}) AS u, {ma(c)} - ({ma(d)}) AS v FROM bars), y AS (SELECT *, lag(u) OVER (PARTITION BY symbol ORDER BY ts) AS pu, lag(v) OVER (PARTITION BY symbol ORDER BY ts) AS pv FROM x) " + _COUNT.format(e="u > 0 AND pu <= 0", x="v < 0 AND pv >= 0", f="y")
-
-
-_ORACLES = {
-    "consecutive_lower_lows": _X + _COUNT.format(e="rn > 3 AND low < pl AND pl < l2", x="close > ph", f="x"),
-    "consecutive_lower_closes": _X + _COUNT.format(e="rn > 3 AND close < pc AND pc < c2", x="close > ph", f="x"),
-    "close_below_n_day_low": _X + _COUNT.format(e="rn > 5 AND close < lo5", x="close > ph", f="x"),
-    "five_bar_contrarian": _X + _COUNT.format(e="rn > 5 AND low < lo5", x="rn > 5 AND high > hi5", f="x"),
-    "n_bar_breakout": _X + _COUNT.format(e="rn > 5 AND high > hi5", x="rn > 5 AND low < lo5", f="x"),
-    "bearish_engulfing_contrarian_long": _X + _COUNT.format(e="pc > po AND close < open AND open >= pc AND close <= po", x="close > ph", f="x"),
-    "bullish_engulfing_long": _X + _COUNT.format(e="pc < po AND close > open AND open <= pc AND close >= po", x="close > ph", f="x"),
-    "bullish_harami": _X + _COUNT.format(e="pc < po AND close > open AND open > pc AND close < po", x="close > ph", f="x"),
-    "piercing_line": _X + _COUNT.format(e="pc < po AND close > open AND open < pl AND close > (po + pc) / 2 AND close < po", x="close > ph", f="x"),
-    "ma_crossover": _cross(50, 200, 50, 200),
-    "asymmetric_ma_crossover": _cross(70, 210, 110, 230),
-    "spy_month_end": D + f", x AS (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS nx, lag(high) OVER (PARTITION BY symbol ORDER BY ts) AS ph, {_MA.format(n=199)} AS ma FROM bars) " + _COUNT.format(e="symbol IN ('1', '2', '3') AND date_trunc('month', ts) <> date_trunc('month', nx) AND rn >= 200 AND close > ma", x="close > ph", f="x"),
-    "tlt_thursday_dip": D + f", x AS (SELECT *, lag(high) OVER (PARTITION BY symbol ORDER BY ts) AS ph, {_MA.format(n=4)} AS ma FROM bars) " + _COUNT.format(e="symbol IN ('1', '2', '3') AND isodow(ts) = 4 AND rn >= 5 AND close < ma", x="close > ph", f="x"),
-    "bollinger_breakout": D + ", x AS (SELECT *, avg(close) OVER f AS m, stddev_pop(close) OVER f AS sd FROM bars WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS 99 PRECEDING)) " + _COUNT.format(e="rn >= 100 AND close > m + 3 * sd", x="rn >= 100 AND close < m - sd", f="x"),
-    "rotational_momentum": D + f", x AS (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS nx, close / lag(close, 60) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS mom, {_MA.format(n=99)} AS ma FROM bars), e AS (SELECT *, date_trunc('month', ts) <> date_trunc('month', nx) AS is_end FROM x), k AS (SELECT symbol, ts, row_number() OVER (PARTITION BY date_trunc('month', ts) ORDER BY mom DESC, symbol) AS k FROM e WHERE is_end AND rn >= 100 AND close > ma AND mom > 0) SELECT e.symbol, CAST(count(*) FILTER (k.k <= 5) AS BIGINT) AS entries, CAST(count(*) FILTER (is_end) AS BIGINT) AS exits FROM e LEFT JOIN k ON k.symbol = e.symbol AND k.ts = e.ts GROUP BY e.symbol",
-}
 for _n in [*s.STRATEGIES, *s.TEMPLATES]:
-    query(f"k_{_n}", _ORACLES.get(_n))(_counted(_n))
+    query(f"k_{_n}", signal_sql(_n))(_signalled(_n))
 
 
 def _breakouts(spark, sf_dir):
