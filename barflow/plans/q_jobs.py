@@ -12,6 +12,7 @@ from ..sources import files
 from ..streaming import jobs as stream
 from . import bindings as b
 from . import jobs
+from . import trade_sql as q
 from .q_text import b_dir
 from .registry import query, shown
 
@@ -127,8 +128,8 @@ def _streamed(spark, sf_dir, build, label: str, mode: str = "append"):
     src = spark.readStream.schema(schema).parquet(where if not where.endswith(".parquet") else f"{sf_dir}/event[s].parquet")
     t = src.select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), (1.0 + F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))).alias("size"))
     out = build(t)
-    q = out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    run = out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
@@ -185,7 +186,7 @@ def screen(spark, sf_dir):
     return shown(files.screened(p_, [("p_size", ">=", 10), ("p_retailprice", "<", 1500.0)], "p_retailprice", 25), ["p_partkey"], ["p_size", "p_retailprice"])
 
 
-@query("k_setup")
+@query("k_setup", q.setup_sql())
 def setups(spark, sf_dir):
     """Low RSI as setup."""
     from ..operators import trades as t
@@ -196,7 +197,7 @@ def setups(spark, sf_dir):
     return shown(d.withColumn("exit_time", F.col("exit_time").cast("string")), ["symbol", "entry_time"], ["exit_time", "entry_price", "exit_price", "gross_return", "duration_bars", "forced"])
 
 
-@query("k_schedule")
+@query("k_schedule", q.schedule_sql())
 def scheduled(spark, sf_dir):
     """Flags of the breakout trades."""
     from ..operators import signals as s

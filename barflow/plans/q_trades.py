@@ -12,6 +12,7 @@ from ..operators import metrics as m
 from ..operators import signals as s
 from ..operators import trades as t
 from . import bindings as b
+from . import trade_sql as q
 from .registry import query, shown
 from .signal_sql import signal_sql
 
@@ -39,45 +40,35 @@ def _breakouts(spark, sf_dir):
     return s.signals(b.daily_bars(spark, sf_dir), "n_bar_breakout")
 
 
-_CAND = _X + """, n AS (SELECT symbol, max(rn) AS n FROM bars GROUP BY symbol),
-c AS (SELECT x.symbol, x.rn AS s, (SELECT min(y.rn) FROM x y WHERE y.symbol = x.symbol AND y.rn > x.rn AND y.rn > 5 AND y.low < y.lo5 AND y.rn < n.n) AS xr, n.n FROM x JOIN n USING (symbol) WHERE x.rn > 5 AND x.high > x.hi5 AND x.rn < n.n),
-d AS (SELECT symbol, s, least(coalesce(xr + 1, n), least(n, s + 21)) AS e, xr IS NULL OR least(n, s + 21) < coalesce(xr + 1, n) AS forced FROM c),
-v AS (SELECT d.*, row_number() OVER (PARTITION BY d.symbol ORDER BY s) AS k FROM d WHERE e > s + 1)"""
-
-
-@query("k_trades", _CAND.replace("WITH ", "WITH RECURSIVE ", 1) + """,
-r AS (SELECT symbol, k, s, e, forced, true AS taken, e AS last FROM v WHERE k = 1
-  UNION ALL SELECT v.symbol, v.k, v.s, v.e, v.forced, v.s >= r.last, CASE WHEN v.s >= r.last THEN v.e ELSE r.last END FROM r JOIN v ON v.symbol = r.symbol AND v.k = r.k + 1)
-SELECT r.symbol, CAST(a.ts AS VARCHAR) AS entry_time, CAST(z.ts AS VARCHAR) AS exit_time, round(a.open, 6) AS entry_price, round(z.open, 6) AS exit_price, round(z.open / a.open - 1, 6) AS gross_return, CAST(r.e - r.s - 1 AS BIGINT) AS duration_bars, CAST(r.forced AS BIGINT) AS forced
-FROM r JOIN bars a ON a.symbol = r.symbol AND a.rn = r.s + 1 JOIN bars z ON z.symbol = r.symbol AND z.rn = r.e WHERE r.taken""")
+@query("k_trades", q.signal_trades("n_bar_breakout", 20) + q.SHOWN)
 def trades(spark, sf_dir):
     """K01 with R2: trades of the breakout signal, at most 20 bars."""
     d = t.from_signals(_breakouts(spark, sf_dir), 20)
     return shown(d.withColumn("exit_time", F.col("exit_time").cast("string")), ["symbol", "entry_time"], _TRADE)
 
 
-@query("k_trades_stop_target")
+@query("k_trades_stop_target", q.stop_target_sql())
 def stops(spark, sf_dir):
     """K01 with ATR stop and target: trades of the harami pattern."""
     d = t.from_signals(s.signals(b.daily_bars(spark, sf_dir), "bullish_harami"), 40, "stop", "target")
     return shown(d.withColumn("exit_time", F.col("exit_time").cast("string")), ["symbol", "entry_time"], _TRADE)
 
 
-@query("k_first_profitable")
+@query("k_first_profitable", q.first_profitable_sql())
 def profitable(spark, sf_dir):
     """K02."""
     d = t.first_profitable(s.signals(b.daily_bars(spark, sf_dir), "rsi_first_profitable_close"), 60)
     return shown(d.withColumn("exit_time", F.col("exit_time").cast("string")), ["symbol", "entry_time"], _TRADE)
 
 
-@query("k_trailing")
+@query("k_trailing", q.trailing_sql())
 def trailing(spark, sf_dir):
     """K03."""
     d = t.trailing(s.signals(b.daily_bars(spark, sf_dir), "triple_screen"), 0.2, 0.3, 60)
     return shown(d.withColumn("exit_time", F.col("exit_time").cast("string")), ["symbol", "entry_time"], _TRADE)
 
 
-@query("k_pullback")
+@query("k_pullback", q.pullback_sql())
 def pullback(spark, sf_dir):
     """K04."""
     d = t.pullback(s.signals(b.daily_bars(spark, sf_dir), "market_structure_atr_pullback"), "atr", 0.5, 2.0, 10)
@@ -90,7 +81,7 @@ def position(spark, sf_dir):
     return shown(t.ma_position(w.indexed(b.daily_bars(spark, sf_dir)), 10, 30), ["symbol", "ts"], ["position", "r"])
 
 
-@query("k_capacity")
+@query("k_capacity", q.capacity_sql(50))
 def capacity(spark, sf_dir):
     """At most 50 open trades of each hypothesis."""
     d = t.capacity_bounded(b.trades(spark, sf_dir).withColumn("score", F.col("entry_price")), ["hypothesis_id"], 50)
@@ -103,7 +94,7 @@ def episodes(spark, sf_dir):
     return shown(t.episodes(b.trades(spark, sf_dir), ["symbol"]), ["symbol", "episode", "entry_time", "exit_time"], ["trades"])
 
 
-@query("k_lanes")
+@query("k_lanes", q.lanes_sql())
 def lanes(spark, sf_dir):
     """Trades of a customer in lanes; exits that equal the next entry need a second one."""
     return t.lanes(b.trades(spark, sf_dir), ["symbol"]).groupBy("lane").agg(F.count("*").alias("trades"), F.sum("trade_id").alias("ids"))
@@ -121,7 +112,7 @@ def rotation(spark, sf_dir):
     return shown(t.rotation(ob.monthly_features(b.daily_bars(spark, sf_dir)), 5), ["symbol", "ts"], ["rank", "mom"])
 
 
-@query("k_sweep")
+@query("k_sweep", q.sweep_sql([(5, 5), (10, 5), (10, 10), (20, 5), (20, 10)], 20))
 def sweep(spark, sf_dir):
     """Grid of breakout lengths, each one's trades and their metrics, ranked."""
     g = t.grid(spark, {"n": [5, 10, 20], "m": [5, 10]}).filter("m <= n")
