@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a Parquet writer holds before it writes them.
+ROW_GROUP = 32 << 20
 #: Bytes of text that one vectorised step handles; a longer document makes a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -18,10 +21,12 @@ STEP_BYTES = 1 << 20
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has no such setting (tests on one machine) a local folder is set.
+    Only a session on one machine (local mode, as in tests) may do without that setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="barflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -31,7 +36,7 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Cut lineage: write the rows as Parquet into the shared folder and read them back."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"parquet.block.size": str(ROW_GROUP)} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,16 +46,29 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def tidy(task):
-    """A task that gives freed memory back to the machine when it ends; workers live on between tasks."""
+def give_back() -> None:
+    """Return freed memory to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(task, seconds: float = 1.0):
+    """A task that gives freed memory back about every second and when it ends; workers live on between tasks."""
 
     def tidied(batches):
-        yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library
+        def fed():
+            last = time.monotonic()
+            for b in batches:
+                if time.monotonic() - last > seconds:
+                    give_back()
+                    last = time.monotonic()
+                yield b
+
+        yield from task(fed())
+        give_back()
 
     return tidied
 
