@@ -10,8 +10,6 @@ TF-IDF.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts, tidy, written
+from .common import small_batches, steps, tidy, utf8_column, written
 from .labelled import learnable, remainder
+from .shingles import mix, part_hashes, prefix_hashes
 
 #: Labelled rows to learn from at most; fewest toxic examples of a telling term, their least share, its boost.
 LABELLED_ROWS, LEAST_TOXIC, PURITY, BOOST = 5_000, 5, 0.8, 4.0
@@ -28,41 +27,75 @@ NEIGHBOURS, BLOCK, PULL = 25, 64, 1.0
 #: Terms in most examples, whose weights stand in a full matrix; queries searched together; blocks searched first.
 COMMON, TOGETHER, FIRST = 1024, 256, 8
 MOD, HELD = 5, 0
-_WORD = re.compile(r"\w+")
-_PREFIXES = (5, 7)
+#: Lengths in bytes of word beginnings that are terms too, with a mark that keeps their hashes apart.
+_PREFIXES = ((5, np.uint64(0x2545F4914F6CDD1D)), (7, np.uint64(0x9E3779B97F4A7C15)))
+_INK = np.zeros(256, bool)
+_INK[48:58] = _INK[65:91] = _INK[97:123] = _INK[128:] = _INK[95] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def terms_of(word: str) -> list[str]:
-    """A word's terms: itself, and its first 5 and 7 letters if it is longer."""
-    return [word] + [f"{word[:n]}*" for n in _PREFIXES if len(word) > n]
+def term_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and 64-bit hashes of all terms in texts, not in order.
+
+    Words are runs of letters, digits, _ and bytes beyond ASCII, A-Z lower-cased. A word's terms are
+    itself, and its first 5 and 7 bytes if it is longer.
+    """
+    low = _LOWER[raw]
+    ink = np.zeros(len(raw) + 1, bool)
+    ink[:len(raw)] = _INK[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offs] = True
+    before = np.concatenate([[False], ink[:-1]])
+    start, stop = np.flatnonzero(ink & (~before | edge)), np.flatnonzero(before & (~ink | edge))
+    row = np.searchsorted(offs, start, "right") - 1
+    p = prefix_hashes(low)
+    rows, hashes = [row], [mix(part_hashes(p, start, stop) + (stop - start).astype(np.uint64))]
+    for n, mark in _PREFIXES:
+        long = np.flatnonzero(stop - start > n)
+        rows.append(row[long])
+        hashes.append(mix(part_hashes(p, start[long], start[long] + n) ^ mark))
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 class TermCounter:
-    """Counts known terms in texts; each word's terms are looked up once and remembered."""
+    """Counts known terms in texts; ``hashes`` of terms stand in the order of their places."""
 
-    def __init__(self, terms: pa.Array, most: int = 200_000):
-        self.terms, self.most, self.places, self.known = terms, most, None, {}
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.table = hashes, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"places": None, "known": {}}
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the text's terms, rising, and their counts."""
-        if self.places is None:
-            self.places = {t: k for k, t in enumerate(self.terms.to_pylist())}
-        out: dict[int, int] = {}
-        for w, c in Counter(_WORD.findall(text.lower())).items():
-            got = self.known.get(w)
-            if got is None:
-                got = tuple(self.places[t] for t in terms_of(w) if t in self.places)
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[w] = got
-            for t in got:
-                out[t] = out.get(t, 0) + c
-        t, c = np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
-        order = np.argsort(t)
-        return t[order], c[order]
+        return {"hashes": self.hashes, "table": None}
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Places of terms, -1 of unknown ones: a sorted table, entered by the leading bits."""
+        if self.table is None:
+            order = np.argsort(self.hashes)
+            bits = max(1, len(order).bit_length() + 1)
+            at = np.searchsorted(self.hashes[order] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+            self.table = self.hashes[order], order.astype(np.int32), at, np.uint64(64 - bits)
+        known, order, at, shift = self.table
+        out = np.full(len(h), -1, np.int64)
+        bucket = (h >> shift).astype(np.int64)
+        k, end = at[bucket], at[bucket + 1]
+        todo = np.flatnonzero(k < end)
+        while len(todo):
+            hit = known[k[todo]] == h[todo]
+            out[todo[hit]] = order[k[todo[hit]]]
+            k[todo] += 1
+            todo = todo[~hit & (k[todo] < end[todo])]
+        return out
+
+    def count(self, raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the places of its terms, rising, and their counts."""
+        n = max(1, len(self.hashes))
+        for i, j in steps(offs):
+            row, h = term_hashes(raw[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+            at = self.places(h)
+            key, c = np.unique((row * n + at)[at >= 0], return_counts=True)
+            cut = np.searchsorted(key, np.arange(j - i + 1) * n)
+            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                yield (key[a:z] % n).astype(np.int32), c[a:z].astype(np.int32)
 
 
 def _packed(t: np.ndarray, c: np.ndarray) -> bytes:
@@ -91,7 +124,7 @@ class BlockMaxIndex:
         self.opened = None
 
     def _open(self) -> tuple:
-        """Places of common terms, their matrix, its largest weights by block; postings of the other terms."""
+        """Places of common terms, their matrix in double and in single precision, its largest weights by block; postings of the other terms."""
         if self.opened is None:
             n = -(-len(self.labels) // BLOCK) * BLOCK
             held = np.bincount(self.terms, minlength=self.n_terms)
@@ -100,13 +133,14 @@ class BlockMaxIndex:
             place[common] = np.arange(len(common))
             row = np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(self.ptr))
             at = place[self.terms]
-            matrix = np.zeros((n, len(common)), np.float32)
+            matrix = np.zeros((n, len(common)))
             matrix[row[at >= 0], at[at >= 0]] = self.weights[at >= 0]
             rest = np.flatnonzero(at < 0)
             rest = rest[np.argsort(self.terms[rest], kind="stable")]
             held[common] = 0
             start = np.concatenate([[0], np.cumsum(held)])
-            self.opened = (place, matrix, matrix.reshape(-1, BLOCK, len(common)).max(1), start, row[rest], self.weights[rest].astype(np.float32), np.zeros(self.n_terms))
+            rough = matrix.astype(np.float32)
+            self.opened = (place, matrix, rough, rough.reshape(-1, BLOCK, len(common)).max(1), start, row[rest], self.weights[rest])
         return self.opened
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,29 +154,32 @@ class BlockMaxIndex:
         return [x for i in range(0, len(queries), TOGETHER) for x in self._search(queries[i:i + TOGETHER], k)]
 
     def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        place, matrix, largest, start, rows, weights, _ = self._open()
+        place, matrix, rough, largest, start, rows, weights = self._open()
         n, blocks = len(matrix), len(largest)
         cos = np.zeros((len(queries), n), np.float32)
-        q = np.zeros((len(queries), matrix.shape[1]), np.float32)
+        q = np.zeros((len(queries), matrix.shape[1]))
+        met = []
         for i, (t, w) in enumerate(queries):
             at = place[t]
             q[i, at[at >= 0]] = w[at >= 0]
             t, w = t[at < 0], w[at < 0]
             size = start[t + 1] - start[t]
             post = np.repeat(start[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            cos[i] = np.bincount(rows[post], weights[post] * np.repeat(w, size), n)
+            met.append((rows[post], weights[post] * np.repeat(w, size)))
+            cos[i] = np.bincount(*met[i], n)
+        single = q.astype(np.float32)
         # A block's bound: its largest sum over the other terms, and its largest weights of common ones.
         by_block = cos.reshape(len(queries), blocks, BLOCK)
-        bound = by_block.max(2) + q @ largest.T
+        bound = by_block.max(2) + single @ largest.T
         first = min(FIRST, blocks)
         done = np.zeros(bound.shape, bool)
         np.put_along_axis(done, np.argpartition(-bound, first - 1, 1)[:, :first], True, 1)
-        self._finish(by_block, q, matrix, done)
+        self._finish(by_block, single, rough, done)
         more = ~done & (bound >= self._kth(np.where(done[:, :, None], by_block, 0), k)[:, None] - 1e-5) & (bound > 0)
-        self._finish(by_block, q, matrix, more)
+        self._finish(by_block, single, rough, more)
         by_block[~(done | more)] = 0
         least = np.maximum(self._kth(by_block, k) - 1e-5, 0)
-        return [self._exact(np.flatnonzero((cos[i] > 0) & (cos[i] >= least[i])), *queries[i], k) for i in range(len(queries))]
+        return [self._exact(np.flatnonzero((cos[i] > 0) & (cos[i] >= least[i])), q[i], *met[i], k) for i in range(len(queries))]
 
     @staticmethod
     def _finish(by_block: np.ndarray, q: np.ndarray, matrix: np.ndarray, which: np.ndarray) -> None:
@@ -155,17 +192,14 @@ class BlockMaxIndex:
         flat = by_block.reshape(len(by_block), -1)
         return np.partition(flat, flat.shape[1] - k, 1)[:, flat.shape[1] - k] if flat.shape[1] >= k else np.zeros(len(flat), np.float32)
 
-    def _exact(self, where: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines of the examples that may be among the nearest, in full precision."""
+    def _exact(self, where: np.ndarray, common: np.ndarray, rows: np.ndarray, products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of the examples that may be among the nearest, in double precision."""
         if not len(where):
             return np.zeros(0, np.int64), np.zeros(0)
-        dense = self._open()[-1]
-        dense[terms] = weights
-        size = self.ptr[where + 1] - self.ptr[where]
-        begin = np.cumsum(size) - size
-        at = np.repeat(self.ptr[where] - begin, size) + np.arange(size.sum())
-        cos = np.add.reduceat(dense[self.terms[at]] * self.weights[at], begin)
-        dense[terms] = 0
+        matrix = self._open()[1]
+        slot = np.zeros(len(matrix), np.int64)
+        slot[where] = 1 + np.arange(len(where))
+        cos = matrix[where] @ common + np.bincount(slot[rows], products, len(where) + 1)[1:]
         order = np.lexsort((where, -np.round(cos, 12)))[:k]
         return where[order], cos[order]
 
@@ -220,26 +254,28 @@ class Examples:
         return self.made
 
 
-def known_terms(sample: DataFrame) -> tuple[pa.Array, np.ndarray]:
-    """All terms of the examples, and whether they tell: (toxic + 0.1) / (all + 1) >= PURITY. Equal texts count once."""
+def known_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms of the examples, and whether they tell: (toxic + 0.1) / (all + 1) >= PURITY. Equal texts count once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = Counter(), Counter()
         for b in batches:
-            for label, text in zip(b.column(0).to_pylist(), texts(b, "text")):
-                (bad if label else good).update({t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
-        keys = list(good.keys() | bad.keys())
-        for i in range(0, len(keys), 50_000):
-            k = keys[i:i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([bad[t] for t in k], pa.int64()), pa.array([good[t] for t in k], pa.int64())], names=["term", "bad", "good"])
+            label = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw, offs = utf8_column(b.column(1))
+            for i, j in steps(offs):
+                row, h = term_hashes(raw[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+                order = np.lexsort((row, h))
+                row, h = row[order], h[order]
+                once = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])[:len(h)]
+                terms, of = np.unique(h[once], return_inverse=True)
+                bad = np.bincount(of, weights=label[i:j][row[once]], minlength=len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(bad), pa.array(np.bincount(of, minlength=len(terms)))], names=["term", "bad", "n"])
 
     one = sample.groupBy(F.xxhash64("text").alias("h"), F.length("text")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    got = (one.select("label", "text").mapInArrow(tidy(task), "term string, bad long, good long").groupBy("term")
-           .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("n", F.col("bad") + F.col("good")).toArrow())
+    got = one.select("label", "text").mapInArrow(tidy(task), "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).toArrow()
     # Frequent terms come first: steps between places stay small.
     got = got.sort_by([("n", "descending"), ("term", "ascending")])
     bad, n = got["bad"].to_numpy(), got["n"].to_numpy()
-    return got["term"].combine_chunks(), (bad >= LEAST_TOXIC) & (bad + 0.1 >= PURITY * (n + 1))
+    return got["term"].to_numpy().view(np.uint64), (bad >= LEAST_TOXIC) & (bad + 0.1 >= PURITY * (n + 1))
 
 
 def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
@@ -261,7 +297,7 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = shared_counter.value
         for b in batches:
-            rows = [_packed(*counter.count(text)) for text in texts(b, "text")]
+            rows = [_packed(*x) for x in counter.count(*utf8_column(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "counts"])
 
     n_terms = len(terms)

@@ -473,7 +473,8 @@ def test_prior_of_a_known_mix(spark):
 def test_every_text_is_searched_among_whole_examples(spark):
     d, labels = docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
     text = {r.doc_id: r.text or "" for r in d.collect()}
-    count = {k: Counter(t for w in re.findall(r"\w+", x.lower()) for t in toxicity.terms_of(w)) for k, x in text.items()}
+    words = lambda x: re.findall(rb"[0-9A-Za-z_\x80-\xff]+", x.encode().lower())
+    count = {k: Counter(t for w in words(x) for t in [w, *((n, w[:n]) for n in (5, 7) if len(w) > n)]) for k, x in text.items()}
     known = {r.doc_id: r.label for r in toxicity.learnable(labels, "toxic", toxicity.MOD, toxicity.HELD, toxicity.LABELLED_ROWS).collect() if r.doc_id in text}
     df, vocabulary = Counter(t for c in count.values() for t in c), {t for k in known for t in count[k]}
     one = {text[k]: (k, known[k]) for k in sorted(known)}
