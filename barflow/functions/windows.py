@@ -39,6 +39,11 @@ def after():
     return _all().rowsBetween(1, Window.unboundedFollowing)
 
 
+def from_here():
+    """This and all later rows of the symbol."""
+    return _all().rowsBetween(0, Window.unboundedFollowing)
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,53 @@ def macro_summary(series: DataFrame) -> DataFrame:
     w = Window.partitionBy("series").orderBy("ts")
     d = series.withColumns({f"change_{n}": F.col("value") - F.lag("value", n).over(w) for n in (1, 5, 20)})
     return d.groupBy("series").agg(F.max_by(F.struct("ts", "value", "change_1", "change_5", "change_20"), "ts").alias("x")).select("series", "x.*")
+
+
+#: The screeners with lane, score bonus and filters beside the common ones.
+SCREENERS = {
+    "CORE_MOMENTUM": ("CORE", 2.0, [("market_cap", ">", 25e9)]),
+    "GEM_QUALITY": ("GEM", 4.0, [("market_cap", "<", 25e9), ("earnings_share", ">", 0.0)]),
+    "TACTICAL_MOMENTUM": ("TACTICAL", 3.0, [("five_day_return", ">", 2.0)]),
+    "TACTICAL_PULLBACK": ("TACTICAL", 3.0, [("daily_return", "<", -2.0)]),
+}
+_COMMON = [("price", ">", 5.0), ("average_volume", ">", 300e3), ("market_cap", ">", 300e6)]
+
+
+def screener_rows(securities: DataFrame) -> DataFrame:
+    """A row for each screener that a security passes, with its part scores and research score.
+
+    Reads symbol, price, average_volume, market_cap, daily_return, five_day_return, earnings_share;
+    a row without price or market value scores nowhere, missing volume and returns count 0.
+    """
+    z = F.lit(0.0)
+    d = securities.withColumns({c: F.coalesce(c, z) for c in ("average_volume", "daily_return", "five_day_return")}).filter(F.col("price").isNotNull() & F.col("market_cap").isNotNull())
+    test = {">": lambda c, v: F.col(c) > v, "<": lambda c, v: F.col(c) < v}
+    passes = lambda tests: F.coalesce(reduce(lambda a, b: a & b, [test[op](c, v) for c, op, v in [*_COMMON, *tests]]), F.lit(False))
+    hits = F.array_compact(F.array(*[F.when(passes(t), F.struct(F.lit(n).alias("screener"), F.lit(lane_).alias("lane"), F.lit(bonus).alias("bonus"))) for n, (lane_, bonus, t) in SCREENERS.items()]))
+    d = d.withColumn("_h", F.explode(hits)).select("*", "_h.*").drop("_h")
+    day, week, volume, cap = F.col("daily_return"), F.col("five_day_return"), F.col("average_volume"), F.col("market_cap")
+    back = 52.0 + F.least(F.abs(F.least(day, z)) * 4.0, F.lit(20.0)) + F.greatest(week, z) * 1.25
+    d = d.withColumn("technical", clamp(F.when(F.col("screener") == "TACTICAL_PULLBACK", back).otherwise(50.0 + day * 2.0 + week * 1.5), 15.0, 95.0))
+    d = d.withColumn("liquidity", F.when(volume <= 0, 20.0).otherwise(clamp(50.0 + 12.0 * F.log10(F.greatest(volume, F.lit(1e5)) / 1e5), 35.0, 95.0)))
+    d = d.withColumn("risk", F.when(cap >= 25e9, 72.0).when(cap >= 5e9, 66.0).when(cap >= 1e9, 59.0).otherwise(50.0)).withColumn("fundamental", F.when(F.col("earnings_share").isNull(), 50.0).when(F.col("earnings_share") > 0, 68.0).otherwise(38.0))
+    return d.withColumn("research_score", clamp(0.42 * F.col("technical") + 0.25 * F.col("liquidity") + 0.18 * F.col("fundamental") + 0.15 * F.col("risk") + F.col("bonus"), 0.0, 100.0))
+
+
+def merged_screens(rows: DataFrame, most: int) -> DataFrame:
+    """Each symbol's best row (the screener named first, of equals), with the screeners it passed; the ``most`` first: a top-k report."""
+    place = sum(F.when(F.col("screener") == n, k).otherwise(0) for k, n in enumerate(SCREENERS))
+    best = rows.groupBy("symbol").agg(F.max_by(F.struct("screener", "lane", "research_score", "technical", "liquidity"), F.struct("research_score", -place)).alias("x"), F.array_sort(F.collect_set("screener")).alias("screeners")).select("symbol", "x.*", "screeners")
+    return best.orderBy(F.col("research_score").desc(), F.col("technical").desc(), F.col("liquidity").desc(), F.col("symbol").desc()).limit(most)
+
+
+def to_hydrate(wanted: DataFrame, stored: DataFrame, least: int, now: str, days: int) -> DataFrame:
+    """Q22: symbols of a plan whose stored bars do not suffice or are not there."""
+    from .quality import usable
+
+    return wanted.select("symbol").distinct().join(usable(stored, least, now, days).filter("usable"), "symbol", "left_anti")
+
+
+def verification(reports: DataFrame, attested: DataFrame, as_of: Column) -> DataFrame:
+    """Q23: per symbol: failed ratios of the last report filed, whether an attestation holds, and the status of both."""
+    d = financial_ratios(reports, as_of).select("symbol", "failures").join(attested.select("symbol", attestation_valid(F.col("status"), F.col("expires"), F.col("issued"), as_of).alias("attested")), "symbol", "full")
+    return d.withColumn("verdict", F.when(F.coalesce("attested", F.lit(False)), "ATTESTED").when(F.col("failures").isNull(), "NO_DATA").when(F.size("failures") == 0, "PASSED").otherwise("FAILED"))

@@ -191,3 +191,45 @@ def owners_xml(filings: DataFrame) -> DataFrame:
     at = lambda c: F.get(c, F.when(F.size(c) == 1, 0).otherwise(F.col("k")))
     d = d.select("*", F.posexplode("name").alias("k", "person_name"))
     return d.select("accession", "symbol", "accepted_at", "k", "person_name", clean_cik(at(F.col("cik"))).alias("person_cik"), safe_float(at(F.col("percent"))).alias("percent_owned"), safe_float(at(F.col("shares"))).alias("shares"))
+
+
+#: Weight of an insider's role; others as "other".
+ROLE_WEIGHTS = {"ceo": 1.50, "cfo": 1.40, "coo": 1.30, "president": 1.25, "officer": 1.15, "director": 1.00, "ten_percent_owner": 0.80, "other": 0.70}
+
+
+def insider_strength(code: Column, role: Column, derivative: Column, direct: Column, planned: Column, value: Column, fraction: Column, allocation: Column) -> Column:
+    """strength of an open-market trade: role, ownership form, plan, logarithmic size and share of prior holdings; sales count negative, others 0."""
+    clip = lambda x, lo, hi: F.greatest(lo, F.least(F.lit(hi), x))
+    roles = F.create_map(*[F.lit(x) for pair in ROLE_WEIGHTS.items() for x in pair])
+    weight = F.coalesce(F.element_at(roles, F.lower(F.coalesce(role, F.lit("other")))), F.lit(ROLE_WEIGHTS["other"]))
+    plan = F.when(planned & (code == "S"), 0.35).when(planned, 0.70).otherwise(1.0)
+    money = F.abs(F.coalesce(value, F.lit(0.0)))
+    size = clip(F.log1p(money / 25_000.0) / 3.0, F.when(money > 0, 0.15).otherwise(0.0), 1.60)
+    owned = clip(F.coalesce(fraction, F.lit(0.0)) * 5.0, F.lit(0.0), 1.50)
+    share = F.when(F.coalesce(allocation, F.lit(0.0)) == 0, 1.0).otherwise(allocation)
+    s = F.when(code == "P", 1.0).otherwise(-1.0) * weight * F.when(direct, 1.0).otherwise(0.70) * plan * share * (0.75 * size + 0.25 * owned)
+    return F.when(code.isin("P", "S") & ~F.coalesce(derivative, F.lit(False)), s).otherwise(0.0)
+
+
+def economic_strength(code: Column, role: Column, planned: Column, value: Column, shares: Column) -> Column:
+    """F19 for merged transactions: logarithmic size by value, else by shares; officers and directors weigh more, planned sales a tenth."""
+    money, n = F.abs(F.coalesce(value, F.lit(0.0))), F.abs(F.coalesce(shares, F.lit(0.0)))
+    size = F.when(money > 0, F.log1p(money / 100_000.0) / 3.5).when(n > 0, F.log1p(n / 1_000.0) / 3.5).otherwise(0.15)
+    size = F.greatest(F.lit(0.15), F.least(F.lit(1.50), size))
+    who = F.lower(F.coalesce(role, F.lit("")))
+    return F.when(F.upper(code) == "P", size * F.when(who.isin("ceo", "cfo"), 1.25).when(who == "director", 1.10).otherwise(1.0)).when(F.upper(code) == "S", -size * F.when(planned, 0.10).otherwise(1.0)).otherwise(0.0)
+
+
+def resolved_securities(holdings: DataFrame, master: DataFrame) -> DataFrame:
+    """Symbols of (cusip, cik) rows from a security master: by cusip, else by cik; null where neither is there."""
+    by = lambda k: master.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("symbol").alias(f"_{k}"))
+    return holdings.join(by("cusip"), "cusip", "left").join(by("cik"), "cik", "left").withColumn("symbol", F.coalesce("_cusip", "_cik")).drop("_cusip", "_cik")
+
+
+def universe_snapshot(filings: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
+    """Q27: filings accepted by ``as_of`` and not superseded, by form family, with the context of their symbols' events known by then."""
+    from .joins import superseded
+
+    known = superseded(filings, as_of).withColumn("family", form_family(F.col("form_type")))
+    n = known.groupBy("symbol").agg(F.count("*").alias("filings"), *[F.sum((F.col("family") == f).cast("long")).alias(f) for f in ("insider", "notice", "institution", "ownership", "current")])
+    return n.join(context_score(events.filter(F.col("accepted_at") <= as_of)).drop("categories"), "symbol", "left")

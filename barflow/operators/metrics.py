@@ -113,3 +113,18 @@ def selection_score(train: str = "train", valid: str = "valid", least: int = 20)
     s = (0.65 * F.log(F.greatest(vp, F.lit(1e-9))) + 0.25 * F.log(F.greatest(tp, F.lit(1e-9))) + 30.0 * ve + 10.0 * te + 0.05 * F.log1p(c(valid, "trades")) - 2.0 * c(valid, "forced_ratio")
          - F.when(te <= 0, 1.0).otherwise(0.0) - F.when(ve <= 0, 2.0).otherwise(0.0))
     return F.when(F.coalesce(c(valid, "trades"), F.lit(0)) < least, -1e12 + F.coalesce(c(valid, "trades"), F.lit(0))).when((tp <= 0) | (vp <= 0), F.lit(-1e12)).otherwise(s)
+
+
+def validation_score(least: int = 20, drawdown: float = -0.30, capital: float = 1e5) -> dict[str, Column]:
+    """F32: score and failed gates over columns trade_count, cagr, sharpe, calmar, daily_profit_factor, maximum_drawdown, turnover, positive_year_ratio, security_weight and sector_weight.
+
+    A missing metric takes its worst value; a failed gate puts the score far below every other.
+    """
+    c = lambda n, worst: F.coalesce(F.when(F.isnan(n) | (F.abs(n) == float("inf")), None).otherwise(F.col(n)), F.lit(worst))
+    n, cagr, pf, dd = F.coalesce("trade_count", F.lit(0)), c("cagr", -1.0), c("daily_profit_factor", 0.0), c("maximum_drawdown", -1.0)
+    clip = lambda x: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), x))
+    gates = {"MINIMUM_VALIDATION_TRADES": n < least, "VALIDATION_CAGR_NOT_POSITIVE": cagr <= 0, "VALIDATION_PF_NOT_ABOVE_ONE": pf <= 1, "VALIDATION_DRAWDOWN_GATE": dd < drawdown}
+    failures = F.array_compact(F.array(*[F.when(g, F.lit(k)) for k, g in gates.items()]))
+    s = (clip(c("sharpe", -10.0)) + clip(c("calmar", -10.0)) + F.log(F.greatest(pf, F.lit(1e-9))) + 0.25 * c("positive_year_ratio", 0.0) - 2.0 * F.greatest(F.abs(dd) - 0.20, F.lit(0.0))
+         - 0.01 * c("turnover", 0.0) / capital - 0.5 * F.greatest(c("security_weight", 1.0), c("sector_weight", 1.0)) - F.greatest(least - n, F.lit(0)) / float(least))
+    return {"failures": failures, "score": F.when(F.size(failures) > 0, -1e12 + s).otherwise(s)}

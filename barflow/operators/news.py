@@ -149,3 +149,36 @@ def novelty(texts: DataFrame, by: str, order: str, last: int = 128, features: in
     dot = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * F.coalesce(F.element_at("m2", e["i"]), F.lit(0.0)))
     p = d.join(z, [by, "b"]).filter((F.col("n2") < F.col("n")) & (F.col("n") - F.col("n2") <= last)).groupBy(by, "n").agg(F.max(dot).alias("s"))
     return d.select(by, order, "n").join(p, [by, "n"], "left").withColumn("novelty", F.greatest(F.lit(0.1), 1.0 - F.coalesce("s", F.lit(0.0)))).drop("n", "s")
+
+
+#: How far a source is trusted; others 0.5.
+AUTHORITY = {
+    "ibkr": 1.00, "sec_edgar": 1.00, "fred": 1.00, "us_treasury_fiscaldata": 1.00, "eodhd": 0.90, "polygon": 0.90, "fmp": 0.90, "thetadata": 0.90, "finnhub": 0.85, "twelvedata": 0.85, "alphavantage": 0.85,
+    "marketstack": 0.75, "openexchangerates": 0.85, "currencylayer": 0.75, "marketaux": 0.75, "currents": 0.65, "yfinance": 0.70, "rss": 0.75,
+    "stocks_reference_news": 0.90, "stocks_reference_sec": 0.95, "stocks_reference_screener": 0.90,
+}
+
+
+def authority(source: Column, table: dict[str, float] | None = None) -> Column:
+    """a source's authority by lookup; 0.5 where it is not listed."""
+    known = F.create_map(*[F.lit(x) for pair in (table or AUTHORITY).items() for x in pair])
+    return F.coalesce(F.element_at(known, F.coalesce(source, F.lit(""))), F.lit(0.5))
+
+
+def source_quality(completeness: Column, freshness_: Column, consistency: Column, provenance: Column, authority_: Column) -> Column:
+    """plain mean of the five parts."""
+    return (completeness + freshness_ + consistency + provenance + authority_) / 5.0
+
+
+def linked_symbols(news: DataFrame, universe: DataFrame) -> DataFrame:
+    """An item's symbols by where they come from: named in the text by an alias, or by the provider alone; all within the universe.
+
+    ``news(id, title, summary, symbols array)``, ``universe(symbol, alias, sector)``. An alias is one
+    word, so texts meet aliases by an equi-join on their words; no pair of item and alias is made up.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "title", "summary"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    text = news.select("id", F.explode(words).alias("alias")).join(universe.select("alias", "symbol"), "alias").select("id", "symbol").distinct().withColumn("named", F.lit(True))
+    told = news.select("id", F.explode("symbols").alias("symbol")).distinct().join(universe.select("symbol").distinct(), "symbol", "left_semi").withColumn("told", F.lit(True))
+    d = text.join(told, ["id", "symbol"], "full").join(universe.groupBy("symbol").agg(F.min("sector").alias("sector")), "symbol")
+    some = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("symbol"))))
+    return d.groupBy("id").agg(some(F.col("named").isNotNull()).alias("text_linked"), some(F.col("named").isNull()).alias("provider_only"), F.array_sort(F.collect_set("sector")).alias("sectors"))

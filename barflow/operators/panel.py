@@ -125,3 +125,9 @@ def top_changes(df: DataFrame, value: str, k: int) -> DataFrame:
 def best_per_key(df: DataFrame, by: str, score: str, tie: str, reasons: str) -> DataFrame:
     """A key's best row, with the reasons of all its rows."""
     return df.groupBy(by).agg(F.max_by(F.struct(*[c for c in df.columns if c not in (by, reasons)]), F.struct(F.col(score), -F.col(tie))).alias("x"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(reasons)))).alias(reasons)).select(by, "x.*", reasons)
+
+
+def median_seed(rows: DataFrame, by: str, score: str, seed: str) -> DataFrame:
+    """Of a key's rows in order of score, then seed, the middle one (the upper of two)."""
+    order, whole = Window.partitionBy(by).orderBy(score, seed), Window.partitionBy(by)
+    return rows.withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count("*").over(whole)).filter(F.col("_i") == F.floor(F.col("_n") / 2) + 1).drop("_i", "_n")

@@ -167,3 +167,17 @@ def overlap_gate(audit: DataFrame, least: int = 5, median_bps: float = 50.0, p95
     if bad is not None:
         ok = ok & (F.col("bad_fraction") <= bad)
     return audit.withColumn("passed", F.coalesce(ok, F.lit(False)))
+
+
+def utc(c: Column, zone: str | None = None) -> Column:
+    """a time as UTC: naive text counts as UTC (or as local to ``zone``), an offset in the text is honoured; text that is no time is null."""
+    text = F.trim(c.cast("string"))
+    aware = F.rlike(text, F.lit(r"(Z|[+-]\d{2}:?\d{2})$")) & F.rlike(text, F.lit(r"\d:\d{2}"))
+    at = F.try_to_timestamp(F.when(aware, text).otherwise(F.concat(text, F.when(F.rlike(text, F.lit(r"\d:\d{2}")), F.lit("Z")).otherwise(F.lit("T00:00:00Z")))))
+    return at if zone is None else F.when(aware, at).otherwise(F.to_utc_timestamp(at, zone))
+
+
+def safe_divide(a: Column, b: Column, least: float = 1e-12) -> Column:
+    """null where either is not finite or the divisor is within ``least`` of 0."""
+    x, y = a.cast("double"), b.cast("double")
+    return F.when(finite(x) & finite(y) & (F.abs(y) > least), x / y)

@@ -101,28 +101,43 @@ def trailing(bars: DataFrame, stop_pct: float, target_pct: float, max_hold: int)
     return _finished(c, p)
 
 
-def pullback(bars: DataFrame, atr_col: str, pullback_atr: float, stop_atr: float, valid: int, max_hold: int = 60) -> DataFrame:
-    """After a signal a limit order at close - k ATR stands for ``valid`` bars; stop by ATR; left at the open after a close over the high before.
-
-    A fill is at the open where that lies under the limit.
+def limit_fills(bars: DataFrame, atr_col: str, pullback_atr: float, stop_atr: float, valid: int, exit_lookback: int) -> tuple[DataFrame, DataFrame]:
+    """Signals whose limit order (low - k ATR, good for ``valid`` bars) is touched, with the first touching bar ``fill``; and the bars with their count ``_n`` and the next structural exit bar ``_x`` at or after each."""
+    up = F.coalesce(F.col("close") > w.rolling_max("high", exit_lookback, 1), F.lit(False))
+    d = bars.withColumn("_n", F.max("rn").over(Window.partitionBy("symbol"))).withColumn("_up", up & (F.col("rn") < F.col("_n")))
+    d = d.withColumn("_x", F.first(F.when(F.col("_up"), F.col("rn")), ignorenulls=True).over(w.from_here()))
+    p = d.select("symbol", "rn", "ts", "open", "high", "low", "close", "_n", "_x")
+    score = F.col("score") if "score" in bars.columns else F.lit(0.0)
+    c = d.filter(F.col("entry") & F.col(atr_col).isNotNull()).select("symbol", F.col("rn").alias("signal"), (F.col("low") - pullback_atr * F.col(atr_col)).alias("_limit"), (stop_atr * F.col(atr_col)).alias("_sd"), score.alias("score"))
+    touched = c.withColumn("rn", F.explode(F.sequence(F.col("signal") + 1, F.col("signal") + valid))).join(p.select("symbol", "rn", "open", "low"), ["symbol", "rn"]).filter(F.col("low") <= F.col("_limit"))
+    f = touched.groupBy("symbol", "signal", "_limit", "_sd", "score").agg(F.min("rn").alias("fill"), F.min_by("open", "rn").alias("_open"))
+    return f.join(p.select("symbol", F.col("rn").alias("fill"), F.col("ts").alias("entry_bar"), "_n", "_x"), ["symbol", "fill"]), p
+
+
+def stop_touches(f: DataFrame, p: DataFrame) -> DataFrame:
+    """Bars from a fill to its structural exit whose low reaches the stop, entry_price - _sd."""
+    path = f.select("symbol", "signal", (F.col("entry_price") - F.col("_sd")).alias("_sp"), F.explode(F.sequence("fill", F.greatest("fill", F.coalesce("_x", F.col("_n") - 1)))).alias("rn"))
+    return path.join(p.select("symbol", "rn", "ts", "open", "low", "_n"), ["symbol", "rn"]).filter((F.col("low") <= F.col("_sp")) & (F.col("rn") < F.col("_n"))).drop("_n")
+
+
+def left_at(c: DataFrame, p: DataFrame) -> DataFrame:
+    """Exits of filled candidates: at the stop (_h: its bar, price, and time where that is finer than the bar), else at the open after the structural exit, else at the last close."""
+    c = c.withColumn("exit_rn", F.coalesce("_h.rn", F.col("_x") + 1, "_n")).withColumn("forced", F.col("_h").isNull() & F.col("_x").isNull())
+    x = p.select("symbol", F.col("rn").alias("exit_rn"), F.col("ts").alias("_xt"), F.col("open").alias("_xo"), F.col("close").alias("_xc"))
+    c = c.join(x, ["symbol", "exit_rn"]).withColumn("exit_price", F.coalesce("_h.price", F.when(F.col("forced"), F.col("_xc")).otherwise(F.col("_xo")))).withColumn("exit_time", F.coalesce("_h.at", "_xt"))
+    return c.withColumn("gross_return", F.col("exit_price") / F.col("entry_price") - 1.0).withColumn("duration_bars", F.col("exit_rn") - F.col("fill"))
+
+
+def pullback(bars: DataFrame, atr_col: str, pullback_atr: float, stop_atr: float, valid: int, exit_lookback: int) -> DataFrame:
+    """After a signal a limit order at its low - k ATR stands for ``valid`` bars; then a stop by ATR, before a close over the highest high of the ``exit_lookback`` bars before, left at the next open.
+
+    Fills are at the open where that lies beyond the limit or the stop. ``bars`` is indexed, with
+    entry, the ATR and, if there is one, a score.
     """
-    n = F.max("rn").over(Window.partitionBy("symbol"))
-    d = bars.withColumn("_n", n).withColumn("_up", F.coalesce(F.col("close") > w.lag("high"), F.lit(False)))
-    p = d.select("symbol", "rn", "ts", "open", "high", "low", "close", "_up", "_n")
-    c = d.filter(F.col("entry") & F.col(atr_col).isNotNull()).select("symbol", F.col("rn").alias("signal"), (F.col("close") - pullback_atr * F.col(atr_col)).alias("_limit"), (stop_atr * F.col(atr_col)).alias("_sd"), F.lit(0.0).alias("score"))
-    fills = c.withColumn("rn", F.explode(F.sequence(F.col("signal") + 1, F.col("signal") + valid))).join(p.select("symbol", "rn", "open", "low"), ["symbol", "rn"]).filter(F.col("low") <= F.col("_limit"))
-    f = fills.groupBy("symbol", "signal", "_sd", "score").agg(F.min("rn").alias("fill"), F.min_by(F.least("open", "_limit"), "rn").alias("entry_price")).filter("entry_price > 0")
-    path = f.withColumn("rn", F.explode(F.sequence("fill", F.col("fill") + max_hold))).join(p, ["symbol", "rn"])
-    sp = F.col("entry_price") - F.col("_sd")
-    stop = F.col("low") <= sp
-    after = F.col("_up") & (F.col("rn") > F.col("fill")) & (F.col("rn") < F.col("_n"))
-    hit = path.filter(stop | after).groupBy("symbol", "signal").agg(F.min_by(F.struct(F.when(stop, F.col("rn")).otherwise(F.col("rn") + 1).alias("rn"), F.when(stop, F.least("open", sp)).alias("price")), "rn").alias("_h"))
-    last = path.groupBy("symbol", "signal").agg(F.max("rn").alias("_last"))
-    c = f.join(hit, ["symbol", "signal"], "left").join(last, ["symbol", "signal"]).withColumn("exit_rn", F.coalesce("_h.rn", "_last")).withColumn("forced", F.col("_h").isNull())
-    e = p.select("symbol", F.col("rn").alias("fill"), F.col("ts").alias("entry_time"))
-    x = p.select("symbol", F.col("rn").alias("exit_rn"), F.col("ts").alias("exit_time"), F.col("open").alias("_open"))
-    c = c.join(e, ["symbol", "fill"]).join(x, ["symbol", "exit_rn"]).withColumn("exit_price", F.coalesce("_h.price", "_open")).withColumn("gross_return", F.col("exit_price") / F.col("entry_price") - 1.0).withColumn("duration_bars", F.col("exit_rn") - F.col("fill"))
-    return non_overlapping(c.filter((F.col("exit_price") > 0) & ((F.col("duration_bars") > 0) | F.col("_h.price").isNotNull())), ["symbol"])
+    f, p = limit_fills(bars, atr_col, pullback_atr, stop_atr, valid, exit_lookback)
+    f = f.withColumn("entry_price", F.least("_open", "_limit")).filter("entry_price > 0").withColumn("entry_time", F.col("entry_bar"))
+    hit = stop_touches(f, p).groupBy("symbol", "signal").agg(F.min_by(F.struct("rn", F.least("open", "_sp").alias("price"), F.col("ts").alias("at")), "rn").alias("_h"))
+    return non_overlapping(left_at(f.join(hit, ["symbol", "signal"], "left"), p), ["symbol"])
 
 
 def ma_position(bars: DataFrame, fast: int, slow: int, bps: float = 3.0) -> DataFrame:

@@ -81,7 +81,7 @@ def usable(spark, sf_dir):
     return shown(q.usable(b.daily_bars(spark, sf_dir), 500, "2001-12-31", 60), ["symbol"], ["rows", "usable"])
 
 
-@query("p_full_history")
+@query("p_full_history", b.with_sql("ticks") + ", x AS (SELECT symbol, min(CAST(floor(epoch(ts) / 300) * 300 AS BIGINT)) // 86400 AS s, max(CAST(floor(epoch(ts) / 300) * 300 AS BIGINT)) // 86400 AS e, min(CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT)) // 86400 AS cs, max(CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT)) // 86400 AS ce FROM ticks GROUP BY 1) SELECT symbol, CAST(s - cs <= 7 AND ce - e <= 2 AS BIGINT) AS eligible FROM x")
 def history(spark, sf_dir):
     """5-minute against hourly bars."""
     return shown(q.full_history(b.bars(spark, sf_dir, 5), b.bars(spark, sf_dir, 60)), ["symbol"], ["eligible"])

@@ -14,6 +14,7 @@ from ..operators import validation as v
 from . import bindings as b
 from .q_text import b_dir
 from .registry import query, shown
+from .signal_sql import features_sql
 
 T, D = b.with_sql("trades"), b.with_sql("daily")
 _NET = "(1 + gross_return) * (1 - 0.0003) / (1 + 0.0003) - 1"
@@ -32,9 +33,13 @@ def gate(spark, sf_dir):
     return shown(v.fold_gate(_folded(spark, sf_dir)), ["key"], ["passed", "robust"])
 
 
-@query("v_top_per_family")
+_GATED = T + f""", x AS (SELECT hypothesis_id || '|' || CAST(year(exit_time) AS VARCHAR) AS key, ['train', 'valid', 'test'][month(exit_time) % 3 + 1] AS segment, {_NET} AS n FROM trades), g AS (SELECT key, segment, count(*) AS c, avg(n) AS e FROM x GROUP BY 1, 2),
+h AS (SELECT key, max(c) FILTER (segment = 'train') AS tc, max(e) FILTER (segment = 'train') AS te, max(c) FILTER (segment = 'valid') AS vc, max(e) FILTER (segment = 'valid') AS ve FROM g GROUP BY 1)"""
+
+
+@query("v_top_per_family", _GATED + " SELECT family, key, round(robust, 6) AS robust FROM (SELECT split_part(key, '|', 1) AS family, key, least(te, ve) AS robust, row_number() OVER (PARTITION BY split_part(key, '|', 1) ORDER BY least(te, ve) DESC, key) AS k FROM h WHERE tc >= 8 AND vc >= 8 AND te > 0 AND ve > 0) WHERE k <= 2")
 def top(spark, sf_dir):
-    """T02, V13."""
+    """T02."""
     g = v.fold_gate(_folded(spark, sf_dir)).withColumn("family", F.split("key", r"\|")[0])
     return shown(v.top_per_family(g, ["family"], 2), ["family", "key"], ["robust"])
 
@@ -47,7 +52,8 @@ def survivors(spark, sf_dir):
     return f.select("symbol", v.survivor_status(F.col("folds"), F.col("positive_ratio"), F.col("median"), F.col("worst")).alias("status"))
 
 
-@query("v_families")
+@query("v_families", T + f""", x AS (SELECT symbol, year(exit_time) AS fold, avg({_NET}) AS e, count(*) AS c FROM trades GROUP BY 1, 2), f AS (SELECT symbol, count(*) AS folds, avg(CASE WHEN e > 0 THEN 1.0 ELSE 0 END) AS pos, quantile_cont(e, 0.5) AS med, min(e) AS worst FROM x WHERE c >= 1 GROUP BY 1)
+SELECT substr(symbol, 1, 1) AS family, count(*) AS hypotheses, CAST(sum(CAST(folds >= 3 AND pos = 1 AND worst > 0 OR folds >= 3 AND pos >= 0.75 AND med > 0 OR folds >= 2 AND pos >= 0.5 AND med > 0 AS BIGINT)) AS BIGINT) AS survivors, round(max(med), 6) AS best, round(quantile_cont(med, 0.5), 6) AS typical FROM f GROUP BY 1""")
 def families(spark, sf_dir):
     """V04, T04."""
     f = m.fold_summary(m.trade_metrics(b.trades(spark, sf_dir).withColumn("fold", F.year("exit_time")), ["symbol", "fold"]), "symbol", "net_expectancy", 1)
@@ -66,7 +72,9 @@ def redundant(spark, sf_dir):
     return shown(v.redundancy(b.trades(spark, sf_dir), "hypothesis_id"), ["a", "b"], ["jaccard", "days", "corr", "redundant"])
 
 
-@query("v_roster")
+@query("v_roster", _RED.replace("WITH ", "WITH RECURSIVE ", 1) + f""", ed AS (SELECT a, b FROM red WHERE jac >= 0.5 OR coalesce(days >= 10 AND corr >= 0.0, false)), n0 AS (SELECT a AS node, a AS comp FROM ed UNION SELECT b, b FROM ed),
+cm AS (SELECT * FROM n0 UNION SELECT e.y, cm.comp FROM cm JOIN (SELECT a AS x, b AS y FROM ed UNION SELECT b, a FROM ed) e ON e.x = cm.node), cc AS (SELECT node, min(comp) AS comp FROM cm GROUP BY 1), m AS (SELECT hypothesis_id, avg({_NET}) AS e FROM trades GROUP BY 1)
+SELECT m.hypothesis_id, coalesce(cc.comp, m.hypothesis_id) AS component, CASE WHEN row_number() OVER (PARTITION BY coalesce(cc.comp, m.hypothesis_id) ORDER BY e DESC, m.hypothesis_id) = 1 THEN 'CHAMPION' ELSE 'REDUNDANT' END AS roster FROM m LEFT JOIN cc ON cc.node = m.hypothesis_id""")
 def roster(spark, sf_dir):
     """Components of strategies whose returns correlate over 0, champions by expectancy."""
     b_dir(spark)
@@ -142,7 +150,13 @@ def since(spark, sf_dir):
     return x.select("symbol", F.col("bars_since").cast("long").alias("bars_since"), d.signal_state(F.col("bars_since"), 5).alias("state"))
 
 
-@query("d_proposals")
+def _since_sql(name: str) -> str:
+    sql, source, entry, _ = features_sql(name)
+    return f"({sql} SELECT symbol, max(rn) - max(rn) FILTER ({entry}) AS n FROM {source} GROUP BY symbol)"
+
+
+@query("d_proposals", "WITH u AS (SELECT symbol, n FROM " + _since_sql("n_bar_breakout") + " UNION ALL SELECT symbol, n FROM " + _since_sql("close_below_n_day_low") + """) SELECT symbol, count(*) AS strategies, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS signals,
+CASE WHEN CAST(symbol AS BIGINT) % 10 = 0 THEN 'BLOCKED' WHEN sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) >= 1 THEN 'PROPOSE' ELSE 'WAIT' END AS decision FROM u GROUP BY 1""")
 def proposals(spark, sf_dir):
     """States of two signals, symbols with large gaps blocked."""
     x = None
@@ -173,7 +187,11 @@ def macro(spark, sf_dir):
     return shown(d.macro_summary(b.daily_bars(spark, sf_dir).select(F.col("symbol").alias("series"), "ts", F.col("close").alias("value"))), ["series", "ts"], ["value", "change_1", "change_5", "change_20"], 4)
 
 
-@query("j_mutual_best")
+@query("j_mutual_best", """WITH RECURSIVE c AS (SELECT a.o_custkey AS c, a.o_orderkey AS n, z.o_orderkey AS s, least(a.o_totalprice, z.o_totalprice) / greatest(a.o_totalprice, z.o_totalprice) AS v FROM orders a JOIN orders z ON a.o_custkey = z.o_custkey AND a.o_orderstatus = 'O' AND z.o_orderstatus = 'F'),
+k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY v DESC, n, s) AS k FROM c WHERE v >= 0.65),
+r AS (SELECT c, k, n, s, v, true AS taken, [n] AS ns, [s] AS ss FROM k WHERE k = 1
+  UNION ALL SELECT k.c, k.k, k.n, k.s, k.v, ok, CASE WHEN ok THEN list_append(ns, k.n) ELSE ns END, CASE WHEN ok THEN list_append(ss, k.s) ELSE ss END FROM (SELECT k.*, r.ns, r.ss, NOT list_contains(r.ns, k.n) AND NOT list_contains(r.ss, k.s) AS ok FROM r JOIN k ON k.c = r.c AND k.k = r.k + 1) k)
+SELECT n AS notice, s AS sale, round(v, 6) AS score FROM r WHERE taken""")
 def matching(spark, sf_dir):
     """Orders of two states of a customer, matched by price."""
     b_dir(spark)

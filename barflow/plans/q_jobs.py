@@ -12,6 +12,7 @@ from ..sources import files
 from ..streaming import jobs as stream
 from . import bindings as b
 from . import jobs
+from . import signal_sql as sig
 from . import trade_sql as q
 from .q_text import b_dir
 from .registry import query, shown
@@ -24,7 +25,12 @@ def _shared(spark, label: str) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-@query("q_bundle")
+_GRIDS = "".join(f" UNION ALL SELECT '{n}', symbol FROM (SELECT symbol, ts // {m * 60} AS g, list_sort(list(ts % {m * 60})) AS o FROM bars GROUP BY 1, 2) WHERE o = range(0, {m * 60}, 900)" for n, m in (("1h", 60), ("2h", 120), ("4h", 240)))
+
+
+@query("q_bundle", "WITH " + b.bars_sql(15) + ", " + D.removeprefix("WITH ").replace("bars AS", "dbars AS") + """, wx AS (SELECT symbol, ts, CAST(ts + CAST((12 - isodow(ts)) % 7 AS INTEGER) AS DATE) AS week FROM dbars),
+wg AS (SELECT symbol, week, max(ts) AS last FROM wx GROUP BY 1, 2), wk AS (SELECT * FROM (SELECT *, max(week) OVER (PARTITION BY symbol) AS w FROM wg) WHERE week < w OR last >= week),
+a AS (SELECT '15m' AS timeframe, symbol FROM bars""" + _GRIDS + """ UNION ALL SELECT '1d', symbol FROM dbars UNION ALL SELECT '1w', symbol FROM wk) SELECT timeframe, count(*) AS bars, count(DISTINCT symbol) AS symbols FROM a GROUP BY 1""")
 def bundle(spark, sf_dir):
     """Q01, A03, S18."""
     d = jobs.timeframe_bundle(b.bars(spark, sf_dir, 15), b.daily_bars(spark, sf_dir))
@@ -38,11 +44,15 @@ def causal(spark, sf_dir):
     return shown(d, ["symbol", "decision_time"], ["ctx_ret1", "ctx_ema5", "fresh", "leak"])
 
 
-@query("q_leaks", "SELECT CAST(0 AS BIGINT) AS leaks, count(*) > 0 AS some FROM events")
+_KNOWN = "WITH " + b.SQL["ticks"] + ", " + b.SQL["sessions"] + ", " + ", ".join(f"""{n} AS (SELECT t.symbol, t.ts, least(t.ts + {m * 60}, s.market_close) AS av FROM (SELECT DISTINCT symbol, CAST(floor(epoch(ts) / {m * 60}) * {m * 60} AS BIGINT) AS ts FROM ticks) t
+JOIN sessions s ON t.ts // 86400 = s.market_open // 86400 AND t.ts >= s.market_open AND t.ts < s.market_close)""" for n, m in (("fine", 15), ("coarse", 60))) + ", rows AS (SELECT DISTINCT symbol, av FROM fine), ctx AS (SELECT DISTINCT symbol, av FROM coarse)"
+
+
+@query("q_leaks", _KNOWN + ", j AS (SELECT r.symbol, r.av, max(c.av) AS src FROM rows r LEFT JOIN ctx c ON c.symbol = r.symbol AND c.av <= r.av GROUP BY 1, 2) SELECT count(*) AS decisions, CAST(sum(CAST(src > av AS BIGINT)) AS BIGINT) AS leaks, CAST(sum(src) AS BIGINT) AS sources, count(src) AS known FROM (SELECT symbol, av, src FROM j)")
 def no_leaks(spark, sf_dir):
-    """No context row is known after its decision."""
+    """Decisions, and the times of the context that each of them knows."""
     d = jobs.causal_dataset(b.bars(spark, sf_dir, 15), b.bars(spark, sf_dir, 60), b.sessions(spark, sf_dir), 15, 60)
-    return d.agg(F.sum(F.col("leak").cast("long")).alias("leaks"), (F.count("*") > 0).alias("some"))
+    return d.agg(F.count("*").alias("decisions"), F.coalesce(F.sum(F.when(F.col("source_time").isNotNull(), F.col("leak").cast("long"))), F.lit(0)).alias("leaks"), F.sum(F.unix_timestamp("source_time")).alias("sources"), F.count("source_time").alias("known"))
 
 
 @query("w_rl_features", D + """, x AS (SELECT symbol, ts, rn, volume, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS lr FROM bars), y AS (SELECT *, CASE WHEN count(lr) OVER f >= 20 THEN quantile_cont(lr, 0.5) OVER f END AS m, (volume - avg(volume) OVER f) / nullif(stddev_pop(volume) OVER f, 0) AS vz FROM x WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)),
@@ -53,7 +63,11 @@ def rl(spark, sf_dir):
     return shown(jobs.rl_features(b.daily_bars(spark, sf_dir)), ["symbol", "ts"], ["robust_z", "volume_z"])
 
 
-@query("w_rsi2_bundle")
+_FIFTY = "CASE WHEN ag2 IS NULL THEN NULL WHEN al2 = 0 AND ag2 = 0 THEN 50 WHEN al2 = 0 THEN 100 ELSE greatest(0, least(100, 100 - 100 / (1 + ag2 / al2))) END"
+_BUNDLE, _BUNDLED = sig.layered(D, "bars", [sig.BASE, sig.NEXT, *sig.rsi(2), *sig.adx(5), sig.atr(14) | {"m": sig.sma(200), "z": f"(close - ({sig.sma(20)})) / nullif({sig.moving('stddev_pop', 'close', 20)}, 0)", "v": f"({sig.moving('sum', 'tp * volume', 20)}) / nullif({sig.moving('sum', 'volume', 20)}, 0)"}])
+
+
+@query("w_rsi2_bundle", _BUNDLE + f" SELECT symbol, CAST(ts AS VARCHAR) AS ts, round({_FIFTY}, 6) AS rsi2, round(adx, 6) AS adx, round(m, 6) AS sma200, round(z, 6) AS bb_z, round(atr14, 6) AS atr14, round(v, 6) AS vwap FROM {_BUNDLED} WHERE m IS NOT NULL AND ag2 IS NOT NULL AND adx IS NOT NULL")
 def rsi2(spark, sf_dir):
     """W50, W51, Q29."""
     return shown(jobs.rsi2_bundle(b.daily_bars(spark, sf_dir)), ["symbol", "ts"], ["rsi2", "adx", "sma200", "bb_z", "atr14", "vwap"])
@@ -78,7 +92,9 @@ def collect(spark, sf_dir):
     return shown(jobs.collect_and_derive(b.bars(spark, sf_dir, 5)), ["symbol", "ts", "derivation"], ["close"])
 
 
-@query("q_synchronise")
+@query("q_synchronise", b.with_sql("providers") + """, j AS (SELECT a.symbol, 1e4 * abs(z.close / a.close - 1) AS d FROM pb a JOIN pb z ON a.symbol = z.symbol AND a.ts = z.ts AND a.source = 'A' AND z.source = 'N'),
+ok AS (SELECT symbol FROM j GROUP BY 1 HAVING count(*) >= 5 AND quantile_cont(d, 0.5) <= 5000), l AS (SELECT symbol, min(ts) AS m FROM pb WHERE source = 'N' AND symbol IN (SELECT symbol FROM ok) GROUP BY symbol)
+SELECT p.symbol, p.source, count(*) AS bars FROM pb p LEFT JOIN l ON l.symbol = p.symbol WHERE p.source = 'N' AND l.m IS NOT NULL OR p.source = 'A' AND (l.m IS NULL OR p.ts < l.m) GROUP BY 1, 2""")
 def synchronise(spark, sf_dir):
     """Q03, Q04, V20."""
     q = b.provider_bars(spark, sf_dir)

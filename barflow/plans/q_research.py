@@ -107,7 +107,9 @@ def daily_metrics(spark, sf_dir):
     return shown(m.daily_metrics(s, "hypothesis_id"), ["hypothesis_id"], ["observations", "total_return", "cagr", "sharpe", "sortino", "maximum_drawdown", "drawdown_duration", "daily_profit_factor", "positive_day_ratio", "skew", "kurtosis", "positive_year_ratio", "years"])
 
 
-@query("f_psr")
+@query("f_psr", T + """, s AS (SELECT hypothesis_id, CAST(exit_time AS DATE) AS d, 0.001 * sum(gross_return) AS r FROM trades GROUP BY 1, 2), a AS (SELECT hypothesis_id, avg(r) / nullif(stddev_samp(r), 0) AS sr, count(*) AS n, skewness(r) AS sk, kurtosis(r) + 3 AS ku FROM s GROUP BY 1),
+z AS (SELECT hypothesis_id, sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM a WHERE 1 - sk * sr + (ku - 1) / 4 * sr * sr > 0), t AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM z),
+e AS (SELECT *, 1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z / 2) AS e FROM t) SELECT hypothesis_id, round(CASE WHEN z >= 0 THEN 0.5 * (1 + e) ELSE 0.5 * (1 - e) END, 6) AS psr FROM e""")
 def psr(spark, sf_dir):
     """F16: probabilistic Sharpe ratio of each hypothesis."""
     s = b.trades(spark, sf_dir).groupBy("hypothesis_id", F.to_date("exit_time").alias("date")).agg((0.001 * F.sum("gross_return")).alias("r"))

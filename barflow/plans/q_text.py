@@ -13,7 +13,9 @@ from .registry import query, shown
 N = b.with_sql("news")
 NOW = 1704067200 + 720 * 3600
 POS, NEG = ["the", "and", "que", "der"], ["of", "in", "en", "die"]
-_LEX = lambda c: f"tanh((len(regexp_extract_all(lower({c}), '\\b(the|and|que|der)\\b')) - len(regexp_extract_all(lower({c}), '\\b(of|in|en|die)\\b'))) / 3.0)"
+#: Letters beyond ASCII count as letters of a word here, as they do in Java's patterns.
+_PLAIN = lambda c: f"regexp_replace(lower({c}), '[^\\x00-\\x7F]', 'x', 'g')"
+_LEX = lambda c: f"tanh((len(regexp_extract_all({_PLAIN(c)}, '\\b(the|and|que|der)\\b')) - len(regexp_extract_all({_PLAIN(c)}, '\\b(of|in|en|die)\\b'))) / 3.0)"
 
 
 @query("f_title_tokens", N + " SELECT id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: len(x) > 2))) AS tokens FROM news")
@@ -41,14 +43,22 @@ def decay(spark, sf_dir):
     return shown(b.news(spark, sf_dir).select("id", n.half_life(age / 3600.0).alias("half"), n.freshness(age / 86400.0).alias("fresh")), ["id"], ["half", "fresh"])
 
 
-@query("n_stories")
+_TITLED = N.replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT id, published, provider, summary, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: len(x) > 2)) AS t, row_number() OVER (ORDER BY published, id) AS k FROM news),
+r AS (SELECT k, id, id AS leader, CASE WHEN len(t) > 0 THEN [{'i': id, 'p': published, 't': t}] ELSE [] END AS held FROM k WHERE k = 1
+  UNION ALL SELECT k, id, coalesce(hit, id), CASE WHEN hit IS NULL AND len(t) > 0 THEN list_append(h, {'i': id, 'p': published, 't': t}) ELSE h END
+  FROM (SELECT *, list_filter(h, lambda q: len(list_intersect(q.t, t)) / CAST(len(list_distinct(list_concat(q.t, t))) AS DOUBLE) >= 0.72)[-1].i AS hit FROM (SELECT n.*, list_filter(r.held, lambda q: n.published - q.p <= 129600) AS h FROM r JOIN k n ON n.k = r.k + 1)))"""
+
+
+@query("n_stories", _TITLED + " SELECT r.id, k.published, r.leader FROM r JOIN k ON k.k = r.k")
 def stories(spark, sf_dir):
     """Leader of every item."""
     b_dir(spark)
     return n.stories(b.news(spark, sf_dir))
 
 
-@query("n_evidence")
+@query("n_evidence", _TITLED + f""", d AS (SELECT r.leader, k.*, row_number() OVER (PARTITION BY r.leader ORDER BY length(summary) DESC, published, k.id) AS o FROM r JOIN k ON k.k = r.k),
+g AS (SELECT leader, max(id) FILTER (o = 1) AS representative, count(*) AS items, count(DISTINCT provider) AS p, max(published) AS last FROM d GROUP BY 1)
+SELECT leader, representative, items, round(1.0 / items, 6) AS novelty, round(least(1.0, p / 3.0), 6) AS confirmation, round(exp(-greatest(0, {NOW} - last) / 3600.0 / 36.0), 6) AS decay, round(exp(-greatest(0, {NOW} - last) / 3600.0 / 36.0) * (0.5 + 0.5 * least(1.0, p / 3.0)), 6) AS score FROM g""")
 def evidence(spark, sf_dir):
     """N02, Q25."""
     b_dir(spark)
@@ -56,16 +66,19 @@ def evidence(spark, sf_dir):
     return shown(n.story_evidence(d, n.stories(d), NOW), ["leader", "representative"], ["items", "novelty", "confirmation", "decay", "score"])
 
 
-@query("n_signals")
+@query("n_signals", N + f""", x AS (SELECT id, published, title || ' ' || summary AS t FROM news), y AS (SELECT id, published, {_LEX('t')} AS s, unnest([{{'symbol': 'stupid', 'n': len(regexp_extract_all(t, '\\bstupid\\b'))}}, {{'symbol': 'token', 'n': len(regexp_extract_all(t, '\\btoken\\b'))}}]) AS h FROM x),
+z AS (SELECT id, h.symbol AS symbol, h.n AS n, s, least(1.0, 0.4 + 0.2 * h.n) AS rel, exp(-ln(2.0) * ({NOW} - published) / 3600.0 / 18.0) AS decay FROM y WHERE h.n > 0)
+SELECT id, symbol, n, round(rel, 6) AS relevance, round(s, 6) AS sentiment, round(decay, 6) AS decay, round(greatest(-1, least(1, s * rel * decay)), 6) AS score FROM z""")
 def signals(spark, sf_dir):
     """Mentions of two words as symbols."""
     return shown(n.article_signals(b.news(spark, sf_dir), ["stupid", "token"], POS, NEG, NOW), ["id", "symbol"], ["n", "relevance", "sentiment", "decay", "score"])
 
 
-@query("a_sentiment")
+@query("a_sentiment", N + f""", x AS (SELECT provider AS symbol, {_LEX("title || ' ' || summary")} AS s, exp(-ln(2.0) * ({NOW} - published) / 3600.0 / 18.0) AS w FROM news)
+SELECT symbol, round(sum(w * s) / nullif(sum(w), 0), 6) AS sentiment, round(greatest(0, 1 - stddev_pop(s)), 6) AS agreement, round(1 - exp(-count(*) / 5.0), 6) AS confidence, count(*) AS articles FROM x GROUP BY 1""")
 def sentiment(spark, sf_dir):
     """By provider."""
-    d = b.news(spark, sf_dir).select(F.col("provider").alias("symbol"), n.lexicon_sentiment(F.col("title"), POS, NEG).alias("sentiment"), n.half_life((F.lit(NOW) - F.col("published")) / 3600.0).alias("weight"))
+    d = b.news(spark, sf_dir).select(F.col("provider").alias("symbol"), n.lexicon_sentiment(F.concat_ws(" ", "title", "summary"), POS, NEG).alias("sentiment"), n.half_life((F.lit(NOW) - F.col("published")) / 3600.0).alias("weight"))
     return shown(n.aggregate_sentiment(d), ["symbol"], ["sentiment", "agreement", "confidence", "articles"])
 
 
@@ -77,10 +90,13 @@ def novelty(spark, sf_dir):
 
 
 def b_dir(spark) -> None:
-    """Checkpoints go where the session says; only tests without that setting use a local folder."""
+    """Checkpoints go where the session says; only a session on one machine may use a local folder."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="barflow-"))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
@@ -92,7 +108,15 @@ def _filings(spark, sf_dir):
     return p.select(F.col("page_id").cast("string").alias("accession"), (F.col("page_id") % 20).cast("string").alias("symbol"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 3600).alias("accepted_at"), F.concat(F.lit("Item "), item, F.lit(" "), n.html_text(F.col("html"))).alias("content"))
 
 
-@query("f_html_text")
+_HTML = "coalesce(html, '')"
+for _pattern, _by in (("(?is)<script\\b.*?</script\\s*>", " "), ("(?is)<style\\b.*?</style\\s*>", " "), ("(?i)<br\\s*/?>|</(p|div|tr|li|h[1-6])\\s*>", "\n"), ("(?s)<[^>]+>", " ")):
+    _HTML = f"regexp_replace({_HTML}, '{_pattern}', '{_by}', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
+_HTML = f"trim(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n\\s*', '\n', 'g'))"
+
+
+@query("f_html_text", f"SELECT page_id, CASE WHEN html IS NOT NULL THEN CAST(length({_HTML}) AS BIGINT) END AS chars FROM pages")
 def html(spark, sf_dir):
     """F07."""
     return b.table(spark, sf_dir, "pages").select("page_id", F.length(n.html_text(F.col("html"))).cast("long").alias("chars"))
@@ -161,7 +185,9 @@ def positions(spark, sf_dir):
     return g.position_changes(li).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("g_moves")
+@query("g_moves", """WITH p AS (SELECT CAST(page_id AS VARCHAR) AS accession, CAST(page_id % 20 AS VARCHAR) AS symbol, 1704067200 + page_id * 3600 AS seen, ['1.01', '2.02', '4.02', '5.02', '8.01'][page_id % 5 + 1] AS item FROM pages), m AS (SELECT symbol, max(seen) AS moved FROM p GROUP BY 1),
+j AS (SELECT p.*, CASE item WHEN '1.01' THEN 0.6 WHEN '2.02' THEN 0.8 WHEN '4.02' THEN 1.0 WHEN '5.02' THEN 0.5 ELSE 0.4 END * exp(-(moved // 86400 - seen // 86400) / 3.0) AS s FROM p JOIN m USING (symbol) WHERE seen <= moved AND moved // 86400 - seen // 86400 <= 3)
+SELECT symbol, accession, item, round(s, 6) AS score, c AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY s DESC, accession DESC, item DESC) AS k, count(*) OVER (PARTITION BY symbol) AS c FROM j) WHERE k = 1""")
 def moves(spark, sf_dir):
     """pages' items before a move of each symbol a week on."""
     e = g.item_events(_filings(spark, sf_dir), ["no phrase"], ["no phrase"])
@@ -188,7 +214,11 @@ def levels(spark, sf_dir):
     return shown(o.footprint_levels(o.aggressor(b.ticks(spark, sf_dir)), 86400, 5.0), ["symbol", "bar"], ["level", "buy", "sell", "trades"])
 
 
-@query("w_imbalances")
+@query("w_imbalances", _LEV + """, dg AS (SELECT *, buy > 0 AND buy >= 3 * greatest(coalesce(lag(sell) OVER w, 0), 1e-9) AS bi, sell > 0 AND sell >= 3 * greatest(coalesce(lead(buy) OVER w, 0), 1e-9) AS si, row_number() OVER w AS n FROM l WINDOW w AS (PARTITION BY symbol, bar ORDER BY level)),
+g AS (SELECT *, n - row_number() OVER (PARTITION BY symbol, bar, bi ORDER BY level) AS gb, n - row_number() OVER (PARTITION BY symbol, bar, si ORDER BY level) AS gs FROM dg),
+x AS (SELECT symbol, bar, max(c) AS buy_stack FROM (SELECT symbol, bar, gb, count(*) AS c FROM g WHERE bi GROUP BY 1, 2, 3) GROUP BY 1, 2), y AS (SELECT symbol, bar, max(c) AS sell_stack FROM (SELECT symbol, bar, gs, count(*) AS c FROM g WHERE si GROUP BY 1, 2, 3) GROUP BY 1, 2),
+z AS (SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.bar, y.bar) AS bar, coalesce(buy_stack, 0) AS buy_stack, coalesce(sell_stack, 0) AS sell_stack FROM x FULL JOIN y ON x.symbol = y.symbol AND x.bar = y.bar)
+SELECT *, CASE WHEN buy_stack >= 3 AND buy_stack > sell_stack THEN 'BUY' WHEN sell_stack >= 3 AND sell_stack > buy_stack THEN 'SELL' ELSE 'NO' END AS trigger FROM z""")
 def imbalances(spark, sf_dir):
     """W38, W39, O06."""
     return shown(o.imbalances(o.footprint_levels(o.aggressor(b.ticks(spark, sf_dir)), 86400, 5.0)), ["symbol", "bar", "trigger"], ["buy_stack", "sell_stack"])
@@ -220,7 +250,8 @@ def profile(spark, sf_dir):
     return shown(o.strike_profile(o.gamma_exposure(_chain(spark, sf_dir))), ["symbol"], ["net_gex", "gross_gex", "call_wall", "put_wall"])
 
 
-@query("o_flip")
+@query("o_flip", _OPT + """, u AS (SELECT g.*, i, s * (0.8 + 0.4 * i / 160) AS spot_at FROM g CROSS JOIN range(161) AS q(i)), cu AS (SELECT symbol, i, any_value(s) AS s, any_value(spot_at) AS spot_at, sum(CASE WHEN is_call THEN 1 ELSE -1 END * exp(-0.5 * pow((ln(spot_at / k) + 0.5 * v * v * y) / (v * sqrt(y)), 2)) / sqrt(6.283185307179586) / (spot_at * v * sqrt(y)) * oi * 100 * spot_at * spot_at * 0.01) AS net FROM u GROUP BY 1, 2),
+w AS (SELECT *, lag(spot_at) OVER (PARTITION BY symbol ORDER BY i) AS a, lag(net) OVER (PARTITION BY symbol ORDER BY i) AS n FROM cu), x AS (SELECT symbol, s, a - n * (spot_at - a) / (net - n) AS x FROM w WHERE sign(net) * sign(n) < 0) SELECT symbol, round(arg_min(x, abs(x - s)), 6) AS flip FROM x GROUP BY 1""")
 def flip(spark, sf_dir):
     """Flip of the scenario curve."""
     d = o.scenario_curve(_chain(spark, sf_dir))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from ..operators import bars as ob
 from ..operators import metrics as m
+from ..operators import paths as path
 from ..operators import signals as s
 from ..operators import trades as t
 from . import bindings as b
@@ -71,7 +72,7 @@ def trailing(spark, sf_dir):
 @query("k_pullback", q.pullback_sql())
 def pullback(spark, sf_dir):
     """K04."""
-    d = t.pullback(s.signals(b.daily_bars(spark, sf_dir), "market_structure_atr_pullback"), "atr", 0.5, 2.0, 10)
+    d = t.pullback(s.signals(b.daily_bars(spark, sf_dir), "market_structure_atr_pullback"), "atr", 0.5, 2.0, 10, 5)
     return shown(d.withColumn("exit_time", F.col("exit_time").cast("string")), ["symbol", "entry_time"], _TRADE)
 
 
@@ -120,3 +121,11 @@ def sweep(spark, sf_dir):
     one = [t.from_signals(s.signals(bars, "n_bar_breakout", n=n, m=k), 20).withColumn("n", F.lit(n).cast("long")).withColumn("m", F.lit(k).cast("long")) for n in (5, 10, 20) for k in (5, 10) if k <= n]
     d = m.trade_metrics(reduce(lambda x, y: x.unionByName(y), one), ["n", "m"]).join(g.select("n", "m", "hypothesis_id"), ["n", "m"])
     return shown(d, ["n", "m", "hypothesis_id"], ["trades", "net_expectancy", "profit_factor", "win_rate"])
+
+
+@query("k_paths")
+def paths(spark, sf_dir):
+    """Hourly breakouts of the event stream resolved on 15-minute bars; gaps of that stream make paths incomplete."""
+    hours = s.signals(b.bars(spark, sf_dir, 60), "market_structure_atr_pullback", n=5, atr_n=5)
+    d = path.resolved_pullbacks(hours, b.bars(spark, sf_dir, 15), b.sessions(spark, sf_dir), "atr", 0.2, 1.0, 6, 3)
+    return shown(path.path_summary(d, hours), ["symbol", "failed_at", "failure"], ["trades", "stops", "net_expectancy", "path_complete"])

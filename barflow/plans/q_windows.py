@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from . import bindings as b
 from .registry import query, shown
+from .signal_sql import BASE, NEXT, layered, rsi
 
 D = b.with_sql("daily")
 
@@ -74,7 +75,11 @@ def recurrent(spark, sf_dir):
     return shown(x, ["symbol", "ts"], ["ema20", "rsi14", "atr14", "plus_di", "minus_di", "adx5", "macd", "macd_signal", "macd_hist"], 3)
 
 
-@query("w_rsi_rules")
+_FIFTY = "CASE WHEN ag2 IS NULL THEN NULL WHEN al2 = 0 AND ag2 = 0 THEN 50 WHEN al2 = 0 THEN 100 ELSE greatest(0, least(100, 100 - 100 / (1 + ag2 / al2))) END"
+_RULES, _RULED = layered("WITH " + b.bars_sql(60), "bars", [BASE, NEXT, *rsi(2)])
+
+
+@query("w_rsi_rules", _RULES + f" SELECT symbol, ts, round(r, 6) AS rsi_lab, round({_FIFTY}, 6) AS rsi_fifty, round(CASE WHEN ag2 IS NOT NULL THEN 100 - 100 / (1 + ag2 / nullif(al2, 0)) END, 6) AS rsi_null FROM {_RULED}")
 def rsi_rules(spark, sf_dir):
     """W06, W07 and W08 side by side on hourly bars."""
     x = w.indexed(b.bars(spark, sf_dir, 60))

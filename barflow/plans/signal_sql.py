@@ -29,8 +29,8 @@ def ema(n: int, x: str = "close", start: int = 1) -> str:
     return recurrence(x, 2.0 / (n + 1), start, start + n - 1)
 
 
-_BASE = {"pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "po": lag("open"), "l2": lag("low", 2), "c2": lag("close", 2), "nx": f"lead(ts) OVER ({_W})", "tp": "(high + low + close) / 3.0"}
-_NEXT = {"ptp": lag("tp"), "g": "greatest(close - pc, 0)", "l": "greatest(pc - close, 0)", "tr": "greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0))",
+BASE = {"pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "po": lag("open"), "l2": lag("low", 2), "c2": lag("close", 2), "nx": f"lead(ts) OVER ({_W})", "tp": "(high + low + close) / 3.0"}
+NEXT = {"ptp": lag("tp"), "g": "greatest(close - pc, 0)", "l": "greatest(pc - close, 0)", "tr": "greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0))",
          "pm": "CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END", "mm": "CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END"}
 
 
@@ -141,7 +141,7 @@ wg AS (SELECT symbol, week AS ts, arg_max(close, ts) AS close, max(ts) AS last F
 wk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM (SELECT *, max(ts) OVER (PARTITION BY symbol) AS w FROM wg) WHERE ts < w OR last >= ts)"""
 
 
-def _layered(head: str, source: str, layers: list[dict[str, str]], prefix: str = "x") -> tuple[str, str]:
+def layered(head: str, source: str, layers: list[dict[str, str]], prefix: str = "x") -> tuple[str, str]:
     parts = [head]
     for k, layer in enumerate(layers):
         parts.append(f"{prefix}{k} AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in layer.items()) + f" FROM {source})")
@@ -153,12 +153,12 @@ def features_sql(name: str) -> tuple[str, str, str, str]:
     """WITH clause, its last table, entry and exit of a catalogue entry."""
     head = b.with_sql("daily")
     if name == "triple_screen":
-        weeks, last = _layered(head + ",\n" + _WEEK, "wk", macd(12, 26, 9), "wl")
-        days, source = _layered(weeks, "bars", [_BASE, {"bear": f"low - ({ema(13)})"}, {"pbear": lag("bear")}])
+        weeks, last = layered(head + ",\n" + _WEEK, "wk", macd(12, 26, 9), "wl")
+        days, source = layered(weeks, "bars", [BASE, {"bear": f"low - ({ema(13)})"}, {"pbear": lag("bear")}])
         joined = f",\nj AS (SELECT d.*, w.hist AS week_hist FROM {source} d ASOF LEFT JOIN {last} w ON d.symbol = w.symbol AND d.ts >= w.ts)"
         return days + joined, "j", "week_hist > 0 AND bear < 0 AND bear > pbear AND high > ph", "false"
     layers, entry, exit_ = SIGNALS[name]
-    sql, source = _layered(head, "bars", [_BASE, _NEXT, *layers])
+    sql, source = layered(head, "bars", [BASE, NEXT, *layers])
     return sql, source, entry, exit_
 
 

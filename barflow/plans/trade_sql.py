@@ -71,14 +71,14 @@ f AS (SELECT c.symbol, c.s, c.s + 1 AS er, coalesce(h.hr, c.e0) AS e, c.ep, coal
 
 def pullback_sql() -> str:
     return _bars("market_structure_atr_pullback", _ATR(20)) + _MARKED + """,
-u AS (SELECT *, coalesce(close > lag(high) OVER (PARTITION BY symbol ORDER BY rn), false) AS up FROM s),
-c AS (SELECT symbol, rn AS s, close - 0.5 * v AS lim, 2.0 * v AS sd FROM s WHERE en AND v IS NOT NULL),
-g AS (SELECT c.symbol, c.s, c.sd, min(p.rn) AS er, arg_min(least(p.open, c.lim), p.rn) AS ep FROM c JOIN s p ON p.symbol = c.symbol AND p.rn BETWEEN c.s + 1 AND c.s + 10 WHERE p.low <= c.lim GROUP BY 1, 2, 3),
-q AS (SELECT g.*, p.rn, p.open, p.low <= g.ep - g.sd AS stopped, p.up AND p.rn > g.er AND p.rn < p.n AS after FROM g JOIN u p ON p.symbol = g.symbol AND p.rn BETWEEN g.er AND g.er + 60 WHERE g.ep > 0),
-h AS (SELECT symbol, s, arg_min(CASE WHEN stopped THEN rn ELSE rn + 1 END, rn) AS hr, arg_min({'p': CASE WHEN stopped THEN least(open, ep - sd) END}, rn).p AS hp FROM q WHERE stopped OR after GROUP BY 1, 2),
-l AS (SELECT symbol, s, er, ep, max(rn) AS last FROM q GROUP BY 1, 2, 3, 4),
-f AS (SELECT l.symbol, l.s, l.er, coalesce(h.hr, l.last) AS e, l.ep, coalesce(h.hp, o.open) AS xp, h.hr IS NULL AS forced FROM l LEFT JOIN h ON h.symbol = l.symbol AND h.s = l.s JOIN s o ON o.symbol = l.symbol AND o.rn = coalesce(h.hr, l.last)
-  WHERE coalesce(h.hp, o.open) > 0 AND (coalesce(h.hr, l.last) > l.er OR h.hp IS NOT NULL))""" + _TAKEN + SHOWN
+u AS (SELECT *, close > max(high) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AND rn > 5 AND rn < n AS up FROM s),
+u2 AS (SELECT *, min(CASE WHEN up THEN rn END) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM u),
+c AS (SELECT symbol, rn AS s, low - 0.5 * v AS lim, 2.0 * v AS sd FROM s WHERE en AND v IS NOT NULL),
+g0 AS (SELECT c.symbol, c.s, c.sd, min(p.rn) AS er, arg_min(least(p.open, c.lim), p.rn) AS ep FROM c JOIN s p ON p.symbol = c.symbol AND p.rn BETWEEN c.s + 1 AND c.s + 10 WHERE p.low <= c.lim GROUP BY 1, 2, 3),
+g AS (SELECT g0.*, e.x, e.n FROM g0 JOIN u2 e ON e.symbol = g0.symbol AND e.rn = g0.er WHERE ep > 0),
+h AS (SELECT g.symbol, g.s, min(p.rn) AS hr, arg_min(least(p.open, g.ep - g.sd), p.rn) AS hp FROM g JOIN s p ON p.symbol = g.symbol AND p.rn BETWEEN g.er AND coalesce(g.x, g.n - 1) WHERE p.low <= g.ep - g.sd AND p.rn < g.n GROUP BY 1, 2),
+f AS (SELECT g.symbol, g.s, g.er, coalesce(h.hr, g.x + 1, g.n) AS e, g.ep, coalesce(h.hp, CASE WHEN h.hr IS NULL AND g.x IS NULL THEN o.close ELSE o.open END) AS xp, h.hr IS NULL AND g.x IS NULL AS forced
+  FROM g LEFT JOIN h ON h.symbol = g.symbol AND h.s = g.s JOIN s o ON o.symbol = g.symbol AND o.rn = coalesce(h.hr, g.x + 1, g.n))""" + _TAKEN + SHOWN
 
 
 def setup_sql() -> str:
