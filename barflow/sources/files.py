@@ -106,3 +106,10 @@ def screened(df: DataFrame, queries: list[tuple[str, str, float]], sort: str, mo
 def payload_bars(df: DataFrame) -> DataFrame:
     """Landed bars with lower-case names of one word; the rest is canonicalisation."""
     return df.withColumnsRenamed({c: c.lower().strip().replace(" ", "_") for c in df.columns})
+
+
+def staged(spark: SparkSession, path: str, parts: list[DataFrame], by: list[str]) -> DataFrame:
+    """Parts appended to a staging table that is partitioned by ``by``; the whole table read back. Order is the reader's to ask for."""
+    for part in parts:
+        part.write.mode("append").partitionBy(*by).parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
