@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, steps, tidy, utf8_column
+from .common import small_batches, steps, tidy, utf8_column, written
 from .shingles import shingle_hashes, words
 
 #: Least words of a tile, and least share of an item's words under tiles.
 LEAST_TILE, COVERAGE = 5, 0.75
 #: Bytes of benchmark text that one pass over the documents carries to the executors.
 BLOCK_BYTES = 32 << 20
+#: Pairs of seed and item that are looked at together; a row's own are never parted.
+PAIRS = 1 << 20
 
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, matched_words long, item_words long"
 
@@ -94,9 +96,19 @@ def _near(seeds: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(keep[:-1]) > 0)
 
 
+def _covered(code: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each code, how many item words its seeds (starts ``at``, ``least`` long) cover together; no tiling covers more."""
+    order = np.lexsort((at, code))
+    code, at = code[order], at[order]
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    gap = np.full(len(at), least)
+    gap[:-1] = np.where(code[1:] == code[:-1], np.minimum(at[1:] - at[:-1], least), least)
+    return code[new], np.add.reduceat(gap, new) if len(new) else gap
+
+
 def _block(docs: DataFrame, items: list, least: int, coverage: float) -> DataFrame:
-    """One pass over the documents against benchmark items that fit BLOCK_BYTES."""
-    ids = [r["item_id"] for r in items]
+    """One pass over the documents against benchmark texts that fit BLOCK_BYTES, each with the ids of its items."""
+    ids = [r["ids"] for r in items]
     raw, offs = utf8_column(pa.array([r["text"] for r in items], pa.large_string()))
     _, _, h, first = words(raw, offs)
     item_words = [h[first[k]:first[k + 1]] for k in range(len(ids))]
@@ -104,15 +116,35 @@ def _block(docs: DataFrame, items: list, least: int, coverage: float) -> DataFra
     at = np.concatenate([np.zeros(0, np.int64)] + [np.arange(first[k], max(first[k], first[k + 1] - least + 1)) for k in range(len(ids))]).astype(np.int64)
     owner = np.searchsorted(first, at, "right") - 1
     order = np.argsort(s[at], kind="stable")
-    seed, owner = s[at][order], owner[order]
-    shared = docs.sparkSession.sparkContext.broadcast((ids, item_words, seed, owner))
+    seed, owner, where = s[at][order], owner[order], (at - first[owner])[order]
+    shared = docs.sparkSession.sparkContext.broadcast((ids, item_words, seed, owner, where))
     # A small table says which seeds can be there at all, before any search.
     bits = np.zeros(1 << 20, bool)
     bits[(seed >> np.uint64(44)).astype(np.int64)] = True
     bloom = docs.sparkSession.sparkContext.broadcast(bits)
 
+    def pairs(hit: np.ndarray, row: np.ndarray, s: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Rows and items whose shared seeds can cover enough of the item."""
+        ids, item_words, seed, owner, where = shared.value
+        need = np.array([coverage * len(w) - 1e-9 for w in item_words])
+        lo = np.searchsorted(seed, s[hit])
+        # A seed counts once in a row, however often it stands there: a row meets each seed of the block once at most.
+        one = np.unique(row * np.int64(len(seed) + 1) + lo)
+        row, lo = one // (len(seed) + 1), one % (len(seed) + 1)
+        n = np.searchsorted(seed, seed[lo], "right") - lo
+        cut = np.concatenate([[0], np.cumsum(n)])
+        i = 0
+        while i < len(lo):
+            j = max(i + 1, int(np.searchsorted(cut, cut[i] + PAIRS, "right")) - 1)
+            j = int(np.searchsorted(row, row[j - 1], "right"))  # whole rows
+            k = np.repeat(lo[i:j] - (cut[i:j] - cut[i]), n[i:j]) + np.arange(cut[j] - cut[i])
+            code, covered = _covered(np.repeat(row[i:j], n[i:j]) * np.int64(len(ids)) + owner[k], where[k], least)
+            for c in code[covered >= need[code % len(ids)]].tolist():
+                yield divmod(c, len(ids))
+            i = j
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, item_words, seed, owner = shared.value
+        ids, item_words, seed, *_ = shared.value
         bits = bloom.value
         for b in batches:
             doc_ids, out = b.column(0), []
@@ -121,30 +153,21 @@ def _block(docs: DataFrame, items: list, least: int, coverage: float) -> DataFra
                 _, _, h, first = words(raw[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
                 s = shingle_hashes(h, least)
                 hit = np.flatnonzero(bits[(s >> np.uint64(44)).astype(np.int64)])
-                lo, hi = np.searchsorted(seed, s[hit]), np.searchsorted(seed, s[hit], "right")
-                hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
+                hit = hit[np.searchsorted(seed, s[hit], "right") > np.searchsorted(seed, s[hit])]
                 row = np.searchsorted(first, hit, "right") - 1
                 inside = hit + least <= first[row + 1]
-                hit, lo, hi, row = hit[inside], lo[inside], hi[inside], row[inside]
-                n = hi - lo
-                pair_item = owner[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-                pair_row, pair_at = np.repeat(row, n), np.repeat(hit, n)
-                code = pair_row * np.int64(len(ids)) + pair_item
-                order = np.argsort(code, kind="stable")
-                cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
-                for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-                    k = order[a:z]
-                    r, it = int(pair_row[k[0]]), int(pair_item[k[0]])
+                for r, it in pairs(hit[inside], row[inside], s):
                     doc, item = h[first[r]:first[r + 1]], item_words[it]
                     # Tiles lie around seeds; the rest of the document, cut out, leaves a mark.
-                    near = _near(pair_at[k] - first[r], least, len(doc))
+                    at = np.flatnonzero(np.isin(s[first[r]:first[r + 1] - least + 1], shingle_hashes(item, least)))
+                    near = _near(at, least, len(doc))
                     part = doc[near]
                     gap = np.flatnonzero(np.diff(near) > 1) + 1
                     part = np.insert(part, gap, np.uint64(0))
                     t = tile(item, part, least)
                     got = sum(x[2] for x in t)
                     if got >= coverage * len(item) - 1e-9:
-                        out.append((doc_ids[i + r].as_py(), ids[it], got / len(item), len(t), got, len(item)))
+                        out += [(doc_ids[i + r].as_py(), one, got / len(item), len(t), got, len(item)) for one in ids[it]]
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64()] + [pa.int64()] * 3)],
                                              names=["doc_id", "item_id", "coverage", "n_tiles", "matched_words", "item_words"])
@@ -156,12 +179,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, covera
     """Pairs of document and benchmark item whose tiles cover at least ``coverage`` of the item.
 
     Reads ``doc_id, text`` and ``item_id, text``. Null or empty texts and items of fewer than
-    ``least`` words pair with nothing; repeated rows pair each for itself; other columns are not
-    read. The benchmark is carried to the executors in blocks of at most BLOCK_BYTES of text, one
+    ``least`` words pair with nothing; repeated rows and equal items pair each for itself; of tiles
+    of one length those that start first are taken; very long texts are searched whole; empty tables
+    give no rows; other columns are not read. The benchmark is carried to the executors in blocks of at most BLOCK_BYTES of text, one
     pass over the documents for each block, so its size is bounded whatever the benchmark's.
     """
     small_batches(docs.sparkSession)
-    bench = benchmark.select("item_id", "text").filter(F.length("text") > 0)
+    # Equal texts are one text with several ids, so a block's size is that of its different texts.
+    bench = written(benchmark.select("item_id", "text").filter(F.length("text") > 0).groupBy("text").agg(F.collect_list(F.col("item_id").cast("long")).alias("ids"), F.sum(F.col("item_id").isNull().cast("int")).alias("unnamed")), "benchmark")
+    bench = bench.select("text", F.concat("ids", F.array_repeat(F.lit(None).cast("long"), F.col("unnamed").cast("int"))).alias("ids"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-2 * total // BLOCK_BYTES) if total > BLOCK_BYTES else 1
     out = None

@@ -353,6 +353,49 @@ def test_many_equal_rows_are_one_set_of_places(spark):
     assert got == {(7, 3000): 500, (8, 1500): 1, (9, 0): 1}
 
 
+def naive_tiles(item, doc, least):
+    """Greedy string tiling by plain loops."""
+    a, b, tiles = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = {}
+        for i in range(len(item)):
+            for k in range(len(doc)):
+                n = 0
+                while i + n < len(item) and k + n < len(doc) and a[i + n] and b[k + n] and item[i + n] == doc[k + n]:
+                    n += 1
+                if n >= least:
+                    best.setdefault(n, []).append((i, k))
+        if not best:
+            return tiles
+        n = max(best)
+        for i, k in best[n]:
+            if all(a[i:i + n]) and all(b[k:k + n]):
+                tiles.append((i, k, n))
+                a[i:i + n] = b[k:k + n] = [False] * n
+
+
+def test_tiles_are_those_of_plain_loops(spark):
+    rng = np.random.default_rng(12)
+    made, bench = [], []
+    for k in range(40):
+        item = rng.integers(1, 5, 30)  # few words: many repeated and overlapping passages
+        parts = [item[a:a + n] for a, n in zip(rng.permutation([0, 8, 15, 22]), rng.integers(6, 12, 4))]
+        doc = np.concatenate([x for p in parts for x in (p, rng.integers(1, 5, 3))])
+        assert decontaminate.tile(item.astype(np.uint64), doc.astype(np.uint64)) == naive_tiles(item.tolist(), doc.tolist(), 5)
+        bench.append((k, " ".join(f"w{x}" for x in item)))
+        made.append((k, " ".join(f"w{x}" for x in doc)))
+    bench += [(100, bench[0][1]), (101, "w1 w2"), (102, None), (None, bench[1][1])]
+    want = {}
+    for i, it in bench:
+        for k, t in made:
+            iw, dw = (it or "").split(), t.split()
+            n = sum(x[2] for x in naive_tiles(iw, dw, 5))
+            if len(iw) >= 5 and n >= 0.75 * len(iw):
+                want[(k, i)] = n
+    got = decontaminate.leaks(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.matched_words for r in got} == want and len(got) == len(want) > 20
+
+
 def test_leaks_are_found_in_any_order_and_clean_documents_are_left(spark, odd):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     item = bench.orderBy("item_id").first()
@@ -361,7 +404,7 @@ def test_leaks_are_found_in_any_order_and_clean_documents_are_left(spark, odd):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
     assert set(got) == {(1, item.item_id), (2, item.item_id)} and got[(2, item.item_id)].n_tiles == 2
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(docs(spark), bench.limit(0)).count() == 0
-    # Brute force: greedy tiles of at least five words over all pairs.
+    # The most that any tiling can cover, over all pairs.
     want = set()
     for i in bench.collect():
         iw = re.findall(r"[^\x20\x09-\x0D]+", i.text.lower())
