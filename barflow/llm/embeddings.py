@@ -3,7 +3,9 @@
 A vector is rotated by fast Hadamard transforms with random signs; its hash is the signed axis
 nearest to it. A table joins two such hashes; the two nearest axes of each give four buckets
 (multiprobe). Vectors in one bucket are compared by their cosine in double precision. A pair that
-meets in several buckets counts in the first one alone, so pairs are never gathered.
+meets in several buckets counts in the first one alone, so pairs are never gathered. Only ids and
+keys are grouped to find the buckets of two or more; a vector then goes, in its own precision and
+with its hashes, to those alone.
 """
 
 from __future__ import annotations
@@ -52,8 +54,8 @@ def axes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.float64)
+def _matrix(col: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), dtype).astype(np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -61,23 +63,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _dealt(reps: DataFrame) -> DataFrame:
-    """A row for each vector and bucket: bucket's key, table, and the two axes."""
+    """A row for each vector and bucket: the bucket's key, and its table and axes in one number."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = b.column(3).to_numpy(zero_copy_only=False)
-            for d in np.unique(dims).tolist():
-                t = b.filter(pa.array(dims == d))
-                a = axes(_unit(_matrix(t.column(2)).reshape(len(t), d)))
-                n, per = len(t), TABLES * PROBES * PROBES
-                first = np.repeat(a[:, :, 0], PROBES, 2).reshape(n, per)
-                second = np.tile(a[:, :, 1], (1, 1, PROBES)).reshape(n, per)
-                table = np.tile(np.repeat(np.arange(TABLES), PROBES * PROBES), (n, 1))
-                row = pa.array(np.repeat(np.arange(n), per))
-                yield pa.RecordBatch.from_arrays([*(t.column(c).take(row) for c in (0, 1, 2, 3, 4)), *(pa.array(x.reshape(-1)) for x in (table, first, second))],
-                                                 names=["id", "label", "v", "d", "mult", "t", "x1", "x2"])
+            n, per = b.num_rows, TABLES * PROBES * PROBES
+            if not n:
+                continue
+            a = _codes(b.column(3))
+            first = np.repeat(a[:, :, 0], PROBES, 2).reshape(n, per)
+            second = np.tile(a[:, :, 1], (1, 1, PROBES)).reshape(n, per)
+            table = np.tile(np.repeat(np.arange(TABLES), PROBES * PROBES), (n, 1))
+            row = pa.array(np.repeat(np.arange(n), per))
+            place = (table | first << _X1 | second << _X2).reshape(-1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in (0, 1, 2)), pa.array(place)], names=["id", "label", "d", "place"])
+
+    d = reps.select("id", "label", "d", "codes").mapInArrow(tidy(task), "id long, label long, d long, place long")
+    return d.select("id", "place", F.xxhash64("label", "d", "place").alias("key"))
+
+
+#: Bits of a place: table, then the two axes, then the side of a block pair.
+_X1, _X2, _SIDE = 8, 28, 48
+_AXIS = (1 << 20) - 1
 
-    return reps.select("id", "label", "v", "d", "mult").mapInArrow(tidy(task), "id long, label long, v binary, d long, mult long, t long, x1 long, x2 long")
+
+def _codes(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), "<i4").reshape(len(col), TABLES, 2, PROBES).astype(np.int64)
 
 
 def _links_in(ids, mult, x, code, t, x1, x2, side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +139,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     that are null, empty, zero, or hold null or non-finite components, and rows without a label or
     vec_id, link with nothing; a null vec_id has a null component and is kept. Equal vectors of a
     label are one class from the start, linked with each other; a repeated row counts as another
-    vector of its class. Other columns are not read.
+    vector of its class, and ties have no order to settle. Vectors may be of any length up to 500,000.
+    No rows give no rows. Other columns are not read.
     """
     small_batches(vectors.sparkSession, 2000)
     v = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
@@ -139,42 +151,52 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     v = v.withColumn("h1", F.when(F.col("ok"), F.xxhash64("label", same))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(7), same, "label")))
     classes = written(v.filter("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")), "embedding-classes")
 
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    dtype = "<f4" if single else "<f8"
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             e = b.column(2)
-            flat, offs = e.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.diff(e.offsets.to_numpy()))])
-            raw = np.ascontiguousarray(flat, np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([raw[x:y].tobytes() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.binary()), pa.array(np.diff(offs)), b.column(3)],
-                                             names=["id", "label", "v", "d", "mult"])
+            flat, dims = e.flatten().to_numpy(zero_copy_only=False), np.diff(e.offsets.to_numpy()).astype(np.int64)
+            at = np.cumsum(dims) - dims
+            for d in np.unique(dims).tolist():
+                k = np.flatnonzero(dims == d)
+                x = flat[at[k][:, None] + np.arange(d)]
+                codes, raw = axes(_unit(x)).astype("<i4"), x.astype(dtype)
+                row = pa.array(k)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(np.full(len(k), d)), b.column(3).take(row), pa.array([c.tobytes() for c in codes], pa.binary())],
+                                                 names=["id", "label", "v", "d", "mult", "codes"])
 
     reps = (v.filter("ok").join(classes, ["h1", "h2"]).filter("vec_id = id").dropDuplicates(["id", "h1", "h2"])
-            .select("id", "label", "e", "mult").mapInArrow(tidy(packed), "id long, label long, v binary, d long, mult long"))
+            .select("id", "label", "e", "mult").mapInArrow(tidy(packed), "id long, label long, v binary, d long, mult long, codes binary"))
     reps = written(reps, "embedding-reps")
-    dealt = _dealt(reps).withColumn("key", F.xxhash64("label", "d", "t", "x1", "x2"))
+    dealt = written(_dealt(reps), "embedding-keys", compression="zstd")
     sizes = dealt.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     # Vectors meet only in buckets of two or more; a large bucket is cut into pairs of blocks.
     rows = dealt.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     rows = (rows.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("g", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
             .withColumn("side", F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)))
+    rows = rows.select("g", "id", F.col("place").bitwiseOR(F.shiftleft(F.col("side").cast("long"), _SIDE)).alias("place")).join(reps.select("id", "v", "d", "mult", "codes"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "g", 8192):
-            g, ids, mult, tab, x1, x2, d, side = (t[c].to_numpy() for c in ("g", "id", "mult", "t", "x1", "x2", "d", "side"))
+            g, ids, place, d, mult = (t[c].to_numpy() for c in ("g", "id", "place", "d", "mult"))
             cuts = [*np.flatnonzero(np.diff(g, prepend=g[0] - 1)).tolist(), len(g)]
             out = [(np.zeros(0, np.int64),) * 3]
             for a, z in zip(cuts, cuts[1:]):
                 if z - a < 2:
                     continue
-                x = _unit(_matrix(t["v"].slice(a, z - a)).reshape(z - a, int(d[a])))
+                x = _unit(_matrix(t["v"].slice(a, z - a), dtype).reshape(z - a, int(d[a])))
                 sure = x @ x.T if z - a <= 64 else None
                 if sure is not None and not (np.triu(sure, 1) >= LEAST_COSINE).any():
                     continue
-                c, root, who = _links_in(ids[a:z], mult[a:z], x, axes(x), int(tab[a]), int(x1[a]), int(x2[a]), side[a:z])
+                tab, x1, x2 = int(place[a]) & 0xFF, int(place[a]) >> _X1 & _AXIS, int(place[a]) >> _X2 & _AXIS
+                c, root, who = _links_in(ids[a:z], mult[a:z], x, _codes(t["codes"].slice(a, z - a)), tab, x1, x2, place[a:z] >> _SIDE)
                 out.append((ids[a:z][who], c[who], root[who]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "links", "root"])
 
-    found = written(rows.select("g", "id", "mult", "t", "x1", "x2", "d", "side", "v").repartition("g").sortWithinPartitions("g")
+    found = written(rows.select("g", "id", "place", "d", "mult", "v", "codes").repartition("g").sortWithinPartitions("g")
                     .mapInArrow(tidy(compare), "id long, links long, root long"), "embedding-links")
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -115,5 +115,16 @@ FROM m LEFT JOIN n ON n.doc_id = m.node
 """
 
 
+OP6_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+f AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
+c AS (SELECT vec_id AS node, vec_id AS comp FROM embeddings UNION SELECT l.b, c.comp FROM c JOIN l ON l.a = c.node),
+m AS (SELECT node, min(comp) AS component_id FROM c GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT m.node AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.component_id, m.node = m.component_id AS kept FROM m LEFT JOIN n ON n.a = m.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_minhash": OP4_SQL}
+    return {"op1_warc": OP1_SQL, "op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL}

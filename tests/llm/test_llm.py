@@ -287,6 +287,20 @@ def test_embeddings_are_brute_force(spark):
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(21)
+    for d in (64, 128, 384):
+        a = rng.normal(size=(400, d))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        r = rng.normal(size=(400, d))
+        r -= (r * a).sum(1, keepdims=True) * a
+        r /= np.linalg.norm(r, axis=1, keepdims=True)
+        c = 0.9301
+        rows = [(2 * k, [float(x) for x in a[k]], 0) for k in range(400)] + [(2 * k + 1, [float(x) for x in c * a[k] + np.sqrt(1 - c * c) * r[k]], 0) for k in range(400)]
+        got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).filter("n_links > 0").count()
+        assert got >= 0.98 * 800, d
+
+
 def test_repeated_strings_are_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
