@@ -46,6 +46,16 @@ def signature(shingles: np.ndarray, which: slice = slice(0, PERMUTATIONS)) -> np
     return np.stack([low, high], 1).reshape(-1)
 
 
+def band_values(signature: np.ndarray) -> np.ndarray:
+    """A row of four values for each band: two minima and two maxima, of four permutations.
+
+    The minimum and the maximum of one permutation are not independent in small sets, so they never
+    stand in one band; a pair of similarity s then shares a band with odds near s ** 4.
+    """
+    low, high = signature[0::2], np.roll(signature[1::2], PERMUTATIONS // 2)
+    return np.stack([low[0::2], low[1::2], high[0::2], high[1::2]], 1)
+
+
 def _top_bytes(values: np.ndarray) -> bytes:
     return (values >> np.uint64(56)).astype(np.uint8).tobytes()
 
@@ -77,7 +87,7 @@ def features(docs: DataFrame) -> DataFrame:
                 v = mix(signature(s))
                 sig.append(_top_bytes(v))
                 key = number
-                for column in v.reshape(BANDS, BAND_VALUES).T:
+                for column in band_values(v).T:
                     key = mix(key * np.uint64(0x5851F42D4C957F2D) + column)
                 bands.append(key.view(np.int64))
             lens = np.cumsum([0] + [len(x) for x in bands]).astype(np.int32)
@@ -184,7 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, and texts of blanks, have no shingles and link with nothing. A null
     doc_id links with nothing, has a null component and is kept. Rows that share a doc_id are one
-    node. Only ``doc_id`` and ``text`` are read. Documents with equal sets are one class from the
+    node. Ties have no order to settle; very long texts are hashed whole; no rows give no rows. Only ``doc_id`` and ``text`` are read. Documents with equal sets are one class from the
     start, so groups of copies are never compared among themselves.
     """
     small_batches(docs.sparkSession)
