@@ -222,6 +222,69 @@ def test_secrets_base_spans_and_propagation(spark, odd):
     assert secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_lexed_pairs_of_many_forms():
+    cases = {
+        'cfg.set("auth_token", "Zx81-kkQ0-p")': ["Zx81-kkQ0-p"], '<add key="ApiSecret" value="q1W2e3R4t5"/>': ["q1W2e3R4t5"], "<clientSecret>q1W2e3R4t5</clientSecret>": ["q1W2e3R4t5"],
+        "secrets:\n  db:\n    value: q1W2e3R4t5\nother:\n  value: q1W2e3R4t6\n": ["q1W2e3R4t5"], 'private_key: |\n  MIIEvQIBADANBg\n  kqhkiG9w0BAQEF\nnext: 1\n': ["MIIEvQIBADANBg\n  kqhkiG9w0BAQEF"],
+        'PASSPHRASE = """Correct9-horse\nbattery"""': ["Correct9-horse\nbattery"], 'a = "Zx81"\nb = a + "kkQ0"\nc = b + "p!7"\ndb_password = c': ["Zx81", "kkQ0", "p!7"], 'color = "q1W2e3R4t5"': [], 'password = "changeme"': [], "title: token of thanks": [],
+    }
+    for text, want in cases.items():
+        got = sorted(text[a:b] for a, b, _ in secrets.lexed_spans(text))
+        assert got == sorted(want), text
+
+
+def test_random_programs_are_followed_to_their_literals():
+    rng = np.random.default_rng(17)
+    for _ in range(200):
+        lines, literals, quoted, names = [], {}, {}, []
+        for k in range(int(rng.integers(2, 9))):
+            name = f"{rng.choice(['color', 'db_password', 'size', 'apiKey', 'note'])}{k}" if rng.random() < 0.5 else f"v{k}"
+            terms, own = [], []
+            for _ in range(int(rng.integers(1, 4))):
+                if names and rng.random() < 0.4:
+                    other = str(rng.choice(names))
+                    terms.append(other)
+                    own += literals[other]
+                else:
+                    lit = "".join(rng.choice(list("aB3-xY7_"), 10))
+                    terms.append(f'"{lit}"')
+                    own.append(lit)
+            lines.append(f"{name} = {' + '.join(terms)}")
+            literals[name], quoted[name] = own, any(t[0] == '"' for t in terms)
+            names.append(name)
+        text = "\n".join(lines)
+        want = {x for n, own in literals.items() if secrets.name_weight(n) > 0 for x in own if _likely(n, "".join(own), quoted[n])}
+        assert {text[a:b] for a, b, _ in secrets.lexed_spans(text)} == want, text
+
+
+def _likely(name, whole, quoted):
+    kinds = sum(map(bool, (re.search("[a-z]", whole), re.search("[A-Z]", whole), re.search("[0-9]", whole), re.search("[^A-Za-z0-9]", whole))))
+    return len(set(whole)) >= 4 and secrets.name_weight(name) + 0.5 * (kinds - 1) + 0.5 * (len(whole) >= 16) + 0.5 * quoted >= 3
+
+
+def test_long_chains_of_constants_take_linear_time():
+    import time
+
+    def took(n):
+        text = "\n".join(["a0 = 'x1'"] + [f"a{k} = a{k - 1} + 'y{k}'" for k in range(1, n)] + [f"secret = a{n - 1}"])
+        t = time.perf_counter()
+        assert len(secrets.lexed_spans(text)) == n
+        return time.perf_counter() - t
+
+    took(500)
+    assert took(8000) < 40 * max(took(1000), 0.002)
+
+
+def test_bands_hold_values_of_different_permutations():
+    rng = np.random.default_rng(3)
+    hits = 0
+    for _ in range(400):
+        s = rng.integers(0, 1 << 63, 4, np.uint64)
+        a, b = (minhash.band_values(minhash.signature(x)) for x in (s, s[:3]))
+        hits += (a == b).all(1).sum()
+    assert abs(hits / (400 * minhash.BANDS) - 0.75**4) < 0.02
+
+
 def brute_links(sets):
     out = []
     for i, a in enumerate(sets):
