@@ -17,8 +17,8 @@ import numpy as np
 from .common import steps
 
 END_ID = 1
-#: Words that a worker remembers; its table then takes about 150 MB.
-MOST_WORDS = 1 << 21
+#: Words that a worker remembers; its table then takes about 70 MB.
+MOST_WORDS = 1 << 20
 #: Parts of words with signs that it remembers besides.
 MOST_PIECES = 1 << 16
 _SPACE = np.zeros(256, bool)
