@@ -1,4 +1,4 @@
-"""Candidates, allocations and readiness."""
+"""Candidates, allocations and readiness."""
 
 from __future__ import annotations
 

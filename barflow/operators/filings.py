@@ -1,4 +1,4 @@
-"""Filings and ownership events."""
+"""Filings and ownership events."""
 
 from __future__ import annotations
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +75,16 @@ def membership(sets: dict[str, DataFrame], key: str) -> DataFrame:
     return d.groupBy(key).agg(*[F.bool_or(F.col("_set") == n).alias(n) for n in sets])
 
 
-def mutual_best(candidates: DataFrame, left: str, right: str, score: str, rounds: int = 64) -> DataFrame:
+def mutual_best(candidates: DataFrame, left: str, right: str, score: str, rounds: int | None = None) -> DataFrame:
     """Greedy one-to-one matching: pairs that are each other's best are taken, round by round.
 
     Ties go to the smaller ids. A round takes at least the best pair left; it ends when none is left.
-    Rounds beyond ``rounds`` would be needed by chains of that length only, and raise.
+    More than ``rounds`` rounds, if that is given, raise.
     """
     left_over, taken = candidates, None
-    for _ in range(rounds):
+    for k in itertools.count():
+        if k == rounds:
+            raise ValueError("matching needs more rounds")
         wl = Window.partitionBy(left).orderBy(F.col(score).desc(), left, right)
         wr = Window.partitionBy(right).orderBy(F.col(score).desc(), left, right)
         best = left_over.withColumn("_l", F.row_number().over(wl)).withColumn("_r", F.row_number().over(wr)).filter("_l = 1 AND _r = 1").drop("_l", "_r").checkpoint()
@@ -88,7 +92,6 @@ def mutual_best(candidates: DataFrame, left: str, right: str, score: str, rounds
             return taken if taken is not None else best
         taken = best if taken is None else taken.unionByName(best)
         left_over = left_over.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").checkpoint()
-    raise ValueError("matching needs more rounds")
 
 
 def multiset_match(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Trade and return metrics."""
+"""Trade and return metrics."""
 
 from __future__ import annotations
 

@@ -135,19 +135,19 @@ def article_signals(news: DataFrame, aliases: list[str], positive: list[str], ne
 
 
 def novelty(texts: DataFrame, by: str, order: str, last: int = 128, features: int = 1 << 12) -> DataFrame:
-    """1 - the largest cosine to the ``last`` texts before of the key, at least 0.1; 1 for the first."""
-    from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
-    from pyspark.ml.functions import vector_to_array
+    """1 - the largest cosine to the ``last`` texts before of the key, at least 0.1; 1 for the first.
 
+    Words are hashed to ``features`` places. Texts of a key are numbered, and those of neighbouring
+    blocks of ``last`` meet, so a common key is spread over its blocks and none is gathered.
+    """
     d = texts.select(by, order, F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    d = Tokenizer(inputCol="text", outputCol="w").transform(d)
-    d = Normalizer(inputCol="tf", outputCol="v").transform(HashingTF(inputCol="w", outputCol="tf", numFeatures=features).transform(d))
-    # Positions and weights of the words that are there, so pairs meet on words within blocks of neighbours.
-    arr = F.filter(F.transform(vector_to_array("v"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != 0)
-    d = d.select(by, order, "n", arr.alias("v")).withColumn("m", F.map_from_entries("v")).withColumn("b", F.floor(F.col("n") / last))
-    z = d.select(by, F.explode(F.array("b", F.col("b") + 1)).alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"))
-    dot = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * F.coalesce(F.element_at("m2", e["i"]), F.lit(0.0)))
-    p = d.join(z, [by, "b"]).filter((F.col("n2") < F.col("n")) & (F.col("n") - F.col("n2") <= last)).groupBy(by, "n").agg(F.max(dot).alias("s"))
+    d = d.withColumn("b", F.floor(F.col("n") / last)).withColumn("w", F.transform(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""), lambda x: F.pmod(F.hash(x), F.lit(features))))
+    terms = d.select(by, "n", F.explode("w").alias("i")).groupBy(by, "n", "i").agg(F.count("*").cast("double").alias("c"))
+    vectors = terms.groupBy(by, "n").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
+    d = d.drop("text", "w").join(vectors, [by, "n"], "left")
+    z = d.select(by, F.explode(F.array("b", F.col("b") + 1)).alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("size").alias("size2"))
+    dot = F.aggregate(F.map_entries("m"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("m2", e["key"]), F.lit(0.0)))
+    p = d.join(z, [by, "b"]).filter((F.col("n2") < F.col("n")) & (F.col("n") - F.col("n2") <= last)).groupBy(by, "n").agg(F.max(dot / (F.col("size") * F.col("size2"))).alias("s"))
     return d.select(by, order, "n").join(p, [by, "n"], "left").withColumn("novelty", F.greatest(F.lit(0.1), 1.0 - F.coalesce("s", F.lit(0.0)))).drop("n", "s")
 
 

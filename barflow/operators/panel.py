@@ -1,4 +1,4 @@
-"""Labels, cross-sectional ranks, folds and panel evaluation."""
+"""Labels, cross-sectional ranks, folds and panel evaluation."""
 
 from __future__ import annotations
 
@@ -74,8 +74,10 @@ def rolling_folds(times: DataFrame, hold: int, folds: int = 4, least_rows: int =
 
 
 def contained(trades: DataFrame, folds: DataFrame) -> DataFrame:
-    """Trades that start and end within a fold's segment; folds are a handful of rows."""
-    return trades.join(F.broadcast(folds), (F.col("entry_time") >= F.col("start")) & (F.col("exit_time") <= F.col("end"))).drop("start", "end")
+    """Trades that start and end within a fold's segment; folds are dealt by month of entry, so it is an equi-join."""
+    month = lambda c: F.trunc(F.col(c).cast("date"), "MM")
+    cells = folds.filter(F.col("start") <= F.col("end")).select("*", F.explode(F.sequence(month("start"), month("end"), F.expr("INTERVAL 1 MONTH"))).alias("_m"))
+    return trades.withColumn("_m", month("entry_time")).join(cells, "_m").filter((F.col("entry_time") >= F.col("start")) & (F.col("exit_time") <= F.col("end"))).drop("start", "end", "_m")
 
 
 def trimmed(df: DataFrame, by: list[str], on: str, n: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Cleaning, validation and data-quality rows."""
+"""Cleaning, validation and data-quality rows."""
 
 from __future__ import annotations
 

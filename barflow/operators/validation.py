@@ -1,4 +1,4 @@
-"""Selection and validation of hypotheses."""
+"""Selection and validation of hypotheses."""
 
 from __future__ import annotations
 

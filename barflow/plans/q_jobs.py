@@ -37,7 +37,13 @@ def bundle(spark, sf_dir):
     return d.groupBy("timeframe").agg(F.count("*").alias("bars"), F.count_distinct("symbol").alias("symbols"))
 
 
-@query("q_causal_dataset")
+_HOURS, _HOURED = sig.layered("WITH " + b.bars_sql(60), "bars", [{"ret1": "close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1", "e5": sig.recurrence("close", 2.0 / 6, 1, 1)}])
+
+
+@query("q_causal_dataset", _HOURS + ", " + b.SQL["sessions"] + f""", fine AS (SELECT DISTINCT t.symbol, least(t.ts + 900, s.market_close) AS av FROM (SELECT DISTINCT symbol, CAST(floor(epoch(ts) / 900) * 900 AS BIGINT) AS ts FROM ticks) t JOIN sessions s ON t.ts // 86400 = s.market_open // 86400 AND t.ts >= s.market_open AND t.ts < s.market_close),
+ctx AS (SELECT h.symbol, least(h.ts + 3600, s.market_close) AS av, ret1, close / e5 - 1 AS ema5 FROM {_HOURED} h JOIN sessions s ON h.ts // 86400 = s.market_open // 86400 AND h.ts >= s.market_open AND h.ts < s.market_close),
+j AS (SELECT f.symbol, f.av, c.av AS src, ret1, ema5 FROM fine f ASOF LEFT JOIN ctx c ON f.symbol = c.symbol AND f.av >= c.av)
+SELECT symbol, av AS decision_time, round(CASE WHEN src // 86400 = av // 86400 THEN ret1 END, 6) AS ctx_ret1, round(CASE WHEN src // 86400 = av // 86400 THEN ema5 END, 6) AS ctx_ema5, CAST(coalesce(src // 86400 = av // 86400, false) AS BIGINT) AS fresh, CAST(0 AS BIGINT) AS leak FROM j""")
 def causal(spark, sf_dir):
     """Q08, J01, J04, W26, W29, W30."""
     d = jobs.causal_dataset(b.bars(spark, sf_dir, 15), b.bars(spark, sf_dir, 60), b.sessions(spark, sf_dir), 15, 60)
@@ -73,7 +79,7 @@ def rsi2(spark, sf_dir):
     return shown(jobs.rsi2_bundle(b.daily_bars(spark, sf_dir)), ["symbol", "ts"], ["rsi2", "adx", "sma200", "bb_z", "atr14", "vwap"])
 
 
-@query("q_factory")
+@query("q_factory", q.factory_sql(["n_bar_breakout", "close_below_n_day_low", "consecutive_lower_lows"], 20))
 def factory(spark, sf_dir):
     """Q11, Q12, V01-V03."""
     d = b.daily_bars(spark, sf_dir)
@@ -102,7 +108,12 @@ def synchronise(spark, sf_dir):
     return d.groupBy("symbol", "source").agg(F.count("*").alias("bars"))
 
 
-@query("q_swing")
+_SWING = D + """, x AS (SELECT symbol, ts, lead(close, 5) OVER w / nullif(lead(open, 1) OVER w, 0) - 1 AS y, close / nullif(lag(close, 3) OVER w, 0) - 1 AS p FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), v AS (SELECT * FROM x WHERE y IS NOT NULL AND p IS NOT NULL),
+d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM v)), pe AS (SELECT ts, CASE WHEN i < floor(n * 0.6) - 6 THEN 'train' WHEN i >= floor(n * 0.6) AND i < floor(n * 0.8) - 6 THEN 'valid' WHEN i >= floor(n * 0.8) THEN 'test' END AS period FROM d),
+k AS (SELECT v.*, symbol || '|' || period AS k FROM v JOIN pe USING (ts) WHERE period IS NOT NULL), q AS (SELECT k, quantile_cont(p, 0.2) AS a, quantile_cont(p, 0.8) AS z FROM k GROUP BY 1), h AS (SELECT k.*, a, z, CASE WHEN (p > 0) = (y > 0) THEN 1.0 ELSE 0 END AS hit FROM k JOIN q USING (k))"""
+
+
+@query("q_swing", _SWING + " SELECT k, round(corr(p, y), 6) AS ic, round(avg(hit), 6) AS direction, round((avg(hit) FILTER (y > 0) + avg(hit) FILTER (y <= 0)) / 2, 6) AS balanced, round(avg(y) FILTER (p >= z) - avg(y) FILTER (p <= a), 6) AS quintile_spread FROM h GROUP BY k")
 def swing(spark, sf_dir):
     """Q18, L02, L05, V10."""
     return shown(jobs.swing_evaluation(b.daily_bars(spark, sf_dir), w.pct_change("close", 3), 5, 6), ["k"], ["ic", "direction", "balanced", "quintile_spread"])
@@ -137,18 +148,83 @@ def master(spark, sf_dir):
     return shown(files.master_coverage(s.select(F.col("n_name").alias("exchange"), F.col("r_name").alias("category"))), [], ["rows", "coverage"])
 
 
+def _source(spark, sf_dir, name: str):
+    """A table's file as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
+def _tick_stream(spark, sf_dir):
+    src = _source(spark, sf_dir, "events")
+    return src.select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), (1.0 + F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))).alias("size"))
+
+
 def _streamed(spark, sf_dir, build, label: str, mode: str = "append"):
     """Run a stream over the events file to its end, into a table that is returned."""
-    path, where = _shared(spark, label), f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(where).schema
-    src = spark.readStream.schema(schema).parquet(where if not where.endswith(".parquet") else f"{sf_dir}/event[s].parquet")
-    t = src.select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), (1.0 + F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))).alias("size"))
-    out = build(t)
+    path = _shared(spark, label)
+    out = build(_tick_stream(spark, sf_dir))
     run = out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
+def _batched(spark, label: str, build):
+    """Run a stream of micro-batches that write path/out by epoch, to its end; the table they leave."""
+    path = _shared(spark, label)
+    run = build(path).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def _point_bars(t):
+    return t.select("symbol", "ts", *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], F.col("size").alias("volume"))
+
+
+@query("x_sliding", b.with_sql("ticks") + ", e AS (SELECT max(epoch_us(ts)) / 1e6 - 3600 AS w FROM ticks), g AS (SELECT symbol, CAST(unnest(range(CAST(floor(epoch(ts) / 900) * 900 AS BIGINT) - 6300, CAST(floor(epoch(ts) / 900) * 900 AS BIGINT) + 1, 900)) AS BIGINT) AS start, ts, price, size FROM ticks) SELECT symbol, start, round(arg_min(price, ts), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, ts), 6) AS close, round(sum(size), 6) AS volume, count(*) AS n FROM g, e GROUP BY symbol, start HAVING start + 7200 <= min(w)")
+def sliding(spark, sf_dir):
+    """Two-hour windows every quarter of an hour over the event stream, closed at its end."""
+    return shown(_streamed(spark, sf_dir, lambda t: stream.sliding_context(_point_bars(t)), "sliding"), ["symbol", "start"], ["open", "high", "low", "close", "volume", "n"])
+
+
+@query("x_runs", b.with_sql("ticks") + ", e AS (SELECT max(epoch_us(ts)) - 3600000000 AS w FROM ticks), d AS (SELECT *, epoch_us(ts) AS u, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY symbol ORDER BY ts) < 960000000 THEN 0 ELSE 1 END AS new FROM ticks), r AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS r FROM d) SELECT symbol, CAST(floor(min(u) / 1e6) AS BIGINT) AS start, count(*) AS n, round(max(price), 6) AS high, round(min(price), 6) AS low FROM r, e GROUP BY symbol, r HAVING max(u) + 960000000 <= min(w)")
+def sessions_of_runs(spark, sf_dir):
+    """Runs of events less than 16 minutes apart, closed at the stream's end."""
+    return shown(_streamed(spark, sf_dir, lambda t: stream.runs(_point_bars(t)), "runs"), ["symbol", "start"], ["n", "high", "low"])
+
+
+@query("x_context", "WITH " + b.bars_sql(60) + " SELECT t.event_id, CAST(b.ts AS BIGINT) AS ctx_source_time, round(b.close, 6) AS ctx_close FROM (SELECT *, epoch(ts) AS at FROM ticks) t ASOF LEFT JOIN bars b ON t.symbol = b.symbol AND t.at >= b.ts")
+def context(spark, sf_dir):
+    """Each micro-batch of events with the last hourly bar that began by then."""
+    def build(path):
+        w_ = stream.with_context(_tick_stream(spark, sf_dir), lambda: b.bars(spark, sf_dir, 60), lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}"))
+        return w_.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+
+    return shown(_batched(spark, "context", build), ["event_id", "ctx_source_time"], ["ctx_close"])
+
+
+@query("x_stories", b.with_sql("news").replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT id, published, provider, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: len(x) > 2)) AS t, row_number() OVER (PARTITION BY provider ORDER BY published, id) AS k FROM news),
+r AS (SELECT provider, k, id, id AS leader, [{'i': id, 'p': published, 't': t}] AS held FROM k WHERE k = 1
+  UNION ALL SELECT provider, k, id, coalesce(hit, id), CASE WHEN hit IS NULL THEN list_append(h, {'i': id, 'p': published, 't': t}) ELSE h END
+  FROM (SELECT *, list_filter(h, lambda q: len(t) > 0 AND len(list_intersect(q.t, t)) >= 0.72 * len(list_distinct(list_concat(q.t, t))))[-1].i AS hit FROM (SELECT n.*, list_filter(r.held, lambda q: n.published - q.p <= 129600) AS h FROM r JOIN k n ON n.provider = r.provider AND n.k = r.k + 1)))
+SELECT provider, id, leader FROM r""")
+def stories(spark, sf_dir):
+    """Leaders of items within their provider."""
+    from ..operators import news as n
+
+    d = _source(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("provider"), n.title_tokens(F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ")).alias("tokens"), (F.lit(1704067200) + F.col("doc_id") % 720 * 3600).cast("long").alias("published"))
+    return _batched(spark, "stories", lambda path: stream.story_leaders(d, path)).select("provider", "id", "leader")
+
+
+@query("x_quarantine", "SELECT count(*) FILTER (event_type <> 'click') AS good, count(*) FILTER (event_type = 'click') AS bad, count(*) AS told FROM events")
+def quarantine(spark, sf_dir):
+    """Events without a price in good and bad files, with the batches' own counts."""
+    path = _shared(spark, "quarantine")
+    d = _point_bars(_tick_stream(spark, sf_dir)).withColumn("close", F.when(F.col("symbol") != "click", F.col("close")))
+    stream.quarantined(d, f"{path}/good", f"{path}/bad", f"{path}/audit", f"{path}/checkpoint").start().awaitTermination()
+    n = lambda k: spark.read.parquet(f"{path}/{k}")
+    return n("good").agg(F.count("*").alias("good")).crossJoin(n("bad").agg(F.count("*").alias("bad"))).crossJoin(n("audit").agg(F.sum("rows").alias("told")))
+
+
 @query("x_closed_bars", "WITH " + b.bars_sql(60) + ", e AS (SELECT max(epoch(ts)) - 600 AS w FROM events) SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM bars, e WHERE ts + 3600 <= w")
 def closed(spark, sf_dir):
     """Hourly bars of the event stream that are closed at its end."""
@@ -158,7 +234,7 @@ def closed(spark, sf_dir):
 @query("x_cumulative_delta", b.with_sql("ticks") + ", d AS (SELECT *, sign(nullif(price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, event_id), 0)) AS d FROM ticks), a AS (SELECT symbol, ts, event_id, size, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 1.0) AS g FROM d) SELECT event_id, round(g, 6) AS aggressor, round(sum(g * size) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS cum_delta FROM a")
 def delta(spark, sf_dir):
     """X07."""
-    return shown(_streamed(spark, sf_dir, stream.cumulative_delta, "delta"), ["event_id"], ["aggressor", "cum_delta"])
+    return shown(_batched(spark, "delta", lambda path: stream.cumulative_delta(_tick_stream(spark, sf_dir), path)), ["event_id"], ["aggressor", "cum_delta"])
 
 
 @query("x_once", "SELECT count(DISTINCT event_id) AS n FROM events")

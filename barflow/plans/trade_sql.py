@@ -130,3 +130,23 @@ c AS (SELECT symbol, rn AS s, nxt AS ep, least(coalesce(xr + 1, n), least(n, rn
 f AS (SELECT c.symbol, c.s, c.s + 1 AS er, c.e, c.ep, o.open AS xp, c.forced FROM c JOIN s o ON o.symbol = c.symbol AND o.rn = c.e WHERE o.open > 0 AND c.e > c.s + 1)""" + _TAKEN + """,
 t AS (SELECT CAST(split_part(symbol, '|', 2) AS BIGINT) AS n, CAST(split_part(symbol, '|', 3) AS BIGINT) AS m, xp / ep * (1 - 0.0003) / (1 + 0.0003) - 1 AS net FROM r WHERE taken)
 SELECT n, m, substr(sha256('{"n":' || n || ',"m":' || m || '}'), 1, 16) AS hypothesis_id, count(*) AS trades, round(avg(net), 6) AS net_expectancy, round(sum(CASE WHEN net > 0 THEN net ELSE 0 END) / nullif(-sum(CASE WHEN net < 0 THEN net ELSE 0 END), 0), 6) AS profit_factor, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END), 6) AS win_rate FROM t GROUP BY 1, 2"""
+
+
+def factory_sql(names: list[str], hold: int, bps: float = 3.0) -> str:
+    """Q11: strategies' trades within folds, their metrics by segment, gate and status; folds of 500 days at least, parts of 100."""
+    one = []
+    for n in names:
+        sql, source, entry, exit_ = features_sql(n)
+        one.append(f"SELECT '{n}|' || symbol AS symbol, rn, ts, open, high, low, close, en, ex, NULL AS v FROM ({sql} SELECT *, coalesce({entry}, false) AS en, coalesce({exit_}, false) AS ex FROM {source})")
+    cost = bps / 1e4
+    return "WITH RECURSIVE s0 AS (" + " UNION ALL ".join(one) + ")" + _MARKED + f""",
+c AS (SELECT symbol, rn AS s, nxt AS ep, least(coalesce(xr + 1, n), least(n, rn + 1 + {hold})) AS e, false AS forced FROM m WHERE en AND rn < n AND nxt > 0),
+f AS (SELECT c.symbol, c.s, c.s + 1 AS er, c.e, c.ep, o.open AS xp, c.forced FROM c JOIN s o ON o.symbol = c.symbol AND o.rn = c.e WHERE o.open > 0 AND c.e > c.s + 1)""" + _TAKEN + f""",
+d0 AS (SELECT DISTINCT ts FROM s0), dd AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM d0),
+p0 AS (SELECT fold, CAST(floor(n * 0.45) - 1 + fold * part AS BIGINT) AS te, part FROM (SELECT max(n) AS n, CAST(greatest(100, floor(max(n) * 0.1)) AS BIGINT) AS part FROM dd HAVING max(n) >= 500), range(4) AS q(fold)),
+p1 AS (SELECT fold, te, te + {hold} + 2 AS vs, te + {hold} + 1 + part AS ve, te + 2 * {hold} + 3 + part AS ss, te + 2 * {hold} + 2 + 2 * part AS se FROM p0), p2 AS (SELECT *, count(*) OVER () AS c FROM p1 WHERE se < (SELECT max(n) FROM dd)),
+p3 AS (SELECT fold, unnest([{{'s': 'train', 'a': CAST(0 AS BIGINT), 'z': te}}, {{'s': 'valid', 'a': vs, 'z': ve}}, {{'s': 'test', 'a': ss, 'z': se}}]) AS x FROM p2 WHERE c >= 3), folds AS (SELECT fold, x.s AS segment, a.ts AS a, z.ts AS z FROM p3 JOIN dd a ON a.i = x.a JOIN dd z ON z.i = x.z),
+t AS (SELECT split_part(r.symbol, '|', 1) AS strategy, a.ts AS entry, z.ts AS exit, r.xp / r.ep * (1 - {cost}) / (1 + {cost}) - 1 AS net FROM r JOIN s a ON a.symbol = r.symbol AND a.rn = r.er JOIN s z ON z.symbol = r.symbol AND z.rn = r.e WHERE r.taken),
+g AS (SELECT strategy, fold, count(*) FILTER (segment = 'train') AS tc, avg(net) FILTER (segment = 'train') AS te, count(*) FILTER (segment = 'valid') AS vc, avg(net) FILTER (segment = 'valid') AS ve, avg(net) FILTER (segment = 'test') AS xe FROM t JOIN folds ON entry >= folds.a AND exit <= folds.z GROUP BY 1, 2),
+u AS (SELECT strategy, count(*) AS folds, CAST(sum(CAST(coalesce(tc >= 8 AND vc >= 8 AND te > 0 AND ve > 0, false) AS BIGINT)) AS BIGINT) AS passed, avg(CASE WHEN xe > 0 THEN 1.0 WHEN xe <= 0 THEN 0.0 END) AS positive, quantile_cont(xe, 0.5) AS median, min(xe) AS worst FROM g GROUP BY 1)
+SELECT strategy, CASE WHEN folds >= 3 AND positive = 1 AND worst > 0 THEN 'STRONG_SURVIVOR' WHEN folds >= 3 AND positive >= 0.75 AND median > 0 THEN 'PROVISIONAL_SURVIVOR' WHEN folds >= 2 AND positive >= 0.5 AND median > 0 THEN 'SURVIVOR' ELSE 'REJECT' END AS status, folds, passed, round(positive, 6) AS positive, round(median, 6) AS median, round(worst, 6) AS worst FROM u"""

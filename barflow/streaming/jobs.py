@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import one_by_one
+
 
 def closed_bars(ticks: DataFrame, minutes: int, delay: str = "10 minutes") -> DataFrame:
     """Bars that the watermark has closed; in append mode each is given once, late ticks never change it."""
@@ -42,59 +43,75 @@ def with_context(stream: DataFrame, context: Callable[[], DataFrame], sink: Call
     return stream.writeStream.foreachBatch(batch)
 
 
-def cumulative_delta(ticks: DataFrame) -> DataFrame:
-    """Aggressor by the tick rule and running delta of each symbol, over micro-batches.
+def _with_state(stream: DataFrame, rows: Callable[[DataFrame, DataFrame], DataFrame], state: Callable[[DataFrame, DataFrame], DataFrame], schema: str, path: str):
+    """Micro-batches that know a small table of what came before.
 
-    State is the last price, its last direction and the running delta. Rows of a micro-batch are
-    taken by time; a tick earlier than a batch before keeps its place of arrival.
+    ``rows(batch, before)`` are written to path/out/epoch=n, and ``state(written, before)`` to
+    path/state/epoch=n; a batch that runs again overwrites its own two folders.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        price, sign, total = state.get if state.exists else (None, 1.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        signs = []
-        for p in rows["price"].tolist():
-            if price is not None and p != price:
-                sign = 1.0 if p > price else -1.0
-            price = p
-            signs.append(sign)
-        rows["aggressor"] = signs
-        rows["cum_delta"] = total + (rows["aggressor"] * rows["size"]).cumsum()
-        state.update((float(price), float(sign), float(rows["cum_delta"].iloc[-1])))
-        yield rows[["symbol", "event_id", "ts", "aggressor", "cum_delta"]]
+    def batch(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        before = spark.read.schema(schema).parquet(f"{path}/state/epoch={epoch - 1}") if epoch else spark.createDataFrame([], schema)
+        out = rows(df, before)
+        out.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+        state(spark.read.schema(out.schema).parquet(f"{path}/out/epoch={epoch}"), before).write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+
+
+def cumulative_delta(ticks: DataFrame, path: str):
+    """Aggressor by the tick rule and running delta of each symbol, over micro-batches, into path/out.
+
+    Known from before are the last price, its last direction and the running delta of each symbol.
+    Rows of a micro-batch are taken by time; a tick earlier than a batch before keeps its place of
+    arrival.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts", "event_id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def rows(df: DataFrame, before: DataFrame) -> DataFrame:
+        d = df.join(before, "symbol", "left")  # one row a symbol
+        d = d.withColumn("_d", F.signum(F.nullif(F.col("price") - F.coalesce(F.lag("price").over(w), F.col("last")), F.lit(0.0))))
+        d = d.withColumn("aggressor", F.coalesce(F.last("_d", ignorenulls=True).over(upto), F.col("sign"), F.lit(1.0)))
+        return d.select("symbol", "event_id", "ts", "price", "aggressor", (F.coalesce("total", F.lit(0.0)) + F.sum(F.col("aggressor") * F.col("size")).over(upto)).alias("cum_delta"))
+
+    def state(out: DataFrame, before: DataFrame) -> DataFrame:
+        new = out.groupBy("symbol").agg(F.max_by(F.struct(F.col("price").alias("last"), F.col("aggressor").alias("sign"), F.col("cum_delta").alias("total")), F.struct("ts", "event_id")).alias("x")).select("symbol", "x.*")
+        return new.unionByName(before.join(new, "symbol", "left_anti"))
 
-    return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, event_id long, ts timestamp, aggressor double, cum_delta double", "price double, sign double, total double", "append", "NoTimeout")
+    return _with_state(ticks, rows, state, "symbol string, last double, sign double, total double", path)
 
 
-def story_leaders(news: DataFrame, least: float = 0.72, hours: int = 36) -> DataFrame:
-    """Leader of each item among the provider's leaders of the last ``hours``, newest first.
+def story_leaders(news: DataFrame, path: str, least: float = 0.72, hours: int = 36):
+    """Leader of each item among the provider's leaders of the last ``hours``, newest first, into path/out.
 
     Unlike the batch form, items are compared within their provider alone, in order of arrival.
+    Known from before are each provider's recent leaders; rows pass one by one.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ids, times, sets = (list(x) for x in state.get) if state.exists else ([], [], [])
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["published", "id"]).itertuples():
-            t = set(r.tokens)
-            keep = [k for k, at in enumerate(times) if r.published - at <= hours * 3600]
-            ids, times, sets = [ids[k] for k in keep], [times[k] for k in keep], [sets[k] for k in keep]
-            leader = None
-            for k in range(len(ids) - 1, -1, -1):
-                o = set(sets[k].split(" "))
-                if t and len(t & o) >= least * len(t | o):
-                    leader = ids[k]
-                    break
-            if leader is None:
-                leader = r.id
-                ids.append(int(r.id))
-                times.append(int(r.published))
-                sets.append(" ".join(sorted(t)))
-            out.append((r.id, key[0], leader))
-        state.update((ids, times, sets))
-        yield pd.DataFrame(out, columns=["id", "provider", "leader"])
-
-    return news.groupBy("provider").applyInPandasWithState(step, "id long, provider string, leader long", "ids array<long>, times array<long>, sets array<string>", "append", "NoTimeout")
+    def step(state: dict, row: dict) -> int | None:
+        leaders, at, t = state.setdefault("leaders", {}), row["published"], set(row["tokens"])
+        for k in [k for k, (then, _) in leaders.items() if at - then > hours * 3600]:
+            del leaders[k]
+        if row["known"]:
+            leaders[row["id"]] = (at, t)
+            return None
+        hit = next((k for k, (_, o) in reversed(leaders.items()) if t and len(t & o) >= least * len(t | o)), None)
+        if hit is None:
+            leaders[row["id"]] = (at, t)
+        return row["id"] if hit is None else hit
+
+    def rows(df: DataFrame, before: DataFrame) -> DataFrame:
+        d = df.select("provider", "published", "id", "tokens").withColumn("known", F.lit(False)).unionByName(before.withColumn("known", F.lit(True)))
+        return one_by_one(d.withColumn("new", ~F.col("known")), ["provider"], ["new", "published", "id", "tokens", "known"], "leader long", step, ["id", "published", "tokens"])
+
+    def state(out: DataFrame, before: DataFrame) -> DataFrame:
+        d = out.filter("id = leader").select("provider", "published", "id", "tokens").unionByName(before)
+        newest = d.groupBy("provider").agg(F.max("published").alias("_m"))
+        return d.join(newest, "provider").filter(F.col("_m") - F.col("published") <= hours * 3600).drop("_m")
+
+    return _with_state(news, rows, state, "provider string, published long, id long, tokens array<string>", path)
 
 
 def quarantined(stream: DataFrame, good: str, bad: str, audit: str, checkpoint: str):

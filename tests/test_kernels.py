@@ -178,3 +178,36 @@ def test_empty_tables(spark, bars):
     none = bars.limit(0)
     assert w.macd(w.indexed(none)).count() == 0 and q.quality_report(none).count() == 0 and ob.weekly(none).count() == 0
     assert t.from_signals(s.signals(none, "n_bar_breakout"), 5).count() == 0
+
+
+def test_novelty_is_the_largest_cosine_before(spark):
+    rng = random.Random(8)
+    rows = [(k % 2, k, " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randrange(0, 9)))) for k in range(120)]
+    got = {r.k: r.novelty for r in n.novelty(spark.createDataFrame(rows, "g int, k long, text string"), "g", "k", 7).collect()}
+    for g in (0, 1):
+        seen = []
+        for _, k, text in (r for r in rows if r[0] == g):
+            c = {x: text.split().count(x) for x in set(text.split())}
+            size = lambda v: sum(x * x for x in v.values()) ** 0.5
+            best = max([sum(x * o.get(y, 0) for y, x in c.items()) / (size(c) * size(o)) for o in seen[-7:] if c and o] or [0.0])
+            assert abs(got[k] - max(0.1, 1 - best)) < 1e-9
+            seen.append(c)
+
+
+def test_bootstrap_quantiles_surround_the_mean(spark):
+    x = np.random.default_rng(3).normal(0.001, 0.01, 300)
+    d = spark.createDataFrame(pd.DataFrame({"key": "a", "i": np.arange(300), "r": x}))
+    r = v.block_bootstrap(d, "key", "i", "r", runs=200, block=10).first()
+    total = float(np.prod(1 + x) - 1)
+    assert r.p05 < r.median < r.p95 and abs(r.median - total) < 0.1
+    # With one block as long as the series every run holds each return once.
+    r = v.block_bootstrap(d, "key", "i", "r", runs=5, block=300).first()
+    np.testing.assert_allclose([r.p05, r.median, r.p95], total)
+
+
+def test_folds_hold_trades_that_lie_within(spark):
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    trades_ = [(k, day(a), day(a + n)) for k, (a, n) in enumerate((a, n) for a in range(0, 200, 7) for n in (0, 3, 40))]
+    folds_ = [(0, "train", day(0), day(100)), (0, "test", day(101), day(150)), (1, "train", day(31), day(31)), (2, "none", day(9), day(3))]
+    got = p.contained(spark.createDataFrame(trades_, "k int, entry_time timestamp, exit_time timestamp"), spark.createDataFrame(folds_, "fold int, segment string, start timestamp, end timestamp"))
+    assert {(r.k, r.fold, r.segment) for r in got.collect()} == {(k, f, s_) for k, a, z in trades_ for f, s_, x, y in folds_ if a >= x and z <= y}
