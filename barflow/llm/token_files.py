@@ -28,7 +28,7 @@ from .tokens import END_ID, first_free_id, word_ids
 
 MAGIC = b"RPAIR001"
 #: Ids of a shard at most (one document at least).
-SHARD_IDS = 2 << 20
+SHARD_IDS = 1 << 20
 #: Pairs with fewer places get no rule: it would take more room than it saves.
 LEAST_COUNT = 16
 
