@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
 return the columns of ``documents``. ``run`` writes every stage's rows before the next one reads them.
+Null and empty texts are judged by the classifier like others and pass the later stages unchanged
+but for null texts, which the secrets stage makes empty; null doc_ids pass; repeated rows stand for
+themselves except among near duplicates; empty tables give empty stages; further columns of the
+input are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -23,16 +27,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
+    """One document of each group of near duplicates: that with the smallest doc_id.
+
+    Rows equal in doc_id and text are one document; rows without a doc_id link with nothing and stay.
+    """
     gone = minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 AND doc_id IS NOT NULL").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 AND doc_id IS NOT NULL").select("doc_id")
+    # Only rows of repeated doc_ids are compared with each other.
+    return out.join(several, "doc_id", "left_anti").unionByName(out.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaking = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    leaking = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()  # a null doc_id matches nothing and stays
     return docs.join(leaking, "doc_id", "left_anti").select(*COLUMNS)
 
 
