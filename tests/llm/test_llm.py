@@ -682,3 +682,19 @@ def test_pipeline_stages(spark):
     last = cp.STAGES[-1][1](spark, d, SF)
     assert last.filter(F.crc32("ids") != F.col("ids_crc32")).count() == 0 and last.select("doc_id").distinct().count() == d.count()
     assert zlib.crc32(bytes(last.first().ids)) == last.first().ids_crc32
+
+
+def test_pipeline_stages_of_odd_rows(spark, odd):
+    import corpus_pipeline as cp
+
+    base = odd.select("doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars"), F.lit("x").alias("score"), F.lit("x").alias("label"))
+    d = base.select(*cp.COLUMNS)
+    for name, stage in cp.STAGES[:-1]:
+        out = common.written(stage(spark, base if name == "quality" else d, SF), name)
+        assert out.columns == cp.COLUMNS
+        if name == "near_duplicates":
+            assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted({(k, t) for k, t in ODD if k != 7}, key=str)
+        if name == "decontamination":
+            assert out.count() == d.count()
+        assert stage(spark, d.limit(0), SF).count() == 0
+    assert cp.pack_windows(spark, d, SF).select("doc_id").distinct().count() == len({k for k, _ in ODD}) and cp.pack_windows(spark, d.limit(0), SF).count() == 0
