@@ -14,7 +14,6 @@ first symbols and first ids (64-bit, one more than documents); the symbols.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -9,7 +9,6 @@ row or selected column needs. ``df.write.format("warc")`` writes one gzip member
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 import uuid
 import zlib
