@@ -155,12 +155,11 @@ def novelty(texts: DataFrame, by: str, order: str, last: int = 128, features: in
 AUTHORITY = {
     "ibkr": 1.00, "sec_edgar": 1.00, "fred": 1.00, "us_treasury_fiscaldata": 1.00, "eodhd": 0.90, "polygon": 0.90, "fmp": 0.90, "thetadata": 0.90, "finnhub": 0.85, "twelvedata": 0.85, "alphavantage": 0.85,
     "marketstack": 0.75, "openexchangerates": 0.85, "currencylayer": 0.75, "marketaux": 0.75, "currents": 0.65, "yfinance": 0.70, "rss": 0.75,
-    "stocks_reference_news": 0.90, "stocks_reference_sec": 0.95, "stocks_reference_screener": 0.90,
 }
 
 
 def authority(source: Column, table: dict[str, float] | None = None) -> Column:
-    """a source's authority by lookup; 0.5 where it is not listed."""
+    """a source's authority by lookup, by ``table`` where a caller has feeds of its own; 0.5 where it is not listed."""
     known = F.create_map(*[F.lit(x) for pair in (table or AUTHORITY).items() for x in pair])
     return F.coalesce(F.element_at(known, F.coalesce(source, F.lit(""))), F.lit(0.5))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import windows as w
 from ..operators import decisions as d
 from ..operators import joins as j
 from ..operators import metrics as m

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
-from ..operators import bars as ob
 from ..operators import joins as j
 from ..operators import metrics as m
 from ..operators import panel as p
