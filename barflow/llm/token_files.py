@@ -28,6 +28,8 @@ from .tokens import END_ID, first_free_id, word_ids
 MAGIC = b"RPAIR001"
 #: Ids of a shard at most (one document at least).
 SHARD_IDS = 1 << 20
+#: Words that a writing task remembers; its table then takes about 140 MB.
+WORDS = 2 << 20
 #: Pairs with fewer places get no rule: it would take more room than it saves.
 LEAST_COUNT = 16
 
@@ -189,7 +191,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     vocabulary = first_free_id(tokenizer_path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = word_ids(tokenizer_path), TaskContext.get().partitionId()
+        table, part = word_ids(tokenizer_path, WORDS), TaskContext.get().partitionId()
         uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rpair"
         held: list = []
         told: list[dict] = []

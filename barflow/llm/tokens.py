@@ -276,8 +276,8 @@ def first_free_id(path: str) -> int:
 _KNOWN: dict[str, WordIds | LibraryIds] = {}
 
 
-def word_ids(path: str) -> WordIds | LibraryIds:
-    """The worker's own table for a tokenizer file; kept between tasks."""
+def word_ids(path: str, most: int = MOST_WORDS) -> WordIds | LibraryIds:
+    """The worker's own table for a tokenizer file, of at most ``most`` words; kept between tasks."""
     if path not in _KNOWN:
         with open(path, encoding="utf-8") as f:
             known = splits_at_blanks(json.load(f))
@@ -287,4 +287,6 @@ def word_ids(path: str) -> WordIds | LibraryIds:
             from tokenizers import Tokenizer
 
             _KNOWN[path] = LibraryIds(Tokenizer.from_file(path))
+    if isinstance(_KNOWN[path], WordIds):
+        _KNOWN[path].most = max(_KNOWN[path].most, most)
     return _KNOWN[path]
