@@ -79,6 +79,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_trees import remove_later
+
+    return remove_later(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -126,5 +144,51 @@ SELECT m.node AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.componen
 """
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents
+), w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY x) AS first FROM t
+), q AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT w.part, CAST(coalesce(q.good, false) AS INT) AS good, CAST(coalesce(q.toxic, false) AS INT) AS toxic,
+    [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x), regexp_matches(x, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS fails
+  FROM w LEFT JOIN q ON q.doc_id = w.doc_id
+), c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, fails
+), l AS (SELECT unnest([1, 2, 3, 4, 5]) AS f
+), o AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS ord FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), s AS (SELECT ord, l.f AS step, ord[l.f] AS own, ord[1:l.f - 1] AS before FROM o, l
+), r AS (
+  SELECT c.part, s.ord, s.step, s.own,
+    sum(CASE WHEN len(list_filter(before, lambda k: fails[k])) = 0 AND NOT fails[own] THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN len(list_filter(before, lambda k: fails[k])) = 0 AND fails[own] THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN len(list_filter(before, lambda k: fails[k])) > 0 AND fails[own] THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails[own] AND len(list_filter(fails, lambda k: k)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN len(list_filter(before, lambda k: fails[k])) = 0 AND fails[own] THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN len(list_filter(before, lambda k: fails[k])) = 0 AND fails[own] THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY c.part, s.ord, s.step, s.own
+)
+SELECT part, array_to_string(list_transform(ord, lambda k: 'ABCDE'[k:k]), '') AS filter_order, CAST(step AS INT) AS step,
+  CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INT) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) QUALIFY row_number() OVER w <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL, "op11_filter_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL}
