@@ -57,7 +57,7 @@ def failures(docs: DataFrame) -> DataFrame:
 
 
 def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """part, and for each count a 32-cell array; bit 4 of a cell's number is a failed A, bit 0 a failed E."""
+    """part and its list of (cell, n, good, toxic), 64 or fewer; bit 4 of a cell's number is a failed A, bit 0 a failed E."""
     f = failures(docs).withColumn("cell", sum(F.col(k).cast("int") * (16 >> i) for i, k in enumerate(FILTERS)))
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").filter("doc_id IS NOT NULL AND (quality = 1 OR toxic = 1)")
     told = told.groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
@@ -65,9 +65,9 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     every = f.groupBy("part", "cell").agg(F.count("*").alias("n"))
     # Labelled documents alone are joined; an inner join leaves out rows without an id.
     marked = f.join(told, "doc_id").groupBy("part", "cell").agg(F.lit(0).cast("long").alias("n"), count("good").alias("good"), count("toxic").alias("toxic"))
-    counted = every.withColumn("good", F.lit(0).cast("long")).withColumn("toxic", F.lit(0).cast("long")).unionByName(marked)
-    at = lambda c: F.array(*[F.sum(F.when(F.col("cell") == k, F.col(c)).otherwise(F.lit(0))) for k in range(32)]).alias(c)
-    return counted.groupBy("part").agg(*[at(c) for c in COUNTS])
+    none = F.lit(0).cast("long")
+    counted = every.withColumn("good", none).withColumn("toxic", none).unionByName(marked)
+    return counted.groupBy("part").agg(F.collect_list(F.struct("cell", *COUNTS)).alias("cells"))
 
 
 #: Selections along an axis.
@@ -126,7 +126,10 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                t = np.array([list(row.n), list(row.good), list(row.toxic)], np.int64).reshape(3, 2, 2, 2, 2, 2)
+                t = np.zeros((len(COUNTS), 32), np.int64)
+                for c in row.cells:
+                    t[:, c["cell"]] += [c[k] for k in COUNTS]
+                t = t.reshape(len(COUNTS), 2, 2, 2, 2, 2)
                 yield pd.DataFrame({"part": row.part, "filter_order": np.repeat(ORDERS, 5), "step": np.tile(np.arange(1, 6, dtype=np.int32), len(ORDERS))} | audited(t))
 
     names = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
