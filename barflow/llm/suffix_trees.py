@@ -44,29 +44,23 @@ _PLACE = np.uint64((1 << 22) - 1)
 _NONE = ~np.uint64(0)
 
 
-def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word of one text."""
-    ink = np.zeros(len(raw) + 2, np.int8)
-    np.logical_not(_SPACE[raw], out=ink[1:-1].view(bool))
-    edge = np.diff(ink)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
 def spaced(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with one space after each word and no other whitespace."""
-    if not len(raw):
-        return raw, offs
-    ink = ~_SPACE[raw]
-    last = np.zeros(len(raw), bool)
-    last[offs[1:][np.diff(offs) > 0] - 1] = True
-    gap = ~ink & np.concatenate([[False], ink[:-1] & ~last[:-1]])
-    # A word at the very end of a row has no whitespace after it: it gets a space of its own.
-    bare = ink & last
-    size = np.where(ink | gap, 1, 0) + bare
-    out = np.full(int(size.sum()), 32, np.uint8)
-    at = np.cumsum(size) - size
-    out[at[ink]] = raw[ink]
-    return out, np.concatenate([[0], np.cumsum(size)])[offs]
+    """Rows with one space after each word and no other whitespace, a step of rows at a time."""
+    out, sizes = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)]
+    for i, j in steps(offs, CHUNK):
+        text, at = raw[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
+        ink = ~_SPACE[text]
+        last = np.zeros(len(text), bool)
+        last[at[1:][np.diff(at) > 0] - 1] = True
+        # The first whitespace after a word stays, as a space; a word that ends its row gets one.
+        keep = ink.copy()
+        keep[1:] |= ink[:-1] & ~last[:-1]
+        bare = np.flatnonzero(ink & last)
+        kept = np.where(ink, text, 32).astype(np.uint8)[keep]
+        count = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])
+        out.append(np.insert(kept, count[bare + 1], 32))
+        sizes.append(count[at[1:]] - count[at[:-1]] + np.diff(np.searchsorted(bare, at)))
+    return np.concatenate(out), np.cumsum(np.concatenate(sizes))
 
 
 def _pieces(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -385,8 +379,8 @@ def _same_words(raw: np.ndarray, h: Hashed, p: np.ndarray, q: np.ndarray) -> np.
     k = np.flatnonzero(out)
     k = k[np.argsort(size[k], kind="stable")]
     while i < len(k):
-        # Windows of like size are compared together, about four megabytes at a time.
-        j = i + max(1, min(len(k) - i, (4 << 20) // max(1, int(size[k[min(len(k) - 1, i + 8192)]]))))
+        # Windows of like size are compared together, a quarter of a million bytes at a time.
+        j = i + max(1, min(len(k) - i, (1 << 18) // max(1, int(size[k[min(len(k) - 1, i + 2048)]]))))
         part = k[i:j]
         span = np.arange(int(size[part[-1]]))
         inside = span < size[part][:, None]
@@ -427,7 +421,7 @@ def remove_later(docs: DataFrame) -> DataFrame:
     Stretches are taken as equal by 64-bit hashes of prefix and words together, and words by 64-bit
     hashes within trees, where bytes confirm every loss.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rk"), F.xxhash64("text").alias("rh"))
     found = later_runs(d).groupBy("rk", "rh").agg(F.collect_set(F.struct("start", "n")).alias("x"))
 
