@@ -38,7 +38,7 @@ CHUNK = 1 << 20
 #: One document of SAMPLE tells which prefixes are common; seen less often than LEAST_COMMON there, none is.
 SAMPLE, LEAST_COMMON = 256, 16
 #: Repeated stretches that a task remembers.
-SEEN = 300_000
+SEEN = 100_000
 
 _PLACE = np.uint64((1 << 22) - 1)
 _NONE = ~np.uint64(0)
@@ -225,16 +225,17 @@ def _leaves(docs: DataFrame, common: list[int]) -> DataFrame:
                 # A repeated row is the same place once more, and tells nothing new.
                 again = done & (own_rk == own_rk[one]) & (own_rh == own_rh[one]) & (at == at[one])
                 # What stands earlier in this task need not travel again.
-                for k in np.flatnonzero(~done & (count > 1)).tolist():
-                    place = (own_rk[k], own_rh[k], at[k])
-                    told = seen.get(key[k])
+                told_of = np.flatnonzero(~done & (count > 1))
+                for k, name, *place in zip(*(c.tolist() for c in (told_of, key[told_of], own_rk[told_of], own_rh[told_of], at[told_of]))):
+                    place = tuple(place)
+                    told = seen.get(name)
                     if told is not None and told <= place:
                         done[k] = True
                         again[k] = told == place
                     else:
                         if len(seen) > SEEN:
                             seen.clear()
-                        seen[key[k]] = place
+                        seen[name] = place
                 live, d = np.flatnonzero(~done), np.flatnonzero(done & ~again)
                 # Neighbouring stretches that are done make one run.
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 1) | (np.diff(row[d]) != 0) | (at[d][1:] != at[d][:-1] + n[d][:-1])])) if len(d) else d
