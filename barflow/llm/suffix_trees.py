@@ -34,11 +34,11 @@ WORDS = 20
 #: Prefix lengths; the last is the window itself.
 PREFIXES = (4, 8, WORDS)
 #: Bytes of text that are hashed at a time; longer texts are cut with an overlap.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: One document of SAMPLE tells which prefixes are common; seen less often than LEAST_COMMON there, none is.
 SAMPLE, LEAST_COMMON = 256, 16
 #: Repeated stretches that a task remembers.
-SEEN = 100_000
+SEEN = 50_000
 
 _PLACE = np.uint64((1 << 22) - 1)
 _NONE = ~np.uint64(0)
@@ -254,7 +254,7 @@ def _grouped(leaves: DataFrame) -> DataFrame:
     """Stretches that are lost whole (lost), and the leaves of all prefixes that have several different ones (open)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "akey", 200_000):
+        for t in runs(batches, "akey", 50_000):
             akey, done, dig = (t[c].to_numpy() for c in ("akey", "done", "dig"))
             n, rel = t["n"].to_numpy(), t["rel"].to_numpy()
             new_key = np.concatenate([[True], (akey[1:] != akey[:-1]) | (done[1:] != done[:-1])])
@@ -270,7 +270,7 @@ def _grouped(leaves: DataFrame) -> DataFrame:
             opened = new_leaf & ~done
             opened &= (np.bincount(key, weights=opened) > 1)[key]
             keep = t.select(["akey", "rk", "rh", "start", "n", "rel"]).append_column("lost", pa.array(lost)).filter(pa.array(lost | opened))
-            yield from keep.combine_chunks().to_batches(max_chunksize=100_000)
+            yield from keep.combine_chunks().to_batches(max_chunksize=20_000)
 
     dealt = leaves.repartition("akey").sortWithinPartitions("akey", "done", "dig", "n", "rel", "rk", "rh", "start")
     return dealt.mapInArrow(tidy(task), "akey long, rk long, rh long, start long, n int, rel int, lost boolean")
@@ -298,8 +298,8 @@ def _contents(docs: DataFrame, opened: DataFrame) -> DataFrame:
             w = np.searchsorted(ends, offs, "right")[row] + start
             lo, hi = begin[w], begin[w + n + WORDS - 1]
             whole = memoryview(raw)
-            for i in range(0, len(row), 20_000):
-                k = slice(i, i + 20_000)
+            for i in range(0, len(row), 5_000):
+                k = slice(i, i + 5_000)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(akey[k]), pa.array(rk[row[k]]), pa.array(rh[row[k]]), pa.array(start[k]), pa.array(n[k]), pa.array(rel[k]),
                     pa.array([whole[a:z] for a, z in zip(lo[k].tolist(), hi[k].tolist())], pa.binary())], names=["akey", "rk", "rh", "start", "n", "rel", "bytes"])
@@ -396,7 +396,7 @@ def _resolved(contents: DataFrame) -> DataFrame:
     """Runs of lost windows (rk, rh, start, n) among open leaves."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "akey", 8192):
+        for t in runs(batches, "akey", 2048):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _later(t)], names=["rk", "rh", "start", "n"])
 
     return contents.repartition("akey").sortWithinPartitions("akey").mapInArrow(tidy(task), "rk long, rh long, start long, n long")
