@@ -118,95 +118,157 @@ def crossed_below(a: Column, b: Column, a_before: Column, b_before: Column) -> C
 
 
 def linear(df: DataFrame, x: str, out: str, gain: float, start: int = 1) -> DataFrame:
-    """Kernel R1: y = (1 - gain) * y_before + gain * x, y at row ``start`` is x there; null before.
+    """Kernel R1: y = (1 - gain) * y_before + gain * x, y at row ``start`` is x there; null before. See ``linears``."""
+    return linears(df, [(x, out, gain, start)])
 
-    Within a block the recurrence is a scaled running sum. The ends of earlier blocks are carried on
-    by a scaled running sum within the superblock, and its last value by that of the superblocks
-    before; a fast decay needs the last few rows or blocks alone. All windows share one sort, and
-    the work is linear in the rows. ``x`` must not be null from row ``start`` on.
+
+def linears(df: DataFrame, wanted: list[tuple[str, str, float, int]]) -> DataFrame:
+    """Kernel R1 for several (x, out, gain, start) side by side: each step is one window for all of them.
+
+    Within a block a recurrence is a scaled running sum. The ends of earlier blocks are carried on by
+    a scaled running sum within the superblock, and its last value by that of the superblocks before;
+    a fast decay needs the last few rows or blocks alone. All windows share one sort, and the work is
+    linear in the rows. ``x`` must not be null from row ``start`` on.
     """
-    d = 1.0 - gain
-    u = F.when(F.col("rn") == start, F.col(x)).when(F.col("rn") > start, F.lit(gain) * F.col(x)).otherwise(0.0)
-    if d < 1e-3:  # d ** -63 would overflow; five rows hold all there is
-        df = df.withColumn("_ru", u)
-        y = sum(F.coalesce(lag("_ru", k), F.lit(0.0)) * d**k for k in range(1, 6)) + F.col("_ru")
-        return df.withColumn(out, F.when(F.col("rn") >= start, y)).drop("_ru")
-    df = df.withColumn("_ru", u * F.pow(F.lit(d), -F.col("pos")))
-    df = df.withColumn("_rl", F.pow(F.lit(d), F.col("pos")) * F.sum("_ru").over(_blk().rowsBetween(Window.unboundedPreceding, 0)))
-    end, block = F.col("pos") == BLOCK - 1, d**BLOCK
-    if block < 1e-4:
-        df, carry = _ends(df, F.when(end, F.col("_rl")), end, block)
-    else:
-        place = F.col("blk") % SUPER
-        df = df.withColumn("_re", F.when(end, F.col("_rl") * F.pow(F.lit(block), -(place + 1))).otherwise(0.0))
-        df = df.withColumn("_rs", F.sum("_re").over(_sup().rowsBetween(Window.unboundedPreceding, 0)))
-        last = end & (place == SUPER - 1)
-        df, older = _ends(df, F.when(last, F.pow(F.lit(block), F.lit(SUPER)) * F.col("_rs")), last, block**SUPER)
-        carry = F.pow(F.lit(block), place) * (F.col("_rs") - F.col("_re") + older)
-    return df.withColumn(out, F.when(F.col("rn") >= start, F.col("_rl") + F.pow(F.lit(d), F.col("pos") + 1) * carry)).drop("_ru", "_rl", "_re", "_rs", *[c for c in df.columns if c.startswith("_rc")])
-
-
-def _ends(df: DataFrame, value: Column, at: Column, decay: float) -> tuple[DataFrame, Column]:
-    """The carry from values that stand at the ends of stretches: the newest, the one before times ``decay``, and so on."""
-    terms = 1 + max(0, math.ceil(math.log(_NOTHING) / math.log(decay))) if 0 < decay < 1 else 1
-    if terms > 32:  # a mean over very many rows: few superblocks stand against so slow a decay
-        df = df.withColumn("_rc", F.collect_list(value).over(before()))
-        return df, F.aggregate("_rc", F.lit(0.0), lambda c, e: c * F.lit(decay) + e)
-    df, carry = df.withColumn("_rc0", value), F.lit(0.0)
-    for k in range(terms):
+    named = {}
+    for i, (x, _, gain, start) in enumerate(wanted):
+        named[f"_ru{i}"] = F.when(F.col("rn") == start, F.col(x)).when(F.col("rn") > start, F.lit(gain) * F.col(x)).otherwise(0.0)
+    few = [i for i, w in enumerate(wanted) if 1.0 - w[2] < 1e-3]  # d ** -63 would overflow; five rows hold all there is
+    rest = [i for i in range(len(wanted)) if i not in few]
+    d = {i: 1.0 - w[2] for i, w in enumerate(wanted)}
+    df = df.withColumns({c: x if int(c[3:]) in few else x * F.pow(F.lit(d[int(c[3:])]), -F.col("pos")) for c, x in named.items()})
+    scaled = {f"_rl{i}": F.pow(F.lit(d[i]), F.col("pos")) * F.sum(f"_ru{i}").over(_blk().rowsBetween(Window.unboundedPreceding, 0)) for i in rest}
+    df = df.withColumns(scaled) if scaled else df
+    end, block, place = F.col("pos") == BLOCK - 1, {i: d[i] ** BLOCK for i in rest}, F.col("blk") % SUPER
+    slow = [i for i in rest if block[i] >= 1e-4]
+    last = end & (place == SUPER - 1)
+    if slow:
+        df = df.withColumns({f"_re{i}": F.when(end, F.col(f"_rl{i}") * F.pow(F.lit(block[i]), -(place + 1))).otherwise(0.0) for i in slow})
+        df = df.withColumns({f"_rs{i}": F.sum(f"_re{i}").over(_sup().rowsBetween(Window.unboundedPreceding, 0)) for i in slow})
+    ends = {i: (F.when(last, F.pow(F.lit(block[i]), F.lit(SUPER)) * F.col(f"_rs{i}")), last, block[i] ** SUPER) if i in slow else (F.when(end, F.col(f"_rl{i}")), end, block[i]) for i in rest}
+    df, carries = _ends(df, ends)
+    out = {}
+    for i, (_, name, _, start) in enumerate(wanted):
+        if i in few:
+            y = sum(F.coalesce(lag(f"_ru{i}", k), F.lit(0.0)) * d[i] ** k for k in range(1, 6)) + F.col(f"_ru{i}")
+        else:
+            carry = F.pow(F.lit(block[i]), place) * (F.col(f"_rs{i}") - F.col(f"_re{i}") + carries[i]) if i in slow else carries[i]
+            y = F.col(f"_rl{i}") + F.pow(F.lit(d[i]), F.col("pos") + 1) * carry
+        out[name] = F.when(F.col("rn") >= start, y)
+    return df.withColumns(out).drop(*[c for c in df.columns if c[:3] in ("_ru", "_rl", "_re", "_rs", "_rc")])
+
+
+def _ends(df: DataFrame, values: dict[int, tuple[Column, Column, float]]) -> tuple[DataFrame, dict[int, Column]]:
+    """The carries from (value, where it stands, decay) at the ends of stretches: the newest, the one before times ``decay``, and so on."""
+    terms = {i: 1 + max(0, math.ceil(math.log(_NOTHING) / math.log(decay))) if 0 < decay < 1 else 1 for i, (_, _, decay) in values.items()}
+    carries, many = {}, [i for i in values if terms[i] > 32]  # a mean over very many rows: few superblocks stand against so slow a decay
+    if many:
+        df = df.withColumns({f"_rc{i}": F.collect_list(values[i][0]).over(before()) for i in many})
+        for i in many:
+            decay = F.lit(values[i][2])
+            carries[i] = F.aggregate(f"_rc{i}", F.lit(0.0), lambda c, e: c * decay + e)  # noqa: B023 (called at once)
+    rest = {i: F.lit(0.0) for i in values if i not in many}
+    df = df.withColumns({f"_rc{i}_0": values[i][0] for i in rest}) if rest else df
+    for k in range(max((terms[i] for i in rest), default=0)):
         # What stood before an end, kept at that end, is the second newest after it.
-        df = df.withColumn(f"_rc{k + 1}", F.last(F.col(f"_rc{k}") if k == 0 else F.when(at, F.col(f"_rc{k}")), ignorenulls=True).over(before()))
-        carry = carry + F.coalesce(F.col(f"_rc{k + 1}"), F.lit(0.0)) * decay**k
-    return df, carry
+        now = [i for i in rest if terms[i] > k]
+        df = df.withColumns({f"_rc{i}_{k + 1}": F.last(F.col(f"_rc{i}_{k}") if k == 0 else F.when(values[i][1], F.col(f"_rc{i}_{k}")), ignorenulls=True).over(before()) for i in now})
+        for i in now:
+            rest[i] = rest[i] + F.coalesce(F.col(f"_rc{i}_{k + 1}"), F.lit(0.0)) * values[i][2] ** k
+    return df, carries | rest
+
+
+class Recipe:
+    """An indicator as steps: ``columns`` to add, then ``means`` (x, out, gain, start) to run, and so on; ``spare`` columns go at the end."""
+
+    def __init__(self, *steps: dict[str, Column] | list[tuple[str, str, float, int]], spare: tuple[str, ...] = ()):
+        self.steps, self.spare = steps, spare
+
+
+def together(df: DataFrame, *recipes: Recipe) -> DataFrame:
+    """Indicators side by side: recurrences of several recipes share their windows, step by step."""
+    waiting = [list(r.steps) for r in recipes]
+    while any(waiting):
+        columns: dict[str, Column] = {}
+        for w in waiting:
+            if w and isinstance(w[0], dict):
+                columns |= w.pop(0)
+        if columns:
+            df = df.withColumns(columns)
+            continue
+        means = [m for w in waiting if w for m in w.pop(0)]
+        df = linears(df, means)
+    return df.drop(*dict.fromkeys(c for r in recipes for c in r.spare))
+
+
+def _from(start: int, c: str) -> Column:
+    return F.when(F.col("rn") >= start, F.col(c))
+
+
+def ema_recipe(x: str, out: str, span: int, start: int = 1, min_periods: int = 0) -> Recipe:
+    return Recipe([(x, out, 2.0 / (span + 1), start)], *([{out: _from(start + min_periods - 1, out)}] if min_periods else []))
 
 
 def ema(df: DataFrame, x: str, out: str, span: int, start: int = 1, min_periods: int = 0) -> DataFrame:
     """Exponential mean by span, from the first value on; null before ``min_periods`` values."""
-    df = linear(df, x, out, 2.0 / (span + 1), start)
-    return df.withColumn(out, F.when(F.col("rn") >= start + min_periods - 1, F.col(out))) if min_periods else df
+    return together(df, ema_recipe(x, out, span, start, min_periods))
 
 
 def wilder(df: DataFrame, x: str, out: str, n: int, start: int = 1, min_periods: int | None = None) -> DataFrame:
     """Wilder's mean, gain 1/n; null before ``min_periods`` values (n unless told)."""
-    df = linear(df, x, out, 1.0 / n, start)
-    return df.withColumn(out, F.when(F.col("rn") >= start + (n if min_periods is None else min_periods) - 1, F.col(out)))
+    return together(df, Recipe([(x, out, 1.0 / n, start)], {out: _from(start + (n if min_periods is None else min_periods) - 1, out)}))
 
 
-def rsi(df: DataFrame, out: str, n: int, c: str = "close", rule: str = "lab") -> DataFrame:
-    """W06 (rule lab: no loss 100, then no gain 0), W07 (rule fifty: neither 50), W08 (rule null: no loss null)."""
-    df = df.withColumn("_d", F.col(c) - lag(c)).withColumn("_g", F.greatest("_d", F.lit(0.0))).withColumn("_s", F.greatest(-F.col("_d"), F.lit(0.0)))
-    df = wilder(wilder(df, "_g", "_ag", n, 2), "_s", "_al", n, 2)
-    base = 100.0 - 100.0 / (1.0 + F.col("_ag") / F.nullif(F.col("_al"), F.lit(0.0)))
+def rsi_recipe(out: str, n: int, c: str = "close", rule: str = "lab") -> Recipe:
+    d, g, s, ag, al = (f"_{k}_{out}" for k in ("d", "g", "s", "ag", "al"))
+    gain, loss = _from(n + 1, ag), _from(n + 1, al)
+    base = 100.0 - 100.0 / (1.0 + gain / F.nullif(loss, F.lit(0.0)))
     if rule == "lab":
-        v = F.when(F.col("_ag") == 0, 0.0).when(F.col("_al") == 0, 100.0).otherwise(base)
+        v = F.when(gain == 0, 0.0).when(loss == 0, 100.0).otherwise(base)
     elif rule == "fifty":
-        v = F.when((F.col("_al") == 0) & (F.col("_ag") == 0), 50.0).when(F.col("_al") == 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), base)))
+        v = F.when((loss == 0) & (gain == 0), 50.0).when(loss == 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), base)))
     else:
         v = base
-    return df.withColumn(out, F.when(F.col("_ag").isNotNull(), v)).drop("_d", "_g", "_s", "_ag", "_al")
+    return Recipe({d: F.col(c) - lag(c)}, {g: F.greatest(d, F.lit(0.0)), s: F.greatest(-F.col(d), F.lit(0.0))}, [(g, ag, 1.0 / n, 2), (s, al, 1.0 / n, 2)], {out: F.when(gain.isNotNull(), v)}, spare=(d, g, s, ag, al))
+
+
+def rsi(df: DataFrame, out: str, n: int, c: str = "close", rule: str = "lab") -> DataFrame:
+    """W06 (rule lab: no loss 100, then no gain 0), W07 (rule fifty: neither 50), W08 (rule null: no loss null)."""
+    return together(df, rsi_recipe(out, n, c, rule))
+
+
+def _range() -> Column:
+    pc = lag("close")
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
 
 
 def true_range(df: DataFrame, out: str = "tr") -> DataFrame:
     """The first row's is high - low."""
-    pc = lag("close")
-    return df.withColumn(out, F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc)))
+    return df.withColumn(out, _range())
+
+
+def atr_recipe(out: str, n: int) -> Recipe:
+    tr = f"_tr_{out}"
+    return Recipe({tr: _range()}, [(tr, out, 1.0 / n, 1)], {out: _from(n, out)}, spare=(tr,))
 
 
 def atr(df: DataFrame, out: str, n: int) -> DataFrame:
     """W10."""
-    return wilder(true_range(df, "_tr"), "_tr", out, n).drop("_tr")
+    return together(df, atr_recipe(out, n))
+
+
+def adx_recipe(n: int, out: str = "adx") -> Recipe:
+    p, m, tr, sp, sm, a, dx = (f"_{k}_{out}" for k in ("p", "m", "tr", "sp", "sm", "a", "dx"))
+    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
+    width, total = F.nullif(_from(n, a), F.lit(0.0)), F.nullif(F.col("plus_di") + F.col("minus_di"), F.lit(0.0))
+    return Recipe({p: F.when((up > down) & (up > 0), up).otherwise(0.0), m: F.when((down > up) & (down > 0), down).otherwise(0.0), tr: _range()}, [(p, sp, 1.0 / n, 1), (m, sm, 1.0 / n, 1), (tr, a, 1.0 / n, 1)],
+                  {"plus_di": 100.0 * _from(n, sp) / width, "minus_di": 100.0 * _from(n, sm) / width}, {dx: F.when(F.col("rn") >= n, F.coalesce(100.0 * F.abs(F.col("plus_di") - F.col("minus_di")) / total, F.lit(0.0)))},
+                  [(dx, out, 1.0 / n, n)], {out: _from(2 * n - 1, out)}, spare=(p, m, tr, sp, sm, a, dx))
 
 
 def adx(df: DataFrame, n: int, out: str = "adx") -> DataFrame:
     """Adds adx, plus_di and minus_di; directional movement is 0 on the first row."""
-    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
-    df = df.withColumn("_p", F.when((up > down) & (up > 0), up).otherwise(0.0)).withColumn("_m", F.when((down > up) & (down > 0), down).otherwise(0.0))
-    df = atr(wilder(wilder(df, "_p", "_sp", n), "_m", "_sm", n), "_a", n)
-    a = F.nullif(F.col("_a"), F.lit(0.0))
-    df = df.withColumn("plus_di", 100.0 * F.col("_sp") / a).withColumn("minus_di", 100.0 * F.col("_sm") / a)
-    s = F.nullif(F.col("plus_di") + F.col("minus_di"), F.lit(0.0))
-    df = df.withColumn("_dx", F.when(F.col("rn") >= n, F.coalesce(100.0 * F.abs(F.col("plus_di") - F.col("minus_di")) / s, F.lit(0.0))))
-    return wilder(df, "_dx", out, n, n).drop("_p", "_m", "_sp", "_sm", "_a", "_dx")
+    return together(df, adx_recipe(n, out))
 
 
 def williams_r(n: int) -> Column:
@@ -215,12 +277,15 @@ def williams_r(n: int) -> Column:
     return -100.0 * (hi - F.col("close")) / F.nullif(hi - lo, F.lit(0.0))
 
 
+def macd_recipe(fast: int = 12, slow: int = 26, signal: int = 9, min_periods: bool = True) -> Recipe:
+    f, w = (lambda n, c: _from(n if min_periods else 1, c)), slow if min_periods else 1
+    return Recipe([("close", "_macd_f", 2.0 / (fast + 1), 1), ("close", "_macd_w", 2.0 / (slow + 1), 1)], {"macd": f(fast, "_macd_f") - f(slow, "_macd_w")}, [("macd", "macd_signal", 2.0 / (signal + 1), w)],
+                  {"macd_signal": _from(w + (signal if min_periods else 1) - 1, "macd_signal")}, {"macd_hist": F.col("macd") - F.col("macd_signal")}, spare=("_macd_f", "_macd_w"))
+
+
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, min_periods: bool = True) -> DataFrame:
     """Adds macd, macd_signal and macd_hist; without min_periods all start on the first row."""
-    df = ema(ema(df, "close", "_f", fast, 1, fast if min_periods else 0), "close", "_w", slow, 1, slow if min_periods else 0)
-    df = df.withColumn("macd", F.col("_f") - F.col("_w"))
-    df = ema(df, "macd", "macd_signal", signal, slow if min_periods else 1, signal if min_periods else 0)
-    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_f", "_w")
+    return together(df, macd_recipe(fast, slow, signal, min_periods))
 
 
 def stochastic(df: DataFrame, n: int, smooth: int, out: str = "stoch_k") -> DataFrame:

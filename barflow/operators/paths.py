@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import one_by_one
 from . import trades as t
 
 _OUT = ["status", "failure", "failed_at", "signal", "exit_rn", "entry_time", "exit_time", "entry_price", "exit_price", "gross_return", "score", "duration_bars", "forced", "exit_reason"]
@@ -50,13 +49,9 @@ def resolved_pullbacks(bars: DataFrame, fine: DataFrame, sessions: DataFrame, at
     c = t.left_at(c, p).withColumn("status", F.when(F.col("failure").isNull(), "TRADE").otherwise("INCOMPLETE"))
     c = c.withColumn("exit_reason", F.when(F.col("_h").isNotNull(), "STOP_15M").when(F.col("forced"), "FORCED_END").otherwise("STRUCTURAL_1H_NEXT_OPEN"))
 
-    def step(state: dict, row: dict) -> int | None:
-        if state.get("ended") or row["signal"] < state.get("last", -1):
-            return None
-        state["last"], state["ended"] = row["exit_rn"], row["failure"] is not None
-        return 1
-
-    out = one_by_one(c, ["symbol"], ["signal"], "_taken long", step, [k for k in _OUT]).drop("_taken")
+    # Nothing is taken after a path that is not whole.
+    c = c.withColumn("exit_rn", F.when(F.col("failure").isNotNull(), F.lit((1 << 63) - 1)).otherwise(F.col("exit_rn")))
+    out = t.non_overlapping(c.select("symbol", *_OUT), ["symbol"])
     bad = F.col("status") == "INCOMPLETE"
     return out.select("symbol", *[c if c in ("status", "failure", "failed_at", "signal") else F.when(~bad, F.col(c)).alias(c) for c in _OUT])
 

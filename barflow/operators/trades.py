@@ -1,7 +1,8 @@
 """Trades from signals (K01-K04, K06, K10-K13, K16-K18, kernel R2).
 
 A signal's exit does not depend on earlier trades, so candidates are built by windows and bounded
-range joins; only rules that depend on what was taken before pass a group's sorted rows one by one.
+range joins; of rules that depend on what was taken before, R2 folds runs of overlapping candidates, and
+capacity and lanes pass a group's sorted rows one by one.
 """
 
 from __future__ import annotations
@@ -16,15 +17,25 @@ _FIELDS = ["signal", "exit_rn", "entry_time", "exit_time", "entry_price", "exit_
 
 
 def non_overlapping(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """R2: in order of signal, those whose signal is not before the last taken one's exit."""
+    """R2: in order of signal, those whose signal is not before the last taken one's exit.
 
-    def step(state: dict, row: dict) -> int | None:
-        if row["signal"] < state.get("last", -1):
-            return None
-        state["last"] = row["exit_rn"]
-        return 1
+    A running maximum of exits cuts a key's candidates where nothing is open: what stands before
+    such a point decides nothing after it. A run between two points, candidates that overlap one
+    another, is folded as an array in the JVM; runs are groups of their own. Ties of signal go to
+    the earlier exit, then to the least row.
+    """
+    rest = ["signal", "exit_rn", *[c for c in candidates.columns if c not in (*keys, "signal", "exit_rn")]]
+    w = Window.partitionBy(*keys).orderBy("signal", "exit_rn")
+    open_until = F.max("exit_rn").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = candidates.withColumn("_idle", F.coalesce((F.col("signal") >= open_until).cast("int"), F.lit(1)))
+    d = d.withColumn("_run", F.sum("_idle").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = d.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("_c"))
+
+    def step(state, row):
+        return F.when(row["signal"] >= state["last"], F.struct(row["exit_rn"].alias("last"), F.concat(state["taken"], F.array(row)).alias("taken"))).otherwise(state)
 
-    return one_by_one(candidates, keys, _FIELDS, "_taken long", step, _FIELDS).drop("_taken")
+    first = F.struct(F.lit(-1).cast("long").alias("last"), F.slice("_c", 1, 0).alias("taken"))
+    return runs.select(*keys, F.inline(F.aggregate("_c", first, step, lambda state: state["taken"]))).select(*candidates.columns)
 
 
 def from_signals(bars: DataFrame, max_hold: int, stop: str | None = None, target: str | None = None, score: str | None = None) -> DataFrame:
@@ -64,7 +75,7 @@ def _finished(c: DataFrame, p: DataFrame) -> DataFrame:
     c = c.join(e, ["symbol", "signal"]).join(x, ["symbol", "exit_rn"]).withColumn("exit_price", F.coalesce("_h.price", "_open"))
     c = c.withColumn("gross_return", F.col("exit_price") / F.col("entry_price") - 1.0).withColumn("duration_bars", F.col("exit_rn") - F.col("signal") - 1)
     c = c.filter((F.col("exit_price") > 0) & ((F.col("duration_bars") > 0) | F.col("_h").isNotNull()))
-    return non_overlapping(c, ["symbol"])
+    return non_overlapping(c.select("symbol", *_FIELDS), ["symbol"])
 
 
 def first_profitable(bars: DataFrame, max_hold: int, score: str | None = None) -> DataFrame:
@@ -137,7 +148,7 @@ def pullback(bars: DataFrame, atr_col: str, pullback_atr: float, stop_atr: float
     f, p = limit_fills(bars, atr_col, pullback_atr, stop_atr, valid, exit_lookback)
     f = f.withColumn("entry_price", F.least("_open", "_limit")).filter("entry_price > 0").withColumn("entry_time", F.col("entry_bar"))
     hit = stop_touches(f, p).groupBy("symbol", "signal").agg(F.min_by(F.struct("rn", F.least("open", "_sp").alias("price"), F.col("ts").alias("at")), "rn").alias("_h"))
-    return non_overlapping(left_at(f.join(hit, ["symbol", "signal"], "left"), p), ["symbol"])
+    return non_overlapping(left_at(f.join(hit, ["symbol", "signal"], "left"), p).select("symbol", *_FIELDS), ["symbol"])
 
 
 def ma_position(bars: DataFrame, fast: int, slow: int, bps: float = 3.0) -> DataFrame:

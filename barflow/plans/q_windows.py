@@ -71,7 +71,7 @@ FROM dx x JOIN two t ON t.symbol = x.symbol AND t.rn = x.rn"""
 def recurrent(spark, sf_dir):
     """W03, W06, W10, W11, W13 (kernel R1) over daily bars of all symbols."""
     x = w.indexed(b.daily_bars(spark, sf_dir))
-    x = w.macd(w.adx(w.atr(w.rsi(w.ema(x, "close", "ema20", 20, 1, 20), "rsi14", 14), "atr14", 14), 5, "adx5"))
+    x = w.together(x, w.ema_recipe("close", "ema20", 20, 1, 20), w.rsi_recipe("rsi14", 14), w.atr_recipe("atr14", 14), w.adx_recipe(5, "adx5"), w.macd_recipe())
     return shown(x, ["symbol", "ts"], ["ema20", "rsi14", "atr14", "plus_di", "minus_di", "adx5", "macd", "macd_signal", "macd_hist"], 3)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +21,24 @@ def manifest(df: DataFrame, order: str = "ts") -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.min(order).cast("string").alias("start"), F.max(order).cast("string").alias("end"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("checksum")).withColumn("columns", F.array(*map(F.lit, sorted(df.columns))))
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path under spark.checkpoint.dir, which driver and executors share; only a session on one machine may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="barflow-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """A table that several parts of a plan read, written once to the shared folder: neither planned nor computed again."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_bars(df: DataFrame, path: str, order: str = "ts") -> None:
     """Parquet by timeframe if there is one, with its manifest beside it."""
     w = df.write.mode("overwrite")
