@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..functions.ordered import one_by_one
 from .joins import jaccard
 from .validation import components
@@ -95,6 +98,11 @@ def stories(news: DataFrame, least: float = 0.72, hours: int = 36) -> DataFrame:
     d = d.join(comp.withColumnRenamed("component", "c"), "node", "left").join(near.withColumnRenamed("a", "node"), "node", "left")
     d = d.withColumn("c", F.coalesce("c", "node", F.col("id").cast("string")))
 
+    # No leader outlives a gap of more than ``hours``, so what stands after one is a group of its own.
+    w = Window.partitionBy("c").orderBy("published", "id")
+    idle = F.coalesce((F.col("published") - F.lag("published").over(w) > hours * 3600).cast("int"), F.lit(1))
+    d = d.withColumn("_idle", idle).withColumn("stretch", F.sum("_idle").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_idle")
+
     def step(state: dict, row: dict) -> int:
         at, who = row["published"], row["id"]
         if row["node"] is None:
@@ -108,7 +116,7 @@ def stories(news: DataFrame, least: float = 0.72, hours: int = 36) -> DataFrame:
             leaders[who] = (at, row["node"])
         return who if hit is None else hit
 
-    return one_by_one(d, ["c"], ["published", "id", "node", "near"], "leader long", step, ["id", "published"]).drop("c")
+    return one_by_one(d, ["c", "stretch"], ["published", "id", "node", "near"], "leader long", step, ["id", "published"]).drop("c", "stretch")
 
 
 def story_evidence(news: DataFrame, story: DataFrame, now: int) -> DataFrame:
@@ -134,21 +142,38 @@ def article_signals(news: DataFrame, aliases: list[str], positive: list[str], ne
     return d.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sentiment") * F.col("relevance") * F.col("decay"))))
 
 
-def novelty(texts: DataFrame, by: str, order: str, last: int = 128, features: int = 1 << 12) -> DataFrame:
+def novelty(texts: DataFrame, by: str, order: str, last: int = 128) -> DataFrame:
     """1 - the largest cosine to the ``last`` texts before of the key, at least 0.1; 1 for the first.
 
-    Words are hashed to ``features`` places. Texts of a key are numbered, and those of neighbouring
-    blocks of ``last`` meet, so a common key is spread over its blocks and none is gathered.
+    Words are hashed to 4,096 places. Texts of a key are numbered without gathering it and stand in
+    blocks of ``last``; a block meets the one before it as two matrices of counts, whose product holds
+    all cosines that can matter. A block is a group of its own, so a common key is spread. A text
+    without words has no cosine; ties of ``order`` stand in the order of their text.
     """
-    d = texts.select(by, order, F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    d = d.withColumn("b", F.floor(F.col("n") / last)).withColumn("w", F.transform(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""), lambda x: F.pmod(F.hash(x), F.lit(features))))
-    terms = d.select(by, "n", F.explode("w").alias("i")).groupBy(by, "n", "i").agg(F.count("*").cast("double").alias("c"))
-    vectors = terms.groupBy(by, "n").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
-    d = d.drop("text", "w").join(vectors, [by, "n"], "left")
-    z = d.select(by, F.explode(F.array("b", F.col("b") + 1)).alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("size").alias("size2"))
-    dot = F.aggregate(F.map_entries("m"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("m2", e["key"]), F.lit(0.0)))
-    p = d.join(z, [by, "b"]).filter((F.col("n2") < F.col("n")) & (F.col("n") - F.col("n2") <= last)).groupBy(by, "n").agg(F.max(dot / (F.col("size") * F.col("size2"))).alias("s"))
-    return d.select(by, order, "n").join(p, [by, "n"], "left").withColumn("novelty", F.greatest(F.lit(0.1), 1.0 - F.coalesce("s", F.lit(0.0)))).drop("n", "s")
+    d = texts.select(F.col(by).alias("_by"), F.col(order).alias("_order"), F.coalesce("text", F.lit("")).alias("text"))
+    d = numbered(d, "_by", ["_order", "text"]).withColumn("_b", F.floor((F.col("n") - 1) / last))
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    d = d.withColumn("_w", F.transform(words, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 3), 16, 10).cast("int"))).drop("text")
+    # A text stands in its block, and as an earlier one in the next.
+    d = d.select("*", F.explode(F.array(F.struct(F.col("_b").alias("g"), F.lit(False).alias("old")), F.struct((F.col("_b") + 1).alias("g"), F.lit(True).alias("old")))).alias("_at")).select("_by", "_order", "n", "_w", "_at.*")
+
+    def counts(rows: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(rows), 4096))
+        np.add.at(out, (np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)), 1.0)
+        return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n", ignore_index=True)
+        new = ~pdf["old"].to_numpy()
+        x, n = counts(list(pdf["_w"])), pdf["n"].to_numpy()
+        gap = n[new][:, None] - n[None, :]
+        near = np.where((gap > 0) & (gap <= last), x[new] @ x.T, 0.0)
+        out = pdf.loc[new, ["_by", "_order"]].copy()
+        out["novelty"] = np.maximum(0.1, 1.0 - near.max(1, initial=0.0))
+        return out
+
+    kind = dict(d.dtypes)
+    return d.groupBy("_by", "g").applyInPandas(block, f"_by {kind['_by']}, _order {kind['_order']}, novelty double").toDF(by, order, "novelty")
 
 
 #: How far a source is trusted; others 0.5.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+from ..sources.files import settled
 from . import metrics as m
 
 
@@ -34,13 +36,13 @@ def family_leaderboard(hypotheses: DataFrame) -> DataFrame:
 def redundancy(trades: DataFrame, key: str, least_days: int = 10, jaccard: float = 0.5, corr: float = 0.8) -> DataFrame:
     """Pairs of strategies whose entry days overlap or whose daily returns go together.
 
-    Entries meet on (symbol, day) and returns on day, so pairs come from what strategies share.
+    Entries meet on (symbol, day) and mean returns on the exit day, so pairs come from what strategies share.
     """
     e = trades.select(key, "symbol", F.to_date("entry_time").alias("day")).distinct()
     n = e.groupBy(key).agg(F.count("*").alias("n"))
     a, b = e.withColumnRenamed(key, "a"), e.withColumnRenamed(key, "b")
     same = a.join(b, ["symbol", "day"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    r = trades.groupBy(key, F.to_date("exit_time").alias("day")).agg(F.sum("gross_return").alias("r"))
+    r = trades.groupBy(key, F.to_date("exit_time").alias("day")).agg(F.avg("gross_return").alias("r"))
     x, y = r.withColumnRenamed(key, "a").withColumnRenamed("r", "ra"), r.withColumnRenamed(key, "b").withColumnRenamed("r", "rb")
     c = x.join(y, "day").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("days"), F.corr("ra", "rb").alias("corr"))
     d = same.join(c, ["a", "b"], "full").join(n.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
@@ -79,14 +81,96 @@ def champions(hypotheses: DataFrame, comp: DataFrame, key: str, score: str) -> D
 
 
 def block_bootstrap(returns: DataFrame, key: str, order: str, r: str, runs: int = 500, block: int = 20, seed: int = 7) -> DataFrame:
-    """Quantiles of compounded returns over circular block resamples; starts by a seeded hash."""
-    d = returns.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
-    n = d.groupBy(key).agg(F.count("*").alias("n"))
-    starts = n.select(key, "n", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("j"))
-    starts = starts.withColumn("s", F.pmod(F.xxhash64(key, "run", "j", F.lit(seed)), F.col("n"))).select("*", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o")).filter(F.col("j") * block + F.col("o") < F.col("n"))
-    p = starts.withColumn("i", F.pmod(F.col("s") + F.col("o"), F.col("n"))).groupBy(key, "run", "i").agg(F.count("*").alias("c")).join(d.select(key, "i", F.col(r).alias("r")), [key, "i"]).groupBy(key, "run").agg(F.exp(F.sum(F.col("c") * F.log1p("r"))).alias("g"))
+    """Quantiles of compounded returns over circular block resamples, and how many lose.
+
+    A block's return is a difference of prefix sums of log returns, so a block costs two or three
+    look-ups, not its length. Starts come from an MD5 of key, run, block and seed. Null returns are 0;
+    a return of -1 or less loses all. Ties of ``order`` stand by return. Keys of no rows give none.
+    """
+    x = F.coalesce(F.col(r).cast("double"), F.lit(0.0))
+    d = numbered(returns.select(F.col(key).alias("_key0"), F.col(order).alias("_order"), x.alias("_r")), "_key0", ["_order", "_r"], "_i")
+    upto = Window.partitionBy("_key0").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    lost = (F.col("_r") <= -1.0).cast("long")
+    p = d.select("_key0", "_i", F.sum(F.when(F.col("_r") > -1.0, F.log1p("_r")).otherwise(0.0)).over(upto).alias("_p"), F.sum(lost).over(upto).alias("_lost"))
+    n = d.groupBy("_key0").agg(F.count("*").alias("n"))
+    starts = n.select("_key0", "n", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("j"))
+    name = F.concat_ws("|", F.col("_key0").cast("string"), "run", "j", F.lit(seed))
+    s = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")
+    starts = starts.withColumn("s", s).withColumn("e", F.col("s") + F.least(F.lit(block).cast("long"), F.col("n") - F.col("j") * block))
+    at = lambda i, sign: F.struct(i.alias("_i"), F.lit(sign).alias("sign"))
+    # From s to e; past the end, from s to the end and from the start on. Place 0 holds nothing.
+    parts = F.when(F.col("e") <= F.col("n"), F.array(at(F.col("s"), -1), at(F.col("e"), 1))).otherwise(F.array(at(F.col("s"), -1), at(F.col("n"), 1), at(F.col("e") - F.col("n"), 1)))
+    looked = starts.select("_key0", "run", F.inline(parts)).filter("_i > 0").groupBy("_key0", "run", "_i").agg(F.sum("sign").alias("sign"))
+    g = looked.join(p, ["_key0", "_i"]).groupBy("_key0", "run").agg(F.sum(F.col("sign") * F.col("_p")).alias("_g"), F.sum(F.col("sign") * F.col("_lost")).alias("_lost"))
+    g = n.select("_key0", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).join(g, ["_key0", "run"], "left")
+    g = g.withColumn("g", F.when(F.col("_lost") > 0, 0.0).otherwise(F.exp(F.coalesce("_g", F.lit(0.0)))))
     q = F.percentile("g", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return p.groupBy(key).agg(q.alias("q"), F.avg((F.col("g") < 1).cast("double")).alias("loss_probability")).select(key, (F.col("q")[0] - 1).alias("p05"), (F.col("q")[1] - 1).alias("median"), (F.col("q")[2] - 1).alias("p95"), "loss_probability")
+    return g.groupBy(F.col("_key0").alias(key)).agg(q.alias("q"), F.avg((F.col("g") < 1).cast("double")).alias("loss_probability")).select(key, (F.col("q")[0] - 1).alias("p05"), (F.col("q")[1] - 1).alias("median"), (F.col("q")[2] - 1).alias("p95"), "loss_probability")
+
+
+MODES = ("equal", "inverse_volatility", "positive_sharpe")
+
+
+def moments(stream: DataFrame, key: str, date: str, r: str, start: Column | None = None, end: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per strategy mean and deviation, and per pair (a <= b) the covariance, over the dates on which any strategy has a return; 0 where one has none.
+
+    Returns two tables: (key, days, mean, sd) and (a, b, cov, corr). Pairs meet on dates that they share.
+    """
+    d = stream.groupBy(key, date).agg(F.sum(F.coalesce(F.col(r), F.lit(0.0))).alias("_r"))
+    d = d.filter((F.col(date) >= start) if start is not None else F.lit(True)).filter((F.col(date) <= end) if end is not None else F.lit(True))
+    days = d.agg(F.count_distinct(date).alias("days"))
+    one = d.groupBy(key).agg(F.sum("_r").alias("s"), F.sum(F.col("_r") * F.col("_r")).alias("q")).join(F.broadcast(days))  # days is one row
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("days")) / F.nullif(F.col("days") - 1, F.lit(0))))
+    one = one.select(key, "days", (F.col("s") / F.col("days")).alias("mean"), spread.alias("sd"))
+    a, b = (d.select(F.col(key).alias(n), date, F.col("_r").alias(f"_r{n}")) for n in ("a", "b"))
+    both = a.join(b, date).filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("_ra") * F.col("_rb")).alias("_ab"))
+    x, y = (one.select(F.col(key).alias(n), "days", F.col("mean").alias(f"_m{n}"), F.col("sd").alias(f"_s{n}")) for n in ("a", "b"))
+    ids = x.join(F.broadcast(y.agg(F.array_sort(F.collect_list(F.struct("b", "_mb", "_sb"))).alias("_ys")))).select("a", "days", "_ma", "_sa", F.inline("_ys")).filter("a <= b")  # a catalogue of strategies, not data rows
+    p = ids.join(both, ["a", "b"], "left")
+    cov = (F.coalesce("_ab", F.lit(0.0)) - F.col("days") * F.col("_ma") * F.col("_mb")) / F.nullif(F.col("days") - 1, F.lit(0))
+    return one, p.select("a", "b", cov.alias("cov"), F.when((F.col("_sa") > 1e-12) & (F.col("_sb") > 1e-12), cov / (F.col("_sa") * F.col("_sb"))).alias("corr"))
+
+
+def combination_search(stream: DataFrame, key: str, date: str, r: str, sizes: tuple[int, ...] = (2, 3, 4), modes: tuple[str, ...] = MODES, start: Column | None = None, end: Column | None = None, year: float = 252.0) -> DataFrame:
+    """All combinations of the strategies in ``stream``, by weight mode: weights, mean correlation, return and Sharpe ratio.
+
+    Combinations grow by one strategy a level, each from its last one on, without a join; a
+    strategy's raw weight is 1 / volatility or its Sharpe ratio if positive, bounded to 0.1 / size and
+    0.7 of all, and equal where none is positive. A combination's mean and deviation come from
+    its strategies' moments (w'm and w'Cw), so no combined stream is made; see
+    ``combined_streams`` for those chosen. The strategies are those found eligible, a bounded list.
+    """
+    one, pairs = (settled(x, "moments") for x in moments(stream, key, date, r, start, end))
+    ids = one.agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    level = ids.select("ids", F.explode(F.sequence(F.lit(1), F.size("ids"))).alias("last")).filter(F.col("last") <= F.size("ids")).withColumn("at", F.array("last"))
+    found = None
+    for size in range(1, max(sizes) + 1):
+        if size > 1:
+            more = F.when(F.col("last") < F.size("ids"), F.sequence(F.col("last") + 1, F.size("ids"))).otherwise(F.array().cast("array<int>"))
+            level = level.select("ids", "at", F.explode(more).alias("last")).withColumn("at", F.concat("at", F.array("last")))
+        if size in sizes:
+            found = level if found is None else found.unionByName(level)
+    c = found.select(F.transform("at", lambda i: F.element_at("ids", i)).alias("names")).withColumn("size", F.size("names")).withColumn("strategies", F.array_join(F.transform("names", lambda x: x.cast("string")), "+"))
+    legs = c.select("strategies", "size", F.explode("names").alias(key)).join(one, key)
+    raw = {"equal": F.lit(1.0), "inverse_volatility": F.when(F.col("sd") > 1e-12, 1.0 / F.col("sd")).otherwise(0.0), "positive_sharpe": F.when(F.col("sd") > 1e-12, F.greatest(F.col("mean") / F.col("sd"), F.lit(0.0))).otherwise(0.0)}
+    legs = legs.select("strategies", "size", key, "mean", F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), raw[m].alias("_raw")) for m in modes])))
+    whole = Window.partitionBy("strategies", "mode")
+    share = F.when(F.sum("_raw").over(whole) > 0, F.least(F.lit(0.7), F.greatest(0.1 / F.col("size"), F.col("_raw") / F.sum("_raw").over(whole)))).otherwise(1.0 / F.col("size"))
+    share = F.when(F.col("mode") == "equal", 1.0 / F.col("size")).otherwise(share)
+    legs = legs.withColumn("_w", share).withColumn("weight", F.col("_w") / F.sum("_w").over(whole))
+    g = legs.groupBy("strategies", "size", "mode").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("weight").alias("w")))).alias("x"), F.sum(F.col("weight") * F.col("mean")).alias("mean"))
+    # Of each two strategies (a <= b) both weights; twice for two different ones.
+    two = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: b["k"] >= a["k"]), lambda b: F.struct(a["k"].alias("a"), b["k"].alias("b"), (a["w"] * b["w"] * F.when(a["k"] == b["k"], 1.0).otherwise(2.0)).alias("ww")))))
+    spread = g.select("strategies", "mode", F.inline(two)).join(pairs, ["a", "b"]).groupBy("strategies", "mode").agg(F.sum(F.col("ww") * F.col("cov")).alias("_var"), F.avg(F.when(F.col("a") != F.col("b"), F.col("corr"))).alias("correlation"))
+    d = g.join(spread, ["strategies", "mode"]).withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.col("_var"))))
+    return d.select("strategies", "size", "mode", F.transform("x", lambda v: v["w"]).alias("weights"), F.coalesce("correlation", F.lit(0.0)).alias("correlation"), "mean", "sd", F.when(F.col("sd") > 1e-12, F.sqrt(F.lit(year)) * F.col("mean") / F.col("sd")).alias("sharpe"))
+
+
+def combined_streams(stream: DataFrame, chosen: DataFrame, key: str, date: str, r: str) -> DataFrame:
+    """The daily streams of ``chosen`` combinations (strategies, mode, weights), of all dates on which one of their strategies has a return."""
+    named = F.arrays_zip(F.split("strategies", r"\+").alias("k"), F.col("weights").alias("w"))
+    legs = chosen.select("strategies", "mode", F.inline(named)).withColumnRenamed("k", key)
+    return legs.join(stream.withColumn(key, F.col(key).cast("string")), key).groupBy("strategies", "mode", date).agg(F.sum(F.col("w") * F.coalesce(F.col(r), F.lit(0.0))).alias("r"))
 
 
 def combinations(stream: DataFrame, key: str, date: str, r: str, weights: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import signals as s
 from ..operators import validation as v
 from . import bindings as b
 from .q_text import b_dir
-from .registry import query, shown
+from .registry import query, shown, six
 from .signal_sql import features_sql
 
 T, D = b.with_sql("trades"), b.with_sql("daily")
@@ -61,7 +61,7 @@ def families(spark, sf_dir):
 
 
 _RED = T + """, e AS (SELECT DISTINCT hypothesis_id AS h, CAST(entry_time AS DATE) AS day, symbol FROM trades), n AS (SELECT h, count(*) AS n FROM e GROUP BY 1), same AS (SELECT a.h AS a, z.h AS b, count(*) AS bth FROM e a JOIN e z ON a.symbol = z.symbol AND a.day = z.day AND a.h < z.h GROUP BY 1, 2),
-r AS (SELECT hypothesis_id AS h, CAST(exit_time AS DATE) AS day, sum(gross_return) AS r FROM trades GROUP BY 1, 2), c AS (SELECT x.h AS a, y.h AS b, count(*) AS days, corr(x.r, y.r) AS corr FROM r x JOIN r y ON x.day = y.day AND x.h < y.h GROUP BY 1, 2),
+r AS (SELECT hypothesis_id AS h, CAST(exit_time AS DATE) AS day, avg(gross_return) AS r FROM trades GROUP BY 1, 2), c AS (SELECT x.h AS a, y.h AS b, count(*) AS days, corr(x.r, y.r) AS corr FROM r x JOIN r y ON x.day = y.day AND x.h < y.h GROUP BY 1, 2),
 red AS (SELECT coalesce(c.a, same.a) AS a, coalesce(c.b, same.b) AS b, coalesce(bth, 0) / (x.n + y.n - coalesce(bth, 0)) AS jac, days, corr FROM c FULL JOIN same ON c.a = same.a AND c.b = same.b JOIN n x ON x.h = coalesce(c.a, same.a) JOIN n y ON y.h = coalesce(c.b, same.b))"""
 
 
@@ -83,7 +83,10 @@ def roster(spark, sf_dir):
     return v.champions(h, v.components(edges), "hypothesis_id", "net_expectancy").select("hypothesis_id", "component", "roster")
 
 
-@query("v_bootstrap")
+@query("v_bootstrap", T + """, t AS (SELECT hypothesis_id AS h, CAST(exit_time AS DATE) AS day, 0.001 * sum(gross_return) AS r FROM trades GROUP BY 1, 2), d AS (SELECT h, r, row_number() OVER (PARTITION BY h ORDER BY day, r) AS i, count(*) OVER (PARTITION BY h) AS n FROM t),
+k AS (SELECT DISTINCT h, n FROM d), s AS (SELECT h, n, run, j, CAST('0x' || substr(md5(h || '|' || run || '|' || j || '|7'), 1, 8) AS BIGINT) % n AS s FROM (SELECT h, n, run, unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) AS j FROM k, range(100) AS q(run))),
+o AS (SELECT h, run, (s + o) % n + 1 AS i FROM s, range(20) AS q(o) WHERE j * 20 + o < n), g AS (SELECT o.h, run, exp(sum(ln(1 + d.r))) AS g FROM o JOIN d ON d.h = o.h AND d.i = o.i GROUP BY 1, 2)
+SELECT h AS hypothesis_id, round(quantile_cont(g, 0.05) - 1, 6) AS p05, round(quantile_cont(g, 0.5) - 1, 6) AS median, round(quantile_cont(g, 0.95) - 1, 6) AS p95, round(avg(CASE WHEN g < 1 THEN 1.0 ELSE 0.0 END), 6) AS loss_probability FROM g GROUP BY 1""")
 def bootstrap(spark, sf_dir):
     """100 runs in blocks of 20 trades."""
     t = b.trades(spark, sf_dir).groupBy("hypothesis_id", F.to_date("exit_time").alias("day")).agg((0.001 * F.sum("gross_return")).alias("r"))
@@ -99,6 +102,40 @@ def combos(spark, sf_dir):
     return shown(v.combinations(t, "hypothesis_id", "day", "r").groupBy("a", "b", "mode").agg(F.count("*").alias("days"), F.avg("r").alias("mean")), ["a", "b", "mode"], ["days", "mean"])
 
 
+#: Halves of hypotheses as strategies, so that there are enough to combine by four.
+_MANY = T + """, s AS (SELECT hypothesis_id || ' ' || trade_id % 2 AS h, CAST(exit_time AS DATE) AS day, 0.01 * sum(gross_return) AS r FROM trades GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT day) AS n FROM s), o AS (SELECT h, n, sum(r) / n AS m, sqrt((sum(r * r) - sum(r) * sum(r) / n) / (n - 1)) AS sd FROM s, n GROUP BY h, n),
+ab AS (SELECT x.h AS a, y.h AS b, sum(x.r * y.r) AS ab FROM s x JOIN s y ON x.day = y.day GROUP BY 1, 2), cv AS (SELECT x.h AS a, y.h AS b, (coalesce(ab, 0) - x.n * x.m * y.m) / (x.n - 1) AS cov, (coalesce(ab, 0) - x.n * x.m * y.m) / (x.n - 1) / (x.sd * y.sd) AS cr FROM o x CROSS JOIN o y LEFT JOIN ab ON ab.a = x.h AND ab.b = y.h),
+cb AS (SELECT [x.h, y.h] AS c FROM o x JOIN o y ON x.h < y.h UNION ALL SELECT [x.h, y.h, z.h] FROM o x JOIN o y ON x.h < y.h JOIN o z ON y.h < z.h UNION ALL SELECT [x.h, y.h, z.h, q.h] FROM o x JOIN o y ON x.h < y.h JOIN o z ON y.h < z.h JOIN o q ON z.h < q.h),
+lg AS (SELECT c, len(c) AS k, md.mode, u.h, o.m, CASE md.mode WHEN 'equal' THEN 1.0 WHEN 'inverse_volatility' THEN 1 / o.sd ELSE greatest(o.m / o.sd, 0) END AS raw FROM (SELECT c, unnest(c) AS h FROM cb) u JOIN o ON o.h = u.h CROSS JOIN (VALUES ('equal'), ('inverse_volatility'), ('positive_sharpe')) md(mode)),
+sh AS (SELECT *, CASE WHEN mode = 'equal' OR sum(raw) OVER w <= 0 THEN 1.0 / k ELSE least(0.7, greatest(0.1 / k, raw / sum(raw) OVER w)) END AS s FROM lg WINDOW w AS (PARTITION BY c, mode)),
+wt AS (SELECT c, k, mode, h, m, s / sum(s) OVER (PARTITION BY c, mode) AS w FROM sh),
+vr AS (SELECT x.c, x.mode, sum(x.w * y.w * cov) AS v, avg(CASE WHEN x.h < y.h THEN cr END) AS corr FROM wt x JOIN wt y ON x.c = y.c AND x.mode = y.mode JOIN cv ON cv.a = x.h AND cv.b = y.h GROUP BY 1, 2),
+cs AS (SELECT array_to_string(wt.c, '+') AS strategies, wt.k AS size, wt.mode, wt.c, sum(w * m) AS mean, any_value(v) AS v, any_value(corr) AS corr, sum(w * m) / sqrt(any_value(v)) * sqrt(252.0) AS sharpe FROM wt JOIN vr ON vr.c = wt.c AND vr.mode = wt.mode GROUP BY wt.c, wt.k, wt.mode)"""
+
+
+def _strategies(spark, sf_dir):
+    name = F.concat_ws(" ", "hypothesis_id", (F.col("trade_id") % 2).cast("string"))
+    return b.trades(spark, sf_dir).groupBy(name.alias("h"), F.to_date("exit_time").alias("day")).agg((0.01 * F.sum("gross_return")).alias("r"))
+
+
+@query("v_combination_search", _MANY + " SELECT strategies, size, mode, round(corr, 6) AS correlation, round(mean, 6) AS mean, round(sqrt(v), 6) AS sd, round(sharpe, 4) AS sharpe FROM cs")
+def combination_search(spark, sf_dir):
+    """Combinations of two to four strategies in three weight modes."""
+    d = v.combination_search(_strategies(spark, sf_dir), "h", "day", "r")
+    return shown(d, ["strategies", "mode"], ["size", "correlation", "mean", "sd"]).join(shown(d, ["strategies", "mode"], ["sharpe"], 4), ["strategies", "mode"])
+
+
+@query("v_combined_streams", _MANY + """, best AS (SELECT * FROM cs ORDER BY round(sharpe + 1.2345e-7, 6) DESC, strategies, mode LIMIT 5), st AS (SELECT b.strategies, b.mode, s.day, sum(w * s.r) AS r FROM best b JOIN wt ON wt.c = b.c AND wt.mode = b.mode JOIN s ON s.h = wt.h GROUP BY 1, 2, 3)
+SELECT strategies, mode, CAST(day AS VARCHAR) AS day, round(r, 6) AS r FROM st""")
+def combined_streams(spark, sf_dir):
+    """Daily streams of the five combinations of the best Sharpe ratio, a report."""
+    s = _strategies(spark, sf_dir)
+    found = v.combination_search(s, "h", "day", "r")
+    best = found.orderBy(six("sharpe").desc(), "strategies", "mode").limit(5)
+    return shown(v.combined_streams(s, best, "h", "day", "r"), ["strategies", "mode", "day"], ["r"])
+
+
 @query("v_weights", T + ", s AS (SELECT hypothesis_id, CAST(exit_time AS DATE) AS day, sum(gross_return) AS r FROM trades GROUP BY 1, 2), v AS (SELECT hypothesis_id, 1 / stddev_samp(r) AS iv FROM s GROUP BY 1), c AS (SELECT *, least(iv / sum(iv) OVER (), 0.4) AS c, count(*) OVER () AS n FROM v) SELECT hypothesis_id, round(1.0 / n, 6) AS equal, round(c / sum(c) OVER (), 6) AS inverse_volatility FROM c")
 def weights(spark, sf_dir):
     """V21."""

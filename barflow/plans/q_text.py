@@ -82,7 +82,10 @@ def sentiment(spark, sf_dir):
     return shown(n.aggregate_sentiment(d), ["symbol"], ["sentiment", "agreement", "confidence", "articles"])
 
 
-@query("w_novelty")
+@query("w_novelty", """WITH x AS (SELECT role, conv_id * 1000 + turn AS k, coalesce(text, '') AS t FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY k, t) AS n FROM x),
+v AS (SELECT role, n, substr(md5(q), 1, 3) AS f, count(*) AS c FROM (SELECT role, n, unnest(list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda q: q <> '')) AS q FROM n) GROUP BY 1, 2, 3), z AS (SELECT role, n, sqrt(sum(c * c)) AS z FROM v GROUP BY 1, 2),
+p AS (SELECT a.role, a.n, max(s / (x.z * y.z)) AS s FROM (SELECT a.role, a.n, b.n AS m, sum(a.c * b.c) AS s FROM v a JOIN v b ON a.role = b.role AND a.f = b.f AND b.n < a.n AND a.n - b.n <= 128 GROUP BY 1, 2, 3) a JOIN z x ON x.role = a.role AND x.n = a.n JOIN z y ON y.role = a.role AND y.n = a.m GROUP BY 1, 2)
+SELECT n.role, n.k, round(greatest(0.1, 1 - coalesce(s, 0)), 6) AS novelty FROM n LEFT JOIN p ON p.role = n.role AND p.n = n.n""")
 def novelty(spark, sf_dir):
     """Conversation turns of a role, in order."""
     d = b.table(spark, sf_dir, "conversations").select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
