@@ -5,11 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: 8-K items with category, materiality and base direction, by the public form's headings.
+#: 8-K items with category, materiality and base direction.
 ITEMS = [
-    ("1.01", "agreement", 0.6, 0.1), ("1.02", "agreement", 0.6, -0.2), ("1.03", "bankruptcy", 1.0, -1.0), ("2.01", "acquisition", 0.7, 0.1), ("2.02", "results", 0.8, 0.0), ("2.03", "obligation", 0.6, -0.2), ("2.04", "obligation", 0.9, -0.7),
-    ("2.05", "restructuring", 0.6, -0.2), ("2.06", "impairment", 0.8, -0.6), ("3.01", "delisting", 0.9, -0.8), ("3.02", "securities", 0.5, -0.3), ("4.01", "auditor", 0.6, -0.2), ("4.02", "restatement", 1.0, -0.9), ("5.01", "control", 0.8, 0.1),
-    ("5.02", "management", 0.5, 0.0), ("5.03", "charter", 0.3, 0.0), ("5.07", "vote", 0.2, 0.0), ("7.01", "disclosure", 0.4, 0.0), ("8.01", "other", 0.4, 0.0), ("9.01", "exhibits", 0.1, 0.0),
+    ("1.01", "material_agreement", 0.70, 0.00),
+    ("1.02", "agreement_termination", 0.75, -0.20),
+    ("1.03", "bankruptcy_or_receivership", 1.00, -1.00),
+    ("2.01", "acquisition_or_disposition", 0.90, 0.00),
+    ("2.02", "earnings_or_financial_condition", 0.90, 0.00),
+    ("2.03", "new_direct_obligation", 0.75, -0.05),
+    ("2.04", "default_or_acceleration_trigger", 1.00, -0.95),
+    ("2.05", "exit_or_disposal_costs", 0.80, -0.45),
+    ("2.06", "material_impairment", 0.90, -0.75),
+    ("3.01", "delisting_or_listing_failure", 0.95, -0.90),
+    ("3.02", "unregistered_equity_sale", 0.80, -0.45),
+    ("3.03", "security_holder_rights_change", 0.75, -0.20),
+    ("4.01", "auditor_change", 0.75, -0.15),
+    ("4.02", "nonreliance_or_restatement", 1.00, -0.95),
+    ("5.01", "change_in_control", 1.00, 0.00),
+    ("5.02", "management_or_director_change", 0.75, 0.00),
+    ("5.03", "charter_bylaw_or_fiscal_year_change", 0.55, 0.00),
+    ("5.07", "shareholder_vote", 0.55, 0.00),
+    ("5.08", "director_nomination_deadline", 0.45, 0.00),
+    ("6.01", "abs_informational_material", 0.45, 0.00),
+    ("6.02", "change_of_servicer_or_trustee", 0.55, 0.00),
+    ("6.03", "credit_enhancement_or_support_change", 0.70, -0.10),
+    ("6.04", "failure_to_make_distribution", 0.95, -0.90),
+    ("6.05", "securities_act_update", 0.50, 0.00),
+    ("7.01", "regulation_fd_disclosure", 0.60, 0.00),
+    ("8.01", "other_material_event", 0.60, 0.00),
+    ("9.01", "financial_statements_and_exhibits", 0.15, 0.00),
+]
+#: Items whose direction the text may move either way, and the item of a filing that names none.
+OPEN_ITEMS, NO_ITEM = ["2.02", "7.01", "8.01", "5.02", "1.01", "2.01"], "8.01"
+#: Phrases of a current report, as patterns over lower-case text, and their weights.
+PHRASES = [
+    (r"\brais(?:e[sd]?|ing)\s+(?:full[- ]year\s+)?guidance\b", 0.75),
+    (r"\bincreas(?:e[sd]?|ing)\s+(?:full[- ]year\s+)?guidance\b", 0.70),
+    (r"\bexceed(?:ed|s|ing)?\s+(?:analyst|market|our)?\s*(?:expectations|estimates)\b", 0.55),
+    (r"\brecord\s+(?:revenue|sales|earnings|bookings|backlog|cash flow)\b", 0.45),
+    (r"\bspecial\s+dividend\b", 0.45),
+    (r"\bshare\s+repurchase\s+(?:program|authorization)\b", 0.35),
+    (r"\bcompleted\s+(?:the\s+)?acquisition\b", 0.25),
+    (r"\bbankrupt(?:cy)?\b|\bchapter\s+(?:7|11)\b", -1.00),
+    (r"\bgoing\s+concern\b", -0.90),
+    (r"\bdefault(?:ed)?\b|\bacceleration\s+of\s+(?:debt|obligations)\b", -0.90),
+    (r"\bmaterial\s+weakness\b", -0.75),
+    (r"\brestat(?:e|ed|ement|ing)\b|\bshould\s+no\s+longer\s+be\s+relied\s+upon\b", -0.90),
+    (r"\bimpairment\s+(?:charge|loss)\b", -0.70),
+    (r"\blower(?:ed|s|ing)?\s+(?:full[- ]year\s+)?guidance\b", -0.75),
+    (r"\bwithdraw(?:s|n|ing)?\s+(?:full[- ]year\s+)?guidance\b", -0.80),
+    (r"\bmiss(?:ed|es|ing)?\s+(?:analyst|market)?\s*(?:expectations|estimates)\b", -0.55),
+    (r"\bdelist(?:ed|ing)?\b|\bnoncompliance\s+with\s+(?:nasdaq|nyse)\b", -0.85),
+    (r"\bresign(?:ed|ation)?\b|\bterminated\s+for\s+cause\b", -0.35),
+    (r"\bdata\s+breach\b|\bcybersecurity\s+incident\b", -0.55),
+    (r"\bunregistered\s+sale\s+of\s+equity\b|\bprivate\s+placement\b", -0.35),
 ]
 
 
@@ -34,19 +83,29 @@ def item_numbers(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?i)\bItem\s+(\d\.\d{2})\b"), F.lit(1))))
 
 
-def phrase_score(c: Column, positive: list[str], negative: list[str]) -> Column:
-    """0.25 for each positive phrase that occurs, less the same for negative ones, within 1."""
-    n = lambda p: sum(F.when(F.rlike(F.lower(c), F.lit(x)), 1).otherwise(0) for x in p)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 0.25 * (n(positive) - n(negative))))
-
-
-def item_events(filings: DataFrame, positive: list[str], negative: list[str]) -> DataFrame:
-    """A row for each filing and item: category, materiality, direction shifted by phrases; unknown items are ``other``."""
-    spark = filings.sparkSession
-    items = spark.createDataFrame(ITEMS, "item string, category string, materiality double, base double")
-    d = filings.select("accession", "symbol", "accepted_at", "content", F.explode(item_numbers(F.col("content"))).alias("item")).join(F.broadcast(items), "item", "left")
-    direction = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("base", F.lit(0.0)) + phrase_score(F.col("content"), positive, negative)))
-    return d.select("accession", "symbol", "accepted_at", "item", F.coalesce("category", F.lit("other")).alias("category"), F.coalesce("materiality", F.lit(0.3)).alias("materiality"), direction.alias("direction"))
+def phrase_score(c: Column, phrases: list[tuple[str, float]] = PHRASES) -> Column:
+    """the weights of the phrases that occur, each once, summed and kept within 1; 0 for a null text."""
+    found = sum(F.when(F.rlike(F.lower(F.coalesce(c, F.lit(""))), F.lit(p)), w).otherwise(0.0) for p, w in phrases)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), found))
+
+
+def item_events(filings: DataFrame, phrases: list[tuple[str, float]] = PHRASES, items: DataFrame | None = None) -> DataFrame:
+    """A row for each filing and item: category, materiality, direction by item and text, confidence.
+
+    Items come from the column ``items`` (text with item numbers) where it names any, else from the
+    content; a filing without any has 8.01. The text moves the direction of open items both ways and
+    can only worsen one that is negative by itself. ``items`` is the item table (item, category,
+    materiality, base) and replaces ITEMS; what it lacks is ``unmapped_8k_item`` with 0.35 and 0.
+    """
+    known = items if items is not None else filings.sparkSession.createDataFrame(ITEMS, "item string, category string, materiality double, base double")
+    told = F.regexp_extract_all(F.coalesce(F.col("items"), F.lit("")), F.lit(r"\b(\d\.\d{2})\b"), F.lit(1)) if "items" in filings.columns else F.array().cast("array<string>")
+    d = filings.select("accession", "symbol", "accepted_at", phrase_score(F.col("content"), phrases).alias("_text"), F.array_sort(F.array_distinct(told)).alias("_told"), item_numbers(F.coalesce("content", F.lit(""))).alias("_read"))
+    numbers = F.when(F.size("_told") > 0, F.col("_told")).when(F.size("_read") > 0, F.col("_read")).otherwise(F.array(F.lit(NO_ITEM)))
+    d = d.withColumn("item", F.explode(numbers)).join(F.broadcast(known), "item", "left")  # a table of item numbers
+    base = F.coalesce("base", F.lit(0.0))
+    direction = F.when(F.col("item").isin(OPEN_ITEMS), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), base + F.col("_text")))).when(base < 0, F.least(base, F.least("_text", F.lit(0.0)))).otherwise(base)
+    sure = F.when((F.col("item") != NO_ITEM) | (F.size("_told") > 0), 0.90).otherwise(0.60)
+    return d.select("accession", "symbol", "accepted_at", "item", F.coalesce("category", F.lit("unmapped_8k_item")).alias("category"), F.coalesce("materiality", F.lit(0.35)).alias("materiality"), direction.alias("direction"), sure.alias("confidence"))
 
 
 def context_score(events: DataFrame) -> DataFrame:

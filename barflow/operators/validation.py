@@ -119,9 +119,9 @@ def moments(stream: DataFrame, key: str, date: str, r: str, start: Column | None
     d = stream.groupBy(key, date).agg(F.sum(F.coalesce(F.col(r), F.lit(0.0))).alias("_r"))
     d = d.filter((F.col(date) >= start) if start is not None else F.lit(True)).filter((F.col(date) <= end) if end is not None else F.lit(True))
     days = d.agg(F.count_distinct(date).alias("days"))
-    one = d.groupBy(key).agg(F.sum("_r").alias("s"), F.sum(F.col("_r") * F.col("_r")).alias("q")).join(F.broadcast(days))  # days is one row
-    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("days")) / F.nullif(F.col("days") - 1, F.lit(0))))
-    one = one.select(key, "days", (F.col("s") / F.col("days")).alias("mean"), spread.alias("sd"))
+    one = d.groupBy(key).agg(F.sum("_r").alias("_sum"), F.sum(F.col("_r") * F.col("_r")).alias("_squares")).join(F.broadcast(days))  # days is one row
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("_squares") - F.col("_sum") * F.col("_sum") / F.col("days")) / F.nullif(F.col("days") - 1, F.lit(0))))
+    one = one.select(key, "days", (F.col("_sum") / F.col("days")).alias("mean"), spread.alias("sd"))
     a, b = (d.select(F.col(key).alias(n), date, F.col("_r").alias(f"_r{n}")) for n in ("a", "b"))
     both = a.join(b, date).filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("_ra") * F.col("_rb")).alias("_ab"))
     x, y = (one.select(F.col(key).alias(n), "days", F.col("mean").alias(f"_m{n}"), F.col("sd").alias(f"_s{n}")) for n in ("a", "b"))

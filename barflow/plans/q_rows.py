@@ -17,6 +17,7 @@ from ..sources import files
 from . import bindings as b
 from . import signal_sql as sig
 from .q_jobs import _shared
+from .q_text import _PAGE
 from .registry import query, shown
 
 D, T = b.with_sql("daily"), b.with_sql("trades")
@@ -117,7 +118,7 @@ def names(spark, sf_dir):
 @query("f_phrases", "SELECT doc_id, round(greatest(-1, least(1, 0.25 * (CAST(contains(lower(text), 'password') AS INT) + CAST(contains(lower(text), 'license') AS INT) - CAST(contains(lower(text), 'stupid') AS INT)))), 6) AS score FROM documents WHERE text IS NOT NULL")
 def phrases(spark, sf_dir):
     """F08."""
-    return shown(b.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", g.phrase_score(F.col("text"), ["password", "license"], ["stupid"]).alias("score")), ["doc_id"], ["score"])
+    return shown(b.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", g.phrase_score(F.col("text"), [("password", 0.25), ("license", 0.25), ("stupid", -0.25)]).alias("score")), ["doc_id"], ["score"])
 
 
 _ROLES = ["CEO and director", "Chief Financial Officer", "coo", "President", "engineer", ""]
@@ -391,14 +392,14 @@ def resolved(spark, sf_dir):
     return g.resolved_securities(li, by_part.unionByName(by_supplier)).groupBy("symbol").agg(F.count("*").alias("rows"))
 
 
-@query("q_filing_snapshot", "WITH p AS (SELECT page_id, CAST(page_id % 20 AS VARCHAR) AS symbol, page_id % 8 AS f, page_id % 5 AS i FROM pages WHERE page_id <= 150), k AS (SELECT * FROM p WHERE page_id NOT IN (SELECT page_id - 20 FROM p WHERE page_id % 7 = 0)), n AS (SELECT symbol, count(*) AS filings, count(*) FILTER (f < 2) AS insider, count(*) FILTER (f = 6) AS current FROM k GROUP BY 1), s AS (SELECT symbol, tanh(sum(CASE i WHEN 0 THEN 0.06 WHEN 2 THEN -0.9 ELSE 0 END)) AS score FROM p GROUP BY 1) SELECT n.symbol, filings, insider, current, round(score, 6) AS score FROM n LEFT JOIN s USING (symbol)")
+@query("q_filing_snapshot", _PAGE.replace(", p AS (", ", pg AS (").replace("\np AS (", "\npg AS (") + ", p AS (SELECT page_id, CAST(page_id % 20 AS VARCHAR) AS symbol, page_id % 8 AS f, page_id % 5 AS i FROM pages WHERE page_id <= 150), k AS (SELECT * FROM p WHERE page_id NOT IN (SELECT page_id - 20 FROM p WHERE page_id % 7 = 0)), n AS (SELECT symbol, count(*) AS filings, count(*) FILTER (f < 2) AS insider, count(*) FILTER (f = 6) AS current FROM k GROUP BY 1), s AS (SELECT symbol, tanh(sum(m * d)) AS score FROM pg WHERE page_id <= 150 GROUP BY 1) SELECT n.symbol, filings, insider, current, round(score, 6) AS score FROM n LEFT JOIN s USING (symbol)")
 def snapshot(spark, sf_dir):
     """Pages as filings of 20 symbols as of page 150; every seventh amends the one of 20 pages before."""
-    from .q_text import _filings
+    from .q_text import PHRASES, _filings
 
     f = _filings(spark, sf_dir)
     k = F.col("accession").cast("long")
     name = F.element_at(F.array(*map(F.lit, ["4", "3/A", "144", "13F-HR/A", "SC 13D", "SCHEDULE 13G/A", "8-K", "10-Q"])), (k % 8 + 1).cast("int"))
     f = f.withColumn("form_type", name).withColumn("amends_accession", F.when(k % 7 == 0, (k - 20).cast("string")))
     as_of = F.timestamp_seconds(F.lit(1704067200 + 150 * 3600))
-    return shown(g.universe_snapshot(f, g.item_events(f, ["no phrase"], ["no phrase"]), as_of), ["symbol"], ["filings", "insider", "current", "score"])
+    return shown(g.universe_snapshot(f, g.item_events(f, PHRASES), as_of), ["symbol"], ["filings", "insider", "current", "score"])

@@ -125,19 +125,24 @@ def html(spark, sf_dir):
     return b.table(spark, sf_dir, "pages").select("page_id", F.length(n.html_text(F.col("html"))).cast("long").alias("chars"))
 
 
-_PAGE = "WITH p AS (SELECT CAST(page_id AS VARCHAR) AS accession, CAST(page_id % 20 AS VARCHAR) AS symbol, page_id, ['1.01', '2.02', '4.02', '5.02', '8.01'][page_id % 5 + 1] AS item FROM pages)"
+#: Phrases of the queries below; the pages' texts decide which occur.
+PHRASES = [("the ", 0.3), ("que ", -0.5)]
+_PAGE = f"""WITH p0 AS (SELECT CAST(page_id AS VARCHAR) AS accession, CAST(page_id % 20 AS VARCHAR) AS symbol, page_id, CASE WHEN html IS NULL THEN '8.01' ELSE ['1.01', '2.02', '4.02', '5.02', '8.01'][page_id % 5 + 1] END AS item, lower({_HTML}) AS t FROM pages),
+p AS (SELECT *, CASE item WHEN '1.01' THEN 'material_agreement' WHEN '2.02' THEN 'earnings_or_financial_condition' WHEN '4.02' THEN 'nonreliance_or_restatement' WHEN '5.02' THEN 'management_or_director_change' ELSE 'other_material_event' END AS category,
+  CASE item WHEN '1.01' THEN 0.7 WHEN '2.02' THEN 0.9 WHEN '4.02' THEN 1.0 WHEN '5.02' THEN 0.75 ELSE 0.6 END AS m, CASE WHEN item = '4.02' THEN least(-0.95, z) ELSE z END AS d, CASE WHEN item = '8.01' THEN 0.6 ELSE 0.9 END AS sure
+  FROM (SELECT *, greatest(-1.0, least(1.0, CASE WHEN contains(t, 'the ') THEN 0.3 ELSE 0 END - CASE WHEN contains(t, 'que ') THEN 0.5 ELSE 0 END)) AS z FROM p0))"""
 
 
-@query("g_items", _PAGE + " SELECT accession, symbol, item, CASE item WHEN '1.01' THEN 'agreement' WHEN '2.02' THEN 'results' WHEN '4.02' THEN 'restatement' WHEN '5.02' THEN 'management' ELSE 'other' END AS category, round(CASE item WHEN '1.01' THEN 0.6 WHEN '2.02' THEN 0.8 WHEN '4.02' THEN 1.0 WHEN '5.02' THEN 0.5 ELSE 0.4 END, 6) AS materiality FROM p")
+@query("g_items", _PAGE + " SELECT accession, symbol, item, category, round(m, 6) AS materiality, round(d, 6) AS direction, round(sure, 6) AS confidence FROM p")
 def items(spark, sf_dir):
-    """G05, F09, F10 over pages as filings."""
-    return shown(g.item_events(_filings(spark, sf_dir), ["no phrase"], ["no phrase"]), ["accession", "symbol", "item", "category"], ["materiality"])
+    """G05, F08, F09, F10 over pages as filings."""
+    return shown(g.item_events(_filings(spark, sf_dir), PHRASES), ["accession", "symbol", "item", "category"], ["materiality", "direction", "confidence"])
 
 
-@query("a_context", _PAGE + ", e AS (SELECT symbol, item, CASE item WHEN '1.01' THEN 0.6 WHEN '2.02' THEN 0.8 WHEN '4.02' THEN 1.0 WHEN '5.02' THEN 0.5 ELSE 0.4 END AS m, CASE item WHEN '1.01' THEN 0.1 WHEN '4.02' THEN -0.9 ELSE 0.0 END AS d FROM p) SELECT symbol, round(tanh(sum(m * d)), 6) AS score, CAST(count(*) FILTER (m >= 0.7) AS BIGINT) AS material, CAST(bool_or(m >= 0.9 AND d <= -0.5) AS BIGINT) AS severe FROM e GROUP BY symbol")
+@query("a_context", _PAGE + " SELECT symbol, round(tanh(sum(m * d)), 6) AS score, CAST(count(*) FILTER (m >= 0.7) AS BIGINT) AS material, CAST(bool_or(m >= 0.9 AND d <= -0.5) AS BIGINT) AS severe FROM p GROUP BY symbol")
 def context(spark, sf_dir):
     """A31, F24."""
-    return shown(g.context_score(g.item_events(_filings(spark, sf_dir), ["no phrase"], ["no phrase"])), ["symbol"], ["score", "material", "severe"])
+    return shown(g.context_score(g.item_events(_filings(spark, sf_dir), PHRASES)), ["symbol"], ["score", "material", "severe"])
 
 
 def _insiders(spark, sf_dir):
@@ -188,12 +193,12 @@ def positions(spark, sf_dir):
     return g.position_changes(li).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("g_moves", """WITH p AS (SELECT CAST(page_id AS VARCHAR) AS accession, CAST(page_id % 20 AS VARCHAR) AS symbol, 1704067200 + page_id * 3600 AS seen, ['1.01', '2.02', '4.02', '5.02', '8.01'][page_id % 5 + 1] AS item FROM pages), m AS (SELECT symbol, max(seen) AS moved FROM p GROUP BY 1),
-j AS (SELECT p.*, CASE item WHEN '1.01' THEN 0.6 WHEN '2.02' THEN 0.8 WHEN '4.02' THEN 1.0 WHEN '5.02' THEN 0.5 ELSE 0.4 END * exp(-(moved // 86400 - seen // 86400) / 3.0) AS s FROM p JOIN m USING (symbol) WHERE seen <= moved AND moved // 86400 - seen // 86400 <= 3)
+@query("g_moves", _PAGE + """, q AS (SELECT *, 1704067200 + page_id * 3600 AS seen FROM p), mv AS (SELECT symbol, max(seen) AS moved FROM q GROUP BY 1),
+j AS (SELECT q.*, m * exp(-(moved // 86400 - seen // 86400) / 3.0) AS s FROM q JOIN mv USING (symbol) WHERE seen <= moved AND moved // 86400 - seen // 86400 <= 3)
 SELECT symbol, accession, item, round(s, 6) AS score, c AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY s DESC, accession DESC, item DESC) AS k, count(*) OVER (PARTITION BY symbol) AS c FROM j) WHERE k = 1""")
 def moves(spark, sf_dir):
     """pages' items before a move of each symbol a week on."""
-    e = g.item_events(_filings(spark, sf_dir), ["no phrase"], ["no phrase"])
+    e = g.item_events(_filings(spark, sf_dir), PHRASES)
     m = e.groupBy("symbol").agg(F.max("accepted_at").alias("moved_at"))
     return shown(g.attribute_moves(m, e), ["symbol", "accession", "item"], ["score", "candidates"])
 

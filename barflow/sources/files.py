@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,52 @@ def landed_items(*columns: str) -> Column:
     return F.coalesce(*map(F.col, columns))
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None where nothing is stored yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def store_buckets(new: DataFrame, path: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 64) -> list[int]:
+    """Merge rows into a table of hash buckets of ``key``; returns the buckets that were written.
+
+    Only buckets that ``new`` has keys of are read; of those, the ones whose rows changed are replaced
+    whole by dynamic partition overwrite, with their row count and checksum in a manifest beside the
+    data. So a run that was stopped is simply run again, and unchanged input writes nothing. The merged
+    rows stand in the shared folder before anything is replaced. A null key has a bucket too. The
+    number of buckets must not change between runs.
+    """
+    spark = new.sparkSession
+    dealt = settled(new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "store-new")
+    touched = [r["bucket"] for r in dealt.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return []
+    old, marks = _stored(spark, f"{path}/data"), _stored(spark, f"{path}/manifest")
+    merged = dealt if old is None else merge(old.filter(F.col("bucket").isin(touched)), dealt)
+    merged = settled(merged.select(dealt.columns), "store-merged")
+    now = merged.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*sorted(dealt.columns)).cast("decimal(38,0)")).cast("string").alias("checksum"))
+    changed = now if marks is None else now.join(marks.select("bucket", "rows", "checksum"), ["bucket", "rows", "checksum"], "left_anti")
+    ids = sorted(r["bucket"] for r in changed.select("bucket").collect())
+    if ids:
+        merged.filter(F.col("bucket").isin(ids)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/data")
+        now.filter(F.col("bucket").isin(ids)).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/manifest")
+    return ids
+
+
+def newest_partitions(df: DataFrame, by: str, at: str) -> DataFrame:
+    """Q28: of a table stored by ``by`` and ``at``, each key's rows of its newest ``at``.
+
+    The newest ones come from the names of the partitions; the rows are then read by partition
+    pruning, so files of older ones are not opened.
+    """
+    last = df.select(by, at).distinct().groupBy(by).agg(F.max(at).alias(at))
+    return df.join(last, [by, at], "left_semi")
+
+
 def upserted(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """All events of a key come from its newest version alone."""
     d = stored.unionByName(new, allowMissingColumns=True)
