@@ -185,8 +185,8 @@ class Recipe:
         self.steps, self.spare = steps, spare
 
 
-def together(df: DataFrame, *recipes: Recipe) -> DataFrame:
-    """Indicators side by side: recurrences of several recipes share their windows, step by step."""
+def together(df: DataFrame, *recipes: Recipe, run=linears) -> DataFrame:
+    """Indicators side by side: recurrences of several recipes share their windows, step by step; ``run`` is the kernel."""
     waiting = [list(r.steps) for r in recipes]
     while any(waiting):
         columns: dict[str, Column] = {}
@@ -197,7 +197,7 @@ def together(df: DataFrame, *recipes: Recipe) -> DataFrame:
             df = df.withColumns(columns)
             continue
         means = [m for w in waiting if w for m in w.pop(0)]
-        df = linears(df, means)
+        df = run(df, means)
     return df.drop(*dict.fromkeys(c for r in recipes for c in r.spare))
 
 

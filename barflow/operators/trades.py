@@ -7,11 +7,12 @@ capacity and lanes pass a group's sorted rows one by one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
 from ..functions.ordered import one_by_one
+from ..sources.files import settled
 
 _FIELDS = ["signal", "exit_rn", "entry_time", "exit_time", "entry_price", "exit_price", "gross_return", "score", "duration_bars", "forced"]
 
@@ -131,6 +132,29 @@ def stop_touches(f: DataFrame, p: DataFrame) -> DataFrame:
     return path.join(p.select("symbol", "rn", "ts", "open", "low", "_n"), ["symbol", "rn"]).filter((F.col("low") <= F.col("_sp")) & (F.col("rn") < F.col("_n"))).drop("_n")
 
 
+def first_touch(f: DataFrame, p: DataFrame, rows: int = 256) -> DataFrame:
+    """Of each fill, the first bar up to its structural exit whose low reaches the stop: symbol, signal and ``_h`` (rn, price, at).
+
+    A candidate meets the bars of its own block, then the least lows of later blocks, then the bars of
+    the first block that reaches down to the stop, so a long wait costs a row for each block.
+    """
+    c = f.select("symbol", "signal", "fill", (F.col("entry_price") - F.col("_sd")).alias("_sp"), F.least(F.coalesce("_x", F.col("_n") - 1), F.col("_n") - 1).alias("_end")).filter(F.col("fill") <= F.col("_end"))
+    block = lambda c: F.floor((F.col(c) - 1) / rows)
+    c = c.withColumn("_own", block("fill")).withColumn("_last", block("_end"))
+    bars = p.select("symbol", "rn", "ts", "open", "low")
+
+    def hits(d: DataFrame, first: Column, last: Column) -> DataFrame:
+        path = d.select("symbol", "signal", "_sp", F.explode(F.sequence(first, last)).alias("rn")).join(bars, ["symbol", "rn"]).filter(F.col("low") <= F.col("_sp"))
+        return path.groupBy("symbol", "signal").agg(F.min_by(F.struct("rn", F.least("open", "_sp").alias("price"), F.col("ts").alias("at")), "rn").alias("_h"))
+
+    near = hits(c, F.col("fill"), F.least("_end", (F.col("_own") + 1) * rows))
+    lows = bars.groupBy("symbol", block("rn").alias("_b")).agg(F.min("low").alias("_low"))
+    later = c.join(near, ["symbol", "signal"], "left_anti").filter("_own < _last")
+    found = later.withColumn("_b", F.explode(F.sequence(F.col("_own") + 1, F.col("_last")))).join(lows, ["symbol", "_b"]).filter(F.col("_low") <= F.col("_sp"))
+    found = found.groupBy("symbol", "signal", "_sp", "_end").agg(F.min("_b").alias("_b"))
+    return near.unionByName(hits(found, F.col("_b") * rows + 1, F.least("_end", (F.col("_b") + 1) * rows)))
+
+
 def left_at(c: DataFrame, p: DataFrame) -> DataFrame:
     """Exits of filled candidates: at the stop (_h: its bar, price, and time where that is finer than the bar), else at the open after the structural exit, else at the last close."""
     c = c.withColumn("exit_rn", F.coalesce("_h.rn", F.col("_x") + 1, "_n")).withColumn("forced", F.col("_h").isNull() & F.col("_x").isNull())
@@ -146,8 +170,9 @@ def pullback(bars: DataFrame, atr_col: str, pullback_atr: float, stop_atr: float
     entry, the ATR and, if there is one, a score.
     """
     f, p = limit_fills(bars, atr_col, pullback_atr, stop_atr, valid, exit_lookback)
+    f, p = settled(f, "fills"), settled(p, "pullback-bars")
     f = f.withColumn("entry_price", F.least("_open", "_limit")).filter("entry_price > 0").withColumn("entry_time", F.col("entry_bar"))
-    hit = stop_touches(f, p).groupBy("symbol", "signal").agg(F.min_by(F.struct("rn", F.least("open", "_sp").alias("price"), F.col("ts").alias("at")), "rn").alias("_h"))
+    hit = first_touch(f, p)
     return non_overlapping(left_at(f.join(hit, ["symbol", "signal"], "left"), p).select("symbol", *_FIELDS), ["symbol"])
 
 

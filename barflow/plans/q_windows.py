@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import long_series as ls
 from ..functions import windows as w
 from . import bindings as b
 from .registry import query, shown
@@ -75,6 +76,18 @@ def recurrent(spark, sf_dir):
     return shown(x, ["symbol", "ts"], ["ema20", "rsi14", "atr14", "plus_di", "minus_di", "adx5", "macd", "macd_signal", "macd_hist"], 3)
 
 
+_LONG = _REC.replace("PARTITION BY symbol ORDER BY ts", "ORDER BY rn").replace("SELECT x.symbol, CAST(x.ts AS VARCHAR) AS ts, ", "SELECT x.ts AS event_id, ").replace("bars WINDOW", "ser WINDOW").replace("c.symbol, ", "").replace("symbol, ", "").replace("c.symbol = one.symbol AND ", "").replace("c.symbol = two.symbol AND ", "").replace("t.symbol = x.symbol AND ", "")
+
+
+@query("w_recurrent_long", "WITH RECURSIVE ser AS (SELECT event_id AS ts, row_number() OVER (ORDER BY ts, event_id) AS rn, value AS close, value * 1.01 + 0.1 AS high, value * 0.99 - 0.1 AS low FROM events)" + _LONG)
+def recurrent_long(spark, sf_dir):
+    """W03, W06, W10, W11, W13 (kernel R1) over all events as one series, in blocks of 512 rows."""
+    v = F.col("value")
+    e = b.table(spark, sf_dir, "events").select(F.lit("all").alias("series"), "ts", "event_id", v.alias("close"), (v * 1.01 + 0.1).alias("high"), (v * 0.99 - 0.1).alias("low"))
+    x = ls.together(e, "series", ["ts", "event_id"], w.ema_recipe("close", "ema20", 20, 1, 20), w.rsi_recipe("rsi14", 14), w.atr_recipe("atr14", 14), w.adx_recipe(5, "adx5"), w.macd_recipe(), rows=512)
+    return shown(x, ["event_id"], ["ema20", "rsi14", "atr14", "plus_di", "minus_di", "adx5", "macd", "macd_signal", "macd_hist"], 3)
+
+
 _FIFTY = "CASE WHEN ag2 IS NULL THEN NULL WHEN al2 = 0 AND ag2 = 0 THEN 50 WHEN al2 = 0 THEN 100 ELSE greatest(0, least(100, 100 - 100 / (1 + ag2 / al2))) END"
 _RULES, _RULED = layered("WITH " + b.bars_sql(60), "bars", [BASE, NEXT, *rsi(2)])
 

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from barflow.functions import long_series
 from barflow.functions import windows as w
 from barflow.operators import gamma, trades
 
@@ -114,6 +115,36 @@ def test_many_means_are_each_alone(spark):
                 assert row[f"y{i}"] is None
 
 
+def test_one_long_series_is_scanned_by_blocks(spark):
+    r = random.Random(9)
+    rows = [(k, T0 + dt.timedelta(minutes=m), m, r.uniform(1, 2), r.uniform(2, 3), r.uniform(0, 1)) for k, n in (("a", 1300), ("b", 64), (None, 65), ("c", 1)) for m in range(n)]
+    d = spark.createDataFrame(rows, "k string, ts timestamp, m int, close double, high double, low double").repartition(5)
+    recipes = [w.ema_recipe("close", "e", 3000), w.ema_recipe("close", "f", 1, 7), w.ema_recipe("close", "late", 10, 200), w.rsi_recipe("rsi", 5), w.adx_recipe(4), w.atr_recipe("atr", 14)]
+    names = ["e", "f", "late", "rsi", "adx", "plus_di", "atr"]
+    whole = w.together(w.indexed(d.withColumn("symbol", F.coalesce("k", F.lit("-")))), *recipes)
+    want = {(x.k, x.m): [x[c] for c in names] for x in whole.collect()}
+    got = {(x.k, x.m): [x[c] for c in names] for x in long_series.together(d, "k", ["ts"], *recipes, rows=64).collect()}
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-8) for a, b in zip(values, got[key])), key
+    assert long_series.together(d.limit(0), "k", ["ts"], *recipes, rows=64).count() == 0
+
+
+def test_first_touch_of_a_falling_series(spark):
+    r = random.Random(5)
+    bars = [("s", k + 1, T0 + dt.timedelta(hours=k), 100.0 + r.gauss(0, 3) - k * 0.01, 99.0 + r.gauss(0, 3) - k * 0.01, 900) for k in range(900)]
+    fills = [("s", k, k + 1, 100.0 - k * 0.01, r.choice([0.5, 3.0, 8.0, 12.0]), 900, r.choice([None, min(899, k + 1 + r.randint(0, 600))])) for k in range(1, 880, 3)]
+    p = spark.createDataFrame(bars, "symbol string, rn long, ts timestamp, open double, low double, _n long")
+    f = spark.createDataFrame(fills, "symbol string, signal long, fill long, entry_price double, _sd double, _n long, _x long")
+    want = {}
+    for _, signal, fill, price, sd, n, x in fills:
+        end = min(x if x is not None else n - 1, n - 1)
+        hit = next((b for b in bars if fill <= b[1] <= end and b[4] <= price - sd), None)
+        if hit:
+            want[signal] = (hit[1], min(hit[3], price - sd))
+    assert {x.signal: (x._h.rn, x._h.price) for x in trades.first_touch(f, p, 32).collect()} == want and len(want) > 50
+
+
 def test_absorbing_buyers(spark):
     ticks = [("a", 1, T0, 10.0, 1.0, 1.0), ("a", 2, T0 + dt.timedelta(minutes=1), 5.0, 4.0, -1.0), ("a", 3, T0 + dt.timedelta(minutes=2), 9.0, 3.0, 1.0), ("a", 4, T0 + dt.timedelta(hours=1), 9.0, 1.0, 1.0), ("a", 5, T0 + dt.timedelta(hours=1, minutes=1), 8.0, 2.0, -1.0)]
     d = spark.createDataFrame(ticks, "symbol string, event_id long, ts timestamp, price double, size double, aggressor double")
