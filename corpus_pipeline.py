@@ -10,7 +10,7 @@ input are dropped by the first stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barflow.llm import decontaminate, minhash, packing, quality, secrets
@@ -29,13 +29,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id.
 
-    Rows equal in doc_id and text are one document; rows without a doc_id link with nothing and stay.
+    Rows equal in doc_id and text are one document. Different texts that share a doc_id are documents of
+    their own: the least text keeps the doc_id, the others stand behind all doc_ids, in the order of a
+    hash. Rows without a doc_id link with nothing and stay.
     """
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    several = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 AND doc_id IS NOT NULL").select("doc_id")
-    # Only rows of repeated doc_ids are compared with each other.
-    return out.join(several, "doc_id", "left_anti").unionByName(out.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 AND doc_id IS NOT NULL").select("doc_id")
+    repeated = written(repeated, "repeated-ids")  # its size is known then, and most often next to nothing
+    several = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) == 1
+    behind = F.lit(1 << 62).bitwiseOR(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
+    nodes = docs.join(repeated, "doc_id", "left_anti").select(F.col("doc_id").cast("long").alias("node"), *COLUMNS)
+    nodes = nodes.unionByName(several.select(F.when(first, F.col("doc_id").cast("long")).otherwise(behind).alias("node"), *COLUMNS))
+    gone = minhash.near_duplicates(nodes.select(F.col("node").alias("doc_id"), "text")).filter("NOT kept").select(F.col("doc_id").alias("node")).distinct()
+    return nodes.join(gone, "node", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
