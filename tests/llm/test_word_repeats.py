@@ -210,3 +210,15 @@ def test_threshold_stops_early():
 def test_same_as_sql_at_another_size(spark, name):
     got, want = queries.queries()[name](spark, "/root/testdata/sf0.01"), duck("/root/testdata/sf0.01").sql(queries.oracle_sql()[name])
     assert rows([tuple(r) for r in got.collect()], got.columns) == rows(want.fetchall(), want.columns)
+
+
+def test_a_shared_doc_id_loses_no_other_text(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30)), " ".join(f"c{k}" for k in range(30))
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, c), (7, c + " x"), (None, a), (8, None), (8, b + " y"), (9, a + " z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    got = sorted((r.doc_id or 0, r.text or "") for r in cp.drop_near_duplicates(spark, d, SF).collect())
+    # The copies of b stand in doc_id 5 (its second text) and 8 (its second text): one of them stays.
+    assert [x for x in got if not x[1].startswith("b0")] == [(0, a), (1, a), (6, c), (8, "")] and len([x for x in got if x[1].startswith("b0")]) == 1
+    assert cp.drop_near_duplicates(spark, d.limit(0), SF).count() == 0
