@@ -31,6 +31,12 @@ def centred(panel: DataFrame, value: str, least: int = 3) -> DataFrame:
     return d.withColumn("label", F.col(value) - F.avg(value).over(t))
 
 
+def section_audit(centred_panel: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """One row for a centred panel: times, smallest and largest section, sections in which a symbol repeats, and whether all means vanish."""
+    t = centred_panel.groupBy("ts").agg(F.count("*").alias("_n"), F.count_distinct("symbol").alias("_s"), F.abs(F.avg("label")).alias("_off"))
+    return t.agg(F.count("*").alias("times"), F.min("_n").alias("smallest"), F.max("_n").alias("largest"), F.sum((F.col("_n") != F.col("_s")).cast("long")).alias("uneven"), (F.max("_off") < tolerance).alias("centred"))
+
+
 def rank_pct(df: DataFrame, value: str, by: str, out: str) -> DataFrame:
     """Rank over count, ties at their average; null values get no rank."""
     v = Window.partitionBy(by).orderBy(value)

@@ -50,11 +50,11 @@ def gate(spark, sf_dir):
     return shown(g.withColumn("first_conflict", F.col("first_conflict").cast("string")), ["symbol"], ["conflicts", "min_ratio", "max_ratio", "first_conflict"])
 
 
-@query("p_exclude", _GATE + " SELECT symbol, CAST(count(*) AS BIGINT) AS rows FROM bars WHERE symbol NOT IN (SELECT symbol FROM g WHERE conflicts > 0) GROUP BY symbol HAVING count(*) >= 250")
+@query("p_exclude", _GATE.replace("0.01 AND 60", "0.001 AND 500") + " SELECT symbol, CAST(count(*) AS BIGINT) AS rows FROM bars WHERE symbol NOT IN (SELECT symbol FROM g WHERE conflicts > 0) GROUP BY symbol HAVING count(*) >= 250")
 def excluded(spark, sf_dir):
     """Bars left after the gate, of symbols with 250 rows."""
     d = b.daily_bars(spark, sf_dir)
-    return q.enough_history(q.exclude(d, q.corporate_action_gate(d, 0.01, 60.0)), 250).groupBy("symbol").agg(F.count("*").alias("rows"))
+    return q.enough_history(q.exclude(d, q.corporate_action_gate(d, 0.001, 500.0)), 250).groupBy("symbol").agg(F.count("*").alias("rows"))
 
 
 @query("p_off_grid", b.with_sql("ticks") + " SELECT symbol, count(*) AS off FROM ticks WHERE epoch_us(ts) % 300000000 <> 0 GROUP BY symbol")
