@@ -14,7 +14,7 @@ from . import bindings as b
 from . import signal_sql as sig
 from .q_research import _PANEL, _panel
 from .q_text import NOW, _TITLED, b_dir
-from .registry import query, shown
+from .registry import query, shown, six
 
 D = b.with_sql("daily")
 _WEEKS, _LAST = sig.layered(D + ",\n" + sig._WEEK, "wk", sig.macd(12, 26, 9), "wl")
@@ -56,5 +56,5 @@ def ranks(spark, sf_dir):
     """The 100 stories of the best evidence, a report."""
     b_dir(spark)
     d = b.news(spark, sf_dir)
-    e = n.story_evidence(d, n.stories(d), NOW).withColumn("_s", F.round("score", 9)).orderBy(F.desc("_s"), "leader").limit(100)
+    e = n.story_evidence(d, n.stories(d), NOW).withColumn("_s", six("score", 9)).orderBy(F.desc("_s"), "leader").limit(100)
     return e.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_s"), "leader")).cast("long")).select("leader", "rank")  # of 100 rows
