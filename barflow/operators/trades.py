@@ -183,10 +183,25 @@ def ma_position(bars: DataFrame, fast: int, slow: int, bps: float = 3.0) -> Data
     return d.withColumn("r", F.col("position") * F.col("_r") - bps / 1e4 * F.abs(F.col("position") - F.coalesce(w.lag("position"), F.lit(0.0)))).drop("_p", "_r")
 
 
+def _idle_runs(trades: DataFrame, keys: list[str], order: list[str], free: Column, endless: bool) -> DataFrame:
+    """Add ``_run``: a new number where nothing stands before in the key, or ``free`` holds of ``_until``, the latest exit before.
+
+    A trade without an exit holds nothing, or with ``endless`` ends all new runs of its key.
+    """
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = trades.withColumn("_until", F.max("exit_time").over(before)).withColumn("_held", F.coalesce(F.max(F.col("exit_time").isNull()).over(before), F.lit(False)))
+    idle = F.col("_until").isNull() | F.coalesce(free, F.lit(False))
+    d = d.withColumn("_idle", (idle & ~F.col("_held") if endless else idle).cast("int"))
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn("_run", F.sum("_idle").over(upto)).drop("_until", "_held", "_idle")
+
+
 def capacity_bounded(trades: DataFrame, keys: list[str], most: int) -> DataFrame:
     """By entry, then score, at most ``most`` open at once and one for each symbol; a slot frees at an exit not after the entry.
 
-    A key's trades are sorted by Spark and pass one by one; only the open set is held.
+    Where no earlier trade of a key is open, taken or not, nothing before matters: the trades between
+    two such points are a group of their own. They are sorted by Spark and pass one by one; only the
+    open set is held.
     """
 
     def step(state: dict, row: dict) -> int | None:
@@ -198,9 +213,10 @@ def capacity_bounded(trades: DataFrame, keys: list[str], most: int) -> DataFrame
         held[row["symbol"]] = row["exit_time"]
         return 1
 
-    d = trades.withColumn("_o", -F.col("score"))
-    taken = one_by_one(d, keys, ["entry_time", "_o", "symbol", "exit_time", "trade_id"], "_taken long", step, ["trade_id"])
-    return trades.join(taken.drop("_taken"), [*keys, "trade_id"], "left_semi")
+    order = ["entry_time", "_o", "symbol", "exit_time", "trade_id"]
+    d = _idle_runs(trades.withColumn("_o", -F.col("score")), keys, order, F.col("entry_time") >= F.col("_until"), endless=False)
+    taken = one_by_one(d, [*keys, "_run"], order, "_taken long", step, ["trade_id"])
+    return trades.join(taken.drop("_taken", "_run"), [*keys, "trade_id"], "left_semi")
 
 
 def episodes(trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -212,7 +228,12 @@ def episodes(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lanes(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """The first lane whose last exit lies before the entry, or a new one. Only the lanes' last exits are held."""
+    """The first lane whose last exit lies before the entry, or a new one.
+
+    Lanes count from 1 again where all earlier exits of a key lie before the entry, as any lane would
+    do then; the trades between two such points are a group of their own. Only the lanes' last exits
+    are held. A trade without an exit keeps its lane for good.
+    """
 
     def step(state: dict, row: dict) -> int:
         ends = state.setdefault("ends", [])
@@ -220,8 +241,9 @@ def lanes(trades: DataFrame, keys: list[str]) -> DataFrame:
         ends[lane:lane + 1] = [row["exit_time"]]
         return lane + 1
 
-    dealt = one_by_one(trades, keys, ["entry_time", "exit_time", "trade_id"], "lane long", step, ["trade_id"])
-    return trades.join(dealt, [*keys, "trade_id"])
+    order = ["entry_time", "exit_time", "trade_id"]
+    dealt = one_by_one(_idle_runs(trades, keys, order, F.col("entry_time") > F.col("_until"), endless=True), [*keys, "_run"], order, "lane long", step, ["trade_id"])
+    return trades.join(dealt.drop("_run"), [*keys, "trade_id"])
 
 
 def replay_audit(trades: DataFrame, key: str) -> DataFrame:
