@@ -7,6 +7,7 @@ shuffle and one sort serve all of them. Rows: W01-W23, W35, W42-W45, kernel R1.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def linears(df: DataFrame, wanted: list[tuple[str, str, float, int]]) -> DataFra
             carry = F.pow(F.lit(block[i]), place) * (F.col(f"_rs{i}") - F.col(f"_re{i}") + carries[i]) if i in slow else carries[i]
             y = F.col(f"_rl{i}") + F.pow(F.lit(d[i]), F.col("pos") + 1) * carry
         out[name] = F.when(F.col("rn") >= start, y)
-    return df.withColumns(out).drop(*[c for c in df.columns if c[:3] in ("_ru", "_rl", "_re", "_rs", "_rc")])
+    return df.withColumns(out).drop(*[c for c in df.columns if re.fullmatch(r"_r[ules]\d+|_rc\d+(_\d+)?", c)])
 
 
 def _ends(df: DataFrame, values: dict[int, tuple[Column, Column, float]]) -> tuple[DataFrame, dict[int, Column]]:

@@ -112,7 +112,7 @@ def stored(spark, sf_dir):
     merge = lambda old, new: ob.last_wins(old, new)
     files.store_buckets(bars, path, "symbol", merge, 16)
     again = files.store_buckets(bars, path, "symbol", merge, 16)
-    d = spark.read.parquet(f"{path}/data").groupBy("symbol").agg(F.count("*").alias("rows"), F.sum("close").alias("close"))
+    d = files.read_buckets(spark, path, bars.schema).groupBy("symbol").agg(F.count("*").alias("rows"), F.sum("close").alias("close"))
     return shown(d.withColumn("written_again", F.lit(len(again)).cast("long")), ["symbol"], ["rows", "close", "written_again"])
 
 

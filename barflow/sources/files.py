@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def scan(spark: SparkSession, *paths: str, kind: str = "parquet") -> DataFrame:
@@ -112,6 +113,12 @@ def store_buckets(new: DataFrame, path: str, key: str, merge: Callable[[DataFram
     return ids
 
 
+def read_buckets(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of a bucket store; none where nothing was stored yet."""
+    d = _stored(spark, f"{path}/data")
+    return spark.createDataFrame([], schema) if d is None else d.select(schema.names)
+
+
 def newest_partitions(df: DataFrame, by: str, at: str) -> DataFrame:
     """Q28: of a table stored by ``by`` and ``at``, each key's rows of its newest ``at``.
 

@@ -151,3 +151,9 @@ def test_absorbing_buyers(spark):
     got = [(r.delta, r.delta_flip_up, r.buy_absorption) for r in gamma.flow_features(d, 3600, 1.0).orderBy("ts").collect()]
     assert got == [(0.0, False, True), (-1.0, False, False)]
     assert gamma.flow_features(d.withColumn("size", F.col("size") * 1.0).limit(0), 3600, 1.0).count() == 0
+
+
+def test_means_leave_a_caller_s_columns(spark):
+    d = w.indexed(spark.createDataFrame([("a", k, float(k)) for k in range(9)], "symbol string, ts long, x double"))
+    d = d.withColumns({c: F.col("x") for c in ("_ret", "_rsi", "_rl", "_rc_x")})
+    assert set(w.linears(d, [("x", "y", 0.5, 1), ("_ret", "z", 0.01, 1)]).columns) == {*d.columns, "y", "z"}
