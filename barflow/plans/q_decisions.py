@@ -83,13 +83,13 @@ def roster(spark, sf_dir):
     return v.champions(h, v.components(edges), "hypothesis_id", "net_expectancy").select("hypothesis_id", "component", "roster")
 
 
-@query("v_bootstrap", T + """, t AS (SELECT hypothesis_id AS h, CAST(exit_time AS DATE) AS day, 0.001 * sum(gross_return) AS r FROM trades GROUP BY 1, 2), d AS (SELECT h, r, row_number() OVER (PARTITION BY h ORDER BY day, r) AS i, count(*) OVER (PARTITION BY h) AS n FROM t),
+@query("v_bootstrap", T + """, t AS (SELECT hypothesis_id AS h, CAST(exit_time AS DATE) AS day, 0.001 * avg(gross_return) AS r FROM trades GROUP BY 1, 2), d AS (SELECT h, r, row_number() OVER (PARTITION BY h ORDER BY day, r) AS i, count(*) OVER (PARTITION BY h) AS n FROM t),
 k AS (SELECT DISTINCT h, n FROM d), s AS (SELECT h, n, run, j, CAST('0x' || substr(md5(h || '|' || run || '|' || j || '|7'), 1, 8) AS BIGINT) % n AS s FROM (SELECT h, n, run, unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) AS j FROM k, range(100) AS q(run))),
 o AS (SELECT h, run, (s + o) % n + 1 AS i FROM s, range(20) AS q(o) WHERE j * 20 + o < n), g AS (SELECT o.h, run, exp(sum(ln(1 + d.r))) AS g FROM o JOIN d ON d.h = o.h AND d.i = o.i GROUP BY 1, 2)
 SELECT h AS hypothesis_id, round(quantile_cont(g, 0.05) - 1, 6) AS p05, round(quantile_cont(g, 0.5) - 1, 6) AS median, round(quantile_cont(g, 0.95) - 1, 6) AS p95, round(avg(CASE WHEN g < 1 THEN 1.0 ELSE 0.0 END), 6) AS loss_probability FROM g GROUP BY 1""")
 def bootstrap(spark, sf_dir):
-    """100 runs in blocks of 20 trades."""
-    t = b.trades(spark, sf_dir).groupBy("hypothesis_id", F.to_date("exit_time").alias("day")).agg((0.001 * F.sum("gross_return")).alias("r"))
+    """100 runs in blocks of 20 days; a day's return is a thousandth of the mean of its trades, so that it does not grow with their number."""
+    t = b.trades(spark, sf_dir).groupBy("hypothesis_id", F.to_date("exit_time").alias("day")).agg((0.001 * F.avg("gross_return")).alias("r"))
     return shown(v.block_bootstrap(t, "hypothesis_id", "day", "r", 100), ["hypothesis_id"], ["p05", "median", "p95", "loss_probability"])
 
 
