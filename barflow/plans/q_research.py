@@ -258,7 +258,7 @@ def best(spark, sf_dir):
     return p.best_per_key(d, "p_brand", "p_size", "p_partkey", "reasons")
 
 
-@query("entry_bars", "WITH " + b.bars_sql(15) + " , x AS (SELECT symbol, ts, close, CASE WHEN count(*) OVER f >= 20 THEN avg(close) OVER f END AS sma20, close / lag(close) OVER s - 1 AS ret FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY ts), f AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)) SELECT symbol, ts, round(close, 6) AS close, round(sma20, 6) AS sma20, round(ret, 6) AS ret, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ret DESC NULLS LAST, ts) AS k FROM x) WHERE k <= 10")
+@query("entry_bars", "WITH " + b.bars_sql(15) + " , x AS (SELECT symbol, ts, close, CASE WHEN count(*) OVER f >= 20 THEN avg(close) OVER f END AS sma20, close / nullif(lag(close) OVER s, 0) - 1 AS ret FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY ts), f AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)) SELECT symbol, ts, round(close, 6) AS close, round(sma20, 6) AS sma20, round(ret, 6) AS ret, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ret DESC NULLS LAST, ts) AS k FROM x) WHERE k <= 10")
 def entry_bars(spark, sf_dir):
     """15-minute bars with mean and return; the ten largest returns of each symbol."""
     x = w.indexed(b.bars(spark, sf_dir, 15)).withColumns({"sma20": w.sma("close", 20), "ret": w.pct_change("close")})
