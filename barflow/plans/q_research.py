@@ -89,7 +89,7 @@ def stream(spark, sf_dir):
     return shown(m.costed(m.daily_stream(b.trades(spark, sf_dir), ["hypothesis_id"], 0.01)), ["hypothesis_id", "date"], ["gross_return", "turnover", "orders", "net_return"])
 
 
-_DAILY = """, s AS (SELECT hypothesis_id, CAST(exit_time AS DATE) AS date, 0.001 * sum(gross_return) AS r FROM trades GROUP BY 1, 2),
+_DAILY = """, s AS (SELECT hypothesis_id, CAST(exit_time AS DATE) AS date, 0.001 * avg(gross_return) AS r FROM trades GROUP BY 1, 2),
 e AS (SELECT *, product(1 + r) OVER (PARTITION BY hypothesis_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM s),
 d AS (SELECT *, eq / max(eq) OVER (PARTITION BY hypothesis_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e),
 i AS (SELECT *, sum(CASE WHEN dd >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY hypothesis_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS i FROM d),
@@ -101,8 +101,8 @@ SELECT a.hypothesis_id, n AS observations, round(total, 6) AS total_return, roun
 
 @query("a_daily_metrics", T + _DAILY.replace("round(skew, 4)", "round(skew, 6)").replace("round(kurtosis, 4)", "round(kurtosis, 6)"))
 def daily_metrics(spark, sf_dir):
-    """A16-A19, A36, W35."""
-    s = b.trades(spark, sf_dir).groupBy("hypothesis_id", F.to_date("exit_time").alias("date")).agg((0.001 * F.sum("gross_return")).alias("r"))
+    """A day's return is a thousandth of the mean of its trades, so that it does not grow with their number."""
+    s = b.trades(spark, sf_dir).groupBy("hypothesis_id", F.to_date("exit_time").alias("date")).agg((0.001 * F.avg("gross_return")).alias("r"))
     return shown(m.daily_metrics(s, "hypothesis_id"), ["hypothesis_id"], ["observations", "total_return", "cagr", "sharpe", "sortino", "maximum_drawdown", "drawdown_duration", "daily_profit_factor", "positive_day_ratio", "skew", "kurtosis", "positive_year_ratio", "years"])
 
 
