@@ -204,7 +204,7 @@ _SCREEN = "WITH s AS (SELECT p_partkey AS symbol, p_retailprice / 100 AS price,
 
 @query("d_screens", _SCREEN + """, r AS (SELECT s.*, q.name, q.k, q.bonus FROM s JOIN (VALUES ('CORE_MOMENTUM', 0, 2.0), ('GEM_QUALITY', 1, 4.0), ('TACTICAL_MOMENTUM', 2, 3.0), ('TACTICAL_PULLBACK', 3, 3.0)) q(name, k, bonus) ON price > 5 AND vol > 300000 AND cap > 3e8 AND CASE k WHEN 0 THEN cap > 25e9 WHEN 1 THEN cap < 25e9 AND coalesce(eps > 0, false) WHEN 2 THEN d5 > 2 ELSE d1 < -2 END),
 t AS (SELECT *, greatest(15, least(95, CASE WHEN k = 3 THEN 52 + least(abs(least(d1, 0)) * 4, 20) + greatest(d5, 0) * 1.25 ELSE 50 + d1 * 2 + d5 * 1.5 END)) AS tech, greatest(35, least(95, 50 + 12 * log10(greatest(vol, 1e5) / 1e5))) AS liq, CASE WHEN cap >= 25e9 THEN 72 WHEN cap >= 5e9 THEN 66 WHEN cap >= 1e9 THEN 59 ELSE 50 END AS risk, CASE WHEN eps IS NULL THEN 50 WHEN eps > 0 THEN 68 ELSE 38 END AS fund FROM r),
-u AS (SELECT *, greatest(0, least(100, 0.42 * tech + 0.25 * liq + 0.18 * fund + 0.15 * risk + bonus)) AS sc FROM t), z AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sc DESC, k) AS o, string_agg(name, ',' ORDER BY name) OVER (PARTITION BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS names FROM u)
+u AS (SELECT *, greatest(0, least(100, 0.42 * tech + 0.25 * liq + 0.18 * fund + 0.15 * risk + bonus)) AS sc FROM t), n AS (SELECT symbol, string_agg(name, ',' ORDER BY name) AS names FROM u GROUP BY symbol), z AS (SELECT u.*, names, row_number() OVER (PARTITION BY u.symbol ORDER BY sc DESC, k) AS o FROM u JOIN n ON n.symbol = u.symbol)
 SELECT symbol, name AS screener, names AS screeners, round(sc, 6) AS research_score, round(tech, 6) AS technical FROM z WHERE o = 1 ORDER BY sc DESC, tech DESC, liq DESC, symbol DESC LIMIT 200""")
 def screens(spark, sf_dir):
     """Parts as securities; a top-200 report."""
