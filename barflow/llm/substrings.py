@@ -200,7 +200,7 @@ def _grouped(occ: DataFrame) -> DataFrame:
     """Stretches known to be repeated (full), and those whose bytes must be compared (open): all of an anchor with several."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "akey", 200_000):
+        for t in runs(batches, "akey", 50_000):
             akey, done, dig, known = (t[c].to_numpy() for c in ("akey", "done", "dig", "known"))
             new_key = np.concatenate([[True], (akey[1:] != akey[:-1]) | (done[1:] != done[:-1])])
             new_dig = new_key | np.concatenate([[True], dig[1:] != dig[:-1]])
@@ -369,7 +369,7 @@ def _resolved(contents: DataFrame) -> DataFrame:
     """Runs of repeated windows (rk, rh, start, n) among open stretches."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "akey", 4096):
+        for t in runs(batches, "akey", 1024):
             rk, rh, start, n = _compared(t)
             yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(rh), pa.array(start), pa.array(n)], names=["rk", "rh", "start", "n"])
 
@@ -392,7 +392,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     No rows give no rows. Other columns are not read. Rows are told apart by doc_id and a hash of
     the text; rows equal in both have equal results and stand for themselves as places.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     d = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), "text")).alias("rk"), F.hash("text").alias("rh"))
     found = repeated_runs(d).groupBy("rk", "rh").agg(F.collect_set(F.struct("start", "n")).alias("x"))
 

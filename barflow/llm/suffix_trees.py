@@ -254,7 +254,7 @@ def _grouped(leaves: DataFrame) -> DataFrame:
     """Stretches that are lost whole (lost), and the leaves of all prefixes that have several different ones (open)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "akey", 50_000):
+        for t in runs(batches, "akey", 20_000):
             akey, done, dig = (t[c].to_numpy() for c in ("akey", "done", "dig"))
             n, rel = t["n"].to_numpy(), t["rel"].to_numpy()
             new_key = np.concatenate([[True], (akey[1:] != akey[:-1]) | (done[1:] != done[:-1])])
@@ -396,7 +396,7 @@ def _resolved(contents: DataFrame) -> DataFrame:
     """Runs of lost windows (rk, rh, start, n) among open leaves."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "akey", 2048):
+        for t in runs(batches, "akey", 1024):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _later(t)], names=["rk", "rh", "start", "n"])
 
     return contents.repartition("akey").sortWithinPartitions("akey").mapInArrow(tidy(task), "rk long, rh long, start long, n long")
@@ -422,7 +422,7 @@ def remove_later(docs: DataFrame) -> DataFrame:
     Stretches are taken as equal by 64-bit hashes of prefix and words together, and words by 64-bit
     hashes within trees, where bytes confirm every loss.
     """
-    small_batches(docs.sparkSession, 250)
+    small_batches(docs.sparkSession, 100)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rk"), F.xxhash64("text").alias("rh"))
     found = later_runs(d).groupBy("rk", "rh").agg(F.collect_set(F.struct("start", "n")).alias("x"))
 
