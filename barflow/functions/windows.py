@@ -35,14 +35,35 @@ def before():
     return _all().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def after():
-    """All later rows of the symbol."""
-    return _all().rowsBetween(1, Window.unboundedFollowing)
+def next_of(c: Column, own: bool = False) -> Column:
+    """The first value that is not null among the symbol's later rows, or from the row itself on (``own``).
+
+    Rows are read backwards: a frame that ends with the symbol would be folded anew at each row.
+    """
+    return F.last(c, ignorenulls=True).over(Window.partitionBy("symbol").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+
+
+def newest(c: str | Column) -> Column:
+    """The value of the symbol's last row."""
+    return F.last(col(c)).over(_all().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
+def with_ahead(df: DataFrame, flag: Column, n: int, *columns: str) -> DataFrame:
+    """Rows of indexed bars that have the flag, with ``_path``: their next ``n`` rows as in ``ahead``.
+
+    A block's rows stand in one array, the blocks that follow are looked up beside it, and flagged rows
+    cut their part: work grows with the rows and the flagged ones, not with ``n`` for each row.
+    """
+    d = df.groupBy("symbol", "sup", "blk").agg(F.array_sort(F.collect_list(F.struct("rn", *columns))).alias("_b"), F.collect_list(F.when(flag, F.struct(*[c for c in df.columns if c not in ("symbol", "sup", "blk")]))).alias("_own"))
+    blocks = Window.partitionBy("symbol").orderBy("sup", "blk")
+    rest = [F.coalesce(F.lead("_b", k).over(blocks), F.slice("_b", 1, 0)) for k in range(1, -(-n // BLOCK) + 1)]
+    d = d.withColumn("_all", F.concat("_b", *rest)).select("symbol", "sup", "blk", "_all", F.explode("_own").alias("_o"))
+    return d.select("symbol", "sup", "blk", "_o.*", F.slice("_all", (F.col("_o.pos") + 2).cast("int"), F.lit(n)).alias("_path"))
 
 
-def from_here():
-    """This and all later rows of the symbol."""
-    return _all().rowsBetween(0, Window.unboundedFollowing)
+def ahead(n: int, *columns: str) -> Column:
+    """The next ``n`` rows of the symbol in order, fewer at its end, as structs of rn and ``columns``."""
+    return F.collect_list(F.struct("rn", *columns)).over(_all().rowsBetween(1, n))
 
 
 def col(c: str | Column) -> Column:
@@ -142,11 +163,10 @@ def linears(df: DataFrame, wanted: list[tuple[str, str, float, int]]) -> DataFra
     df = df.withColumns(scaled) if scaled else df
     end, block, place = F.col("pos") == BLOCK - 1, {i: d[i] ** BLOCK for i in rest}, F.col("blk") % SUPER
     slow = [i for i in rest if block[i] >= 1e-4]
-    last = end & (place == SUPER - 1)
     if slow:
         df = df.withColumns({f"_re{i}": F.when(end, F.col(f"_rl{i}") * F.pow(F.lit(block[i]), -(place + 1))).otherwise(0.0) for i in slow})
         df = df.withColumns({f"_rs{i}": F.sum(f"_re{i}").over(_sup().rowsBetween(Window.unboundedPreceding, 0)) for i in slow})
-    ends = {i: (F.when(last, F.pow(F.lit(block[i]), F.lit(SUPER)) * F.col(f"_rs{i}")), last, block[i] ** SUPER) if i in slow else (F.when(end, F.col(f"_rl{i}")), end, block[i]) for i in rest}
+    ends = {i: (F.pow(F.lit(block[i]), F.lit(SUPER)) * F.col(f"_rs{i}"), SUPER * BLOCK, block[i] ** SUPER) if i in slow else (F.col(f"_rl{i}"), BLOCK, block[i]) for i in rest}
     df, carries = _ends(df, ends)
     out = {}
     for i, (_, name, _, start) in enumerate(wanted):
@@ -156,27 +176,30 @@ def linears(df: DataFrame, wanted: list[tuple[str, str, float, int]]) -> DataFra
             carry = F.pow(F.lit(block[i]), place) * (F.col(f"_rs{i}") - F.col(f"_re{i}") + carries[i]) if i in slow else carries[i]
             y = F.col(f"_rl{i}") + F.pow(F.lit(d[i]), F.col("pos") + 1) * carry
         out[name] = F.when(F.col("rn") >= start, y)
-    return df.withColumns(out).drop(*[c for c in df.columns if re.fullmatch(r"_r[ules]\d+|_rc\d+(_\d+)?", c)])
+    return df.withColumns(out).drop(*[c for c in df.columns if re.fullmatch(r"_r[ulesvc]\d+", c)])
 
 
-def _ends(df: DataFrame, values: dict[int, tuple[Column, Column, float]]) -> tuple[DataFrame, dict[int, Column]]:
-    """The carries from (value, where it stands, decay) at the ends of stretches: the newest, the one before times ``decay``, and so on."""
+def _ends(df: DataFrame, values: dict[int, tuple[Column, int, float]]) -> tuple[DataFrame, dict[int, Column]]:
+    """The carries from (value, rows of a stretch, decay) at the ends of stretches: the newest, the one before times ``decay``, and so on."""
     terms = {i: 1 + max(0, math.ceil(math.log(_NOTHING) / math.log(decay))) if 0 < decay < 1 else 1 for i, (_, _, decay) in values.items()}
     carries, many = {}, [i for i in values if terms[i] > 32]  # a mean over very many rows: few superblocks stand against so slow a decay
     if many:
-        df = df.withColumns({f"_rc{i}": F.collect_list(values[i][0]).over(before()) for i in many})
+        last = (F.col("pos") == BLOCK - 1) & (F.col("blk") % SUPER == SUPER - 1)
+        df = df.withColumns({f"_rc{i}": F.collect_list(F.when(last if values[i][1] > BLOCK else F.col("pos") == BLOCK - 1, values[i][0])).over(before()) for i in many})
         for i in many:
             decay = F.lit(values[i][2])
             carries[i] = F.aggregate(f"_rc{i}", F.lit(0.0), lambda c, e: c * decay + e)  # noqa: B023 (called at once)
-    rest = {i: F.lit(0.0) for i in values if i not in many}
-    df = df.withColumns({f"_rc{i}_0": values[i][0] for i in rest}) if rest else df
-    for k in range(max((terms[i] for i in rest), default=0)):
-        # What stood before an end, kept at that end, is the second newest after it.
-        now = [i for i in rest if terms[i] > k]
-        df = df.withColumns({f"_rc{i}_{k + 1}": F.last(F.col(f"_rc{i}_{k}") if k == 0 else F.when(values[i][1], F.col(f"_rc{i}_{k}")), ignorenulls=True).over(before()) for i in now})
-        for i in now:
-            rest[i] = rest[i] + F.coalesce(F.col(f"_rc{i}_{k + 1}"), F.lit(0.0)) * values[i][2] ** k
-    return df, carries | rest
+    rest = [i for i in values if i not in many]
+    if not rest:
+        return df, carries
+    # From a stretch's first row all earlier ends lie at fixed distances: one window looks them all up, and another tells the stretch.
+    df = df.withColumns({f"_rv{i}": values[i][0] for i in rest})
+    first = {BLOCK: F.col("pos") == 0, BLOCK * SUPER: (F.col("pos") == 0) & (F.col("blk") % SUPER == 0)}
+    carry = {i: sum((F.coalesce(lag(f"_rv{i}", 1 + k * values[i][1]), F.lit(0.0)) * values[i][2] ** k for k in range(terms[i])), F.lit(0.0)) for i in rest}
+    df = df.withColumns({f"_rc{i}": F.when(first[values[i][1]], carry[i]) for i in rest})
+    told = {BLOCK: _blk(), BLOCK * SUPER: _sup()}
+    df = df.withColumns({f"_rc{i}": F.first(f"_rc{i}").over(told[values[i][1]].rowsBetween(Window.unboundedPreceding, 0)) for i in rest})
+    return df, carries | {i: F.coalesce(f"_rc{i}", F.lit(0.0)) for i in rest}
 
 
 class Recipe:

@@ -47,50 +47,77 @@ def from_signals(bars: DataFrame, max_hold: int, stop: str | None = None, target
     same bar, at the open where that lies beyond. Candidates that leave at their entry bar's open,
     or at no price, are void and do not block later ones.
     """
-    n = F.max("rn").over(Window.partitionBy("symbol"))
-    d = bars.withColumn("_n", n).withColumn("_x", F.first(F.when(F.col("exit") & (F.col("rn") < F.col("_n")), F.col("rn")), ignorenulls=True).over(w.after()))
-    d = d.withColumn("_next", w.lead("open"))
-    c = d.filter(F.col("entry") & (F.col("rn") < F.col("_n")) & (F.col("_next") > 0))
-    natural = F.coalesce(F.col("_x") + 1, F.col("_n"))
-    limit = F.least(F.col("_n"), F.col("rn") + 1 + max_hold)
-    c = c.select("symbol", F.col("rn").alias("signal"), F.col("_next").alias("entry_price"), F.least(natural, limit).alias("exit_rn"), (F.col("_x").isNull() | (limit < natural)).alias("forced"),
-                 (F.col(score) if score else F.lit(0.0)).alias("score"), (F.col(stop) if stop else F.lit(None).cast("double")).alias("_sd"), (F.col(target) if target else F.lit(None).cast("double")).alias("_td"))
-    p = bars.select("symbol", "rn", "ts", "open", "high", "low")
-    if stop or target:
-        # Each candidate meets its own holding bars, at most max_hold + 2.
-        path = c.withColumn("rn", F.explode(F.sequence(F.col("signal") + 1, F.col("exit_rn")))).join(p, ["symbol", "rn"])
-        sp, tp = F.col("entry_price") - F.col("_sd"), F.col("entry_price") + F.col("_td")
-        hit_stop, hit_target = F.coalesce(F.col("low") <= sp, F.lit(False)), F.coalesce(F.col("high") >= tp, F.lit(False))
-        price = F.when(hit_stop, F.least("open", sp)).when(hit_target, F.greatest("open", tp))
-        first = path.filter(hit_stop | hit_target).groupBy("symbol", "signal").agg(F.min_by(F.struct("rn", price.alias("price")), "rn").alias("_h"))
-        c = c.join(first, ["symbol", "signal"], "left").withColumn("exit_rn", F.coalesce("_h.rn", "exit_rn")).withColumn("forced", F.col("forced") & F.col("_h").isNull())
-    else:
-        c = c.withColumn("_h", F.lit(None).cast("struct<rn:long,price:double>"))
-    return _finished(c, p)
-
-
-def _finished(c: DataFrame, p: DataFrame) -> DataFrame:
-    """Prices and times of candidates, void ones dropped, then R2."""
-    e = p.select("symbol", (F.col("rn") - 1).alias("signal"), F.col("ts").alias("entry_time"))
-    x = p.select("symbol", F.col("rn").alias("exit_rn"), F.col("ts").alias("exit_time"), F.col("open").alias("_open"))
-    c = c.join(e, ["symbol", "signal"]).join(x, ["symbol", "exit_rn"]).withColumn("exit_price", F.coalesce("_h.price", "_open"))
+    d = _held(bars, [("entry", "exit")], max_hold)
+    if not (stop or target):
+        return _finished(d.filter("_c0 IS NOT NULL").select("symbol", "_c0.*", (F.col(score) if score else F.lit(0.0)).alias("score"), F.lit(False).alias("_hit")), ["symbol"])
+    # Each candidate meets its own holding bars, which stand in its row: at most max_hold + 1.
+    distance = lambda c: F.col(c) if c else F.lit(None).cast("double")
+    c = d.withColumns({"_score": F.col(score) if score else F.lit(0.0), "_sd": distance(stop), "_td": distance(target)}).select("symbol", "sup", "blk", "pos", "rn", "ts", "open", "high", "low", "_c0", "_score", "_sd", "_td")
+    c = w.with_ahead(c, F.col("_c0").isNotNull(), max_hold + 1, "ts", "open", "high", "low").select("symbol", "_c0.*", F.col("_score").alias("score"), "_sd", "_td", "_path")
+    sp, tp = F.col("entry_price") - F.col("_sd"), F.col("entry_price") + F.col("_td")
+    first = F.get(F.filter("_path", lambda b: (b["rn"] <= F.col("exit_rn")) & (F.coalesce(b["low"] <= sp, F.lit(False)) | F.coalesce(b["high"] >= tp, F.lit(False)))), 0)
+    c = c.withColumn("_h", first).drop("_path")
+    price = F.when(F.col("_h.low") <= sp, F.least("_h.open", sp)).when(F.col("_h.high") >= tp, F.greatest("_h.open", tp))
+    return _finished(_hit(c, price), ["symbol"])
+
+
+def from_several(bars: DataFrame, key: str, signals: dict, max_hold: int) -> DataFrame:
+    """K01 without stops for several strategies, in one pass over indexed bars: trades with ``key``, by which they stay apart.
+
+    ``signals`` maps a key to a function that adds entry and exit to bars.
+    """
+    flags = []
+    for i, make in enumerate(signals.values()):
+        flags.append((f"_entry{i}", f"_exit{i}"))
+        bars = make(bars).withColumnsRenamed({"entry": f"_entry{i}", "exit": f"_exit{i}"})
+    d = _held(bars, flags, max_hold)
+    all_ = F.array(*[F.when(F.col(f"_c{i}").isNotNull(), F.struct(F.lit(k).alias(key), f"_c{i}.*")) for i, k in enumerate(signals)])
+    c = d.select("symbol", F.explode(F.filter(all_, lambda x: x.isNotNull())).alias("_c")).select("symbol", "_c.*", F.lit(0.0).alias("score"), F.lit(False).alias("_hit"))
+    return _finished(c, [key, "symbol"])
+
+
+def _held(bars: DataFrame, flags: list[tuple[str, str]], max_hold: int) -> DataFrame:
+    """For each pair of entry and exit flags, ``_c0`` and so on: the candidate that starts at a row (signal, entry and exit, forced), or null.
+
+    All of it comes from windows of one order and one read backwards, so bars are sorted and not joined.
+    """
+    d = bars.withColumns({"_next": w.lead(F.struct("rn", "ts", "open")), "_hold": w.lead(F.struct("rn", "ts", "open"), max_hold + 1), "_last": w.newest(F.struct("rn", "ts", "open"))})
+    d = d.withColumns({f"_x{i}": w.next_of(F.when(F.col(x), F.col("_next"))) for i, (_, x) in enumerate(flags)})
+    limit = F.coalesce("_hold", "_last")
+    out = {}
+    for i, (entry, _) in enumerate(flags):
+        natural = F.coalesce(f"_x{i}", "_last")
+        left = F.when(natural["rn"] <= limit["rn"], natural).otherwise(limit)
+        c = F.struct(F.col("rn").alias("signal"), F.col("_next.ts").alias("entry_time"), F.col("_next.open").alias("entry_price"), left["rn"].alias("exit_rn"), left["ts"].alias("exit_time"), left["open"].alias("exit_price"),
+                     (F.col(f"_x{i}").isNull() | (limit["rn"] < natural["rn"])).alias("forced"))
+        out[f"_c{i}"] = F.when(F.col(entry) & (F.col("_next.open") > 0), c)
+    return d.withColumns(out)
+
+
+def _hit(c: DataFrame, price: Column) -> DataFrame:
+    """Candidates that leave at the bar ``_h``, where there is one, at ``price``."""
+    hit = F.col("_h").isNotNull()
+    return c.withColumns({"_hit": hit, "exit_rn": F.coalesce("_h.rn", "exit_rn"), "exit_time": F.when(hit, F.col("_h.ts")).otherwise(F.col("exit_time")), "exit_price": F.coalesce(price, "exit_price"), "forced": F.col("forced") & ~hit})
+
+
+def _finished(c: DataFrame, keys: list[str]) -> DataFrame:
+    """Returns of candidates, void ones dropped, then R2."""
     c = c.withColumn("gross_return", F.col("exit_price") / F.col("entry_price") - 1.0).withColumn("duration_bars", F.col("exit_rn") - F.col("signal") - 1)
-    c = c.filter((F.col("exit_price") > 0) & ((F.col("duration_bars") > 0) | F.col("_h").isNotNull()))
-    return non_overlapping(c.select("symbol", *_FIELDS), ["symbol"])
+    c = c.filter((F.col("exit_price") > 0) & ((F.col("duration_bars") > 0) | F.col("_hit")))
+    return non_overlapping(c.select(*keys, *_FIELDS), keys)
 
 
 def first_profitable(bars: DataFrame, max_hold: int, score: str | None = None) -> DataFrame:
     """Next-open entry, left at the open after the first close over the entry price, or by force after ``max_hold`` bars."""
-    n = F.max("rn").over(Window.partitionBy("symbol"))
-    d = bars.withColumn("_n", n).withColumn("_next", w.lead("open"))
-    c = d.filter(F.col("entry") & (F.col("rn") < F.col("_n"))).select("symbol", F.col("rn").alias("signal"), F.col("_next").alias("entry_price"), "_n", (F.col(score) if score else F.lit(0.0)).alias("score"))
-    c = c.withColumn("_limit", F.least(F.col("_n") - 1, F.col("signal") + max_hold))
-    p = bars.select("symbol", "rn", "ts", "open", "close")
-    path = c.filter(F.col("_limit") > F.col("signal")).withColumn("rn", F.explode(F.sequence(F.col("signal") + 1, F.col("_limit")))).join(p.select("symbol", "rn", "close"), ["symbol", "rn"])
-    hit = path.filter(F.col("close") > F.col("entry_price")).groupBy("symbol", "signal").agg(F.min("rn").alias("_at"))
-    c = c.join(hit, ["symbol", "signal"], "left").withColumn("forced", F.col("_at").isNull())
-    c = c.withColumn("exit_rn", F.coalesce(F.col("_at") + 1, F.least(F.col("_n"), F.col("_limit") + 1))).withColumn("_h", F.lit(None).cast("struct<rn:long,price:double>"))
-    return _finished(c, p)
+    d = bars.withColumn("_score", F.col(score) if score else F.lit(0.0)).select("symbol", "sup", "blk", "pos", "rn", "ts", "open", "close", "entry", "_score")
+    d = w.with_ahead(d, F.col("entry"), max_hold + 1, "ts", "open", "close").filter(F.size("_path") > 0)
+    first, m = F.get("_path", 0), F.size("_path")
+    # The last of these bars can only be left at.
+    at = F.get(F.filter(F.slice("_path", F.lit(1), F.greatest(m - 1, F.lit(0))), lambda b: b["close"] > first["open"]), 0)["rn"]
+    d = d.withColumn("_at", at).withColumn("_left", F.get("_path", F.coalesce(F.col("_at") - F.col("rn"), m - 1).cast("int")))
+    c = d.select("symbol", F.col("rn").alias("signal"), first["ts"].alias("entry_time"), first["open"].alias("entry_price"), F.col("_left.rn").alias("exit_rn"), F.col("_left.ts").alias("exit_time"), F.col("_left.open").alias("exit_price"),
+                 F.col("_at").isNull().alias("forced"), F.col("_score").alias("score"), F.lit(False).alias("_hit"))
+    return _finished(c, ["symbol"])
 
 
 def trailing(bars: DataFrame, stop_pct: float, target_pct: float, max_hold: int) -> DataFrame:
@@ -98,32 +125,34 @@ def trailing(bars: DataFrame, stop_pct: float, target_pct: float, max_hold: int)
 
     The trailing stop of a bar rests on the highs before it, from the entry price on.
     """
-    n = F.max("rn").over(Window.partitionBy("symbol"))
-    d = bars.withColumn("_n", n).withColumn("_next", w.lead("open"))
-    c = d.filter(F.col("entry") & (F.col("rn") < F.col("_n")) & (F.col("_next") > 0)).select("symbol", F.col("rn").alias("signal"), F.col("_next").alias("entry_price"), F.lit(0.0).alias("score"), F.least(F.col("_n"), F.col("rn") + 1 + max_hold).alias("exit_rn"))
-    p = bars.select("symbol", "rn", "ts", "open", "high", "low")
-    path = c.withColumn("rn", F.explode(F.sequence(F.col("signal") + 1, F.col("exit_rn")))).join(p, ["symbol", "rn"])
-    before = Window.partitionBy("symbol", "signal").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    sp = F.greatest("entry_price", F.coalesce(F.col("_hi"), F.col("entry_price"))) * (1.0 - stop_pct)
+    d = bars.select("symbol", "sup", "blk", "pos", "rn", "ts", "open", "high", "low", "entry")
+    d = w.with_ahead(d, F.col("entry"), max_hold + 1, "ts", "open", "high", "low").filter(F.get("_path", 0)["open"] > 0)
+    first, left = F.get("_path", 0), F.get("_path", F.size("_path") - 1)
+    c = d.select("symbol", F.col("rn").alias("signal"), first["ts"].alias("entry_time"), first["open"].alias("entry_price"), left["rn"].alias("exit_rn"), left["ts"].alias("exit_time"), left["open"].alias("exit_price"), F.lit(True).alias("forced"), F.lit(0.0).alias("score"), "_path")
     tp = F.col("entry_price") * (1.0 + target_pct)
-    path = path.withColumn("_hi", F.max("high").over(before))
-    hit_stop, hit_target = F.col("low") <= sp, F.col("high") >= tp
-    first = path.filter(hit_stop | hit_target).groupBy("symbol", "signal").agg(F.min_by(F.struct("rn", F.when(hit_stop, F.least("open", sp)).otherwise(F.greatest("open", tp)).alias("price")), "rn").alias("_h"))
-    c = c.join(first, ["symbol", "signal"], "left").withColumn("exit_rn", F.coalesce("_h.rn", "exit_rn")).withColumn("forced", F.col("_h").isNull())
-    return _finished(c, p)
+
+    def step(s: Column, b: Column) -> Column:
+        sp = s["hi"] * (1.0 - stop_pct)
+        price = F.when(b["low"] <= sp, F.least(b["open"], sp)).when(b["high"] >= tp, F.greatest(b["open"], tp))
+        out = F.struct(F.greatest(s["hi"], b["high"]).alias("hi"), F.when((b["low"] <= sp) | (b["high"] >= tp), F.struct(b["rn"].alias("rn"), b["ts"].alias("ts"), price.alias("price"))).alias("h"))
+        return F.when(s["h"].isNotNull(), s).otherwise(out)
+
+    kind = f"struct<rn:{dict(bars.dtypes)['rn']},ts:{dict(bars.dtypes)['ts']},price:double>"
+    c = c.withColumn("_h", F.aggregate("_path", F.struct(F.col("entry_price").alias("hi"), F.lit(None).cast(kind).alias("h")), step, lambda s: s["h"])).drop("_path")
+    return _finished(_hit(c, F.col("_h.price")), ["symbol"])
 
 
 def limit_fills(bars: DataFrame, atr_col: str, pullback_atr: float, stop_atr: float, valid: int, exit_lookback: int) -> tuple[DataFrame, DataFrame]:
     """Signals whose limit order (low - k ATR, good for ``valid`` bars) is touched, with the first touching bar ``fill``; and the bars with their count ``_n`` and the next structural exit bar ``_x`` at or after each."""
     up = F.coalesce(F.col("close") > w.rolling_max("high", exit_lookback, 1), F.lit(False))
-    d = bars.withColumn("_n", F.max("rn").over(Window.partitionBy("symbol"))).withColumn("_up", up & (F.col("rn") < F.col("_n")))
-    d = d.withColumn("_x", F.first(F.when(F.col("_up"), F.col("rn")), ignorenulls=True).over(w.from_here()))
-    p = d.select("symbol", "rn", "ts", "open", "high", "low", "close", "_n", "_x")
     score = F.col("score") if "score" in bars.columns else F.lit(0.0)
-    c = d.filter(F.col("entry") & F.col(atr_col).isNotNull()).select("symbol", F.col("rn").alias("signal"), (F.col("low") - pullback_atr * F.col(atr_col)).alias("_limit"), (stop_atr * F.col(atr_col)).alias("_sd"), score.alias("score"))
-    touched = c.withColumn("rn", F.explode(F.sequence(F.col("signal") + 1, F.col("signal") + valid))).join(p.select("symbol", "rn", "open", "low"), ["symbol", "rn"]).filter(F.col("low") <= F.col("_limit"))
-    f = touched.groupBy("symbol", "signal", "_limit", "_sd", "score").agg(F.min("rn").alias("fill"), F.min_by("open", "rn").alias("_open"))
-    return f.join(p.select("symbol", F.col("rn").alias("fill"), F.col("ts").alias("entry_bar"), "_n", "_x"), ["symbol", "fill"]), p
+    d = bars.withColumn("_n", w.newest("rn")).withColumn("_x", w.next_of(F.when(up & (F.col("rn") < F.col("_n")), F.col("rn")), own=True))
+    d = d.withColumn("_path", w.ahead(valid, "ts", "open", "low", "_x")).withColumn("_limit", F.when(F.col("entry") & F.col(atr_col).isNotNull(), F.col("low") - pullback_atr * F.col(atr_col)))
+    d = d.withColumn("_f", F.get(F.filter("_path", lambda b: b["low"] <= F.col("_limit")), 0)).withColumn("_sd", stop_atr * F.col(atr_col)).withColumn("_score", score)
+    # Bars and fills come from one pass.
+    d = settled(d.select("symbol", "rn", "ts", "open", "high", "low", "close", "_n", "_x", "_limit", "_sd", "_score", "_f"), "pullback-bars")
+    f = d.filter("_f IS NOT NULL").select("symbol", F.col("_f.rn").alias("fill"), F.col("rn").alias("signal"), "_limit", "_sd", F.col("_score").alias("score"), F.col("_f.open").alias("_open"), F.col("_f.ts").alias("entry_bar"), "_n", F.col("_f._x").alias("_x"))
+    return f, d.drop("_limit", "_sd", "_score", "_f")
 
 
 def stop_touches(f: DataFrame, p: DataFrame) -> DataFrame:
@@ -170,7 +199,6 @@ def pullback(bars: DataFrame, atr_col: str, pullback_atr: float, stop_atr: float
     entry, the ATR and, if there is one, a score.
     """
     f, p = limit_fills(bars, atr_col, pullback_atr, stop_atr, valid, exit_lookback)
-    f, p = settled(f, "fills"), settled(p, "pullback-bars")
     f = f.withColumn("entry_price", F.least("_open", "_limit")).filter("entry_price > 0").withColumn("entry_time", F.col("entry_bar"))
     hit = first_touch(f, p)
     return non_overlapping(left_at(f.join(hit, ["symbol", "signal"], "left"), p).select("symbol", *_FIELDS), ["symbol"])
@@ -285,6 +313,6 @@ def setup_trades(bars: DataFrame, wait: int, stop_atr: float, target_atr: float,
 def schedule(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """Flags on the bar before each execution; a bar that would carry an entry and an exit is marked."""
     prev = bars.select("symbol", "ts", F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts")).alias("at"))
-    e = trades.select("symbol", F.col("entry_time").alias("ts"), F.lit("entry").alias("kind")).unionByName(trades.select("symbol", F.col("exit_time").alias("ts"), F.lit("exit").alias("kind")))
+    e = trades.select("symbol", F.explode(F.array(F.struct(F.col("entry_time").alias("ts"), F.lit("entry").alias("kind")), F.struct(F.col("exit_time").alias("ts"), F.lit("exit").alias("kind")))).alias("_e")).select("symbol", "_e.*")
     d = e.join(prev, ["symbol", "ts"]).filter("at IS NOT NULL")
     return d.groupBy("symbol", "at").agg(F.sum((F.col("kind") == "entry").cast("long")).alias("entries"), F.sum((F.col("kind") == "exit").cast("long")).alias("exits")).withColumn("collision", (F.col("entries") > 0) & (F.col("exits") > 0))
