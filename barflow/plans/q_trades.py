@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
@@ -117,9 +115,9 @@ def rotation(spark, sf_dir):
 def sweep(spark, sf_dir):
     """Grid of breakout lengths, each one's trades and their metrics, ranked."""
     g = t.grid(spark, {"n": [5, 10, 20], "m": [5, 10]}).filter("m <= n")
-    bars = w.indexed(b.daily_bars(spark, sf_dir))
-    one = [t.from_signals(s.signals(bars, "n_bar_breakout", n=n, m=k), 20).withColumn("n", F.lit(n).cast("long")).withColumn("m", F.lit(k).cast("long")) for n in (5, 10, 20) for k in (5, 10) if k <= n]
-    d = m.trade_metrics(reduce(lambda x, y: x.unionByName(y), one), ["n", "m"]).join(g.select("n", "m", "hypothesis_id"), ["n", "m"])
+    made = {f"{n}|{k}": lambda x, n=n, k=k: s.signals(x, "n_bar_breakout", n=n, m=k) for n in (5, 10, 20) for k in (5, 10) if k <= n}
+    d = t.from_several(w.indexed(b.daily_bars(spark, sf_dir)), "_k", made, 20).withColumn("_k", F.split("_k", r"\|")).withColumns({"n": F.col("_k")[0].cast("long"), "m": F.col("_k")[1].cast("long")})
+    d = m.trade_metrics(d, ["n", "m"]).join(g.select("n", "m", "hypothesis_id"), ["n", "m"])
     return shown(d, ["n", "m", "hypothesis_id"], ["trades", "net_expectancy", "profit_factor", "win_rate"])
 
 
