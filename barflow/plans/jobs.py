@@ -72,9 +72,7 @@ def strategy_factory(bars: DataFrame, names: list[str], folds: DataFrame, max_ho
 
     Names are a handful of plans, not data; each is one pass over shared bars.
     """
-    indexed = w.indexed(bars)
-    one = [t.from_signals(s.signals(indexed, n), max_hold).withColumn("strategy", F.lit(n)) for n in names]
-    trades = reduce(lambda a, b: a.unionByName(b), one)
+    trades = t.from_several(w.indexed(bars), "strategy", {n: lambda x, n=n: s.signals(x, n) for n in names}, max_hold)
     key = F.concat_ws("|", "strategy", "fold")
     folded = m.trade_metrics(p.contained(trades, folds), ["strategy", "fold", "segment"], bps).withColumn("key", key)
     gated = v.fold_gate(folded).withColumn("strategy", F.split("key", r"\|")[0])
