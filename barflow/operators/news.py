@@ -90,6 +90,7 @@ def stories(news: DataFrame, least: float = 0.72, hours: int = 36) -> DataFrame:
 
     Items that similar titles tie together, however long the chain, are sorted by time and pass one
     by one; held are the leaders of the last ``hours`` alone. Titles without tokens lead themselves.
+    Nodes are told by 64-bit hashes there (odds near 1e-19 a pair to take two for one).
     """
     d = _titled(news, hours)
     edges = similar_titles(d, least).checkpoint()
@@ -97,6 +98,8 @@ def stories(news: DataFrame, least: float = 0.72, hours: int = 36) -> DataFrame:
     near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
     d = d.join(comp.withColumnRenamed("component", "c"), "node", "left").join(near.withColumnRenamed("a", "node"), "node", "left")
     d = d.withColumn("c", F.coalesce("c", "node", F.col("id").cast("string")))
+    # From here on titles are only told apart: numbers travel with the items, not the titles of all that are similar.
+    d = d.select("id", "published", F.xxhash64("c").alias("c"), F.when(F.col("node").isNotNull(), F.xxhash64("node")).alias("node"), F.transform("near", lambda x: F.xxhash64(x)).alias("near"))
 
     # No leader outlives a gap of more than ``hours``, so what stands after one is a group of its own.
     w = Window.partitionBy("c").orderBy("published", "id")
@@ -121,8 +124,8 @@ def stories(news: DataFrame, least: float = 0.72, hours: int = 36) -> DataFrame:
 
 def story_evidence(news: DataFrame, story: DataFrame, now: int) -> DataFrame:
     """Per story: representative (longest text, first in time), providers, confirmation, novelty, decay and score."""
-    d = news.join(story.select("id", "leader"), "id")
-    g = d.groupBy("leader").agg(F.max_by("id", F.struct(F.length("summary"), -F.col("published"), -F.col("id"))).alias("representative"), F.array_sort(F.collect_set("provider")).alias("providers"), F.count("*").alias("items"), F.max("published").alias("last"))
+    d = news.select("id", "provider", "published", F.length("summary").alias("_length")).join(story.select("id", "leader"), "id")  # texts stay where they are
+    g = d.groupBy("leader").agg(F.max_by("id", F.struct("_length", -F.col("published"), -F.col("id"))).alias("representative"), F.array_sort(F.collect_set("provider")).alias("providers"), F.count("*").alias("items"), F.max("published").alias("last"))
     g = g.withColumn("novelty", 1.0 / F.col("items")).withColumn("confirmation", F.least(F.lit(1.0), F.size("providers") / 3.0)).withColumn("decay", F.exp(-F.greatest(F.lit(0), F.lit(now) - F.col("last")) / 3600.0 / 36.0))
     return g.withColumn("score", F.col("decay") * (0.5 + 0.5 * F.col("confirmation")))
 

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from barflow.functions import windows as w
+from barflow.operators import news as n
 from barflow.operators import signals as s
 from barflow.operators import trades as t
 
@@ -44,3 +45,11 @@ def test_rows_ahead_cross_blocks_and_end_with_the_symbol(spark):
 
 def test_a_recurrence_looks_its_carries_up_in_few_windows(spark):
     assert _plan(w.ema(w.indexed(_bars(spark)), "close", "y", 20)).count("Window [") <= 5
+
+
+def test_evidence_takes_no_texts_through_its_join(spark):
+    news = spark.createDataFrame([(1, "x", 10, "long text")], "id long, provider string, published long, summary string")
+    story = spark.createDataFrame([(1, 1)], "id long, leader long")
+    d = n.story_evidence(news, story, 20)
+    assert _plan(d).index("length(summary") > _plan(d).index("Join")
+    assert [r["representative"] for r in d.collect()] == [1]
