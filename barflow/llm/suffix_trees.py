@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, small_batches, steps, tidy, utf8_column, written
+from .common import cuts, runs, small_batches, steps, tidy, utf8_column, written
 from .shingles import _SPACE, mix, part_hashes, powers, prefix_hashes
 
 WORDS = 20
@@ -297,12 +297,11 @@ def _contents(docs: DataFrame, opened: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(b.num_rows), np.diff(x.offsets.to_numpy()))
             w = np.searchsorted(ends, offs, "right")[row] + start
             lo, hi = begin[w], begin[w + n + WORDS - 1]
-            whole = memoryview(raw)
             for i in range(0, len(row), 5_000):
                 k = slice(i, i + 5_000)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(akey[k]), pa.array(rk[row[k]]), pa.array(rh[row[k]]), pa.array(start[k]), pa.array(n[k]), pa.array(rel[k]),
-                    pa.array([whole[a:z] for a, z in zip(lo[k].tolist(), hi[k].tolist())], pa.binary())], names=["akey", "rk", "rh", "start", "n", "rel", "bytes"])
+                    cuts(raw, lo[k], hi[k])], names=["akey", "rk", "rh", "start", "n", "rel", "bytes"])
 
     return joined.mapInArrow(tidy(task), _CONTENT)
 
@@ -444,8 +443,7 @@ def remove_later(docs: DataFrame) -> DataFrame:
             left = raw[~np.repeat(gone, size)]
             total = np.concatenate([[0], np.cumsum(np.where(gone, 0, size))])[first]
             removed = np.concatenate([[0], np.cumsum(gone)])[first]
-            whole = memoryview(left)
-            kept = [whole[a:max(a, z - 1)] for a, z in zip(total[:-1].tolist(), total[1:].tolist())]  # without the last word's space
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), pa.array(np.diff(removed)), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+            kept = cuts(left, total[:-1], np.maximum(total[:-1], total[1:] - 1))  # without the last word's space
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), pa.array(np.diff(removed)), kept], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return d.join(found, ["rk", "rh"], "left").select("doc_id", "text", "x").mapInArrow(tidy(task), "doc_id long, n_words long, n_removed long, kept binary")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -222,3 +223,41 @@ def test_a_shared_doc_id_loses_no_other_text(spark):
     # The copies of b stand in doc_id 5 (its second text) and 8 (its second text): one of them stays.
     assert [x for x in got if not x[1].startswith("b0")] == [(0, a), (1, a), (6, c), (8, "")] and len([x for x in got if x[1].startswith("b0")]) == 1
     assert cp.drop_near_duplicates(spark, d.limit(0), SF).count() == 0
+
+
+def test_workers_let_go_of_texts_they_have_cut():
+    raw = np.frombuffer(b"one two three", np.uint8).copy()
+    held = weakref.ref(raw)
+    got = common.cuts(raw, np.array([4, 8, 13]), np.array([7, 13, 13]))
+    assert got.to_pylist() == [b"two", b"three", b""]
+    assert common.cuts(raw, np.zeros(0, np.int64), np.zeros(0, np.int64)).to_pylist() == []
+    del got, raw
+    assert held() is None
+
+
+def test_a_task_lets_go_of_its_texts(monkeypatch):
+    """The task that looks up the words of leaves: what it has cut is freed when the next batch comes."""
+    tasks, held = [], []
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a, **k: tasks.append(a[0]) if name == "mapInArrow" else self
+
+    spaced = suffix_trees.spaced
+
+    def watched(*a):
+        raw, offs = spaced(*a)
+        held.append(weakref.ref(raw))
+        return raw, offs
+
+    monkeypatch.setattr(suffix_trees, "spaced", watched)
+    monkeypatch.setattr(suffix_trees, "F", type("Functions", (), {"__getattr__": lambda self, name: lambda *a, **k: Rows()})())
+    suffix_trees._contents(Rows(), Rows())
+    text = " ".join(f"w{k}" for k in range(40))
+    leaf = {"akey": 1, "start": 0, "n": 3, "rel": 2}
+    x = pa.array([[leaf]], pa.list_(pa.struct([("akey", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("rel", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text]), x], names=["rk", "rh", "text", "x"])
+    for got in tasks[0](iter([batch] * 3)):
+        assert got["bytes"][0].as_py() == " ".join(f"w{k}" for k in range(22)).encode() + b" "
+    del got
+    assert len(held) == 3 and all(h() is None for h in held)
