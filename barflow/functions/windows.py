@@ -202,10 +202,110 @@ def _ends(df: DataFrame, values: dict[int, tuple[Column, int, float]]) -> tuple[
     return df, carries | {i: F.coalesce(f"_rc{i}", F.lit(0.0)) for i in rest}
 
 
+class Moving(dict):
+    """Moving values: out to (kind, column, rows) or (kind, column, rows, shift); see ``moving``."""
+
+
+def _stretch(n: int) -> int:
+    """Rows of the stretches that a frame of ``n`` rows is made of: a power of 4, under 8 of them."""
+    s = 1
+    while s * 8 <= n:
+        s *= 4
+    return s
+
+
+def _parts(kind: str, n: int) -> list[tuple[int, int]]:
+    """Stretches (rows, distance of their end) that make a frame of ``n`` rows; those of least and greatest values may overlap."""
+    s = 1 if kind == "list" else _stretch(n)
+    if kind in ("min", "max"):
+        return [(s, at) for at in sorted({*range(0, n - s + 1, s), n - s})]
+    out, at = [], 0
+    while at < n:
+        if at + s > n:
+            s //= 4
+            continue
+        out.append((s, at))
+        at += s
+    return out
+
+
+def moving(df: DataFrame, wanted: Moving) -> DataFrame:
+    """Sums, means, least and greatest values, deviations (std, ddof 0) and lists of moving frames; null unless all rows of the frame have a value.
+
+    A frame is put together from stretches of 4 rows, those of 16 from these, and so on, by looking
+    back: one window a level serves all frames, and no frame is folded anew at each row. Sums are
+    exact as far as those of the frame's rows are; deviations are merged from those of the stretches,
+    by differences from the newest, so a constant has 0.
+    """
+    full = {out: (kind, c, n, rest[0] if rest else 0) for out, (kind, c, n, *rest) in wanted.items()}
+    names: dict[tuple[str, str, int], str] = {}  # of a kind's values over stretches
+    spare: list[str] = []
+
+    def named(name: str) -> str:
+        spare.append(name)
+        return name
+
+    def used(kind: str) -> tuple[str, ...]:
+        return {"mean": ("sum",), "std": ("sum", "dev"), "list": ("sum",)}.get(kind, (kind,))
+
+    def looked_up(df: DataFrame, wants: set[tuple[str, int]]) -> tuple[DataFrame, dict[tuple[str, int], Column]]:
+        at = {(c, k): c if k == 0 else named(f"_mv_{c}_{k}") for c, k in sorted(wants)}
+        new = {name: lag(c, k) for (c, k), name in at.items() if k and name not in df.columns}
+        return (df.withColumns(new) if new else df), {x: F.col(name) for x, name in at.items()}
+
+    def value(kind: str, c: str, rows: int) -> str | None:
+        """The column of a stretch's value; single rows are their own, without deviation."""
+        return names[kind, c, rows] if rows > 1 else None if kind == "dev" else c
+
+    def merged(kind: str, c: str, parts: list[tuple[int, int]], at: dict[tuple[str, int], Column]) -> Column:
+        x = [at[value("sum" if kind == "dev" else kind, c, m), k] for m, k in parts]
+        if kind in ("min", "max"):
+            some = x[0].isNotNull()
+            for v in x[1:]:
+                some = some & v.isNotNull()
+            return F.when(some, (F.least if kind == "min" else F.greatest)(*x)) if len(x) > 1 else x[0]
+        if kind == "sum":
+            while len(x) > 1:
+                x = [a + b for a, b in zip(x[::2], x[1::2])] + x[len(x) // 2 * 2:]
+            return x[0]
+        # Differences from the newest stretch: it is one of them, so what is taken off leaves a share of 1 in n at least.
+        d = [(m, v / m - x[0] / parts[0][0]) for (m, _), v in zip(parts[1:], x[1:])]
+        q = [at[value("dev", c, m), k] for m, k in parts if m > 1]
+        one, two = sum((m * v for m, v in d), F.lit(0.0)), sum((m * v * v for m, v in d), F.lit(0.0))
+        return F.when(x[0].isNotNull(), sum(q, F.lit(0.0)) + two - one * one / sum(m for m, _ in parts))
+
+    def columns(kind: str, c: str, parts: list[tuple[int, int]], shift: int = 0) -> set[tuple[str, int]]:
+        return {(v, k + shift) for u in used(kind) for m, k in parts if (v := value(u, c, m)) is not None}
+
+    largest = {(u, c): max(_parts(kind, n)[0][0] for kind, c2, n, _ in full.values() if c2 == c and u in used(kind)) for k2, c, _, _ in full.values() for u in used(k2)}
+    rows = 4
+    while level := [key for key, most in largest.items() if most >= rows]:
+        parts = [(rows // 4, k * rows // 4) for k in range(4)]
+        df, at = looked_up(df, {x for u, c in level for x in columns("std" if u == "dev" else u, c, parts)})
+        df = df.withColumns({f"_mv{rows}_{u}_{c}": merged(u, c, parts, at) for u, c in level})
+        names |= {(u, c, rows): named(f"_mv{rows}_{u}_{c}") for u, c in level}
+        rows *= 4
+    df, at = looked_up(df, {x for kind, c, n, shift in full.values() for x in columns(kind, c, _parts(kind, n), shift)})
+    out = {}
+    for name, (kind, c, n, shift) in full.items():
+        parts = _parts(kind, n)
+        back = {(v, k): at[v, k + shift] for v, k in columns(kind, c, parts)}
+        if kind == "list":
+            x = [back[c, k] for _, k in reversed(parts)]
+            out[name] = F.when(merged("sum", c, parts, back).isNotNull(), F.array(*x))
+        elif kind == "mean":
+            out[name] = merged("sum", c, parts, back) / n
+        elif kind == "std":
+            out[name] = F.sqrt(merged("dev", c, parts, back) / n)
+        else:
+            out[name] = merged(kind, c, parts, back)
+    return df.withColumns(out).drop(*dict.fromkeys(spare))
+
+
 class Recipe:
-    """An indicator as steps: ``columns`` to add, then ``means`` (x, out, gain, start) to run, and so on; ``spare`` columns go at the end."""
+    """An indicator as steps: ``columns`` to add, ``Moving`` values, ``means`` (x, out, gain, start) to run, and so on; ``spare`` columns go at the end."""
 
-    def __init__(self, *steps: dict[str, Column] | list[tuple[str, str, float, int]], spare: tuple[str, ...] = ()):
+    def __init__(self, *steps: dict[str, Column] | Moving | list[tuple[str, str, float, int]], spare: tuple[str, ...] = ()):
         self.steps, self.spare = steps, spare
 
 
@@ -215,11 +315,18 @@ def together(df: DataFrame, *recipes: Recipe, run=linears) -> DataFrame:
     while any(waiting):
         columns: dict[str, Column] = {}
         for w in waiting:
-            if w and isinstance(w[0], dict):
+            if w and isinstance(w[0], dict) and not isinstance(w[0], Moving):
                 columns |= w.pop(0)
         if columns:
             df = df.withColumns(columns)
             continue
+        frames = Moving()
+        for w in waiting:
+            if w and isinstance(w[0], Moving):
+                frames |= w.pop(0)
+        if frames:
+            df = moving(df, Moving(frames))
+            continue
         means = [m for w in waiting if w for m in w.pop(0)]
         df = run(df, means)
     return df.drop(*dict.fromkeys(c for r in recipes for c in r.spare))
@@ -261,19 +368,20 @@ def rsi(df: DataFrame, out: str, n: int, c: str = "close", rule: str = "lab") ->
     return together(df, rsi_recipe(out, n, c, rule))
 
 
-def _range() -> Column:
+def true_ranges() -> Column:
+    """The first row's is high - low."""
     pc = lag("close")
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
 
 
 def true_range(df: DataFrame, out: str = "tr") -> DataFrame:
     """The first row's is high - low."""
-    return df.withColumn(out, _range())
+    return df.withColumn(out, true_ranges())
 
 
 def atr_recipe(out: str, n: int) -> Recipe:
     tr = f"_tr_{out}"
-    return Recipe({tr: _range()}, [(tr, out, 1.0 / n, 1)], {out: _from(n, out)}, spare=(tr,))
+    return Recipe({tr: true_ranges()}, [(tr, out, 1.0 / n, 1)], {out: _from(n, out)}, spare=(tr,))
 
 
 def atr(df: DataFrame, out: str, n: int) -> DataFrame:
@@ -285,7 +393,7 @@ def adx_recipe(n: int, out: str = "adx") -> Recipe:
     p, m, tr, sp, sm, a, dx = (f"_{k}_{out}" for k in ("p", "m", "tr", "sp", "sm", "a", "dx"))
     up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
     width, total = F.nullif(_from(n, a), F.lit(0.0)), F.nullif(F.col("plus_di") + F.col("minus_di"), F.lit(0.0))
-    return Recipe({p: F.when((up > down) & (up > 0), up).otherwise(0.0), m: F.when((down > up) & (down > 0), down).otherwise(0.0), tr: _range()}, [(p, sp, 1.0 / n, 1), (m, sm, 1.0 / n, 1), (tr, a, 1.0 / n, 1)],
+    return Recipe({p: F.when((up > down) & (up > 0), up).otherwise(0.0), m: F.when((down > up) & (down > 0), down).otherwise(0.0), tr: true_ranges()}, [(p, sp, 1.0 / n, 1), (m, sm, 1.0 / n, 1), (tr, a, 1.0 / n, 1)],
                   {"plus_di": 100.0 * _from(n, sp) / width, "minus_di": 100.0 * _from(n, sm) / width}, {dx: F.when(F.col("rn") >= n, F.coalesce(100.0 * F.abs(F.col("plus_di") - F.col("minus_di")) / total, F.lit(0.0)))},
                   [(dx, out, 1.0 / n, n)], {out: _from(2 * n - 1, out)}, spare=(p, m, tr, sp, sm, a, dx))
 
@@ -312,30 +420,41 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, min_per
     return together(df, macd_recipe(fast, slow, signal, min_periods))
 
 
+def stochastic_recipe(n: int, smooth: int, out: str = "stoch_k") -> Recipe:
+    lo, hi, k = (f"_{x}_{out}" for x in ("lo", "hi", "k"))
+    return Recipe(Moving({lo: ("min", "low", n), hi: ("max", "high", n)}), {k: 100.0 * (F.col("close") - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0))}, Moving({out: ("mean", k, smooth)}), spare=(lo, hi, k))
+
+
 def stochastic(df: DataFrame, n: int, smooth: int, out: str = "stoch_k") -> DataFrame:
     """%K smoothed by a simple mean."""
-    lo = rolling_min("low", n)
-    df = df.withColumn("_k", 100.0 * (F.col("close") - lo) / F.nullif(rolling_max("high", n) - lo, F.lit(0.0)))
-    return df.withColumn(out, sma("_k", smooth)).drop("_k")
+    return together(df, stochastic_recipe(n, smooth, out))
+
+
+def _typical() -> Column:
+    return (F.col("high") + F.col("low") + F.col("close")) / 3.0
+
+
+def cci_recipe(n: int, out: str = "cci") -> Recipe:
+    tp, mean, rows = (f"_{x}_{out}" for x in ("tp", "m", "w"))
+    mad = F.aggregate(rows, F.lit(0.0), lambda a, x: a + F.abs(x - F.col(mean))) / n
+    return Recipe({tp: _typical()}, Moving({mean: ("mean", tp, n), rows: ("list", tp, n)}), {out: (F.col(tp) - F.col(mean)) / F.nullif(0.015 * mad, F.lit(0.0))}, spare=(tp, mean, rows))
 
 
 def cci(df: DataFrame, n: int, out: str = "cci") -> DataFrame:
     """Distance from the mean in units of 0.015 mean absolute deviations."""
-    df = df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3.0)
-    df = df.withColumn("_m", sma("_tp", n)).withColumn("_w", F.collect_list("_tp").over(frame(n)))
-    mad = F.aggregate("_w", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_m"))) / n
-    return df.withColumn(out, (F.col("_tp") - F.col("_m")) / F.nullif(0.015 * mad, F.lit(0.0))).drop("_tp", "_m", "_w")
+    return together(df, cci_recipe(n, out))
+
+
+def mfi_recipe(n: int, out: str = "mfi") -> Recipe:
+    tp, up, down, p, m = (f"_{x}_{out}" for x in ("tp", "up", "down", "p", "n"))
+    flow, d = F.col(tp) * F.col("volume"), F.col(tp) - lag(tp)
+    v = F.when(F.col(m) == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.col(p) / F.nullif(F.col(m), F.lit(0.0))))
+    return Recipe({tp: _typical()}, {up: F.when(d > 0, flow).otherwise(0.0), down: F.when(d < 0, flow).otherwise(0.0)}, Moving({p: ("sum", up, n), m: ("sum", down, n)}), {out: F.when(F.col(p).isNotNull(), v)}, spare=(tp, up, down, p, m))
 
 
 def mfi(df: DataFrame, n: int, out: str = "mfi") -> DataFrame:
     """Money flow index; 100 without negative flow."""
-    df = df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3.0)
-    df = df.withColumn("_d", F.col("_tp") - lag("_tp"))
-    flow = F.col("_tp") * F.col("volume")
-    df = df.withColumn("_p", F.when(F.col("_d") > 0, flow).otherwise(0.0)).withColumn("_n", F.when(F.col("_d") < 0, flow).otherwise(0.0))
-    df = df.withColumn("_p", rolling_sum("_p", n)).withColumn("_n", rolling_sum("_n", n))
-    v = F.when(F.col("_n") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.col("_p") / F.nullif(F.col("_n"), F.lit(0.0))))
-    return df.withColumn(out, F.when(F.col("_p").isNotNull(), v)).drop("_tp", "_d", "_p", "_n")
+    return together(df, mfi_recipe(n, out))
 
 
 def relative_volume(n: int) -> Column:
@@ -343,15 +462,23 @@ def relative_volume(n: int) -> Column:
     return F.col("volume") / F.nullif(sma("volume", n, 1), F.lit(0.0))
 
 
+def obv_recipe(out: str = "obv") -> Recipe:
+    return Recipe({f"_v_{out}": F.coalesce(F.signum(F.col("close") - lag("close")), F.lit(0.0)) * F.col("volume")}, {out: F.sum(f"_v_{out}").over(cumulative())}, spare=(f"_v_{out}",))
+
+
 def obv(df: DataFrame, out: str = "obv") -> DataFrame:
     """Running sum of volume signed by the close's change."""
-    return df.withColumn("_v", F.coalesce(F.signum(F.col("close") - lag("close")), F.lit(0.0)) * F.col("volume")).withColumn(out, F.sum("_v").over(cumulative())).drop("_v")
+    return together(df, obv_recipe(out))
+
+
+def vwap_recipe(n: int, out: str = "vwap") -> Recipe:
+    pv, a, z = (f"_{x}_{out}" for x in ("pv", "a", "z"))
+    return Recipe({pv: _typical() * F.col("volume")}, Moving({a: ("sum", pv, n), z: ("sum", "volume", n)}), {out: F.col(a) / F.nullif(F.col(z), F.lit(0.0))}, spare=(pv, a, z))
 
 
 def rolling_vwap(df: DataFrame, n: int, out: str = "vwap") -> DataFrame:
     """Ratio of rolling sums."""
-    df = df.withColumn("_pv", (F.col("high") + F.col("low") + F.col("close")) / 3.0 * F.col("volume"))
-    return df.withColumn(out, rolling_sum("_pv", n) / F.nullif(rolling_sum("volume", n), F.lit(0.0))).drop("_pv")
+    return together(df, vwap_recipe(n, out))
 
 
 def session_vwap(df: DataFrame, zone: str = "UTC", out: str = "session_vwap") -> DataFrame:
@@ -368,13 +495,15 @@ def bar_spacing(bars: DataFrame) -> DataFrame:
     return out.withColumn("mode", F.when(F.col("spacing") < 86400, "session").otherwise("rolling"))
 
 
+def bollinger_recipe(n: int = 20, k: float = 2.0) -> Recipe:
+    sd, close = F.col("_sd"), F.col("close")
+    return Recipe(Moving({"bb_mid": ("mean", "close", n), "_sd": ("std", "close", n)}), {"bb_low": F.col("bb_mid") - k * sd, "bb_high": F.col("bb_mid") + k * sd},
+                  {"bb_width": (F.col("bb_high") - F.col("bb_low")) / F.nullif(F.col("bb_mid"), F.lit(0.0)), "bb_z": (close - F.col("bb_mid")) / F.nullif(sd, F.lit(0.0)), "bb_pos": (close - F.col("bb_low")) / F.nullif(F.col("bb_high") - F.col("bb_low"), F.lit(0.0))}, spare=("_sd",))
+
+
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
     """bb_mid, bb_low, bb_high, bb_width, bb_z and bb_pos (0 at the lower band, 1 at the upper)."""
-    df = df.withColumn("bb_mid", sma("close", n)).withColumn("_sd", rolling_std("close", n))
-    df = df.withColumn("bb_low", F.col("bb_mid") - k * F.col("_sd")).withColumn("bb_high", F.col("bb_mid") + k * F.col("_sd"))
-    df = df.withColumn("bb_width", (F.col("bb_high") - F.col("bb_low")) / F.nullif(F.col("bb_mid"), F.lit(0.0)))
-    df = df.withColumn("bb_z", (F.col("close") - F.col("bb_mid")) / F.nullif(F.col("_sd"), F.lit(0.0)))
-    return df.withColumn("bb_pos", (F.col("close") - F.col("bb_low")) / F.nullif(F.col("bb_high") - F.col("bb_low"), F.lit(0.0))).drop("_sd")
+    return together(df, bollinger_recipe(n, k))
 
 
 def candle_patterns(df: DataFrame) -> DataFrame:

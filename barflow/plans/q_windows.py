@@ -38,10 +38,11 @@ SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(ret1, 6) AS ret1, round(ret5, 6)
 FROM y WINDOW g3 AS (PARTITION BY symbol ORDER BY ts ROWS 2 PRECEDING)""".replace("CASE WHEN fn = 0 THEN 100.0 ELSE", "CASE WHEN fp IS NULL THEN NULL WHEN fn = 0 THEN 100.0 ELSE"))
 def moving(spark, sf_dir):
     """W01, W02, W04, W05, W09, W12, W15-W21, W23 over daily bars."""
-    x = w.true_range(w.indexed(b.daily_bars(spark, sf_dir)))
-    x = x.withColumns({"ret1": w.pct_change("close"), "ret5": w.pct_change("close", 5), "roc10": w.pct_change("close", 10), "sma20": w.sma("close", 20), "min10": w.rolling_min("low", 10), "max10": w.rolling_max("high", 10),
-                       "don_hi": w.rolling_max("high", 10, 1), "sd20": w.rolling_std("close", 20), "willr5": w.williams_r(5), "rvol20": w.relative_volume(20)})
-    x = w.mfi(w.cci(w.stochastic(w.bollinger(w.rolling_vwap(w.obv(x), 20, "vwap20")), 14, 3, "stoch"), 20, "cci20"), 14, "mfi14")
+    close, hi, lo = F.col("close"), F.col("_hi5"), F.col("_lo5")
+    plain = w.Recipe({"tr": w.true_ranges(), "ret1": w.pct_change("close"), "ret5": w.pct_change("close", 5), "roc10": w.pct_change("close", 10)},
+                     w.Moving({"sma20": ("mean", "close", 20), "min10": ("min", "low", 10), "max10": ("max", "high", 10), "don_hi": ("max", "high", 10, 1), "sd20": ("std", "close", 20), "_hi5": ("max", "high", 5), "_lo5": ("min", "low", 5), "_v20": ("mean", "volume", 20, 1)}),
+                     {"willr5": -100.0 * (hi - close) / F.nullif(hi - lo, F.lit(0.0)), "rvol20": F.col("volume") / F.nullif(F.col("_v20"), F.lit(0.0))}, spare=("_hi5", "_lo5", "_v20"))
+    x = w.together(w.indexed(b.daily_bars(spark, sf_dir)), plain, w.obv_recipe(), w.vwap_recipe(20, "vwap20"), w.bollinger_recipe(), w.stochastic_recipe(14, 3, "stoch"), w.cci_recipe(20, "cci20"), w.mfi_recipe(14, "mfi14"))
     return shown(x, ["symbol", "ts"], _MOVING)
 
 
