@@ -104,10 +104,11 @@ def common_start(frames: DataFrame, by: str, on: str) -> DataFrame:
 
 def information(panel: DataFrame, prediction: str, label: str, top: int = 1) -> DataFrame:
     """Per time: Spearman and Pearson correlation, spread of the top over the bottom rows."""
-    d = rank_pct(rank_pct(panel.filter(F.col(label).isNotNull()), prediction, "ts", "_rp"), label, "ts", "_rl")
-    o = Window.partitionBy("ts").orderBy(F.col(prediction).desc(), "symbol")
-    r = Window.partitionBy("ts").orderBy(F.col(prediction), F.col("symbol").desc())
-    d = d.withColumn("_o", F.row_number().over(o)).withColumn("_b", F.row_number().over(r))
+    d = panel.filter(F.col(prediction).isNotNull() & ~F.isnan(prediction) & F.col(label).isNotNull() & ~F.isnan(label))
+    # One order serves the prediction's ranks and both ends: the place from above is told by that from below.
+    below = Window.partitionBy("ts").orderBy(F.col(prediction), F.col("symbol").desc())
+    d = d.withColumn("_b", F.row_number().over(below)).withColumn("_o", F.count("*").over(Window.partitionBy("ts")) - F.col("_b") + 1)
+    d = rank_pct(rank_pct(d, prediction, "ts", "_rp"), label, "ts", "_rl")
     return d.groupBy("ts").agg(F.count("*").alias("n"), F.corr("_rp", "_rl").alias("rank_ic"), F.corr(prediction, label).alias("ic"),
                                (F.avg(F.when(F.col("_o") <= top, F.col(label))) - F.avg(F.when(F.col("_b") <= top, F.col(label)))).alias("spread"))
 

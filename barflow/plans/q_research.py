@@ -159,6 +159,11 @@ def _panel(spark, sf_dir):
     return w.indexed(b.daily_bars(spark, sf_dir)).select("symbol", "ts", p.forward_open_to_close(5).alias("raw_return"), w.pct_change("close", 3).alias("pred"))
 
 
+def _by_day(spark, sf_dir):
+    """The panel, dealt by day."""
+    return _panel(spark, sf_dir).repartition(b.parts(spark, sf_dir, "lineitem"), "ts")
+
+
 @query("l_panel", _PANEL + """, x AS (SELECT a.symbol, a.ts, a.raw_return - z.raw_return AS e FROM r a JOIN r z ON a.ts = z.ts AND z.symbol = '1' WHERE a.symbol <> '1' AND a.raw_return - z.raw_return IS NOT NULL)
 SELECT symbol, CAST(ts AS VARCHAR) AS ts, section, round(e, 6) AS excess_return, round(label, 6) AS label FROM (SELECT *, count(*) OVER t AS section, e - avg(e) OVER t AS label FROM x WINDOW t AS (PARTITION BY ts)) WHERE section >= 3""")
 def relative(spark, sf_dir):
@@ -170,7 +175,7 @@ def relative(spark, sf_dir):
 @query("w_ranks", _PANEL + " SELECT symbol, CAST(ts AS VARCHAR) AS ts, round((rank() OVER (PARTITION BY ts ORDER BY pred) + (count(*) OVER (PARTITION BY ts, pred) - 1) / 2.0) / count(*) OVER (PARTITION BY ts) - 0.5, 6) AS pct, row_number() OVER (PARTITION BY ts ORDER BY pred DESC, symbol) AS ord FROM r WHERE pred IS NOT NULL")
 def ranks(spark, sf_dir):
     """W31, W32, W33."""
-    d = p.ordinal(p.rank_pct(_panel(spark, sf_dir), "pred", "ts", "pct"), "pred", "ts", "symbol", "ord")
+    d = p.ordinal(p.rank_pct(_by_day(spark, sf_dir), "pred", "ts", "pct"), "pred", "ts", "symbol", "ord")
     return shown(d.withColumn("pct", F.col("pct") - 0.5), ["symbol", "ts"], ["pct", "ord"])
 
 
@@ -179,7 +184,7 @@ y AS (SELECT *, rank() OVER (PARTITION BY ts ORDER BY pred) + (count(*) OVER (PA
 SELECT CAST(ts AS VARCHAR) AS ts, count(*) AS n, round(CASE WHEN isnan(corr(rp, rl)) THEN NULL ELSE corr(rp, rl) END, 4) AS rank_ic, round(CASE WHEN isnan(corr(pred, raw_return)) THEN NULL ELSE corr(pred, raw_return) END, 4) AS ic, round(avg(raw_return) FILTER (o <= 1) - avg(raw_return) FILTER (q <= 1), 4) AS spread FROM y GROUP BY ts""")
 def information(spark, sf_dir):
     """Daily rank and linear correlation of momentum with the label."""
-    return shown(p.information(_panel(spark, sf_dir), "pred", "raw_return"), ["ts"], ["n", "rank_ic", "ic", "spread"], 4)
+    return shown(p.information(_by_day(spark, sf_dir), "pred", "raw_return"), ["ts"], ["n", "rank_ic", "ic", "spread"], 4)
 
 
 @query("v_series_metrics", _PANEL + """, x AS (SELECT * FROM r WHERE raw_return IS NOT NULL AND pred IS NOT NULL), q AS (SELECT symbol, quantile_cont(pred, 0.2) AS a, quantile_cont(pred, 0.8) AS z FROM x GROUP BY 1),
@@ -193,7 +198,7 @@ def series(spark, sf_dir):
 @query("w_top_changes", _PANEL + ", o AS (SELECT ts, symbol FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY pred DESC NULLS LAST, symbol) AS k FROM r) WHERE k <= 5), t AS (SELECT ts, list_sort(list(symbol)) AS top FROM o GROUP BY ts) SELECT CAST(ts AS VARCHAR) AS ts, round(CASE WHEN lag(top) OVER (ORDER BY ts) IS NOT NULL THEN 1.0 - len(list_intersect(top, lag(top) OVER (ORDER BY ts))) / len(top) END, 6) AS turnover FROM t")
 def changes(spark, sf_dir):
     """W49."""
-    return shown(p.top_changes(_panel(spark, sf_dir), "pred", 5), ["ts"], ["turnover"])
+    return shown(p.top_changes(_by_day(spark, sf_dir), "pred", 5), ["ts"], ["turnover"])
 
 
 _DAYS = D + ", d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM bars))"
