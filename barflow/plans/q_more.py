@@ -12,7 +12,7 @@ from ..operators import news as n
 from ..operators import panel as p
 from . import bindings as b
 from . import signal_sql as sig
-from .q_research import _PANEL, _panel
+from .q_research import _PANEL, _by_day
 from .q_text import NOW, _TITLED, b_dir
 from .registry import query, shown, six
 
@@ -45,7 +45,7 @@ k AS (SELECT s.ts, s.section, x.symbol, x.e - avg(x.e) OVER (PARTITION BY x.ts)
 SELECT CAST(count(*) AS BIGINT) AS times, CAST(min(section) AS BIGINT) AS smallest, CAST(max(section) AS BIGINT) AS largest, CAST(sum(CAST(section <> symbols AS BIGINT)) AS BIGINT) AS uneven, CAST(max(off) < 1e-9 AS BIGINT) AS centred FROM g""")
 def sections(spark, sf_dir):
     """Of a centred panel: times, smallest and largest section, sections in which a symbol repeats, and whether all means vanish."""
-    d = p.section_audit(p.centred(_panel(spark, sf_dir).select("symbol", "ts", "raw_return"), "raw_return"))
+    d = p.section_audit(p.centred(_by_day(spark, sf_dir).select("symbol", "ts", "raw_return"), "raw_return"))
     return shown(d, [], ["times", "smallest", "largest", "uneven", "centred"])
 
 
