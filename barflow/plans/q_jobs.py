@@ -211,7 +211,7 @@ def stories(spark, sf_dir):
     """Leaders of items within their provider."""
     from ..operators import news as n
 
-    d = _source(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("provider"), n.title_tokens(F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ")).alias("tokens"), (F.lit(1704067200) + F.col("doc_id") % 720 * 3600).cast("long").alias("published"))
+    d = _source(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("provider"), n.title_tokens(F.array_join(F.slice(F.split("text", r"\s+", 13), 1, 12), " ")).alias("tokens"), (F.lit(1704067200) + F.col("doc_id") % 720 * 3600).cast("long").alias("published"))
     return _batched(spark, "stories", lambda path: stream.story_leaders(d, path)).select("provider", "id", "leader")
 
 

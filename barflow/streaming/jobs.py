@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -87,20 +90,38 @@ def story_leaders(news: DataFrame, path: str, least: float = 0.72, hours: int =
     """Leader of each item among the provider's leaders of the last ``hours``, newest first, into path/out.
 
     Unlike the batch form, items are compared within their provider alone, in order of arrival.
-    Known from before are each provider's recent leaders; rows pass one by one.
+    Known from before are each provider's recent leaders; rows pass one by one. Titles that are
+    similar share two of their first tokens (longest first) at least, or one where one may be all they
+    share: a leader is looked up by these, not among all that are held.
     """
 
+    def marks(tokens: set[str]) -> list:
+        """What two similar titles have in common: they share ceil(least * n) of n tokens, and so 2 of their first n - that + 2 in any order."""
+        shared = math.ceil(least * len(tokens) - 1e-9)
+        first = sorted(tokens, key=lambda x: (-len(x), x))[:len(tokens) - shared + 2]
+        return [*itertools.combinations(first, 2), *(tokens if shared <= 1 else ())]
+
     def step(state: dict, row: dict) -> int | None:
-        leaders, at, t = state.setdefault("leaders", {}), row["published"], set(row["tokens"])
-        for k in [k for k, (then, _) in leaders.items() if at - then > hours * 3600]:
-            del leaders[k]
-        if row["known"]:
-            leaders[row["id"]] = (at, t)
-            return None
-        hit = next((k for k, (_, o) in reversed(leaders.items()) if t and len(t & o) >= least * len(t | o)), None)
+        held, at, t = state.setdefault("held", {}), row["published"], set(row["tokens"] or ())
+        queue, by_mark = state.setdefault("queue", []), state.setdefault("by_mark", {})
+        while queue and at - queue[0][0] > hours * 3600:
+            _, old = heapq.heappop(queue)
+            for m in held.pop(old)[2]:
+                by_mark[m].discard(old)
+                if not by_mark[m]:
+                    del by_mark[m]
+        own = marks(t) if t else []
+        hit = None
+        if not row["known"]:
+            found = set().union(*(by_mark.get(m, ()) for m in own))
+            hit = max((k for k in found if len(t & held[k][1]) >= least * len(t | held[k][1])), default=None)
         if hit is None:
-            leaders[row["id"]] = (at, t)
-        return row["id"] if hit is None else hit
+            state["n"] = n = state.get("n", 0) + 1  # the newest has the greatest number
+            held[n] = (row["id"], t, own)
+            heapq.heappush(queue, (at, n))
+            for m in own:
+                by_mark.setdefault(m, set()).add(n)
+        return None if row["known"] else row["id"] if hit is None else held[hit][0]
 
     def rows(df: DataFrame, before: DataFrame) -> DataFrame:
         d = df.select("provider", "published", "id", "tokens").withColumn("known", F.lit(False)).unionByName(before.withColumn("known", F.lit(True)))
