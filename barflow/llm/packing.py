@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy, utf8_column, written
+from .common import cuts, small_batches, tidy, utf8_column, written
 from .tokens import word_ids
 
 #: Ids that are packed together at most; bounds a task's memory.
@@ -150,13 +150,13 @@ def _packed(held: list, width: int, base: int) -> tuple[Iterator[pa.RecordBatch]
     window, offset, windows = best_fit_decreasing(length, width)
     closed = (np.bincount(window, weights=length, minlength=windows) >= CLOSED * width)[window]
     at = first[row] + start
-    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+    raw = ids.astype("<u4", copy=False).view(np.uint8)
     step = 512
 
     def batch(k: slice) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
             doc.take(pa.array(row[k])), pa.array(start[k]), pa.array(length[k]),
-            pa.array([raw[4 * a:4 * (a + n)] for a, n in zip(at[k].tolist(), length[k].tolist())], pa.binary()),
+            cuts(raw, 4 * at[k], 4 * (at[k] + length[k])),
             pa.array(tokens[row[k]]), pa.array(base + window[k]), pa.array(offset[k]), pa.array(closed[k])],
             names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "closed"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, small_batches, steps, tidy, utf8_column, written
+from .common import cuts, runs, small_batches, steps, tidy, utf8_column, written
 from .shingles import mix, part_hashes, prefix_hashes
 
 LENGTH, GRAM = 200, 48
@@ -234,12 +234,11 @@ def _contents(docs: DataFrame, opened: DataFrame) -> DataFrame:
             akey, start, n, rel, known = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
             row = np.repeat(np.arange(b.num_rows), np.diff(of))
             at = offs[row] + start
-            whole = memoryview(raw)
             for i in range(0, len(row), 20_000):
                 k = slice(i, i + 20_000)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(akey[k]), pa.array(rk[row[k]]), pa.array(rh[row[k]]), pa.array(start[k]), pa.array(n[k]), pa.array(rel[k]), pa.array(known[k]),
-                    pa.array([whole[a:a + m + LENGTH - 1] for a, m in zip(at[k].tolist(), n[k].tolist())], pa.binary())],
+                    cuts(raw, at[k], at[k] + n[k] + LENGTH - 1)],
                     names=["akey", "rk", "rh", "start", "n", "rel", "known", "bytes"])
 
     return joined.mapInArrow(tidy(task), _CONTENT)
